@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from millrace.llm.fingerprints import op1_document_fingerprints
+from millrace.llm.packing import op9_best_fit_packing
+from millrace.llm.tokens import op5_token_counts
 
 QUERIES: dict[str, Callable] = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op5_token_counts": op5_token_counts,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}
