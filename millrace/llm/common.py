@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 #: Words in a shingle.
 WORDS = 5
-#: Bytes of text that numpy works on at once.
+#: Bytes of text, and rows, that numpy works on at once.
 CHUNK_BYTES = 1 << 21
+CHUNK_ROWS = 1 << 10
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -101,12 +102,12 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about so many bytes; a longer text is a run of its own."""
+def blocks(offsets: np.ndarray, size: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about so many bytes, and so many rows at most; a longer text is a run of its own."""
     first, n = 0, len(offsets) - 1
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
-        last = min(max(last, first + 1), n)
+        last = min(max(last, first + 1), first + rows, n)
         yield first, last
         first = last
 
@@ -180,4 +181,6 @@ def text_frame(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A whole table; its rows go to Python in batches small enough for long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", CHUNK_ROWS)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")

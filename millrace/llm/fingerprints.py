@@ -158,7 +158,7 @@ def compare_edited(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> DataF
                         yield measured(held, row)
                     held, size = [], 0
                     continue
-                if size >= C.CHUNK_BYTES and held:
+                if size >= C.CHUNK_BYTES or len(held) >= C.CHUNK_ROWS:
                     yield measured(held, row)
                     held, size = [], 0
                 held.append(row)

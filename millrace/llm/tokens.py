@@ -66,7 +66,7 @@ class PieceCounter:
             texts = pc.replace_substring(texts, META, " ")
         data, offsets = C.buffer_of(pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string())))
         out = np.zeros(len(texts), np.int64)
-        for a, b in C.blocks(offsets):
+        for a, b in C.blocks(offsets, rows=1 << 14):
             part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             space = part == 0x20
             begins = space.copy()
@@ -95,7 +95,7 @@ def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int
         counter = PieceCounter(tokenizer_path(model))
         for batch in batches:
             _, offsets = C.buffer_of(batch.column(1))
-            for a, b in C.blocks(offsets, 4 * C.CHUNK_BYTES):
+            for a, b in C.blocks(offsets, 4 * C.CHUNK_BYTES, 1 << 14):
                 n = counter.count(batch.column(1).slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(offsets[a : b + 1])), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
