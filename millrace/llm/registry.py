@@ -10,12 +10,14 @@ from millrace.llm.line_dedup import OP8_SQL, op8_line_dedup
 from millrace.llm.packing import op9_best_fit_packing
 from millrace.llm.quality import op4_quality_classifier
 from millrace.llm.tokens import op5_token_counts
+from millrace.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_counts": op5_token_counts,
+    "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
