@@ -184,3 +184,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A whole table; its rows go to Python in batches small enough for long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", CHUNK_ROWS)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+
+
+def in_ranges(df: DataFrame, column: str, ends: list[float], name: str) -> DataFrame:
+    """df and an int column `name`: how many of the ascending ends lie below the number in `column` (0 for null); a binary search in the JVM."""
+    from pyspark.ml.feature import Bucketizer
+
+    if not ends:
+        return df.withColumn(name, F.lit(0))
+    splits = [float("-inf"), *(float(np.nextafter(x, np.inf)) for x in ends), float("inf")]
+    key, bucket = f"_{name}_key", f"_{name}_bucket"
+    df = df.withColumn(key, F.coalesce(F.col(column).cast("double"), F.lit(float("-inf"))))
+    return Bucketizer(splits=splits, inputCol=key, outputCol=bucket).transform(df).withColumn(name, F.col(bucket).cast("int")).drop(key, bucket)

@@ -95,15 +95,7 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
     """
     ids = docs.select("doc_id")
     ends = sorted({x for x in ids.stat.approxQuantile(["doc_id"], [i / parts for i in range(1, parts)], 0.25 / parts)[0]}) if parts > 1 else []
-    key = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
-    bucket = F.aggregate(F.array(*[F.lit(x) for x in ends]), F.lit(0), lambda n, x: n + (key > x).cast("int")) if len(ends) <= 8 else None
-    if bucket is None:  # binary search in the JVM
-        from pyspark.ml.feature import Bucketizer
-
-        put = Bucketizer(splits=[float("-inf"), *[np.nextafter(x, np.inf) for x in ends], float("inf")], inputCol="_key", outputCol="_bucket")
-        placed = lambda df: put.transform(df.withColumn("_key", key)).withColumn("home", F.col("_bucket").cast("int")).drop("_key", "_bucket")
-    else:
-        placed = lambda df: df.withColumn("home", bucket if ends else F.lit(0))
+    placed = lambda df: C.in_ranges(df, "doc_id", ends, "home")
     # one row for each range: bounded by `parts`
     heads = sorted(placed(ids).groupBy("home").agg(F.min("doc_id").alias("head"), F.max(F.col("doc_id").isNull()).alias("none")).collect())
     before = [(None if h["none"] else h["head"], heads[i - 1]["home"]) for i, h in enumerate(heads)]

@@ -11,10 +11,12 @@ from millrace.llm.packing import op9_best_fit_packing
 from millrace.llm.quality import op4_quality_classifier
 from millrace.llm.tokens import op5_token_counts
 from millrace.llm.toxicity import op7_toxicity
+from millrace.llm.warc import OP3_SQL, op3_warc
 
 QUERIES: dict[str, Callable] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_warc": op3_warc,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_counts": op5_token_counts,
     "op7_toxicity": op7_toxicity,
@@ -24,5 +26,6 @@ QUERIES: dict[str, Callable] = {
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
+    "op3_warc": OP3_SQL,
     "op8_line_dedup": OP8_SQL,
 }
