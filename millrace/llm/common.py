@@ -91,6 +91,26 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
     return mix((sums[b] - sums[a]) * _power(_INVERSE, len(part))[a] + (ends - starts).astype(U64))
 
 
+class Lookup:
+    """The places of known codes among the sorted ones, from 1; 0 for others, and for the few that share another's slot."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = np.sort(codes)
+        slots = 1 << max(16, int(len(codes) * 8).bit_length())
+        self.mask = U64(slots - 1)
+        self.at = np.zeros(slots, np.int32)
+        self.at[self._slot(self.codes)] = np.arange(1, len(codes) + 1)
+        self.held = np.concatenate([np.zeros(1, self.codes.dtype), self.codes])
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        x = codes.astype(U64) * U64(0x9E3779B97F4A7C15)
+        return ((x ^ x >> U64(31)) & self.mask).astype(np.int64)
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        found = self.at[self._slot(codes)]
+        return np.where(self.held[found] == codes, found, 0)
+
+
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts, and where each begins (nulls are empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from millrace.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from millrace.llm.fingerprints import op1_document_fingerprints
 from millrace.llm.line_dedup import OP8_SQL, op8_line_dedup
+from millrace.llm.ngram_join import OP6_SQL, op6_ngram_jaccard_join
 from millrace.llm.packing import op9_best_fit_packing
 from millrace.llm.quality import op4_quality_classifier
 from millrace.llm.tokens import op5_token_counts
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable] = {
     "op3_warc": op3_warc,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_counts": op5_token_counts,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
@@ -27,5 +29,6 @@ QUERIES: dict[str, Callable] = {
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
     "op3_warc": OP3_SQL,
+    "op6_ngram_jaccard_join": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
 }
