@@ -54,27 +54,6 @@ def features(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np
     return out, at
 
 
-class Lookup:
-    """Numbers of known codes; 0 for others."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = np.sort(codes)
-        slots = 1 << max(16, int(len(codes) * 8).bit_length())
-        self.mask = C.U64(slots - 1)
-        self.at = np.zeros(slots, np.int32)
-        self.at[self._slot(self.codes)] = np.arange(1, len(codes) + 1)
-        self.held = np.append(self.codes[:0], np.zeros(1, self.codes.dtype))
-        self.held = np.concatenate([self.held, self.codes])
-
-    def _slot(self, codes: np.ndarray) -> np.ndarray:
-        x = codes.astype(C.U64) * C.U64(0x9E3779B97F4A7C15)
-        return ((x ^ x >> C.U64(31)) & self.mask).astype(np.int64)
-
-    def __call__(self, codes: np.ndarray) -> np.ndarray:
-        found = self.at[self._slot(codes)]
-        return np.where(self.held[found] == codes, found, 0)
-
-
 def windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word and number of words of each window, and the number of the first window of each text; a text without words has none."""
     count = np.diff(at)
@@ -92,7 +71,7 @@ def sums(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    def __init__(self, p: dict[str, np.ndarray], words: Lookup | None, chars: Lookup | None, share: float):
+    def __init__(self, p: dict[str, np.ndarray], words: C.Lookup | None, chars: C.Lookup | None, share: float):
         self.p, self.words, self.chars, self.share = p, words, chars, share
 
     def inputs(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -157,18 +136,31 @@ class Network:
         return scores
 
 
-def odds(codes: np.ndarray, text: np.ndarray, labels: np.ndarray, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """The most telling codes, and their log odds by the texts that hold them."""
-    pairs = np.unique(np.stack([text, codes.view(np.int64)], 1), axis=0)
-    kinds, which = np.unique(pairs[:, 1], return_inverse=True)
-    of = labels[pairs[:, 0]]
-    with_1, with_0 = np.bincount(which, of, len(kinds)), np.bincount(which, 1 - of, len(kinds))
+def odds(words: np.ndarray, at: np.ndarray, codes: np.ndarray, code_at: np.ndarray, labels: np.ndarray, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The most telling codes of words, and their log odds by the texts that hold them.
+
+    words: the number of each word of the texts, which begin at `at`; codes: those of each numbered word, which begin at code_at.
+    Texts are counted a few at a time.
+    """
+    kinds, which = np.unique(codes, return_inverse=True)
+    held = np.zeros((2, len(kinds)))
+    step = 64
+    for k in range(0, len(labels), step):
+        n = len(at[k : k + step + 1]) - 1
+        own = np.repeat(np.arange(n), np.diff(at[k : k + n + 1]))
+        pairs = np.unique(own * (len(code_at) - 1) + words[at[k] : at[k + n]])
+        own, word = pairs // (len(code_at) - 1), pairs % (len(code_at) - 1)
+        count = np.diff(code_at)[word]
+        spread = np.repeat(code_at[word] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        pairs = np.unique(np.repeat(own, count) * len(kinds) + which[spread])
+        for y in (0, 1):
+            held[y] += np.bincount(pairs[labels[k + pairs // len(kinds)] == y] % len(kinds), minlength=len(kinds))
+    with_0, with_1 = held
     ratio = np.log((with_1 + 0.5) / (labels.sum() + 1)) - np.log((with_0 + 0.5) / ((1 - labels).sum() + 1))
     ratio *= (with_1 + with_0) / (with_1 + with_0 + 8)  # what few texts say counts for less
     order = np.argsort(-np.abs(ratio) * np.sqrt(with_1 + with_0) * (with_1 + with_0 >= least), kind="stable")[:VOCABULARY]
-    order = order[(with_1 + with_0)[order] >= least]
-    order = order[np.argsort(kinds[order].view(codes.dtype))]
-    return kinds[order].view(codes.dtype), ratio[order].astype(np.float32)
+    order = np.sort(order[(with_1 + with_0)[order] >= least])
+    return kinds[order], ratio[order].astype(np.float32)
 
 
 def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 4, epochs: int = 4, seed: int = 11) -> Network:
@@ -182,16 +174,11 @@ def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 4, epo
     begins, ends = C.words_of(data, offsets)
     if not len(hashes):
         return Network({}, None, None, share)
-    owner = np.repeat(np.arange(len(texts)), np.diff(at))
     kinds, one, which = np.unique(hashes, return_index=True, return_inverse=True)
     codes, code_at = features(data, begins[one], ends[one])
-    word_codes, word_odds = odds(hashes, owner, labels)
-    # a text has the features of its words: pairs of text and distinct word, then their features
-    held = np.unique(owner.astype(np.int64) * len(kinds) + which)
-    count = np.diff(code_at)[held % len(kinds)]
-    spread = np.repeat(code_at[held % len(kinds)] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    char_codes, char_odds = odds(codes[spread], np.repeat(held // len(kinds), count), labels)
-    words, chars = Lookup(word_codes), Lookup(char_codes)
+    word_codes, word_odds = odds(which, at, kinds, np.arange(len(kinds) + 1), labels)
+    char_codes, char_odds = odds(which, at, codes, code_at, labels)
+    words, chars = C.Lookup(word_codes), C.Lookup(char_codes)
     scale = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[-2] if len(shape) > 1 else shape[-1]), shape)
     p = {
         "word": rng.normal(0, 0.05, (len(word_codes) + 1, WORD)),
