@@ -389,10 +389,10 @@ WITH RECURSIVE word AS (
     FROM (SELECT doc_id, words, unnest(range(1, CASE WHEN len(words) = 0 THEN 1 ELSE greatest(len(words) - 4, 1) + 1 END)) AS i FROM word)
 ), size AS (
     SELECT d.doc_id, count(s) AS n FROM documents d LEFT JOIN shingle USING (doc_id) GROUP BY d.doc_id
-), both AS (
+), pair AS (
     SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
 ), link AS (
-    SELECT a, b FROM both JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * same >= 75 * (x.n + y.n - same)
+    SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * same >= 75 * (x.n + y.n - same)
 ), reach AS (
     SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
 )

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from millrace.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from millrace.llm.fingerprints import op1_document_fingerprints
 from millrace.llm.line_dedup import OP8_SQL, op8_line_dedup
+from millrace.llm.mixing import op10_source_mixing
 from millrace.llm.ngram_join import OP6_SQL, op6_ngram_jaccard_join
 from millrace.llm.packing import op9_best_fit_packing
 from millrace.llm.quality import op4_quality_classifier
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable] = {
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLES: dict[str, str] = {
