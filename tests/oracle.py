@@ -47,7 +47,7 @@ def compare(spark, name, query, sql, sf_dir, con):
         return f"ok, {len(a[1])} rows"
     if a[0] != b[0]:
         return f"DIFFERENT columns {a[0]} {b[0]}"
-    x, y = [r for r in a[1] if r not in set(b[1])], [r for r in b[1] if r not in set(a[1])]
+    x, y = sorted(set(a[1]) - set(b[1])), sorted(set(b[1]) - set(a[1]))
     return f"DIFFERENT rows: {len(a[1])} and {len(b[1])}; {x[:2]} {y[:2]}"
 
 
