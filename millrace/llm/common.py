@@ -92,23 +92,28 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
 
 
 class Lookup:
-    """The places of known codes among the sorted ones, from 1; 0 for others, and for the few that share another's slot."""
+    """The places of known codes among the sorted ones, from 1; 0 for others.
+
+    A table of marked slots, small enough for a cache, turns most other codes away before the search.
+    """
 
     def __init__(self, codes: np.ndarray):
-        self.codes = np.sort(codes)
-        slots = 1 << max(16, int(len(codes) * 8).bit_length())
-        self.mask = U64(slots - 1)
-        self.at = np.zeros(slots, np.int32)
-        self.at[self._slot(self.codes)] = np.arange(1, len(codes) + 1)
-        self.held = np.concatenate([np.zeros(1, self.codes.dtype), self.codes])
+        self.codes = np.unique(codes)
+        self.marked = np.zeros(1 << max(16, int(len(self.codes) * 32).bit_length()), bool)
+        self.marked[self._slot(self.codes)] = True
 
     def _slot(self, codes: np.ndarray) -> np.ndarray:
         x = codes.astype(U64) * U64(0x9E3779B97F4A7C15)
-        return ((x ^ x >> U64(31)) & self.mask).astype(np.int64)
+        return ((x ^ x >> U64(31)) & U64(len(self.marked) - 1)).astype(np.int64)
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
-        found = self.at[self._slot(codes)]
-        return np.where(self.held[found] == codes, found, 0)
+        out = np.zeros(len(codes), np.int64)
+        near = np.flatnonzero(self.marked[self._slot(codes)])
+        if len(near):
+            found = np.searchsorted(self.codes, codes[near])
+            found[found == len(self.codes)] = 0
+            out[near] = np.where(self.codes[found] == codes[near], found + 1, 0)
+        return out
 
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
