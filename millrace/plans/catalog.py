@@ -20,4 +20,4 @@ def add(name: str, sql: str | None = None):
     return put
 
 
-from millrace.plans import capability, models, panels, stats, trajectories  # noqa: E402, F401
+from millrace.plans import capability, experiments, models, panels, stats, trajectories  # noqa: E402, F401
