@@ -1,0 +1,66 @@
+"""Simulated processes, as tasks of their own seeds."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+#: A fed batch: growth and yield constants, feed and limits.
+FED_BATCH = {"mu": 0.45, "ks": 0.15, "yield": 0.5, "kill": 0.01, "product": 0.05, "feed": 0.05, "feed_sugar": 200.0, "volume": 10.0}
+
+
+def cardinal_temperature(t: np.ndarray, low: float, best: float, high: float) -> np.ndarray:
+    """The cardinal temperature model: 1 at the best temperature, 0 at and beyond the limits."""
+    top = (t - high) * (t - low) ** 2
+    bottom = (best - low) * ((best - low) * (t - best) - (best - high) * (best + low - 2 * t))
+    return np.where((t > low) & (t < high), np.clip(top / bottom, 0, 1), 0.0)
+
+
+def cardinal_ph(ph: np.ndarray, low: float, best: float, high: float) -> np.ndarray:
+    top = (ph - low) * (ph - high)
+    return np.where((ph > low) & (ph < high), np.clip(top / (top - (ph - best) ** 2), 0, 1), 0.0)
+
+
+def fed_batch(hours: int, steps: int, temperature: float, ph: float, start: np.ndarray, p: dict = FED_BATCH) -> np.ndarray:
+    """Biomass, sugar, product and volume at the end of each hour, by Runge and Kutta's fourth order."""
+    factor = float(cardinal_temperature(np.array(temperature), 5, 37, 46) * cardinal_ph(np.array(ph), 4, 7, 9.5))
+
+    def slope(s: np.ndarray) -> np.ndarray:
+        x, sugar, product, volume = s
+        mu = p["mu"] * factor * max(sugar, 0) / (p["ks"] + max(sugar, 0))
+        dilution = p["feed"] / volume
+        return np.array([(mu - p["kill"] - dilution) * x, -mu * x / p["yield"] + dilution * (p["feed_sugar"] - sugar), p["product"] * x - dilution * product, p["feed"]])
+
+    state, h, out = np.asarray(start, float), 1 / steps, []
+    for _ in range(hours):
+        for _ in range(steps):
+            a = slope(state)
+            b = slope(state + h / 2 * a)
+            c = slope(state + h / 2 * b)
+            d = slope(state + h * c)
+            state = np.maximum(state + h / 6 * (a + 2 * b + 2 * c + d), 0)
+        out.append(state)
+    return np.array(out)
+
+
+def campaign(spark: SparkSession, batches: int, hours: int = 24, seed: int = 0, noise: float = 0.02) -> DataFrame:
+    """Trajectories of many batches, simulated in parallel; a batch's numbers depend on the seed and its id only."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for i in f["id"]:
+                r = np.random.default_rng([seed, int(i)])
+                t, ph = r.normal(36, 1.0), r.normal(6.9, 0.15)
+                rows = fed_batch(hours, 20, t, ph, [r.lognormal(0, 0.2), r.normal(10, 1), 0.0, FED_BATCH["volume"]])
+                rows = rows * (1 + noise * r.normal(size=rows.shape))
+                yield pd.DataFrame({"batch_id": i, "hour": np.arange(1, hours + 1), "temperature": t, "ph": ph, "biomass": rows[:, 0], "sugar": rows[:, 1], "product": rows[:, 2], "volume": rows[:, 3]})
+
+    return spark.range(batches).mapInPandas(run, "batch_id long, hour int, temperature double, ph double, biomass double, sugar double, product double, volume double")
+
+
+def popcorn(t: float, r: np.random.Generator | None = None) -> float:
+    """Popped share after t seconds: a rise and a fall, with some noise."""
+    return max(0.0, 100 * np.exp(-(((t - 120) / 40) ** 2)) + (r.normal(0, 2) if r else 0.0))

@@ -81,6 +81,11 @@ def product_means(panel: DataFrame, conflevel: float = 0.95) -> DataFrame:
     return out.withColumn("ci_low", F.col("mean") - half).withColumn("ci_high", F.col("mean") + half)
 
 
+def _corr(a, b):
+    """Pearson's correlation; null where one does not vary."""
+    return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
+
+
 def scorecard(panel: DataFrame) -> DataFrame:
     """Of each panelist and attribute: discrimination (eta squared of products), agreement (correlation with the others' product means), shift, spread and drift (correlation with session)."""
     p = panel.filter("score IS NOT NULL")
@@ -89,8 +94,8 @@ def scorecard(panel: DataFrame) -> DataFrame:
     # the others' mean: the whole sum less the panelist's
     all_ = p.groupBy("attribute", "product").agg(F.sum("score").alias("all_total"), F.count("score").alias("all_n"))
     cells = own.join(all_, ["attribute", "product"]).withColumn("others", (F.col("all_total") - F.col("total")) / F.nullif(F.col("all_n") - F.col("n"), F.lit(0)))
-    between = cells.groupBy(*by).agg(F.sum(F.col("n") * F.col("mean") ** 2).alias("ss"), F.sum("total").alias("t"), F.sum("n").alias("k"), F.corr("mean", "others").alias("agreement"), (F.avg("mean") - F.avg("others")).alias("shift"), (F.stddev_samp("mean") / F.stddev_samp("others")).alias("spread"))
-    whole = p.groupBy(*by).agg((F.var_pop("score") * F.count("score")).alias("tss"), F.corr(F.col("session").cast("double"), "score").alias("drift"))
+    between = cells.groupBy(*by).agg(F.sum(F.col("n") * F.col("mean") ** 2).alias("ss"), F.sum("total").alias("t"), F.sum("n").alias("k"), _corr("mean", "others").alias("agreement"), (F.avg("mean") - F.avg("others")).alias("shift"), F.try_divide(F.stddev_samp("mean"), F.stddev_samp("others")).alias("spread"))
+    whole = p.groupBy(*by).agg((F.var_pop("score") * F.count("score")).alias("tss"), _corr(F.col("session").cast("double"), F.col("score")).alias("drift"))
     out = between.join(whole, by)
     eta = F.when(F.col("tss") > 0, (F.col("ss") - F.col("t") ** 2 / F.col("k")) / F.col("tss"))
     return out.select(*by, eta.alias("discrimination"), "agreement", "shift", "spread", "drift")
@@ -138,7 +143,7 @@ def align_scores(panel: DataFrame, method: str = "both") -> DataFrame:
     product = cell.groupBy("attribute", "product").agg(F.avg("m").alias("b"))
     level = cell.groupBy("attribute", "panelist_id").agg(F.avg("m").alias("own"))
     grand = cell.groupBy("attribute").agg(F.avg("m").alias("grand"))
-    slope = cell.join(product, ["attribute", "product"]).groupBy("attribute", "panelist_id").agg((F.covar_samp("m", "b") / F.var_samp("b")).alias("beta"))
+    slope = cell.join(product, ["attribute", "product"]).groupBy("attribute", "panelist_id").agg(F.try_divide(F.covar_samp("m", "b"), F.var_samp("b")).alias("beta"))
     slope = slope.withColumn("beta", F.when((F.col("beta") >= 0.2) & ~F.isnan("beta"), F.col("beta")).otherwise(1.0))
     out = p.join(level, ["attribute", "panelist_id"]).join(grand, "attribute").join(slope, ["attribute", "panelist_id"])
     scale = F.col("beta") if method in ("scale", "both") else F.lit(1.0)
