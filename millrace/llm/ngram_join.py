@@ -8,12 +8,14 @@ the tasks; the order, not the result, depends on them).  Shingles are dealt in
 packed arrays, not rows.
 
 Classes that meet are sorted by set size.  A run of at most SMALL compatible
-sizes gives its pairs; a longer one gives its neighbours, and later, in tiles of
-size bands, those pairs that no link connects yet.  A pair's bitmaps (bit
-parities of the hashed shingles, as many bits as the set has members) bound the
-intersection from above; a pair that passes is settled by intersecting the two
-sorted arrays.  Each class first has its best candidate checked; pairs that are
-in one component by then need no check, as they would join nothing.
+sizes gives its pairs, a longer one its neighbours.  A pair's bitmaps (bit
+parities of the hashed shingles, at least twice as many bits as the set has
+members) bound the intersection from above; a pair that passes is settled by
+intersecting the two sorted arrays.  Each class first has its best candidate
+checked; pairs that are in one component by then need no check, as they would
+join nothing.  The classes of long runs that are still in several components are
+compared in tiles of size bands, once for each cluster of such runs rather than
+for each shingle; a tile gives only links that join components.
 
 Defined cases: a null text is an empty one; texts without words have no
 shingles and link with nothing.  Rows that repeat a doc_id are judged each; a
@@ -43,7 +45,7 @@ HOT = 100_000
 COUNTERS = 20_000
 #: The longest run that gives all its pairs, and rows of a block of a tile.
 SMALL = 8
-BLOCK = 256
+BLOCK = 1024
 #: Rows of a dealt array, and ids that may be broadcast.
 PACKED = 1_000_000
 BROADCAST_IDS = 2_000_000
@@ -69,8 +71,8 @@ def classes_of(members: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def bitmap(members: np.ndarray) -> bytes:
-    """Parities of the members by their low bits; a power of two of bits, as many as members or more."""
-    bits = max(64, 1 << int(len(members) - 1).bit_length())
+    """Parities of the members by their low bits; a power of two of bits, at least twice the members."""
+    bits = max(64, 2 << int(len(members) - 1).bit_length())
     return np.packbits((np.bincount((members & C.U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -278,18 +280,61 @@ def linked(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def folded(maps: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps of at least `width` bytes, folded to it, as rows of 64-bit words."""
+    out = np.empty((len(maps), width // 8), C.U64)
+    for i, m in enumerate(maps):
+        x = np.frombuffer(m, C.U64)
+        while len(x) > width // 8:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[i] = x
+    return out
+
+
+def survivors(a: pd.DataFrame, b: pd.DataFrame, percent: int) -> list[tuple]:
+    """Pairs of a row of a and a row of b whose labels differ and whose sizes and bitmaps let them link; a may be b."""
+    n_a, n_b = a["n"].to_numpy(), b["n"].to_numpy()
+    fit = (a["label"].to_numpy()[:, None] != b["label"].to_numpy()[None, :]) & (100 * np.minimum(n_a[:, None], n_b[None, :]) >= percent * np.maximum(n_a[:, None], n_b[None, :]))
+    if a is b:
+        fit &= np.arange(len(a))[:, None] < np.arange(len(b))[None, :]
+    width_a, width_b = a["bitmap"].map(len).to_numpy(), b["bitmap"].map(len).to_numpy()
+    cls_a, key_a, cls_b, key_b = (x[c].to_numpy() for x in (a, b) for c in ("cls", "key"))
+    found = []
+    for w_a in np.unique(width_a):
+        for w_b in np.unique(width_b):
+            i, j = np.flatnonzero(width_a == w_a), np.flatnonzero(width_b == w_b)
+            if not fit[np.ix_(i, j)].any():
+                continue
+            width = min(w_a, w_b)
+            x, y = folded(a["bitmap"].iloc[i].tolist(), width), folded(b["bitmap"].iloc[j].tolist(), width)
+            for k, row in zip(i, x, strict=True):
+                to = np.flatnonzero(fit[k, j])
+                if len(to):
+                    total = n_a[k] + n_b[j[to]]
+                    differ = np.bitwise_count(row ^ y[to]).sum(axis=1, dtype=np.int64)
+                    good = np.flatnonzero((100 + percent) * ((total - differ) // 2) >= percent * total)
+                    at = j[to[good]]
+                    found += zip([cls_a[k]] * len(at), cls_b[at].tolist(), [key_a[k]] * len(at), key_b[at].tolist(), differ[good].tolist(), strict=True)
+    return found
+
+
 def tiles(entries: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes of one token whose labels differ and whose bitmaps let them link.
+    """Pairs (a, b) of classes of the same runs whose labels differ and whose bitmaps let them link.
 
-    A token's entries lie in bands of sizes that differ by less than the least
-    ratio of linked sets, a band in blocks of about BLOCK; a tile has two blocks
-    of a band or of neighbouring bands.
+    entries: token, cls, label.  Runs that share a class are one cluster.  Its
+    classes lie in bands of sizes that differ by less than the least ratio of
+    linked sets, a band in blocks of about BLOCK; a tile has two blocks of a band
+    or of neighbouring bands.
     """
+    anchor = entries.groupBy("token").agg(F.min("cls").alias("anchor"))
+    cluster = C.cut(components(entries.join(anchor, "token").select("anchor", "cls").distinct())).select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
+    rows = entries.select("cls", "label").distinct().join(cluster, "cls").join(known.select("cls", "n", "bitmap", "key"), "cls")
     band = F.floor(F.log(F.col("n")) / float(np.log(100 / percent)) + 1e-9).cast("int")
-    entries = C.cut(entries.withColumn("band", band))
-    counts = entries.groupBy("token", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    near = lambda step, name: counts.select("token", (F.col("band") + step).alias("band"), F.col("blocks").alias(name))
-    placed = entries.join(near(0, "own"), ["token", "band"]).join(near(1, "lower"), ["token", "band"], "left").join(near(-1, "upper"), ["token", "band"], "left")
+    rows = C.cut(rows.withColumn("band", band))
+    counts = rows.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    counts = C.cut(counts)
+    near = lambda step, name: counts.select("cluster", (F.col("band") + step).alias("band"), F.col("blocks").alias(name))
+    placed = rows.join(near(0, "own"), ["cluster", "band"]).join(near(1, "lower"), ["cluster", "band"], "left").join(near(-1, "upper"), ["cluster", "band"], "left")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("own").cast("long")).cast("int"))
     count = lambda x: F.when(F.coalesce(F.col(x), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(x) - 1)).otherwise(F.array().cast("array<int>"))
     at = lambda upper, i, lower, j: F.struct(upper.alias("band_a"), i.alias("block_a"), lower.alias("band_b"), j.alias("block_b"))
@@ -299,27 +344,20 @@ def tiles(entries: DataFrame, known: DataFrame, percent: int) -> DataFrame:
         F.transform(count("lower"), lambda j: at(own, mine, own - 1, j)),
         F.transform(count("upper"), lambda j: at(own + 1, j, own, mine)),
     )
-    placed = placed.withColumn("tile", F.explode(where)).select("token", "tile.*", "band", "block", "cls", "label")
-    placed = placed.join(known.select("cls", "n", "bitmap", "key"), "cls")
+    placed = placed.withColumn("tile", F.explode(where)).select("cluster", "tile.*", "band", "block", "cls", "key", "label", "n", "bitmap")
 
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         _, band_a, block_a, band_b, block_b = key
+        f = f.sort_values("cls", ignore_index=True)
         first = (f["band"] == band_a) & (f["block"] == block_a)
         a, b = (f, f) if (band_a, block_a) == (band_b, block_b) else (f[first], f[~first])
-        n_a, n_b = a["n"].to_numpy()[:, None], b["n"].to_numpy()[None, :]
-        fit = (a["label"].to_numpy()[:, None] != b["label"].to_numpy()[None, :]) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
-        if a is b:
-            fit &= np.arange(len(f))[:, None] < np.arange(len(f))[None, :]
-        out = []
-        for i, j in zip(*np.nonzero(fit), strict=True):
-            x, y = a.iloc[i], b.iloc[j]
-            differ = apart(x["bitmap"], y["bitmap"])
-            if may_link(int(x["n"]), int(y["n"]), differ, percent):
-                out.append((x["cls"], y["cls"], x["key"], y["key"], differ))
-        return pd.DataFrame(out, columns=["a", "b", "key_a", "key_b", "differ"], dtype=np.int64)
-
-    found = placed.groupBy("token", "band_a", "block_a", "band_b", "block_b").applyInPandas(run, "a long, b long, key_a long, key_b long, differ long")
-    return found.distinct()
+        return pd.DataFrame(survivors(a, b, percent), columns=["a", "b", "key_a", "key_b", "differ"], dtype=np.int64)
+
+    return placed.groupBy("cluster", "band_a", "block_a", "band_b", "block_b").applyInPandas(run, "a long, b long, key_a long, key_b long, differ long")
+
+
+def spark_empty(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "node long, label long")
 
 
 def labelled(df: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
@@ -338,31 +376,32 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     known = C.cut(described.filter("cls IS NOT NULL").groupBy("cls", "n").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.max("bitmap").alias("bitmap")))
     met = C.cut(meet(docs, hot, np.array([r["count"] for r in shared], np.int64), percent))
     candidates = C.cut(passing(met.filter("a IS NOT NULL").select("a", "b").distinct(), known, percent))
-    best = candidates.groupBy("b").agg(F.min(F.struct("differ", "a", "key_a", "key_b")).alias("x")).select("x.a", "b", "x.key_a", "x.key_b")
-    best = C.cut(best)
-    links = C.cut(linked(best, docs, percent))
-    labels = C.cut(components(links))
-
-    def more(pairs: DataFrame) -> None:
-        """Check the pairs that no link connects yet."""
-        nonlocal links, labels
-        pairs = labelled(labelled(pairs, labels, "a", "label_a"), labels, "b", "label_b").filter("label_a <> label_b").select("a", "b", "key_a", "key_b")
-        pairs = C.cut(pairs)
-        if pairs.isEmpty():
-            return
-        found = C.cut(linked(pairs, docs, percent))
-        if not found.isEmpty():
-            # a component is known by its label: only labels need joining
-            links = labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found)
-            labels = C.cut(components(links))
-
-    more(candidates.join(best.select("a", "b"), ["a", "b"], "left_anti"))
-    long = met.filter("token IS NOT NULL").select("token", "cls", "n")
+    labels = None
+
+    def check(pairs: DataFrame) -> None:
+        """Check pairs and join the components of those that link: each class's best pair first, then those that no link connects yet."""
+        nonlocal labels
+        best = C.cut(pairs.groupBy("b").agg(F.min(F.struct("differ", "a", "key_a", "key_b")).alias("x")).select("x.a", "b", "x.key_a", "x.key_b"))
+        rest = pairs.join(best.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "key_a", "key_b")
+        for own in (best, rest):
+            if own is rest and labels is not None:
+                own = C.cut(labelled(labelled(rest, labels, "a", "label_a"), labels, "b", "label_b").filter("label_a <> label_b").drop("label_a", "label_b"))
+            if own.isEmpty():
+                continue
+            found = linked(own, docs, percent)
+            if labels is not None:  # a component is known by its label, so only labels need joining
+                found = found.unionByName(labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
+            labels = C.cut(components(found))
+
+    check(candidates)
+    if labels is None:
+        labels = spark_empty(docs.sparkSession)
+    long = met.filter("token IS NOT NULL").select("token", "cls")
     if not long.isEmpty():
         long = labelled(long, labels, "cls", "label")
         mixed = C.cut(long.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token"))
         if not mixed.isEmpty():
-            more(C.cut(tiles(long.join(mixed, "token", "left_semi"), known, percent)))
+            check(C.cut(tiles(C.cut(long.join(mixed, "token", "left_semi")), known, percent)))
     named = C.cut(labelled(known.select("cls", "n", "least"), labels, "cls", "label"))
     least = C.cut(named.groupBy("label").agg(F.min("least").alias("component_id")))
     of_class = C.cut(named.join(least, "label").select("cls", F.col("component_id")))
@@ -383,7 +422,8 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH RECURSIVE word AS (
-    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS words FROM documents
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS words FROM documents
 ), shingle AS (
     SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS s
     FROM (SELECT doc_id, words, unnest(range(1, CASE WHEN len(words) = 0 THEN 1 ELSE greatest(len(words) - 4, 1) + 1 END)) AS i FROM word)
