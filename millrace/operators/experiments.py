@@ -83,13 +83,13 @@ def select_model(df: DataFrame, formula: str, criterion: str = "aic", forward: b
 
 def box_cox(df: DataFrame, y: str, lambdas: Sequence[float] | None = None) -> dict:
     """The power of y with the largest normal likelihood, over a grid, in one aggregate."""
-    grid = [round(x, 2) for x in (lambdas if lambdas is not None else np.linspace(-2, 2, 41))]
+    grid = [round(float(x), 2) for x in (lambdas if lambdas is not None else np.linspace(-2, 2, 41))]
     rows = df.select(F.col(y).cast("double").alias("y")).filter("y > 0")
     moved = lambda g: F.log("y") if g == 0 else (F.pow("y", F.lit(float(g))) - 1) / float(g)
     row = rows.agg(F.count("y"), F.sum(F.log("y")), *(F.var_pop(moved(g)) for g in grid)).first()
     n, logs = row[0], row[1]
     likelihood = [-n / 2 * math.log(v) + (g - 1) * logs if v and v > 0 else -math.inf for g, v in zip(grid, row[2:], strict=True)]
-    return {"lambda": grid[int(np.argmax(likelihood))], "log_likelihood": max(likelihood), "n": n}
+    return {"lambda": grid[int(np.argmax(likelihood))], "log_likelihood": float(max(likelihood)), "n": n}
 
 
 def curvature(df: DataFrame, y: str, factors: Sequence[str]) -> dict:
