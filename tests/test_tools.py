@@ -1,0 +1,25 @@
+import json
+
+from millrace.operators import tools
+
+
+def test_every_tool_has_a_description_and_a_category():
+    assert all(s["description"] and s["category"] for s in tools.specs()) and len(tools.specs("univariate")) >= 6
+
+
+def test_results_are_json_and_errors_are_told():
+    assert tools.call("robust_summary_stats", {"values": [1, 2, 3, None, 100]})["n"] == 4
+    assert tools.call("robust_scale_sn", {"values": [1.0, -1.0]})["relative"] is None
+    for name, arguments in (("nothing", {}), ("find_elbow", {"x": [1], "y": [1]}), ("lenth_method", {"wrong": 1}), ("repeated_median", {})):
+        assert "error" in tools.call(name, arguments)
+    deep = []
+    for _ in range(20):
+        deep = [deep]
+    assert "deep" in tools.call("lenth_method", {"effects": deep})["error"]
+    json.dumps([tools.call("create_design", {"kind": "dsd", "factors": {"a": 1, "b": 1, "c": 1, "d": 1}}), tools.call("evaluate_design", {"runs": [[1, 1], [1, -1], [-1, 1], [-1, -1], [0, 0]]})])
+
+
+def test_values():
+    assert tools.call("process_capability", {"values": list(range(100)), "lower": -1000, "upper": 1000})["verdict"] == "excellent"
+    assert tools.call("control_chart", {"values": [1, 2, 1, 2, 1, 2, 1, 2, 90]})["out_of_control"] == [8]
+    assert abs(tools.call("ttest_two_samples", {"sample_a": [1, 2, 3], "sample_b": [2, 3, 4]})["difference"] - 1) < 1e-12
