@@ -50,14 +50,17 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """node and label (its component's least node) of every node that has a link; links: two long columns.
 
-    Every round is two aggregates and two joins on a node; a node of very many
-    links is split by the join and never one task's list.
+    Tasks of at most AT_ONCE links join what they hold; if that was one task all
+    is done.  Else rounds follow: each is two aggregates and two joins on a node;
+    a node of very many links is split by the join and never one task's list.
     """
     a, b = links.columns
-    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
-    edges = C.cut(edges.mapInArrow(_stars, "u long, v long").distinct())
+    edges = C.cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v"))
+    tasks = -(-edges.count() // AT_ONCE)
+    edges = edges.coalesce(max(1, tasks)).mapInArrow(_stars, "u long, v long")
+    edges = C.cut(edges if tasks <= 1 else edges.distinct())
     before = None
-    while True:
+    while tasks > 1:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state[0] == 0 or state == before:
             break
