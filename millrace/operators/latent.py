@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -464,3 +464,61 @@ class MultiBlock:
 
         names = [*(f"super_t{a + 1}" for a in range(self.pca.shape[1])), *(f"{b}_t1" for b in self.blocks), *(f"{b}_spe" for b in self.blocks)]
         return over_rows(df, columns, names, run)
+
+
+def parallel_analysis(model: PCA, simulations: int = 100, quantile: float = 0.95, rows: int = 2000, seed: int = 0) -> int:
+    """Components whose eigenvalues exceed those of noise of the same shape (at most `rows` rows are simulated; more rows only narrow the noise)."""
+    r, k = np.random.default_rng(seed), len(model.columns)
+    n = min(model.n, rows)
+    noise = np.array([np.linalg.eigvalsh(np.cov(r.normal(size=(n, k)), rowvar=False))[::-1][: model.components] for _ in range(simulations)])
+    return int((model.score_scale**2 > np.quantile(noise, quantile, axis=0)).cumprod().sum())
+
+
+def project_variables(model: PCA, df: DataFrame, extra: Sequence[str]) -> dict[str, list[float]]:
+    """Correlations of other columns with the scores, in one aggregate."""
+    scores = model.transform(df)
+    names = [f"t{a + 1}" for a in range(model.components)]
+    row = scores.agg(*(F.corr(c, t) for c in extra for t in names)).first()
+    return {c: [row[i * len(names) + a] for a in range(len(names))] for i, c in enumerate(extra)}
+
+
+def group_contributions(model: PCA, df: DataFrame, group: Column, component: int = 1) -> dict[str, float]:
+    """(mean of the rows where `group` holds, less the mean of the others) times the loadings."""
+    row = df.agg(*(F.avg(F.when(group, F.col(c))) - F.avg(F.when(~group, F.col(c))) for c in model.columns)).first()
+    return {c: (v or 0.0) * float(p) for c, v, p in zip(model.columns, row, model.loadings[:, component - 1], strict=True)}
+
+
+def observation_contributions(model: PCA, df: DataFrame) -> DataFrame:
+    """Each row's share of each score's sum of squares."""
+    whole = model.score_scale**2 * max(model.n - 1, 1)
+    return over_rows(df, model.columns, [f"share_t{a + 1}" for a in range(model.components)], lambda x: np.divide((x @ model.loadings) ** 2, whole, out=np.zeros((len(x), model.components)), where=whole > 0))
+
+
+def rv2_coefficient(rows: np.ndarray, a: Sequence[int], b: Sequence[int]) -> float:
+    """RV of two blocks of a small matrix with the diagonals of their products left out."""
+    x, y = (rows[:, list(i)] - rows[:, list(i)].mean(axis=0) for i in (a, b))
+    p, q = x @ x.T, y @ y.T
+    np.fill_diagonal(p, 0)
+    np.fill_diagonal(q, 0)
+    return float((p * q).sum() / math.sqrt((p**2).sum() * (q**2).sum()))
+
+
+def prediction_interval(model: PLS, df: DataFrame, rmse: float, response: int = 0, conflevel: float = 0.95) -> DataFrame:
+    """y_hat -/+ t s sqrt(1 + 1 / n + T2 / (n - 1))."""
+    c = float(D.t_ppf(0.5 + conflevel / 2, model.n - model.components - 1)) * rmse
+    half = c * F.sqrt(1 + 1 / model.n + F.col("hotellings_t2") / (model.n - 1))
+    hat = F.col(f"{model.y[response]}_hat")
+    return model.diagnose(df).withColumn("pi_low", hat - half).withColumn("pi_high", hat + half)
+
+
+def select_rule(errors: Sequence[float], spreads: Sequence[float] | None = None, rule: str = "1se", gain: float = 0.01) -> int:
+    """How many components: the least error, the fewest within one standard error of it, or the last that lowers the error by a share."""
+    e = np.asarray(errors, float)
+    best = int(e.argmin())
+    if rule == "min":
+        return best + 1
+    if rule == "1se":
+        s = float(np.asarray(spreads, float)[best]) if spreads is not None else 0.0
+        return int(np.flatnonzero(e <= e[best] + s)[0]) + 1
+    drop = np.diff(e) / -e[:-1]
+    return int(np.flatnonzero(drop < gain)[0]) + 1 if (drop < gain).any() else len(e)

@@ -149,3 +149,40 @@ def multi_block_pls(spark, sf_dir):
 )
 def rv(spark, sf_dir):
     return spark.createDataFrame([(round(latent.rv_coefficient(lines(spark, sf_dir), X[:2], X[2:]), 6),)], "rv double")
+
+
+@add("pca_group_contributions")
+def group_contributions(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_returnflag", *X)
+    df = Scaler.fit(df, X).transform(df)
+    found = latent.group_contributions(latent.PCA.fit(df, X, 2), df, F.col("l_returnflag") == "A")
+    return spark.createDataFrame(list(found.items()), "variable string, contribution double")
+
+
+@add(
+    "pca_project_variables",
+    """WITH z AS (SELECT (l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER () + (l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_samp(l_extendedprice) OVER () AS t, l_tax, l_discount FROM lineitem)
+    SELECT 'l_tax' AS variable, round(corr(l_tax, t), 6) AS t1 FROM z UNION ALL SELECT 'l_discount', round(corr(l_discount, t), 6) FROM z""",
+)
+def project_variables(spark, sf_dir):
+    columns = ["l_quantity", "l_extendedprice"]
+    df = scaled(spark, sf_dir, columns)
+    found = latent.project_variables(latent.PCA.fit(df, columns, 1), df, ["l_tax", "l_discount"])
+    return spark.createDataFrame([(c, round(v[0], 6)) for c, v in found.items()], "variable string, t1 double")
+
+
+@add("pls_prediction_interval")
+def pls_interval(spark, sf_dir):
+    df = lines(spark, sf_dir)
+    x = ["l_quantity", "l_discount", "l_tax"]
+    rmse = latent.select_components(df, x, ["l_extendedprice"], 1)[0]["rmsecv"]
+    model = latent.PLS.fit(df, x, ["l_extendedprice"], 1)
+    return latent.prediction_interval(model, df, rmse * float(model.scale[-1]))
+
+
+@add("dataset_effects")
+def dataset_effects(spark, sf_dir):
+    from millrace.operators import doe
+    from millrace.sources.datasets import data
+
+    return doe.effects(data(spark, "pollutant"), "y", ["C", "T", "S"])

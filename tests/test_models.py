@@ -149,3 +149,26 @@ def test_t_intervals_cover(spark):
         r = univariate.confidence_interval(df, "v", style=style).first()
         assert r["ci_low"] < 7 < r["ci_high"]
     assert D.t_ppf(0.975, 199) < 2
+
+
+def test_more_of_pca(data, spark):
+    names, m, df = data
+    df = scaling.Scaler.fit(df, names[:5]).transform(df)
+    fit = latent.PCA.fit(df, names[:5], 4)
+    assert latent.parallel_analysis(fit, 30) == 2
+    assert abs(latent.project_variables(fit, df, ["y"])["y"][0]) <= 1
+    shares = latent.observation_contributions(fit, df).toPandas()[["share_t1", "share_t2"]].sum()
+    assert np.allclose(shares, 1)
+    assert latent.select_rule([3, 2, 1.05, 1.0], [0.1] * 4) == 3 and latent.select_rule([3, 2, 1.05, 1.0], rule="min") == 4 and latent.select_rule([3, 2, 1.999, 1.99], rule="increment") == 2
+    assert 0 <= latent.rv2_coefficient(m, [0, 1], [2, 3]) <= 1
+
+
+def test_published_experiments(spark):
+    from millrace.operators import doe
+    from millrace.sources.datasets import TABLES, data as published
+
+    found = {r["term"]: r["effect"] for r in doe.effects(published(spark, "pollutant"), "y", ["C", "T", "S"]).collect()}
+    assert found == pytest.approx({"C": 12.5, "T": 1.5, "S": -14.5, "C:T": 0.5, "C:S": -13.5, "T:S": -0.5})
+    assert [published(spark, n).count() for n in sorted(TABLES)] == [11, 16, 8, 16]
+    with pytest.raises(ValueError, match="golf"):
+        published(spark, "nothing")
