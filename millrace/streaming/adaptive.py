@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from millrace.operators.latent import positive, spe_limit_of, t2_limit
+from millrace.operators.latent import PLS, positive, spe_limit_of, t2_limit
 
 
 class AdaptivePCA:
@@ -63,6 +63,65 @@ class AdaptivePCA:
         return t, t2, math.sqrt(spe), inside
 
 
+class AdaptivePLS:
+    """A projection model that forgets: like AdaptivePCA, with a kernel of x and y that moves when y is known."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, components: int, memory: float = 0.99, conflevel: float = 0.95, buffer: int = 200):
+        self.memory, self.conflevel, self.size, self.n = memory, conflevel, buffer, len(x)
+        self.center, self.scale = x.mean(axis=0), x.std(axis=0, ddof=1)
+        self.scale = np.where(self.scale > 1e-12, self.scale, 1.0)
+        self.y_center, self.y_scale = float(y.mean()), float(y.std(ddof=1)) or 1.0
+        z, v = (x - self.center) / self.scale, (y - self.y_center) / self.y_scale
+        self.kernel, self.cross = z.T @ z / (self.n - 1), z.T @ v / (self.n - 1)
+        self.components = min(components, x.shape[1])
+        self._solve()
+        self.first = (self.beta.copy(), self.center.copy(), self.scale.copy(), self.y_center, self.y_scale)
+        self.spe = list(((z - z @ self.rotation @ self.loadings.T) ** 2).sum(axis=1)[-buffer:])
+
+    def _solve(self) -> None:
+        k = len(self.center)
+        model = PLS.of_products(self.n, np.zeros(k + 1), (self.n - 1) * np.block([[self.kernel, self.cross[:, None]], [self.cross[None, :], np.ones((1, 1))]]), [f"x{i}" for i in range(k)], ["y"], self.components, scale=False)
+        self.rotation, self.loadings, self.score_scale, self.beta = model.rotation, model.loadings, model.score_scale, model.beta[:, 0]
+
+    def predict(self, row: np.ndarray) -> float:
+        return self.y_center + self.y_scale * float((row - self.center) / self.scale @ self.beta)
+
+    def decompose(self, row: np.ndarray) -> dict[str, float]:
+        """The prediction as that of the first model, what the moved centre and scale add, and what the moved kernels add."""
+        beta, center, scale, y_center, y_scale = self.first
+        static = y_center + y_scale * float((row - center) / scale @ beta)
+        moved = self.y_center + self.y_scale * float((row - self.center) / self.scale @ beta)
+        return {"static": static, "preprocessing": moved - static, "kernel": self.predict(row) - moved}
+
+    def update(self, row: np.ndarray, y: float | None = None) -> tuple[float, float, float, bool]:
+        """Prediction, T2, SPE and whether the row was in control; only then does the model move."""
+        z = (row - self.center) / self.scale
+        t = z @ self.rotation
+        t2, spe = float(((t / self.score_scale) ** 2).sum()), float(((z - self.loadings @ t) ** 2).sum())
+        hat = self.predict(row)
+        limit = spe_limit_of(float(np.mean(self.spe)), float(np.var(self.spe, ddof=1)) if len(self.spe) > 1 else 0.0, self.conflevel)
+        inside = t2 <= t2_limit(self.n, self.components, self.conflevel) and math.sqrt(spe) <= max(limit, 1e-12)
+        if inside:
+            a = self.memory
+            self.scale = np.sqrt(a * self.scale**2 + (1 - a) * (row - self.center) ** 2)
+            self.center = a * self.center + (1 - a) * row
+            z = (row - self.center) / self.scale
+            self.kernel = a * self.kernel + (1 - a) * np.outer(z, z)
+            if y is not None and not math.isnan(y):
+                self.y_scale = math.sqrt(a * self.y_scale**2 + (1 - a) * (y - self.y_center) ** 2)
+                self.y_center = a * self.y_center + (1 - a) * y
+                self.cross = a * self.cross + (1 - a) * z * (y - self.y_center) / self.y_scale
+            self._solve()
+            self.spe = [*self.spe, spe][-self.size :]
+        return hat, t2, math.sqrt(spe), inside
+
+
+def subspace_distance(a: np.ndarray, b: np.ndarray) -> float:
+    """The sine of the largest angle between the spaces of two sets of loadings."""
+    qa, qb = np.linalg.qr(a)[0], np.linalg.qr(b)[0]
+    return float(math.sqrt(max(0.0, 1 - np.linalg.svd(qa.T @ qb, compute_uv=False).min() ** 2)))
+
+
 def adaptive_pca(df: DataFrame, key: str, time: str, columns: Sequence[str], components: int = 2, warm: int = 30, memory: float = 0.99) -> DataFrame:
     """Stateful monitoring of a stream by key: rows up to `warm` train a model, later ones are judged and move it.
 

@@ -48,6 +48,22 @@ def test_adaptive_model_tells_a_jump():
     assert not model.update(np.array([5.0, -5.0, 5.0]))[3] and (model.center == before).all()
 
 
+def test_adaptive_prediction_follows_a_drift():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(900, 1)) @ np.ones((1, 3)) + 0.3 * r.normal(size=(900, 3))
+    slope = np.concatenate([np.full(300, 1.0), np.linspace(1, 2, 600)])
+    y = slope * x.sum(axis=1) + 0.1 * r.normal(size=900)
+    model = adaptive.AdaptivePLS(x[:300], y[:300], 2, memory=0.97)
+    moving, still = [], []
+    for row, v in zip(x[300:], y[300:], strict=True):
+        parts = model.decompose(row)
+        assert np.isclose(sum(parts.values()), model.predict(row))
+        still.append(parts["static"] - v)
+        moving.append(model.update(row, v)[0] - v)
+    assert np.std(moving[300:]) < 0.6 * np.std(still[300:])
+    assert adaptive.subspace_distance(np.eye(3)[:, :1], np.eye(3)[:, 1:2]) == 1.0
+
+
 def test_stream_of_files(spark, tmp_path):
     r = np.random.default_rng(1)
     rows = pd.DataFrame({"k": ["a", "b"] * 60, "t": np.arange(120), "x": r.normal(size=120), "y": r.normal(size=120)})
