@@ -40,9 +40,9 @@ from millrace.llm import common as C
 from millrace.llm.components import components
 
 PERCENT = 75
-#: Shared shingles that the order knows of, and counters of a task.
-HOT = 100_000
-COUNTERS = 20_000
+#: Shared shingles that the order knows of, and classes that share one at least.
+HOT = 1_000_000
+SHARED = 4
 #: The longest run that gives all its pairs, and rows of a block of a tile.
 SMALL = 8
 BLOCK = 1024
@@ -91,59 +91,96 @@ def may_link(n_a: int, n_b: int, differ: int, percent: int) -> bool:
     return (100 + percent) * ((n_a + n_b - differ) // 2) >= percent * (n_a + n_b)
 
 
-def merge_counters(tokens: np.ndarray, counts: np.ndarray, size: int = COUNTERS) -> tuple[np.ndarray, np.ndarray]:
-    """Misra-Gries: equal tokens added up, and the counters beyond `size` taken off all."""
-    kinds, which = np.unique(tokens, return_inverse=True)
-    sums = np.bincount(which, counts, len(kinds)).astype(np.int64)
-    if len(kinds) > size:
-        sums -= np.partition(sums, len(sums) - size - 1)[len(sums) - size - 1]
-        kinds, sums = kinds[sums > 0], sums[sums > 0]
-    return kinds, sums
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text, and a key by which a text is found again."""
     return C.text_frame(docs).select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("key"))
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """One row a text: doc_id, key, n, cls, bitmap; and rows of counters of shared shingles: token, count."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("bitmap", pa.binary()), ("token", pa.int64()), ("count", pa.int64())])
+    """One row a text: doc_id, key, n, cls, bitmap (both null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, waiting, size, seen = (np.zeros(0, C.U64), np.zeros(0, np.int64)), [], 0, set()
         for batch in batches:
             data, offsets = C.buffer_of(batch.column(1))
             for a, b in C.blocks(offsets):
                 members, at = sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 n, cls = np.diff(at), classes_of(members, at)
                 maps = [bitmap(members[x:y]) if y > x else None for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                none = pa.nulls(b - a, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n, pa.int64()), pa.array(cls, mask=n == 0), pa.array(maps, pa.binary()), none, none], schema=schema)
-                fresh = np.zeros(b - a, bool)
-                for k, x in enumerate(cls.tolist()):
-                    fresh[k] = x not in seen
-                    seen.add(x)
-                waiting.append(members[np.repeat(fresh, n)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n, pa.int64()), pa.array(cls, mask=n == 0), pa.array(maps, pa.binary())], ["doc_id", "key", "n", "cls", "bitmap"])
+
+    return keyed(docs).mapInArrow(run, "doc_id long, key long, n long, cls long, bitmap binary")
+
+
+def code_of(members: np.ndarray, parts: int) -> np.ndarray:
+    """Short codes of shingles: as many bits as fit 32 within each of the parts they are dealt to."""
+    return C.mix(members) >> C.U64(64 - 32 - int(parts).bit_length() + 1)
+
+
+class Fresh:
+    """Which sets have not been met before in this task (forgotten when there are too many)."""
+
+    def __init__(self) -> None:
+        self.seen: set[int] = set()
+
+    def __call__(self, cls: np.ndarray, n: np.ndarray) -> np.ndarray:
+        out = n > 0
+        for k, x in enumerate(cls.tolist()):
+            out[k] &= x not in self.seen
+            self.seen.add(x)
+        if len(self.seen) > 1 << 20:
+            self.seen = set()
+        return out
+
+
+def shared_shingles(docs: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the most shared shingles of low hash, and by how many classes of tasks each is shared; counted over all texts."""
+    parts = C.partitions(docs.sparkSession)
+    # the first members in order are the lowest hashes, a share 1 - t of a set; some more, as shared ones make room
+    limit = C.U64(int((1 << 64) * min(1.0, 1.4 * (1 - percent / 100))))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size, fresh = [], 0, Fresh()
+
+        def dealt(codes: np.ndarray) -> pa.RecordBatch:
+            bucket = (codes % C.U64(parts)).astype(np.int32)
+            by = np.argsort(bucket, kind="stable")
+            kinds, begin = np.unique(bucket[by], return_index=True)
+            raw = (codes[by] // C.U64(parts)).astype("<u4")
+            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array([raw[x:y].tobytes() for x, y in zip(begin, [*begin[1:], len(raw)], strict=True)], pa.binary())], ["bucket", "codes"])
+
+        for batch in batches:
+            data, offsets = C.buffer_of(batch.column(0))
+            for a, b in C.blocks(offsets):
+                members, at = sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                n = np.diff(at)
+                waiting.append(code_of(members[np.repeat(fresh(classes_of(members, at), n), n) & (members < limit)], parts))
                 size += len(waiting[-1])
-                if size > 1 << 21:
-                    known = merge_counters(np.concatenate([known[0], *waiting]), np.concatenate([known[1], np.ones(size, np.int64)]))
+                if size >= 2 * PACKED:
+                    yield dealt(np.concatenate(waiting))
                     waiting, size = [], 0
-                if len(seen) > 1 << 20:
-                    seen = set()
-        kinds, sums = merge_counters(np.concatenate([known[0], *waiting]), np.concatenate([known[1], np.ones(size, np.int64)]))
-        kinds, sums = kinds[sums > 1], sums[sums > 1]
-        none = pa.nulls(len(kinds), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(kinds), pa.binary()), pa.array(kinds.view(np.int64)), pa.array(sums)], schema=schema)
+        if size:
+            yield dealt(np.concatenate(waiting))
 
-    return keyed(docs).mapInArrow(run, "doc_id long, key long, n long, cls long, bitmap binary, token long, count long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for bucket, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                of.setdefault(bucket, []).append(np.frombuffer(x.as_py(), "<u4"))
+        for bucket, x in of.items():
+            kinds, counts = np.unique(np.concatenate(x), return_counts=True)
+            keep = counts >= SHARED
+            yield pa.RecordBatch.from_arrays([pa.array(kinds[keep].astype(np.int64) * parts + bucket), pa.array(counts[keep])], ["code", "count"])
+
+    dealt = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(deal, "bucket int, codes binary").repartitionById(parts, "bucket")
+    # at most HOT rows
+    top = dealt.mapInArrow(run, "code long, count long").orderBy(F.desc("count"), "code").limit(HOT).toPandas()
+    return top["code"].to_numpy(np.int64).astype(C.U64), top["count"].to_numpy(np.int64)
 
 
-def heads(members: np.ndarray, at: np.ndarray, known: C.Lookup, level: np.ndarray, percent: int) -> np.ndarray:
-    """Which members are among the first of their set: those that no other set is known to share, by hash, then the less shared."""
+def heads(members: np.ndarray, at: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+    """Which members are among the first of their set: by rank (0: not known to be shared, then the less shared first), then by hash."""
     n = np.diff(at)
     need = n + 1 - -(-percent * n // 100)
-    rank = level[known(members)]
     out = np.zeros(len(members), bool)
     hot = np.add.reduceat(rank > 0, at[:-1][n > 0]) > 0 if (n > 0).any() else np.zeros(0, bool)
     for (a, b, k), mixed in zip(np.stack([at[:-1], at[1:], need], 1)[n > 0].tolist(), hot.tolist(), strict=True):
@@ -175,21 +212,22 @@ def runs(entries: np.ndarray, percent: int, whole: bool) -> tuple[np.ndarray, np
 def meet(docs: DataFrame, hot: np.ndarray, shared: np.ndarray, percent: int) -> DataFrame:
     """Pairs (a, b) of classes that meet by a shingle, and the entries (token, cls, n) of long runs; from all texts.
 
-    A shingle whose counters add up to more than a dealt array is dealt in parts
+    A shingle that more classes share than a dealt array holds is dealt in parts
     by class; its entries are all kept for the tiles.
     """
     parts = C.partitions(docs.sparkSession)
     known = C.Lookup(hot)
     order = np.argsort(hot)
-    level, split = np.zeros(len(hot) + 1, np.int64), np.ones(len(hot) + 1, np.int64)
+    level, split = np.zeros(len(hot) + 1, np.int32), np.ones(len(hot) + 1, np.int32)
     level[1:] = 1 + np.argsort(np.argsort(shared, kind="stable"), kind="stable")[order]
     split[1:] = -(-shared[order] // PACKED)
+    divided = bool((split > 1).any())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size, seen = [], 0, set()
+        waiting, size, fresh = [], 0, Fresh()
 
         def dealt(entries: np.ndarray) -> pa.RecordBatch:
-            salt = (entries["cls"].view(C.U64) % split[known(entries["token"])].astype(C.U64)) * C.U64(0x9E3779B97F4A7C15)
+            salt = entries["cls"].view(C.U64) % split[known(code_of(entries["token"], parts))].astype(C.U64) * C.U64(0x9E3779B97F4A7C15) if divided else C.U64(0)
             bucket = (C.mix(entries["token"] + salt) % C.U64(parts)).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
             kinds, begin = np.unique(bucket[by], return_index=True)
@@ -201,13 +239,7 @@ def meet(docs: DataFrame, hot: np.ndarray, shared: np.ndarray, percent: int) ->
             for a, b in C.blocks(offsets):
                 members, at = sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 n, cls = np.diff(at), classes_of(members, at)
-                fresh = n > 0
-                for k, x in enumerate(cls.tolist()):
-                    fresh[k] &= x not in seen
-                    seen.add(x)
-                if len(seen) > 1 << 20:
-                    seen = set()
-                taken = heads(members, at, known, level, percent) & np.repeat(fresh, n)
+                taken = heads(members, at, level[known(code_of(members, parts))], percent) & np.repeat(fresh(cls, n), n)
                 entries = np.empty(taken.sum(), ENTRY)
                 entries["token"], entries["cls"], entries["n"] = members[taken], np.repeat(cls, n)[taken], np.repeat(n, n)[taken]
                 waiting.append(entries)
@@ -228,8 +260,8 @@ def meet(docs: DataFrame, hot: np.ndarray, shared: np.ndarray, percent: int) ->
         new[1:] = entries[1:] != entries[:-1]
         entries = entries[new]
         left, right, long = runs(entries, percent, True)
-        divided = entries[split[known(entries["token"])] > 1]
-        long = np.unique(np.concatenate([long, divided])) if len(divided) else long
+        if divided:
+            long = np.unique(np.concatenate([long, entries[split[known(code_of(entries["token"], parts))] > 1]]))
         pairs = np.unique(np.stack([left, right], 1), axis=0)
         none = lambda k, kind=pa.int64(): pa.nulls(k, kind)
         names = ["a", "b", "token", "cls", "n"]
@@ -272,12 +304,15 @@ def linked(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                     keep.append(len(p) > 0 and len(q) > 0 and 100 * same >= percent * (len(p) + len(q) - same))
             yield pa.RecordBatch.from_arrays(batch.select([0, 1]).columns, ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = C.cut(pairs.select(F.col("key_a").alias("key")).unionByName(pairs.select(F.col("key_b").alias("key"))).distinct())
-    # the keys are broadcast while they are few; else both sides are dealt
-    texts = keyed(docs).select("key", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "key", "left_semi")
-    side = lambda x: texts.select(F.col("key").alias(f"key_{x}"), F.col("text").alias(f"text_{x}"))
-    both = pairs.join(side("a"), "key_a").join(side("b"), "key_b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    pairs = C.cut(pairs.select("a", "b", "key_a", "key_b"))
+    texts = keyed(docs).select("key", "text")
+    # the pairs' keys are broadcast while they are few, so only texts that pairs need are dealt; else all are
+    few = pairs.count() <= BROADCAST_IDS
+    held = F.broadcast(pairs) if few else pairs
+    wanted = pairs.select(F.col("key_b").alias("key")).distinct()
+    left = texts.join(held.withColumnRenamed("key_a", "key"), "key").select("a", "b", "key_b", F.col("text").alias("text_a"))
+    right = texts.join(F.broadcast(wanted) if few else wanted, "key", "left_semi").select(F.col("key").alias("key_b"), F.col("text").alias("text_b"))
+    return left.join(right, "key_b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def folded(maps: list[bytes], width: int) -> np.ndarray:
@@ -369,12 +404,9 @@ def labelled(df: DataFrame, labels: DataFrame, column: str, name: str) -> DataFr
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     described = C.cut(describe(docs))
-    rows = described.filter("token IS NULL").select("doc_id", "n", "cls")
-    # at most HOT rows
-    shared = described.filter("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(HOT).collect()
-    hot = np.array([r["token"] for r in shared], np.int64).view(C.U64)
+    rows = described.select("doc_id", "n", "cls")
     known = C.cut(described.filter("cls IS NOT NULL").groupBy("cls", "n").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.max("bitmap").alias("bitmap")))
-    met = C.cut(meet(docs, hot, np.array([r["count"] for r in shared], np.int64), percent))
+    met = C.cut(meet(docs, *shared_shingles(docs, percent), percent))
     candidates = C.cut(passing(met.filter("a IS NOT NULL").select("a", "b").distinct(), known, percent))
     labels = None
 

@@ -71,6 +71,13 @@ def test_long_runs_are_settled_in_tiles(spark, frame, monkeypatch):
     assert tiled
 
 
+def test_shared_shingles_are_counted_over_all_texts(spark, frame):
+    r = random.Random(4)
+    texts_ = [" ".join(f"w{r.randrange(10**6)}" for _ in range(40)) + " " + " ".join(f"p{k}" for k in range(40)) for _ in range(30)]
+    codes, counts = ngram_join.shared_shingles(frame(list(enumerate(texts_))).repartition(6), 75)
+    assert len(codes) and set(counts.tolist()) == {30}
+
+
 @pytest.mark.parametrize("percent", [75, 90])
 def test_bounds_never_lose_a_link(percent):
     @settings(max_examples=200, deadline=None)
@@ -87,13 +94,15 @@ def test_bounds_never_lose_a_link(percent):
             both, at = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
             hot = np.array(sorted(base)[::3], np.uint64)
             level = np.concatenate([[0], np.random.default_rng(0).permutation(len(hot)) + 1])
-            taken = ngram_join.heads(both, at, C.Lookup(hot), level, percent)
+            taken = ngram_join.heads(both, at, level[C.Lookup(hot)(both)], percent)
             assert set(both[: len(a)][taken[: len(a)]].tolist()) & set(both[len(a) :][taken[len(a) :]].tolist())
 
     check()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [1 << 20, 50])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
     r = random.Random(3)
     links = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 400)] + [(1000, k) for k in range(1001, 1300)] + [(7, 7)]
     label = {}
