@@ -15,7 +15,8 @@ intersecting the two sorted arrays.  Each class first has its best candidate
 checked; pairs that are in one component by then need no check, as they would
 join nothing.  The classes of long runs that are still in several components are
 compared in tiles of size bands, once for each cluster of such runs rather than
-for each shingle; a tile gives only links that join components.
+for each shingle: first a tile gives each class's likeliest partner, then, of
+what those links leave in several components, every pair that may link.
 
 Defined cases: a null text is an empty one; texts without words have no
 shingles and link with nothing.  Rows that repeat a doc_id are judged each; a
@@ -47,7 +48,7 @@ SHARED = 4
 SMALL = 8
 BLOCK = 1024
 #: Rows of a dealt array, and ids that may be broadcast.
-PACKED = 1_000_000
+PACKED = 500_000
 BROADCAST_IDS = 2_000_000
 
 ENTRY = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4")])
@@ -353,8 +354,8 @@ def survivors(a: pd.DataFrame, b: pd.DataFrame, percent: int) -> list[tuple]:
     return found
 
 
-def tiles(entries: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes of the same runs whose labels differ and whose bitmaps let them link.
+def tiles(entries: DataFrame, known: DataFrame, percent: int, likeliest: bool) -> DataFrame:
+    """Pairs (a, b) of classes of the same runs whose labels differ and whose bitmaps let them link; or only each class's likeliest of a tile.
 
     entries: token, cls, label.  Runs that share a class are one cluster.  Its
     classes lie in bands of sizes that differ by less than the least ratio of
@@ -386,7 +387,11 @@ def tiles(entries: DataFrame, known: DataFrame, percent: int) -> DataFrame:
         f = f.sort_values("cls", ignore_index=True)
         first = (f["band"] == band_a) & (f["block"] == block_a)
         a, b = (f, f) if (band_a, block_a) == (band_b, block_b) else (f[first], f[~first])
-        return pd.DataFrame(survivors(a, b, percent), columns=["a", "b", "key_a", "key_b", "differ"], dtype=np.int64)
+        found = pd.DataFrame(survivors(a, b, percent), columns=["a", "b", "key_a", "key_b", "differ"], dtype=np.int64)
+        if likeliest:
+            found = found.sort_values(["differ", "a", "b"])
+            found = pd.concat([found.drop_duplicates("a"), found.drop_duplicates("b")]).drop_duplicates()
+        return found
 
     return placed.groupBy("cluster", "band_a", "block_a", "band_b", "block_b").applyInPandas(run, "a long, b long, key_a long, key_b long, differ long")
 
@@ -429,11 +434,12 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if labels is None:
         labels = spark_empty(docs.sparkSession)
     long = met.filter("token IS NOT NULL").select("token", "cls")
-    if not long.isEmpty():
-        long = labelled(long, labels, "cls", "label")
-        mixed = C.cut(long.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token"))
-        if not mixed.isEmpty():
-            check(C.cut(tiles(C.cut(long.join(mixed, "token", "left_semi")), known, percent)))
+    for likeliest in (True, False) if not long.isEmpty() else ():
+        own = labelled(long, labels, "cls", "label")
+        mixed = C.cut(own.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token"))
+        if mixed.isEmpty():
+            break
+        check(C.cut(tiles(C.cut(own.join(mixed, "token", "left_semi")), known, percent, likeliest)))
     named = C.cut(labelled(known.select("cls", "n", "least"), labels, "cls", "label"))
     least = C.cut(named.groupBy("label").agg(F.min("least").alias("component_id")))
     of_class = C.cut(named.join(least, "label").select("cls", F.col("component_id")))
