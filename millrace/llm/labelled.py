@@ -13,7 +13,7 @@ from millrace.llm import common as C
 
 #: Labelled rows of each class that a fit takes at most, and the longest text among them in code points.
 SAMPLE = 1500
-LONGEST = 50_000
+LONGEST = 20_000
 
 
 def fold(doc_id: Column, folds: int) -> Column:
