@@ -35,8 +35,9 @@ def dropped_lines(docs: DataFrame, least_length: int, least_documents: int) -> D
     rows = C.text_frame(docs).select("doc_id", F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n", -1)).alias("position", "line"))
     key = F.translate(F.btrim("line", F.lit(SPACE)), UPPER, LOWER)
     lines = rows.withColumn("key", key).filter(F.length("key") >= least_length).select("doc_id", "copy", "position", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
+    lines = C.cut(lines)  # counted and then joined: the texts are split once
     counted = lines.select("h1", "h2", "doc_id").groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("documents"), F.max("doc_id").alias("keep"))
-    counted = counted.filter(F.col("documents") >= least_documents).drop("documents")
+    counted = C.cut(counted.filter(F.col("documents") >= least_documents).drop("documents"))  # so that the join below may split a common line
     gone = lines.join(counted, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keep")))
     return gone.groupBy("doc_id", "copy").agg(F.collect_set("position").alias("gone"))
 
