@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Words in a shingle.
 WORDS = 5
 #: Bytes of text, and rows, that numpy works on at once.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 CHUNK_ROWS = 1 << 10
 
 U64 = np.uint64
