@@ -4,9 +4,10 @@ The tokens of documents are summed by cell (source, language, topic).  Raking
 scales the cells until the sums over each dimension have their target shares:
 each sweep brings one dimension after another to its targets.  A cell's weight
 is its fitted over its actual tokens; documents are kept with a probability in
-proportion to it, by a hash of their id.  Probabilities are scaled so that
-cells with at most SLACK of all tokens would need more than 1; those are kept
-whole.
+proportion to it, by a hash of their id.  The cell of the largest weight sets
+the scale: it is kept whole, and every cell has its exact share, however scarce
+it is.  Only a caller that passes a slack keeps more: cells with at most that
+share of all tokens are then kept whole too, and fall short of their targets.
 
 Cells are few (sources x languages x topics), but not bounded by anything here:
 up to CELLS of them are raked in numpy, more of them as DataFrames.  Targets not
@@ -29,7 +30,7 @@ from millrace.llm import common as C
 
 DIMENSIONS = ("source", "lang", "topic")
 TEMPERATURE = 0.7
-SLACK = 0.01
+SLACK = 0.0
 SWEEPS = 100
 TOLERANCE = 1e-9
 CELLS = 200_000

@@ -79,6 +79,16 @@ def test_the_sample_has_the_target_shares(spark):
     assert all(abs(kept[k] / total - v) < 0.02 for k, v in goals[0].items())
 
 
+def test_a_scarce_source_reaches_its_target(spark):
+    rows = [(i, "w " * 10, "en", "rare" if i < 80 else "big", 0) for i in range(10_000)]
+    out = mixing.mix(spark.createDataFrame(rows, DOCS).repartition(5), targets={"source": {"big": 0.8, "rare": 0.2}}).collect()
+    expected = Counter()
+    for r in out:
+        expected[r.source] += r.n_tokens * r.probability
+    assert np.isclose(expected["rare"] / sum(expected.values()), 0.2, rtol=1e-6)
+    assert all(r.sampled for r in out if r.source == "rare" and r.probability == 1) and 0.1 < sum(r.n_tokens for r in out if r.source == "rare" and r.sampled) / sum(r.n_tokens for r in out if r.sampled) < 0.3
+
+
 def test_mixing_of_odd_tables(spark, frame):
     assert mixing.mix(frame([])).collect() == []
     got = mixing.mix(frame([(1, None), (1, None), (None, ""), (None, "")])).collect()
