@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators.latent import PCA
+from millrace.operators.scaling import Scaler
+
 
 def distances(test: np.ndarray, reference: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Weighted squared distances of all rows, then the least cumulative distance to each pair.
@@ -74,19 +77,89 @@ def align(df: DataFrame, batch: str, order: str, tags: Sequence[str], reference:
     return df.select(batch, order, *tags).dropna().groupBy(batch).applyInPandas(one, schema)
 
 
-def find_reference(df: DataFrame, batch: str) -> object:
+def find_average_length(df: DataFrame, batch: str) -> object:
     """The batch whose length is the median of all, the least id on ties (the next longer length where no batch has it)."""
     lengths = df.groupBy(batch).agg(F.count("*").alias("n"))
     middle = lengths.agg(F.percentile("n", F.lit(0.5)).alias("m"))
     return lengths.crossJoin(F.broadcast(middle)).orderBy(F.abs(F.col("n") - F.col("m")), F.desc("n"), batch).first()[batch]
 
 
+def cubic(y: np.ndarray, length: int) -> np.ndarray:
+    """Rows of y at `length` equal steps, by the cubic spline whose third derivative does not jump at the second and last but one row; fewer than four rows by their polynomial."""
+    n = len(y)
+    at = np.linspace(0, n - 1, length)
+    if n < 4:
+        return np.vander(at, n) @ np.linalg.solve(np.vander(np.arange(n), n), y)
+    bend = np.zeros_like(y)  # second derivatives
+    rest = 6 * (y[:-2] - 2 * y[1:-1] + y[2:])
+    bend[1], bend[-2] = rest[0] / 6, rest[-1] / 6
+    k = n - 4
+    if k:
+        right = rest[1:-1].copy()
+        right[0] -= bend[1]
+        right[-1] -= bend[-2]
+        pivot = np.full(k, 4.0)
+        for i in range(1, k):
+            pivot[i] -= 1 / pivot[i - 1]
+            right[i] -= right[i - 1] / pivot[i - 1]
+        for i in range(k - 1, -1, -1):
+            right[i] = (right[i] - (right[i + 1] if i + 1 < k else 0)) / pivot[i]
+        bend[2:-2] = right
+    bend[0], bend[-1] = 2 * bend[1] - bend[2], 2 * bend[-2] - bend[-3]
+    i = np.minimum(at.astype(int), n - 2)
+    b = (at - i)[:, None]
+    a = 1 - b
+    return a * y[i] + b * y[i + 1] + ((a**3 - a) * bend[i] + (b**3 - b) * bend[i + 1]) / 6
+
+
+def unfolded(df: DataFrame, batch: str, order: str, tags: Sequence[str], length: int) -> tuple[DataFrame, list[str]]:
+    """One row a batch: each tag at `length` equal steps; and the names of those columns."""
+    names = [f"{t}_{k}" for t in tags for k in range(length)]
+
+    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[key[0], *cubic(f.sort_values(order)[list(tags)].to_numpy(float), length).T.ravel()]], columns=[batch, *names])
+
+    rows = df.select(batch, order, *tags).dropna()
+    return rows.groupBy(batch).applyInPandas(one, ", ".join([f"`{batch}` {dict(df.dtypes)[batch]}", *(f"`{n}` double" for n in names)])), names
+
+
+def find_reference_batch(df: DataFrame, batch: str, order: str, tags: Sequence[str], components: int = 4) -> object:
+    """The batch nearest the centre of a model of whole trajectories.
+
+    All batches are brought to the length of the average one and unfolded; those
+    beyond the 90% limit of T2 are left out of a second model; of the rest the
+    one of least T2 whose squared prediction error is below its 50% limit (or
+    the least higher one, up to 95%, that a batch meets).
+    """
+    rows = df.select(batch, order, *tags).dropna()
+    own = find_average_length(rows, batch)
+    wide, names = unfolded(rows, batch, order, tags, rows.filter(F.col(batch) == F.lit(own)).count())
+    wide = wide.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else wide.persist()
+    n = wide.count()
+    if n == 1:
+        return own
+    components = min(components, n - 1)
+
+    def model(x: DataFrame) -> tuple[PCA, DataFrame]:
+        scaled = Scaler.fit(x, names).transform(x)
+        fit = PCA.fit(scaled, names, components)
+        return fit, fit.diagnose(scaled)
+
+    first, out = model(wide)
+    second, out = model(wide.join(out.filter(F.col("hotellings_t2") < first.t2_limit(0.9)).select(batch), batch, "left_semi"))
+    for level in np.arange(0.5, 0.951, 0.05):
+        best = out.filter(F.col("spe") < second.spe_limit(float(level))).orderBy("hotellings_t2", "spe", batch).first()
+        if best is not None:
+            return best[batch]
+    raise ValueError("no batch is within the 95% limit of the squared prediction error")
+
+
 def batch_dtw(df: DataFrame, batch: str, order: str, tags: Sequence[str], reference: object | None = None, most: int = 10, tolerance: float = 0.1) -> tuple[DataFrame, np.ndarray]:
     """Align all batches, weighting each tag by the inverse of its spread about the average, until the weights settle.
 
     After the third pass the average takes the reference's place.
     """
-    own = find_reference(df, batch) if reference is None else reference
+    own = find_reference_batch(df, batch, order, tags) if reference is None else reference
     average = df.filter(F.col(batch) == F.lit(own)).orderBy(order).select(*tags).dropna().toPandas().to_numpy(float)
     first, weights = average, np.ones(len(tags))
     for turn in range(most):

@@ -28,7 +28,12 @@ def resample(spark, sf_dir):
 
 @add("find_reference_batch", "WITH l AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), m AS (SELECT quantile_cont(n, 0.5) AS m FROM l) SELECT user_id FROM l, m ORDER BY abs(n - m), n DESC, user_id LIMIT 1")
 def reference(spark, sf_dir):
-    return spark.createDataFrame([(alignment.find_reference(table(spark, sf_dir, "events"), "user_id"),)], "user_id long")
+    return spark.createDataFrame([(alignment.find_average_length(table(spark, sf_dir, "events"), "user_id"),)], "user_id long")
+
+
+@add("find_reference_batch_pca")
+def central(spark, sf_dir):
+    return spark.createDataFrame([(alignment.find_reference_batch(events(spark, sf_dir), "user_id", "event_id", ["value"]),)], "user_id long")
 
 
 @add("batch_dtw")

@@ -32,6 +32,42 @@ def test_alignment_of_batches(spark):
     assert two[two["b"] == 1].sort_values("position")["x"].tolist() == [0, 2.5, 5, 7.5, 10] and two[two["b"] == 2]["x"].tolist() == [5.0] * 5
 
 
+def _central(batches, limits):
+    """The batch nearest the centre, on the driver; limits: the model's T2 and SPE limits of (rows, components, ...)."""
+    length = sorted(len(b) for b in batches.values())[len(batches) // 2]
+    wide = pd.DataFrame({k: alignment.cubic(b, length).T.ravel() for k, b in batches.items()}).T
+
+    def fit(x):
+        z = (x - x.mean()) / x.std()
+        u, d, v = np.linalg.svd(z.to_numpy(), full_matrices=False)
+        t2 = (u[:, :4] ** 2).sum(axis=1) * (len(x) - 1)
+        q = ((z.to_numpy() - (u[:, :4] * d[:4]) @ v[:4]) ** 2).sum(axis=1)
+        return t2, q
+
+    t2, _ = fit(wide)
+    kept = wide[t2 < limits.t2_limit(len(wide), 4, 0.9)]
+    t2, q = fit(kept)
+    good = np.sqrt(q) < limits.spe_limit_of(q.mean(), q.var(ddof=1), 0.5)
+    return kept.index[good][t2[good].argmin()]
+
+
+def test_reference_batch_is_the_most_central_one(spark):
+    from millrace.operators import latent
+
+    x = np.array([0.0, 1, 2, 5, 3, 8])
+    assert np.allclose(alignment.cubic(x[:, None], 6)[:, 0], x) and np.allclose(alignment.cubic((np.arange(7.0) ** 3)[:, None], 13)[:, 0], np.linspace(0, 6, 13) ** 3)
+    for seed in range(2):
+        r = np.random.default_rng(seed)
+        batches = {}
+        for k in range(25):
+            t = np.linspace(0, 3, 8 + k % 5)
+            batches[k] = np.column_stack([np.sin(t) * (1 + 0.3 * r.normal()), t + r.normal()]) + 0.1 * r.normal(size=(len(t), 2))
+        batches[2] = batches[2] + 30  # of median length, and far from all others
+        df = spark.createDataFrame([(k, i, float(a), float(b)) for k, rows in batches.items() for i, (a, b) in enumerate(rows)], "b long, i int, x double, y double").repartition(3)
+        assert alignment.find_average_length(df, "b") == 2
+        assert alignment.find_reference_batch(df, "b", "i", ["x", "y"]) == _central(batches, latent)
+
+
 def test_campaigns_repeat(spark):
     a, b = (simulators.campaign(spark, 4, seed=5).repartition(n).toPandas().sort_values(["batch_id", "hour"], ignore_index=True) for n in (1, 3))
     pd.testing.assert_frame_equal(a, b)
