@@ -50,6 +50,9 @@ BLOCK = 1024
 #: Rows of a dealt array, and ids that may be broadcast.
 PACKED = 500_000
 BROADCAST_IDS = 2_000_000
+#: Members of a product of incidences, and what a tile is known by.
+WIDE = 4096
+TILE = ("cluster", "band_a", "block_a", "band_b", "block_b")
 
 ENTRY = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4")])
 
@@ -354,13 +357,12 @@ def survivors(a: pd.DataFrame, b: pd.DataFrame, percent: int) -> list[tuple]:
     return found
 
 
-def tiles(entries: DataFrame, known: DataFrame, percent: int, likeliest: bool) -> DataFrame:
-    """Pairs (a, b) of classes of the same runs whose labels differ and whose bitmaps let them link; or only each class's likeliest of a tile.
+def placed(entries: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Classes of runs (entries: token, cls, label) in all tiles they belong to.
 
-    entries: token, cls, label.  Runs that share a class are one cluster.  Its
-    classes lie in bands of sizes that differ by less than the least ratio of
-    linked sets, a band in blocks of about BLOCK; a tile has two blocks of a band
-    or of neighbouring bands.
+    Runs that share a class are one cluster.  Its classes lie in bands of sizes
+    that differ by less than the least ratio of linked sets, a band in blocks of
+    about BLOCK; a tile has two blocks of a band or of neighbouring bands.
     """
     anchor = entries.groupBy("token").agg(F.min("cls").alias("anchor"))
     cluster = C.cut(components(entries.join(anchor, "token").select("anchor", "cls").distinct())).select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
@@ -370,8 +372,8 @@ def tiles(entries: DataFrame, known: DataFrame, percent: int, likeliest: bool) -
     counts = rows.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     counts = C.cut(counts)
     near = lambda step, name: counts.select("cluster", (F.col("band") + step).alias("band"), F.col("blocks").alias(name))
-    placed = rows.join(near(0, "own"), ["cluster", "band"]).join(near(1, "lower"), ["cluster", "band"], "left").join(near(-1, "upper"), ["cluster", "band"], "left")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("own").cast("long")).cast("int"))
+    spread = rows.join(near(0, "own"), ["cluster", "band"]).join(near(1, "lower"), ["cluster", "band"], "left").join(near(-1, "upper"), ["cluster", "band"], "left")
+    spread = spread.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("own").cast("long")).cast("int"))
     count = lambda x: F.when(F.coalesce(F.col(x), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(x) - 1)).otherwise(F.array().cast("array<int>"))
     at = lambda upper, i, lower, j: F.struct(upper.alias("band_a"), i.alias("block_a"), lower.alias("band_b"), j.alias("block_b"))
     own, mine = F.col("band"), F.col("block")
@@ -380,7 +382,11 @@ def tiles(entries: DataFrame, known: DataFrame, percent: int, likeliest: bool) -
         F.transform(count("lower"), lambda j: at(own, mine, own - 1, j)),
         F.transform(count("upper"), lambda j: at(own + 1, j, own, mine)),
     )
-    placed = placed.withColumn("tile", F.explode(where)).select("cluster", "tile.*", "band", "block", "cls", "key", "label", "n", "bitmap")
+    return spread.withColumn("tile", F.explode(where)).select("cluster", "tile.*", "band", "block", "cls", "key", "label", "n", "bitmap")
+
+
+def tiles(entries: DataFrame, known: DataFrame, percent: int, likeliest: bool) -> DataFrame:
+    """Pairs (a, b) of classes of the same runs whose labels differ and whose bitmaps let them link; or only each class's likeliest of a tile."""
 
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         _, band_a, block_a, band_b, block_b = key
@@ -393,7 +399,43 @@ def tiles(entries: DataFrame, known: DataFrame, percent: int, likeliest: bool) -
             found = pd.concat([found.drop_duplicates("a"), found.drop_duplicates("b")]).drop_duplicates()
         return found
 
-    return placed.groupBy("cluster", "band_a", "block_a", "band_b", "block_b").applyInPandas(run, "a long, b long, key_a long, key_b long, differ long")
+    return placed(entries, known, percent).groupBy(*TILE).applyInPandas(run, "a long, b long, key_a long, key_b long, differ long")
+
+
+def common(rows: np.ndarray, members: np.ndarray, count: int) -> np.ndarray:
+    """How many members any two of `count` sets share: products of their incidence, some members at a time."""
+    kinds, at, times = np.unique(members, return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    keep = times[at] > 1
+    rows, at = rows[keep], shared[at[keep]]
+    order = np.argsort(at, kind="stable")
+    rows, at = rows[order], at[order]
+    out = np.zeros((count, count), np.float32)
+    for k in range(0, int(at[-1]) + 1 if len(at) else 0, WIDE):
+        i, j = np.searchsorted(at, [k, k + WIDE])
+        x = np.zeros((count, WIDE), np.float32)
+        x[rows[i:j], at[i:j] - k] = 1
+        out += x @ x.T
+    return out
+
+
+def settled(entries: DataFrame, known: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of classes of the same runs that link: a tile has its classes' texts once and intersects all their sets."""
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        _, band_a, block_a, band_b, block_b = key
+        members, at = sets(*C.buffer_of(pa.array(f["text"], pa.string())))
+        n = np.diff(at)
+        same = common(np.repeat(np.arange(len(f)), n), members, len(f))
+        fit = 100 * same.astype(np.int64) >= percent * (n[:, None] + n[None, :] - same.astype(np.int64))
+        first = ((f["band"] == band_a) & (f["block"] == block_a)).to_numpy()
+        fit &= np.triu(np.ones_like(fit), 1) if (band_a, block_a) == (band_b, block_b) else first[:, None] & ~first[None, :]
+        i, j = np.nonzero(fit)
+        cls = f["cls"].to_numpy()
+        return pd.DataFrame({"a": cls[i], "b": cls[j]})
+
+    texts = keyed(docs).select("key", "text").dropDuplicates(["key"])
+    return placed(entries, known, percent).join(texts, "key").groupBy(*TILE).applyInPandas(run, "a long, b long")
 
 
 def spark_empty(spark: SparkSession) -> DataFrame:
@@ -447,6 +489,25 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b, n_links: every pair of classes that link, by their least doc_ids, and how many links their documents have; a class of several documents with itself.
+
+    Every pair that meets is settled, whatever links are known already.
+    """
+    described = C.cut(describe(docs).filter("cls IS NOT NULL"))
+    known = C.cut(described.groupBy("cls", "n").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.max("bitmap").alias("bitmap"), F.count("*").alias("docs")))
+    met = C.cut(meet(docs, *shared_shingles(docs, percent), percent))
+    found = linked(C.cut(passing(met.filter("a IS NOT NULL").select("a", "b").distinct(), known, percent)), docs, percent)
+    long = met.filter("token IS NOT NULL").select("token", "cls", F.col("cls").alias("label"))
+    if not long.isEmpty():
+        found = found.unionByName(settled(long, known, docs, percent))
+    found = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    side = lambda c: known.select(F.col("cls").alias(c), F.col("least").alias(f"least_{c}"), F.col("docs").alias(f"docs_{c}"))
+    between = found.join(side("x"), "x").join(side("y"), "y").select(F.least("least_x", "least_y").alias("a"), F.greatest("least_x", "least_y").alias("b"), (F.col("docs_x") * F.col("docs_y")).alias("n_links"))
+    within = known.filter("docs > 1").select(F.col("least").alias("a"), F.col("least").alias("b"), F.expr("docs * (docs - 1) div 2").alias("n_links"))
+    return between.unionByName(within)
+
+
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with the least doc_id of each component only; all columns stay."""
     kept = C.cut(groups(docs, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct())
@@ -458,6 +519,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(C.load(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links(C.load(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""
 WITH RECURSIVE word AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-

@@ -8,7 +8,7 @@ from millrace.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from millrace.llm.fingerprints import op1_document_fingerprints
 from millrace.llm.line_dedup import OP8_SQL, op8_line_dedup
 from millrace.llm.mixing import op10_source_mixing
-from millrace.llm.ngram_join import OP6_SQL, op6_ngram_jaccard_join
+from millrace.llm.ngram_join import OP6_SQL, op6_ngram_jaccard_join, op6_ngram_jaccard_links
 from millrace.llm.packing import op9_best_fit_packing
 from millrace.llm.quality import op4_quality_classifier
 from millrace.llm.tokens import op5_token_counts
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_counts": op5_token_counts,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op6_ngram_jaccard_links": op6_ngram_jaccard_links,
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,

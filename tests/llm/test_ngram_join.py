@@ -123,3 +123,25 @@ def test_repeated_rows_null_ids_and_empty_tables(spark, frame):
     df = frame(list(enumerate([a, b, "other words entirely", ""])))
     kept = ngram_join.keep_one(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+
+
+@pytest.mark.parametrize("small, block", [(8, 1024), (2, 8)])
+def test_every_link_is_counted(spark, frame, monkeypatch, small, block):
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join(base[:k] + [f"x{r.randrange(9)}"] + base[k + 1 :]) for k in (0, 1, 2, 30, 58, 59) for _ in range(12)]
+    rows = list(enumerate(texts(150, 7) + near)) + [(1000, None), (1001, "")]
+    sets, least = {i: frozenset(C.shingle_set(t)) for i, t in rows}, {}
+    for i, s in sorted(sets.items()):
+        least.setdefault(s, i)
+    expected = {}
+    ids = [i for i in sorted(sets) if sets[i]]
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                key = tuple(sorted((least[sets[i]], least[sets[j]])))
+                expected[key] = expected.get(key, 0) + 1
+    out = ngram_join.links(frame(rows).repartition(5)).collect()
+    assert len(out) == len(expected) and {(x.a, x.b): x.n_links for x in out} == expected
