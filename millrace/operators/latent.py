@@ -466,11 +466,20 @@ class MultiBlock:
         return over_rows(df, columns, names, run)
 
 
-def parallel_analysis(model: PCA, simulations: int = 100, quantile: float = 0.95, rows: int = 2000, seed: int = 0) -> int:
-    """Components whose eigenvalues exceed those of noise of the same shape (at most `rows` rows are simulated; more rows only narrow the noise)."""
+def parallel_analysis(model: PCA, simulations: int = 200, quantile: float = 0.95, seed: int = 0) -> int:
+    """Components whose eigenvalues exceed those of noise of the same shape: covariances of n rows are drawn from their Wishart distribution, by Bartlett's factors."""
     r, k = np.random.default_rng(seed), len(model.columns)
-    n = min(model.n, rows)
-    noise = np.array([np.linalg.eigvalsh(np.cov(r.normal(size=(n, k)), rowvar=False))[::-1][: model.components] for _ in range(simulations)])
+    m = model.n - 1
+
+    def covariance() -> np.ndarray:
+        if m < k:  # fewer rows than the factors need: the rows themselves
+            x = r.normal(size=(m, k))
+            return x.T @ x / m
+        factor = np.tril(r.normal(size=(k, k)), -1)
+        factor[np.diag_indices(k)] = np.sqrt(r.chisquare(m - np.arange(k)))
+        return factor @ factor.T / m
+
+    noise = np.array([np.linalg.eigvalsh(covariance())[::-1][: model.components] for _ in range(simulations)])
     return int((model.score_scale**2 > np.quantile(noise, quantile, axis=0)).cumprod().sum())
 
 

@@ -172,3 +172,13 @@ def test_published_experiments(spark):
     assert [published(spark, n).count() for n in sorted(TABLES)] == [11, 16, 8, 16]
     with pytest.raises(ValueError, match="golf"):
         published(spark, "nothing")
+
+
+def test_parallel_analysis_uses_all_rows():
+    k = 5
+    model = latent.PCA([f"c{i}" for i in range(k)], np.eye(k), np.sqrt(np.array([1.03, 1.0, 0.99, 0.99, 0.99])), 1_000_000, np.ones(k), np.ones(k))
+    assert latent.parallel_analysis(model) == 1  # noise of a million rows stays within 1%, of 2,000 it does not
+    model.n = 2000
+    assert latent.parallel_analysis(model) == 0
+    model.n = 4
+    assert latent.parallel_analysis(model) == 0
