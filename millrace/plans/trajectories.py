@@ -76,6 +76,11 @@ def widen(spark, sf_dir):
     return B.widen(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", ["l_quantity"], [1, 2, 3])
 
 
+@add("batch_widen_all", "SELECT l_orderkey, max(l_quantity) FILTER (WHERE l_linenumber = 1) AS \"1_l_quantity\", max(l_quantity) FILTER (WHERE l_linenumber = 2) AS \"2_l_quantity\", max(l_quantity) FILTER (WHERE l_linenumber = 3) AS \"3_l_quantity\", max(l_quantity) FILTER (WHERE l_linenumber = 4) AS \"4_l_quantity\", max(l_quantity) FILTER (WHERE l_linenumber = 5) AS \"5_l_quantity\", max(l_quantity) FILTER (WHERE l_linenumber = 6) AS \"6_l_quantity\", max(l_quantity) FILTER (WHERE l_linenumber = 7) AS \"7_l_quantity\" FROM lineitem GROUP BY 1")
+def widen_all(spark, sf_dir):
+    return B.widen(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", ["l_quantity"])
+
+
 @add("batch_sequence", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS _sequence_ FROM events")
 def sequence(spark, sf_dir):
     return B.sequence(events(spark, sf_dir), "user_id", "event_id").select("user_id", "event_id", "_sequence_")

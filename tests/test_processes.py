@@ -122,6 +122,13 @@ def test_features_of_a_small_batch(spark):
         features.check_batches(df, "batch", ["x"], no_nulls=True)
 
 
+def test_widening_keeps_all_positions(spark):
+    df = spark.createDataFrame([("b", 1, 2.0), ("b", 7, 3.0), ("c", 4, 5.0), ("c", 4, 6.0)], "batch string, k int, x double")
+    got = features.widen(df, "batch", "k", ["x"])
+    assert got.columns == ["batch", "1_x", "4_x", "7_x"]
+    assert sorted(tuple(r) for r in got.collect()) == [("b", 2.0, None, 3.0), ("c", None, 6.0, None)]
+
+
 def test_panel(spark):
     rows = [(p, 1, f"prod{j}", "sweet", r, float(j + p * 0.1 + 0.01 * r)) for p in range(4) for j in range(3) for r in range(2)]
     panel = spark.createDataFrame([(f" p{p} ", *x) for p, *x in rows], "panelist_id string, session int, product string, attribute string, replicate int, score double")
