@@ -12,6 +12,7 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +23,11 @@ WORDS = 5
 #: Bytes of text, and rows, that numpy works on at once.
 CHUNK_BYTES = 1 << 20
 CHUNK_ROWS = 1 << 10
+#: Bytes of a table that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -34,10 +36,13 @@ LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's checkpoint folder, or one of our own where it is unset."""
+    """The folder that all executors share: the cluster's checkpoint folder, or in local mode a new one where it is unset."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
     return context.getCheckpointDir()
 
 
@@ -62,33 +67,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_VALUES = mix(np.arange(1, 257, dtype=U64) * U64(_BASE))
-_FOLDED = _VALUES[LOWER]
 _SHINGLE = mix(np.arange(11, 11 + WORDS, dtype=U64) * U64(_BASE)) | U64(1)
-_powers: dict[int, np.ndarray] = {}
+#: The bytes of a 64-bit number that a rest of 0 to 8 bytes fills.
+_REST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 ... base ** (n - 1), modulo 2 ** 64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 64)
-        have = np.full(size, base, U64)
-        have[0] = 1
-        have = _powers[base] = np.multiply.accumulate(have)
-    return have
+def eights(part: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of part on, as numbers; zeros follow its end."""
+    held = np.zeros(len(part) + 8, np.uint8)
+    held[: len(part)] = part
+    return np.ndarray((len(part) + 1,), "<u8", held, strides=(1,))
+
+
+def _keyed(x: np.ndarray, number: np.ndarray | int) -> np.ndarray:
+    """Eight bytes spread, keyed by their number within the span, and spread again."""
+    key = mix(np.atleast_1d(np.asarray(number, U64)) + U64(0x5851F42D4C957F2D)) * U64(_BASE)
+    return mix(mix(x) + key)
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each span; spans ascend and do not overlap."""
+    """A 64-bit hash of data[start:end] for each span, A-Z lower-cased first if `fold`.
+
+    A span is cut into eights of bytes; each is spread with the key of its
+    number and the results are added.  No eight is a linear term of the sum, so
+    regular texts (repetitions, complements) do not collide.
+    """
     if not len(starts):
         return np.zeros(0, U64)
-    low, high = int(starts[0]), int(ends[-1])
-    part = data[low:high]
-    sums = np.zeros(len(part) + 1, U64)
-    np.cumsum((_FOLDED if fold else _VALUES)[part] * _power(_BASE, len(part))[: len(part)], out=sums[1:])
-    a, b = starts - low, ends - low
-    return mix((sums[b] - sums[a]) * _power(_INVERSE, len(part))[a] + (ends - starts).astype(U64))
+    low, high = int(starts.min()), int(ends.max())
+    words = eights(LOWER[data[low:high]] if fold else data[low:high])
+    a, length = starts - low, ends - starts
+    sums = _keyed(words[a] & _REST[np.minimum(length, 8)], 0)
+    more = np.flatnonzero(length > 8)
+    if len(more):
+        extra = (length[more] - 1) // 8
+        at = np.cumsum(extra) - extra
+        number = np.arange(int(extra.sum())) - np.repeat(at, extra) + 1
+        place = np.repeat(a[more], extra) + 8 * number
+        left = np.minimum(np.repeat(ends[more] - low, extra) - place, 8)
+        sums[more] += np.add.reduceat(_keyed(words[place] & _REST[left], number), at)
+    return mix(sums + length.astype(U64) * U64(_BASE))
 
 
 class Lookup:
@@ -206,18 +224,39 @@ def text_frame(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A whole table; its rows go to Python in batches small enough for long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", CHUNK_ROWS)
+    """A whole table; the session's rows go to Python in batches small enough for long texts, unless it asks for smaller ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "0")) <= CHUNK_ROWS:
+        spark.conf.set(name, CHUNK_ROWS)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def in_ranges(df: DataFrame, column: str, ends: list[float], name: str) -> DataFrame:
-    """df and an int column `name`: how many of the ascending ends lie below the number in `column` (0 for null); a binary search in the JVM."""
-    from pyspark.ml.feature import Bucketizer
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def few(df: DataFrame, bytes_a_row: int, most: int = BROADCAST_BYTES) -> bool:
+    """Is a table small enough to broadcast?  It is counted; bytes_a_row is what a row takes in memory at most."""
+    return df.count() * bytes_a_row <= most
 
-    if not ends:
+
+def in_ranges(df: DataFrame, column: str, ends: np.ndarray, name: str) -> DataFrame:
+    """df and an int column `name`: how many of the ascending ends lie below the long in `column` (0 for null).
+
+    The ends travel once to each executor; only `column` goes to Python.
+    """
+    if not len(ends):
         return df.withColumn(name, F.lit(0))
-    splits = [float("-inf"), *(float(np.nextafter(x, np.inf)) for x in ends), float("inf")]
-    key, bucket = f"_{name}_key", f"_{name}_bucket"
-    df = df.withColumn(key, F.coalesce(F.col(column).cast("double"), F.lit(float("-inf"))))
-    return Bucketizer(splits=splits, inputCol=key, outputCol=bucket).transform(df).withColumn(name, F.col(bucket).cast("int")).drop(key, bucket)
+    held = df.sparkSession.sparkContext.broadcast(np.asarray(ends, np.int64))
+
+    @F.pandas_udf("int")
+    def below(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in ids:
+            yield pd.Series(np.searchsorted(held.value, x.to_numpy(np.int64), "left").astype(np.int32))
+
+    least = -(1 << 63)  # below every end, and no null reaches pandas, which would turn longs into doubles
+    return df.withColumn(name, below(F.coalesce(F.col(column).cast("long"), F.lit(least))))

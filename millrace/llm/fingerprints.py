@@ -3,7 +3,9 @@
 Each shingle is hashed once.  The top bits of the hash name one of K bins, the
 least hash of a bin is its value, an empty bin takes the value of the first
 non-empty bin in a fixed pseudo-random sequence of its own (optimal
-densification), and only the low B bits of each value are kept, packed.  Two
+densification), and only the low B bits of each value are kept, packed.  A value
+is spread with its bin's number first, so that a value that fills many bins of a
+short text does not agree with another by chance in all of them.  Two
 fingerprints that agree in a share p of their bins have an estimated Jaccard
 likeness of (p - 2**-B) / (1 - 2**-B), cut to 0..1.
 
@@ -32,7 +34,8 @@ BITS = 4
 
 
 def _candidates(attempt: int, bins: np.ndarray, total: int) -> np.ndarray:
-    return (C.mix(bins.astype(C.U64) * C.U64(1_000_003) + C.U64(attempt + 1) * C.U64(0x9E3779B97F4A7C15)) % C.U64(total)).astype(np.int64)
+    step = np.full(1, attempt + 1, C.U64) * C.U64(0x9E3779B97F4A7C15)
+    return (C.mix(bins.astype(C.U64) * C.U64(1_000_003) + step) % C.U64(total)).astype(np.int64)
 
 
 def signatures(data: np.ndarray, offsets: np.ndarray, bins: int = BINS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -41,14 +44,14 @@ def signatures(data: np.ndarray, offsets: np.ndarray, bins: int = BINS, bits: in
     n = len(offsets) - 1
     counts = np.diff(at)
     shift = C.U64(64 - bins.bit_length() + 1)
-    values = np.zeros((n, bins), np.uint8)
+    values = np.zeros((n, bins), C.U64)
     full = np.zeros((n, bins), bool)
     for d in range(n):
         hashes[at[d] : at[d + 1]].sort()
     if len(hashes):
         cell = np.repeat(np.arange(n), counts) * bins + (hashes >> shift).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        values.reshape(-1)[cell[first]] = (hashes[first] & C.U64((1 << bits) - 1)).astype(np.uint8)
+        values.reshape(-1)[cell[first]] = hashes[first]
         full.reshape(-1)[cell[first]] = True
     some = counts > 0
     row, col = np.nonzero(~full & some[:, None])
@@ -59,7 +62,8 @@ def signatures(data: np.ndarray, offsets: np.ndarray, bins: int = BINS, bits: in
         values[row[found], col[found]] = values[row[found], source[found]]
         row, col = row[~found], col[~found]
         attempt += 1
-    return values, some
+    values += C.mix(np.arange(bins, dtype=C.U64))
+    return (C.mix(values) & C.U64((1 << bits) - 1)).astype(np.uint8) * some[:, None], some
 
 
 def pack(values: np.ndarray, some: np.ndarray, bits: int = BITS) -> list[str]:
@@ -94,7 +98,8 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
     The ranges' ends are quantiles of doc_id, at most `parts` numbers.  Columns: doc_id, text, bucket, home (bucket a row belongs to).
     """
     ids = docs.select("doc_id")
-    ends = sorted({x for x in ids.stat.approxQuantile(["doc_id"], [i / parts for i in range(1, parts)], 0.25 / parts)[0]}) if parts > 1 else []
+    found = ids.stat.approxQuantile(["doc_id"], [i / parts for i in range(1, parts)], 0.25 / parts)[0] if parts > 1 else []
+    ends = np.array(sorted({min(int(x), (1 << 63) - 1) for x in found}), np.int64)
     placed = lambda df: C.in_ranges(df, "doc_id", ends, "home")
     # one row for each range: bounded by `parts`
     heads = sorted(placed(ids).groupBy("home").agg(F.min("doc_id").alias("head"), F.max(F.col("doc_id").isNull()).alias("none")).collect())
