@@ -1,23 +1,26 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
 Writing: payload digests alone decide which record of equal payloads is the
-response and which revisit it.  Shards are ranges of page_id, found from sums
-of bytes over equal cells of the ids, so they depend on the rows and
-`shard_bytes` only.  Each shard's rows are sorted and written as gzip members,
-one a record, with headers and digests made anew; a file is rolled when its
-compressed size reaches `roll_bytes`.  A file is written under a temporary name
-of its attempt and then renamed to its shard and number, so that an attempt
-that is repeated or lost leaves the same files; the manifest, written last and
-renamed into place, names the files that count.
-
-Reading takes the files that the manifest names, one task a file, and checks
-every digest as it streams.
+response and which revisit it.  Shards are ranges of page_id of about
+`shard_bytes` each, cut where the running sum of bytes in the order of the ids
+passes a multiple of it, so they depend on the rows and `shard_bytes` only.  Each
+shard's rows are sorted and written as gzip members, one a record, with headers
+and digests made anew; a file is rolled when its compressed size reaches
+`roll_bytes`.  A file is written under a temporary name of its attempt and then
+renamed to its shard and number, so that an attempt that is repeated or lost
+leaves the same files; so is each shard's own manifest, which names its files.
+The manifest of the whole, written last and renamed into place, has the counts;
+an archive without it is not complete.
+
+Reading takes the files that the shards' manifests name, one task a shard, and
+checks every digest as it streams.
 
 Defined cases: null html is an empty payload; a null url has no target header.
-Of rows that repeat a page_id and payload the first is the response.  Rows
-without a page_id come first and never win over one with a page_id; if no row
-of a payload has one, each of them is a response.  An empty table gives an
-archive without files.  Other columns are not read.
+Any long is a page_id.  Of rows that repeat a page_id and payload the first is
+the response; all rows of one page_id are in one shard.  Rows without a page_id
+come first and never win over one with a page_id; if no row of a payload has
+one, each of them is a response.  An empty table gives an archive without files.
+Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm import common as C
@@ -42,9 +47,12 @@ ROLL_BYTES = 32 << 20
 #: Bytes that a record has beside its payload, as the shards count them.
 RECORD_BYTES = 700
 LEAST_BYTES = 0
+#: Digests whose winner is broadcast, at most.
+HEAVY = 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "MANIFEST.json"
+SHARDS = "manifests"
 
 
 def filesystem(uri: str):
@@ -116,67 +124,80 @@ class ShardWriter:
         if self.out is not None:
             self.out.close()
             self.fs.move(self.temporary, f"{self.path}/{self.name}")
-            self.files.append((self.shard, self.name, self.records, self.size, self.sha.hexdigest()))
+            self.files.append({"shard": self.shard, "file": self.name, "records": self.records, "bytes": self.size, "sha256": self.sha.hexdigest()})
             self.out = None
 
+    def commit(self) -> tuple[int, int]:
+        """Close the last file and write the shard's manifest, a line a file; gives the numbers of files and records."""
+        self.close()
+        name = f"shard-{self.shard:07d}.json"
+        put(self.fs, self.path, f"{self.attempt}-{name}", f"{SHARDS}/{name}", "".join(f"{json.dumps(f)}\n" for f in self.files))
+        return len(self.files), sum(f["records"] for f in self.files)
+
+
+def put(fs, path: str, temporary: str, name: str, text: str) -> None:
+    """Write a small file under a temporary name and rename it."""
+    with fs.open_output_stream(f"{path}/_temporary/{temporary}", compression=None) as out:
+        out.write(text.encode())
+    fs.move(f"{path}/_temporary/{temporary}", f"{path}/{name}")
+
 
 def decisions(pages: DataFrame, least_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Digests of all rows, and (page_id, digest, refers_to) of the rows that revisit another page."""
+    """Digests of all rows, and (page_id, digest, refers_to) of the rows that revisit another page.
+
+    The digests of more than one row in HEAVY, HEAVY at most, are broadcast; the rest meet their rows by a shuffle.
+    """
     rows = C.cut(pages.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").cast("long").alias("n")))
-    winners = rows.filter(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("refers_to")).filter(F.col("refers_to").isNotNull())
-    revisits = rows.join(winners, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")) & (F.col("n") >= least_bytes))
-    return rows, revisits.select("page_id", "digest", "refers_to")
-
-
-def shard_ends(rows: DataFrame, shard_bytes: int) -> list[int]:
-    """The largest page_id of each shard but the last."""
-    total, low, high = rows.agg(F.sum(F.col("n") + RECORD_BYTES), F.min("page_id"), F.max("page_id")).first()
-    if low is None or total <= shard_bytes:
-        return []
-    cells = 16 * -(-total // shard_bytes)
-    ends = _split(low, high, cells)
-    known: dict[tuple[int, int], int] = {}
-    while True:  # until no cell of more than one id is more than a shard: a few rounds, each of at most sixteen cells a shard
-        sums = {r["cell"]: r["n"] for r in C.in_ranges(rows, "page_id", ends, "cell").groupBy("cell").agg(F.sum(F.col("n") + RECORD_BYTES).alias("n")).collect()}
-        spans = list(zip([low, *(x + 1 for x in ends)], [*ends, high], strict=True))
-        known = {x: sums.get(k, 0) for k, x in enumerate(spans)}
-        wide = [x for x, n in known.items() if n > shard_bytes and x[1] > x[0]]
-        if not wide:
-            break
-        ends = sorted({x[1] for x, n in known.items() if n and x[1] < high} | {x[0] - 1 for x, n in known.items() if n and x[0] > low} | {e for x in wide for e in _split(*x, 16 * -(-known[x] // shard_bytes))})
-    cuts, filled = [], 0
-    for (first, _), n in known.items():
-        if filled and filled + n > shard_bytes:
-            cuts.append(first - 1)
-            filled = 0
-        filled += n
-    return cuts
-
-
-def _split(low: int, high: int, cells: int) -> list[int]:
-    """The largest numbers of equal cells of low..high, but for the last."""
-    width = -(-(high - low + 1) // cells)
-    return list(range(low + width - 1, high, width))
-
-
-def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, least_bytes: int = LEAST_BYTES, date: str = DATE) -> list[dict]:
-    """Write an archive into a folder that the driver and all executors reach; gives its manifest."""
+    able = rows.filter(F.col("n") >= least_bytes)
+    winners = able.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies"))
+    winners = C.cut(winners.filter(F.col("refers_to").isNotNull() & (F.col("copies") > 1)))
+    often = F.col("copies") * HEAVY > rows.count()
+    heavy = F.broadcast(winners.filter(often).drop("copies"))
+    met = able.join(heavy, "digest").unionByName(able.join(heavy, "digest", "left_anti").join(winners.filter(~often).drop("copies"), "digest"))
+    return rows, met.filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to")
+
+
+def shard_ends(rows: DataFrame, shard_bytes: int) -> np.ndarray:
+    """The largest page_id of each shard but the last.
+
+    Running sums are made range by range; the driver sees one sum a range, and
+    one number for every `shard_bytes` of the input.
+    """
+    spark = rows.sparkSession
+    sizes = rows.groupBy("page_id").agg(F.sum(F.col("n") + RECORD_BYTES).alias("n"))
+    ranged = C.cut(sizes.repartitionByRange(C.partitions(spark), F.asc_nulls_first("page_id")).withColumn("part", F.spark_partition_id()))
+    totals = sorted((r["part"], r["n"]) for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    before = np.cumsum([0, *(n for _, n in totals)])
+    if before[-1] <= shard_bytes:
+        return np.zeros(0, np.int64)
+    base = F.broadcast(spark.createDataFrame([(part, int(x)) for (part, _), x in zip(totals, before, strict=False)], "part int, before long"))
+    upto = W.partitionBy("part").orderBy(F.asc_nulls_first("page_id")).rowsBetween(W.unboundedPreceding, -1)
+    start = F.col("before") + F.coalesce(F.sum("n").over(upto), F.lit(0))
+    shard = ranged.join(base, "part").select("page_id", F.floor(start / shard_bytes).alias("shard"))
+    ends = shard.groupBy("shard").agg(F.max("page_id").alias("end")).filter(F.col("end").isNotNull()).select("end").toPandas()["end"]
+    return np.sort(ends.to_numpy(np.int64))[:-1]
+
+
+def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, least_bytes: int = LEAST_BYTES, date: str = DATE) -> dict:
+    """Write an archive into a new folder that the driver and all executors reach; gives its counts of shards, files and records."""
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"))
-    rows, revisits = decisions(pages, least_bytes)
-    ends = shard_ends(rows, shard_bytes)
     fs, path = filesystem(folder)
     fs.create_dir(f"{path}/_temporary", recursive=True)
+    fs.create_dir(f"{path}/{SHARDS}")
+    if fs.get_file_info(f"{path}/{MANIFEST}").is_file:
+        raise FileExistsError(f"{folder} holds an archive")
+    rows, revisits = decisions(pages, least_bytes)
+    ends = shard_ends(rows, shard_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, page, revisit_of, seen = None, (), {}, {}
-        files = []
+        done = []
         for batch in batches:
             for shard, page_id, _, url, html, digest, refers_to in zip(*(c for c in batch.columns), strict=True):
                 shard, page_id = shard.as_py(), page_id.as_py()
                 if writer is None or writer.shard != shard:
                     if writer is not None:
-                        writer.close()
-                        files += writer.files
+                        done.append(writer.commit())
                     writer, page = ShardWriter(folder, shard, roll_bytes, date), ()
                 if page != (page_id,):
                     page, revisit_of, seen = (page_id,), {}, {}
@@ -189,21 +210,16 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_by
                 again = number > 0 and page_id is not None and len(payload) >= least_bytes
                 writer.write(page_record(page_id, url.as_py(), payload, revisit_of.get(own, page_id), own in revisit_of or again, number, date))
         if writer is not None:
-            writer.close()
-            files += writer.files
-        if files:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*files, strict=True)], ["shard", "file", "records", "bytes", "sha256"])
+            done.append(writer.commit())
+        yield pa.RecordBatch.from_arrays([pa.array([len(done)], pa.int64()), *(pa.array([sum(x[k] for x in done)], pa.int64()) for k in (0, 1))], ["shards", "files", "records"])
 
     none = F.lit(None).cast("string")
     both = pages.select("page_id", F.lit(1).alias("kind"), "url", "html", none.alias("digest"), F.lit(None).cast("long").alias("refers_to")).unionByName(revisits.select("page_id", F.lit(0).alias("kind"), none.alias("url"), none.alias("html"), "digest", "refers_to"))
     dealt = C.in_ranges(both, "page_id", ends, "shard").select("shard", "page_id", "kind", "url", "html", "digest", "refers_to").repartitionById(len(ends) + 1, "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "html")
-    # one row a file
-    manifest = sorted((r.asDict() for r in dealt.mapInArrow(run, "shard long, file string, records long, bytes long, sha256 string").collect()), key=lambda r: r["file"])
-    with fs.open_output_stream(f"{path}/_temporary/{MANIFEST}", compression=None) as out:
-        out.write(json.dumps(manifest, indent=1).encode())
-    fs.move(f"{path}/_temporary/{MANIFEST}", f"{path}/{MANIFEST}")
+    done = dealt.mapInArrow(run, "shards long, files long, records long").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("shards", "files", "records"))).first().asDict()
+    put(fs, path, MANIFEST, MANIFEST, json.dumps(done))
     fs.delete_dir(f"{path}/_temporary")
-    return manifest
+    return done
 
 
 def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -230,11 +246,24 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
             unpacker, raw = zlib.decompressobj(31), []
 
 
-def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
-    """One row a page: page_id, url, payload_bytes, payload_digest, record_type, refers_to, and the payload if asked for (null of revisits)."""
+def manifest(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """One row a file of an archive: shard, file, records, bytes, sha256; and the number of shards."""
     fs, path = filesystem(folder)
     with fs.open_input_stream(f"{path}/{MANIFEST}", compression=None) as f:
-        files = json.loads(f.read())
+        expected = json.loads(f.read())
+    kinds = "shard long, file string, records long, bytes long, sha256 string"
+    if not expected["files"]:
+        return spark.createDataFrame([], kinds), 0
+    files = spark.read.schema(kinds).json(f"{folder}/{SHARDS}")
+    found = files.agg(F.countDistinct("shard").alias("shards"), F.count("*").alias("files"), F.sum("records").alias("records")).first().asDict()
+    if found != expected:
+        raise ValueError(f"{folder} should have {expected} and has {found}")
+    return files, expected["shards"]
+
+
+def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
+    """One row a page: page_id, url, payload_bytes, payload_digest, record_type, refers_to, and the payload if asked for (null of revisits)."""
+    files, shards = manifest(spark, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,7 +294,8 @@ def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
 
     kinds = (("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()))
     made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds])
-    out = spark.createDataFrame([(f["file"], f["records"]) for f in files], "file string, records long").repartition(max(1, len(files))).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    dealt = files.repartitionById(max(shards, 1), F.col("shard").cast("int")).select("file", "records")
+    out = dealt.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
     return out if payloads else out.drop("payload")
 
 
