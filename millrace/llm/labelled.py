@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common as C
 
-#: Labelled rows of each class that a fit takes at most, and the longest text among them in code points.
+#: Labelled rows of each class that a fit takes at most.
 SAMPLE = 1500
-LONGEST = 20_000
+#: A text of the sample that is longer than PIECES x PIECE code points is learnt from so many pieces, evenly spread over all of it.
+PIECES, PIECE = 10, 2000
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -21,24 +22,30 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, size: int = SAMPLE, longest: int = LONGEST) -> tuple[list[str], np.ndarray, float]:
+def learnt(text: Column) -> Column:
+    """A text to learn from: whole, or if it is long its first and last pieces and others at even distances between."""
+    n, room = F.length(text), PIECES * PIECE
+    at = lambda k: F.floor((n - PIECE) * F.lit(k / (PIECES - 1))).cast("int") + 1
+    return F.when(n <= room, text).otherwise(F.concat_ws("\n", *(F.substring(text, at(k), F.lit(PIECE)) for k in range(PIECES))))
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, size: int = SAMPLE) -> tuple[list[str], np.ndarray, float]:
     """Texts and labels of at most `size` usable labelled rows of each class, and the share of label 1 among all usable rows.
 
-    Rows are chosen by a hash of their ids, so the same tables give the same
-    sample whatever their partitions; labels and texts that are null are left out.
+    Rows are chosen by a hash of their ids, whatever the length of their texts,
+    so the same tables give the same sample whatever their partitions; labels
+    and texts that are null are left out.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & usable).groupBy("doc_id").agg(F.max("label").alias("label"))
     known = C.cut(known)
     share = known.agg(F.avg("label")).first()[0]
-    # of each class, the rows of the least hashes: a top-k, so that no class is gathered
+    # of each class, the rows of the least hashes: a top-k, so that no class is gathered; the texts are scanned once
     order = F.xxhash64("doc_id", F.lit(17))
-    short = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= longest))
-    rows = []
-    for value in (0, 1):
-        chosen = known.filter(F.col("label") == value).orderBy(order, "doc_id").limit(size)
-        rows += [(r["key"], r["text"], value) for r in short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("key", order).collect()]
-    rows.sort()
-    return [t for _, t, _ in rows], np.array([y for _, _, y in rows], np.float32), 0.5 if share is None else float(share)
+    least = lambda value: known.filter(F.col("label") == value).orderBy(order, "doc_id").limit(size)
+    chosen = F.broadcast(least(0).unionByName(least(1)))
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min(learnt(F.col("text"))).alias("text"))
+    rows = sorted((r["label"], r["key"], r["text"]) for r in texts.withColumn("key", order).collect())
+    return [t for _, _, t in rows], np.array([y for y, _, _ in rows], np.float32), 0.5 if share is None else float(share)
 
 
 def with_scores(docs: DataFrame, scorer: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]], name: str, rows: int = C.CHUNK_ROWS) -> DataFrame:

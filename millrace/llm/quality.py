@@ -1,19 +1,20 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text is cut into segments of 128 bytes and overlapping chunks of four
-segments every three.  Learned filters of four bytes slide over every byte; a
-chunk has each filter's maximum and the largest share of bytes that equal the
-byte k places before, for k of 3 to 24 (it sees repeated words).  A small layer
-makes a logit of each chunk; the mean, the least and the largest logit of a
-document's chunks make its probability.
+segments every three, so that chunks cover the whole text.  Learned filters of
+eight bytes slide over every byte; a chunk has each filter's maximum.  A small
+layer makes a logit of each chunk; the mean, the least and the largest logit of
+a document's chunks make its one probability.
 
-Learning takes at most SAMPLE labelled rows of each class, of texts of at most
-LONGEST code points; scoring reads whole texts of all rows.
+Learning takes a bounded sample of labelled rows (`labelled.sample`); scoring
+reads whole texts of all rows.
 
 Defined cases: a null text is an empty one, which is one chunk of padding.
-Equal texts have equal scores.  Labels that are null or name no document are
-not used; without labels of both classes every score is the share of label 1
-(0.5 if there are none).  An empty table gives an empty result.
+Equal texts have equal scores, so rows that repeat do, each with a row of its
+own.  Other columns are not read, whatever their names.  Labels that are null
+or name no document are not used, and of repeated labels of a doc_id the larger
+counts; without labels of both classes every score is the share of label 1 (0.5
+if there are none).  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +26,9 @@ from pyspark.sql import functions as F
 from millrace.llm import common as C
 from millrace.llm import labelled as L
 
-WIDTH, FILTERS, HIDDEN = 4, 8, 8
+WIDTH, FILTERS, HIDDEN = 8, 8, 16
 SEGMENT, PER_CHUNK, STRIDE = 128, 4, 3
-LAGS = range(3, 25)
-PAD = 4
+PAD = 8
 NOTHING = np.float32(-1e9)
 
 
@@ -56,19 +56,6 @@ def chunks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, np.minimum(begin + PER_CHUNK, np.repeat(first[1:], each)) - 1, at
 
 
-def repeats(data: np.ndarray, at: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """For each segment, the largest share of bytes that equal the byte some places before in the same text."""
-    most = np.zeros(len(begins), np.int64)
-    for lag in LAGS:
-        same = np.zeros(len(data), np.uint8)
-        np.equal(data[lag:], data[:-lag], out=same[lag:].view(bool))
-        heads = (at[:-1, None] + np.arange(lag)).ravel()
-        same[heads[heads < len(data)]] = 0
-        same[data == 0] = 0
-        np.maximum(most, np.add.reduceat(same, begins, dtype=np.int64), out=most)
-    return (most / np.diff(np.append(begins, len(data)))).astype(np.float32)
-
-
 def over_chunks(values: np.ndarray, begin: np.ndarray, last: np.ndarray) -> np.ndarray:
     out = values[begin]
     for k in range(1, PER_CHUNK):
@@ -105,8 +92,7 @@ class Network:
             found = slide(ahead, self.p["filters"])[: y - x]
             found[over[(over >= x) & (over < y)] - x] = NOTHING
             strongest[k : k + step] = np.maximum.reduceat(found, begins[k : k + step] - x)
-        found = np.maximum(over_chunks(strongest, begin, last), 0)
-        return np.hstack([found, over_chunks(repeats(data, at, begins), begin, last)[:, None]]), per_text
+        return np.maximum(over_chunks(strongest, begin, last), 0), per_text
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if not self.p:
@@ -122,7 +108,7 @@ def combined(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: np.ndarray, share: float, epochs: int = 12, seed: int = 7) -> Network:
-    """Learn the filters and layers from chunks that bear their documents' labels, then how chunks combine."""
+    """Learn the filters and layers from chunks that bear their documents' labels, then how chunks combine; of few texts more often."""
     if not len(labels) or labels.min() == labels.max():
         return Network({}, share)
     import pyarrow as pa
@@ -130,7 +116,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float, epochs: int = 12, se
     rng = np.random.default_rng(seed)
     p = {
         "filters": rng.normal(0, 0.3, (WIDTH, 256, FILTERS)),
-        "a": rng.normal(0, 0.4, (FILTERS + 1, HIDDEN)),
+        "a": rng.normal(0, 0.4, (FILTERS, HIDDEN)),
         "a0": np.zeros(HIDDEN),
         "b": rng.normal(0, 0.4, HIDDEN),
         "b0": np.zeros(1),
@@ -140,7 +126,6 @@ def fit(texts: list[str], labels: np.ndarray, share: float, epochs: int = 12, se
     begins, first = segments(at)
     begin, last, per_text = chunks(first)
     owner = np.repeat(np.arange(len(texts)), np.diff(per_text))
-    again = over_chunks(repeats(data, at, begins), begin, last)
     # every document weighs the same, whatever its length, and so does each class
     of_class = np.where(labels == 1, 0.5 / max(labels.sum(), 1), 0.5 / max((1 - labels).sum(), 1))
     weight = (of_class / np.diff(per_text))[owner]
@@ -148,6 +133,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float, epochs: int = 12, se
     data = np.concatenate([data, np.zeros(size + WIDTH, np.uint8)])
     ends = np.minimum(np.append(begins[1:], at[-1])[last], at[1:][owner] - WIDTH + 1) - begins[begin]
     adam = L.Adam(p)
+    epochs = max(epochs, min(5 * epochs, epochs * L.SAMPLE // len(texts)))
     for epoch in range(epochs):
         if epoch == epochs // 2:
             adam.rate /= 3
@@ -162,12 +148,12 @@ def fit(texts: list[str], labels: np.ndarray, share: float, epochs: int = 12, se
             z[~inside] = NOTHING
             where = z.argmax(axis=1)
             strongest = np.take_along_axis(z, where[:, None], 1)[:, 0]
-            x = np.hstack([np.maximum(strongest, 0), again[own, None]])
+            x = np.maximum(strongest, 0)
             h = np.tanh(x @ p["a"] + p["a0"])
             w = weight[own] * np.diff(per_text)[owner[own]]
             g = ((L.sigmoid(h @ p["b"] + p["b0"]) - labels[owner[own]]) * w / w.sum()).astype(np.float32)
             gh = g[:, None] * p["b"] * (1 - h * h)
-            gs = (gh @ p["a"].T)[:, :FILTERS] * (strongest > 0)
+            gs = (gh @ p["a"].T) * (strongest > 0)
             gf = 1e-5 * p["filters"]
             for j in range(WIDTH):
                 np.add.at(gf[j], (np.take_along_axis(bytes_, where + j, 1), np.arange(FILTERS)), gs)

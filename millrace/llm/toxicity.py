@@ -8,14 +8,17 @@ words every STRIDE words, the last one ending with the text, are read by one
 gated recurrent unit in each direction; attention weights the states, and a
 logistic output scores the window.  A document's score is its largest.
 
-Learning takes at most SAMPLE labelled rows of each class, of texts of at most
-LONGEST code points: each round scores all their windows, and then learns from
-the highest of each toxic text and the highest two of each other text.
+Learning takes a bounded sample of labelled rows (`labelled.sample`): each round
+scores all their windows, and then learns from the highest of each toxic text
+and the highest two of each other text.
 
 Defined cases: a null text is an empty one; a text without words has the share
-of label 1 as its score.  Equal texts have equal scores.  Labels that are null
-or name no document are not used; without labels of both classes every score is
-that share (0.5 if there are none).  An empty table gives an empty result.
+of label 1 as its score.  Equal texts have equal scores, so rows that repeat do,
+each with a row of its own.  Other columns are passed on or not read, whatever
+their names.  Labels that are null or name no document are not used, and of
+repeated labels of a doc_id the larger counts; without labels of both classes
+every score is that share (0.5 if there are none).  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -286,7 +289,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, held: int = 2) -> DataFrame:
     """docs without those that score at the threshold or above; all columns stay."""
     net = fitted(docs, labels, folds, held)
-    return L.with_scores(docs, lambda: net, "_toxicity").filter(F.col("_toxicity") < threshold).drop("_toxicity")
+    name = C.fresh(docs, "_toxicity")
+    return L.with_scores(docs, lambda: net, name).filter(F.col(name) < threshold).select(*docs.columns)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,3 +50,42 @@ def test_no_labels_and_no_documents(spark, frame):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.classify(frame([(1, "a"), (None, None)]), none).collect()} == {0.5}
     assert quality.classify(frame([]), none).collect() == []
+
+
+def _plain(net, text):
+    """The score of one text by loops over its bytes."""
+    data = [*(text or "").encode(), *[0] * quality.PAD]
+    p, size, chunk, stride = net.p, quality.SEGMENT, quality.PER_CHUNK, quality.STRIDE
+    cells = range(-(-len(data) // size))
+    starts = [0]
+    while starts[-1] + chunk < len(cells):
+        starts.append(starts[-1] + stride)
+    logits = []
+    for start in starts:
+        strongest = np.zeros(quality.FILTERS)
+        for i in range(start * size, min((start + chunk) * size, len(data) - quality.WIDTH + 1)):
+            strongest = np.maximum(strongest, sum(p["filters"][k][data[i + k]] for k in range(quality.WIDTH)))
+        logits.append(np.clip(np.tanh(strongest @ p["a"] + p["a0"]) @ p["b"] + p["b0"][0], -8, 8))
+    x = np.array([np.mean(logits), min(logits), max(logits), 1.0]) @ p["doc"]
+    return 1 / (1 + np.exp(-x))
+
+
+def test_scores_agree_with_loops_over_the_bytes():
+    import pyarrow as pa
+
+    from millrace.llm import common as C
+
+    rows = _texts(200, 4)
+    net = quality.fit([t for _, t, _ in rows], np.array([y for _, _, y in rows], np.float32), 0.6)
+    texts = [t[:n] for (_, t, _), n in zip(rows, [0, 1, 3, 119, 120, 121, 127, 128, 129, 500, 504, 505, 600, 1500, 4000, 9000], strict=False)] + ["é" * 333]
+    assert np.allclose(net(*C.buffer_of(pa.array(texts))), [_plain(net, t) for t in texts], atol=1e-4)
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = _texts(60, 3)
+    labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows] * 2, "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] * 2, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("score", "label", "held_out", "predicted", "quality")})
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == 120 and len({(r.doc_id, r.score) for r in got}) == 60
