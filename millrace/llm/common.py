@@ -69,7 +69,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _SHINGLE = mix(np.arange(11, 11 + WORDS, dtype=U64) * U64(_BASE)) | U64(1)
 #: The bytes of a 64-bit number that a rest of 0 to 8 bytes fills.
-_REST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+REST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def eights(part: np.ndarray) -> np.ndarray:
@@ -97,7 +97,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
     low, high = int(starts.min()), int(ends.max())
     words = eights(LOWER[data[low:high]] if fold else data[low:high])
     a, length = starts - low, ends - starts
-    sums = _keyed(words[a] & _REST[np.minimum(length, 8)], 0)
+    sums = _keyed(words[a] & REST[np.minimum(length, 8)], 0)
     more = np.flatnonzero(length > 8)
     if len(more):
         extra = (length[more] - 1) // 8
@@ -105,7 +105,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
         number = np.arange(int(extra.sum())) - np.repeat(at, extra) + 1
         place = np.repeat(a[more], extra) + 8 * number
         left = np.minimum(np.repeat(ends[more] - low, extra) - place, 8)
-        sums[more] += np.add.reduceat(_keyed(words[place] & _REST[left], number), at)
+        sums[more] += np.add.reduceat(_keyed(words[place] & REST[left], number), at)
     return mix(sums + length.astype(U64) * U64(_BASE))
 
 

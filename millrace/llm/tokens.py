@@ -4,28 +4,42 @@ A pre-token is a run of spaces and the non-spaces after it, in the text with
 one space before it (the model's dummy prefix).  No piece of the vocabulary
 crosses from a non-space to a space, so the count of a text is the sum of the
 counts of its pre-tokens, and a pre-token counts as the library counts it
-without its first space.  Each task keeps the counts of the pre-tokens it has
-met, up to a bound on memory, after which it begins anew; ids of documents are
-never made.
+without its first space.
+
+A first pass gathers the distinct pre-tokens of all texts and how many runs of
+rows hold each; they are counted once each, whatever document they come from.
+The FREQUENT of them that most runs hold are given to all tasks; a second pass
+multiplies their counts by each document's frequencies where the document lies,
+and only the other pre-tokens are joined by a shuffle, so no key of the join is
+frequent.  Pre-tokens are compared as bytes, not as hashes.  Those of more than
+LONGEST bytes, of which there is seldom more than one, are counted where they
+lie.  Ids of documents are never made.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens.  Rows that repeat
 a doc_id are counted each.  An empty table gives an empty result.  Other
-columns are not read.
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from millrace.llm import common as C
 
-#: Pre-tokens that a worker remembers, about 60 MB.
-KNOWN = 500_000
+#: Pre-tokens whose counts all tasks hold: of at most EIGHTS x 8 bytes each (some 20 MB), and longer ones (10 MB).
+FREQUENT, FREQUENT_LONG = 200_000, 10_000
+EIGHTS = 4
+#: The longest pre-token that is moved, in bytes.
+LONGEST = 1024
+#: Distinct pre-tokens that a task gathers before it sends them on.
+GATHERED = 200_000
 META = "▁"
 LIMIT = 4096
 
@@ -36,71 +50,180 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class PieceCounter:
-    """Counts pieces of texts in columns."""
+class Pieces:
+    """The library's number of pieces of pre-tokens."""
 
     def __init__(self, model: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.known: dict[int, int] = {}
 
-    def distinct(self, hashes: np.ndarray, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Pieces of each span, counted once per distinct span."""
+    def __call__(self, pretokens: list[bytes]) -> np.ndarray:
+        spans = [x[1:].decode() for x in pretokens]
+        return np.array([len(x) if s else 1 for s, x in zip(spans, self.model.encode(spans, num_threads=1), strict=True)], np.int64)
+
+
+def with_space(texts: pa.Array) -> pa.Array:
+    """Texts with one space before them; the library's own mark for a space is a space to it."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    if pc.any(pc.match_substring(texts, META)).as_py():
+        texts = pc.replace_substring(texts, META, " ")
+    return pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string()))
+
+
+class Spans:
+    """The distinct pre-tokens of some texts and how often each text has them."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        space = data == 0x20
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begins[offsets[:-1]] = True
+        begins = np.flatnonzero(begins)
+        ends = np.append(begins[1:], len(data))
+        inside = np.searchsorted(begins, offsets)
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(inside))
+        some = (np.diff(offsets) > 1)[row]  # else nothing but the prefix
+        begins, ends, row = begins[some], ends[some], row[some]
+        length = ends - begins
+        words = C.eights(data)
+        # the first bytes of each, and its length: equal ones are equal pre-tokens up to 8 * EIGHTS bytes
+        self.heads = [words[np.minimum(begins + 8 * k, len(data))] & C.REST[np.clip(length - 8 * k, 0, 8)] for k in range(EIGHTS)]
+        hashes = C.hash_spans(data, begins, ends)
         kinds, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        counts = np.array([self.known.get(h, -1) for h in kinds.tolist()], np.int64)
-        new = np.flatnonzero(counts < 0)
-        if len(new):
+        odd = np.zeros(len(begins), bool)  # spans whose hash is that of another one
+        for x in (length, *self.heads):
+            odd |= x != x[first][which]
+        long = np.flatnonzero(length > 8 * EIGHTS)
+        if len(long):
             raw = data.tobytes()
-            spans = [raw[b + 1 : e].decode() for b, e in zip(begins[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            counts[new] = [len(x) if s else 1 for s, x in zip(spans, self.model.encode(spans, num_threads=1), strict=True)]
-            if len(self.known) + len(new) > KNOWN:
-                self.known.clear()
-            self.known.update(zip(kinds[new][:KNOWN].tolist(), counts[new][:KNOWN].tolist(), strict=True))
-        return counts[which]
-
-    def count(self, texts: pa.Array) -> np.ndarray:
-        """Pieces of each text."""
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
-        if pc.any(pc.match_substring(texts, META)).as_py():  # the library's own mark for a space is a space to it
-            texts = pc.replace_substring(texts, META, " ")
-        data, offsets = C.buffer_of(pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string())))
-        out = np.zeros(len(texts), np.int64)
-        for a, b in C.blocks(offsets, rows=1 << 14):
-            part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            space = part == 0x20
-            begins = space.copy()
-            begins[1:] &= ~space[:-1]
-            begins[at[:-1]] = True
-            begins = np.flatnonzero(begins)
-            ends = np.append(begins[1:], len(part))
-            sums = np.zeros(len(begins) + 1, np.int64)
-            first = 0
-            while first < len(begins):
-                last = max(first + 1, int(np.searchsorted(ends, begins[first] + C.CHUNK_BYTES, "right")))
-                x, y = begins[first:last], ends[first:last]
-                sums[first + 1 : last + 1] = self.distinct(C.hash_spans(part, x, y), part[x[0] : y[-1]], x - x[0], y - x[0])
-                first = last
-            sums = np.cumsum(sums)
-            inside = np.searchsorted(begins, at)
-            out[a:b] = sums[inside[1:]] - sums[inside[:-1]]
-            out[a:b][np.diff(at) == 1] = 0  # nothing but the prefix
+            of = {w: raw[begins[i] : ends[i]] for w, i in zip(which[long].tolist(), first[which[long]].tolist(), strict=True)}
+            for i in long.tolist():
+                odd[i] |= raw[begins[i] : ends[i]] != of[which[i]]
+        extra = np.flatnonzero(odd)
+        which[extra] = len(kinds) + np.arange(len(extra))  # each stands for itself
+        first = np.append(first, extra)
+        self.data, self.hashes, self.row, self.which = data, np.append(kinds, hashes[extra]), row, which
+        self.begins, self.ends = begins[first], ends[first]
+        self.heads = [x[first] for x in self.heads]
+
+    def bytes_of(self, chosen: np.ndarray) -> list[bytes]:
+        raw = self.data.tobytes()
+        return [raw[a:b] for a, b in zip(self.begins[chosen].tolist(), self.ends[chosen].tolist(), strict=True)]
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return self.ends - self.begins
+
+
+class Known:
+    """Counts of frequent pre-tokens, found by hash and told apart by their bytes."""
+
+    def __init__(self, pretokens: list[bytes], counts: np.ndarray):
+        data, offsets = C.buffer_of(pa.array(pretokens, pa.large_binary()).view(pa.large_string())) if pretokens else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        begins, length = offsets[:-1], np.diff(offsets)
+        hashes = C.hash_spans(data, begins, offsets[1:])
+        order = np.argsort(hashes, kind="stable")
+        words = C.eights(data)
+        self.lookup = C.Lookup(hashes)
+        self.at = np.searchsorted(hashes[order], self.lookup.codes)
+        self.length, self.counts = length[order][self.at], counts[order][self.at]
+        self.heads = [(words[np.minimum(begins + 8 * k, len(data))] & C.REST[np.clip(length - 8 * k, 0, 8)])[order][self.at] for k in range(EIGHTS)]
+        self.long = {x: n for x, n in zip(pretokens, counts.tolist(), strict=True) if len(x) > 8 * EIGHTS}
+
+    def __call__(self, spans: Spans) -> np.ndarray:
+        """Pieces of each distinct span, -1 of those not known."""
+        out = np.full(len(spans.hashes), -1, np.int64)
+        found = self.lookup(spans.hashes)
+        hit = np.flatnonzero(found)
+        at = found[hit] - 1
+        same = (self.length[at] == spans.lengths[hit]) & (spans.lengths[hit] <= 8 * EIGHTS)
+        for own, other in zip(self.heads, spans.heads, strict=True):
+            same &= own[at] == other[hit]
+        out[hit[same]] = self.counts[at[same]]
+        long = np.flatnonzero((spans.lengths > 8 * EIGHTS) & (spans.lengths <= LONGEST))
+        if len(long) and self.long:
+            out[long] = [self.long.get(x, -1) for x in spans.bytes_of(long)]
         return out
 
 
-def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit of every document; a map over the rows, without a shuffle."""
+def spans_of(texts: pa.Array, size: int = C.CHUNK_BYTES) -> Iterator[tuple[int, int, Spans]]:
+    """Blocks of rows and their spans."""
+    data, offsets = C.buffer_of(with_space(texts))
+    for a, b in C.blocks(offsets, size, 1 << 14):
+        yield a, b, Spans(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(tokenizer_path(model))
+
+def distinct_pretokens(docs: DataFrame, model: str) -> DataFrame:
+    """pretoken, held (how many runs of rows hold it) and pieces of every distinct pre-token that is moved; pieces are counted after the shuffle, once each."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, int] = {}
+        send = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["pretoken", "held"])
+        for batch in batches:
+            for _, _, spans in spans_of(batch.column(0)):
+                for x in spans.bytes_of(np.flatnonzero(spans.lengths <= LONGEST)):
+                    held[x] = held.get(x, 0) + 1
+                if len(held) >= GATHERED:
+                    yield send()
+                    held.clear()
+        if held:
+            yield send()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(tokenizer_path(model))
         for batch in batches:
-            _, offsets = C.buffer_of(batch.column(1))
-            for a, b in C.blocks(offsets, 4 * C.CHUNK_BYTES, 1 << 14):
-                n = counter.count(batch.column(1).slice(a, b - a))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(offsets[a : b + 1])), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces(batch.column(0).to_pylist()), pa.int64())], ["pretoken", "held", "pieces"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return C.text_frame(docs).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(gather, "pretoken binary, held long")
+    return rows.groupBy("pretoken").agg(F.sum("held").alias("held")).mapInArrow(count, "pretoken binary, held long, pieces long")
+
+
+def frequencies(docs: DataFrame, model: str, known, keep: Sequence[str]) -> DataFrame:
+    """One row a document: row, doc_id, the kept columns, n_bytes and n (the tokens of its frequent and of its longest pre-tokens); and a row for each other pre-token of it: row, pretoken, times."""
+    rows = C.text_frame(docs, *keep).select(F.monotonically_increasing_id().alias("row"), "doc_id", *keep, "text")
+    own = rows.schema.fields[:-1]
+    names = [*(f.name for f in own), "n_bytes", "n", "pretoken", "times"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(tokenizer_path(model))
+        for batch in batches:
+            texts = batch.column(len(own))
+            n_bytes = np.diff(C.buffer_of(texts)[1])
+            for a, b, spans in spans_of(texts):
+                counts = known.value(spans)
+                long = np.flatnonzero((counts < 0) & (spans.lengths > LONGEST))
+                if len(long):
+                    counts[long] = pieces(spans.bytes_of(long))
+                each, n = counts[spans.which], b - a
+                total = np.bincount(spans.row, np.maximum(each, 0), n).astype(np.int64)
+                part = batch.slice(a, n)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], pa.array(n_bytes[a:b]), pa.array(total), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
+                other = each < 0
+                if other.any():
+                    width = len(counts)
+                    pairs, times = np.unique(spans.row[other] * width + spans.which[other], return_counts=True)
+                    kinds, at = np.unique(pairs % width, return_inverse=True)
+                    held, m = pa.array(spans.bytes_of(kinds), pa.binary()).take(pa.array(at)), len(pairs)
+                    nothing = [pa.nulls(m, c.type) for c in part.columns[1 : len(own)]]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(pairs // width)), *nothing, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), held, pa.array(times.astype(np.int64))], names)
+
+    added = [("n_bytes", LongType()), ("n", LongType()), ("pretoken", BinaryType()), ("times", LongType())]
+    return rows.mapInArrow(run, StructType([*(StructField(f.name, f.dataType) for f in own), *(StructField(*x) for x in added)]))
+
+
+def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int = LIMIT, frequent: int = FREQUENT, frequent_long: int = FREQUENT_LONG, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the columns to keep, n_bytes, n_tokens and over_limit of every document."""
+    table = C.cut(distinct_pretokens(docs, model))
+    short = F.length("pretoken") <= 8 * EIGHTS
+    top = lambda of, n: table.filter(of).orderBy(F.desc("held"), "pretoken").limit(n).select("pretoken", "pieces")
+    held = top(short, frequent).unionByName(top(~short, frequent_long)).toArrow()  # bounded by both limits
+    known = docs.sparkSession.sparkContext.broadcast(Known(held.column(0).to_pylist(), held.column(1).to_numpy()))
+    rows = C.cut(frequencies(docs, model, known, keep))
+    joined = rows.filter("pretoken IS NOT NULL").select("row", "pretoken", "times").join(table.select("pretoken", "pieces"), "pretoken").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("others"))
+    n = F.col("n") + F.coalesce("others", F.lit(0))
+    whole = rows.filter("pretoken IS NULL").join(joined, "row", "left")
+    return whole.select("doc_id", *keep, "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

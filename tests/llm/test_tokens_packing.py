@@ -12,9 +12,28 @@ from millrace.llm import packing, tokens
 PIECES = st.text(st.sampled_from(" ▁  \n\taeiouéßÑ<s>|1.,!?\x00　日本\U0001f600") | st.characters(exclude_categories=["Cs"]), max_size=60)
 
 
+class Counter:
+    """What the tasks do, in one process: some pre-tokens known, the others counted once each."""
+
+    def __init__(self):
+        self.pieces = tokens.Pieces(tokens.tokenizer_path("piece_bpe_32k.model"))
+        self.model = self.pieces.model
+
+    def count(self, texts, known=()):
+        known = sorted(set(known))
+        held = tokens.Known(known, self.pieces(known))
+        out = []
+        for a, b, spans in tokens.spans_of(texts):
+            counts = held(spans)
+            other = np.flatnonzero(counts < 0)
+            counts[other] = self.pieces(spans.bytes_of(other))
+            out += np.bincount(spans.row, counts[spans.which], b - a).astype(int).tolist()
+        return out
+
+
 @pytest.fixture(scope="module")
 def counter():
-    return tokens.PieceCounter(tokens.tokenizer_path("piece_bpe_32k.model"))
+    return Counter()
 
 
 @pytest.fixture(scope="module")
@@ -24,13 +43,40 @@ def encoder():
 
 def test_counts_agree_with_the_library(counter):
     @settings(max_examples=400, deadline=None)
-    @given(st.lists(PIECES, max_size=12))
-    def check(texts):
-        assert counter.count(pa.array(texts, pa.string())).tolist() == [len(x) for x in (counter.model.encode(t) for t in texts)]
+    @given(st.lists(PIECES, max_size=12), st.lists(PIECES, max_size=6))
+    def check(texts, others):
+        known = [b" " + x.replace(" ", "").replace("▁", "").encode() for x in others + texts[:4]]
+        assert counter.count(pa.array(texts, pa.string()), known) == [len(x) for x in (counter.model.encode(t) for t in texts)]
 
     check()
 
 
+def _thue_morse(n, a="a", b="b"):
+    x, y = a, b
+    while len(x) < n:
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_regular_words_are_told_apart(spark, frame, counter):
+    texts = [w for n in (1024, 2048, 4096) for pair in (("a", "b"), ("x", "yz")) for w in _thue_morse(n, *pair)]
+    expected = [len(counter.model.encode(t)) for t in texts]
+    assert len(set(expected)) > 3
+    assert counter.count(pa.array(texts)) == expected
+    got = {r.doc_id: r.n_tokens for r in tokens.token_counts(frame(list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+
+
+def test_few_known_pretokens_change_nothing(spark, frame, counter):
+    r = random.Random(3)
+    words = [f"{r.choice('abc')}{k}" for k in range(300)] + ["=" * 80, "long" * 20, "-" * 2000]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(60))) + "  " * r.randrange(2) for _ in range(200)]
+    docs = frame(list(enumerate(texts))).repartition(3)
+    for frequent, frequent_long in ((0, 0), (7, 1), (10_000, 100)):
+        got = {x.doc_id: x.n_tokens for x in tokens.token_counts(docs, frequent=frequent, frequent_long=frequent_long).collect()}
+        assert got == {i: len(counter.model.encode(t)) for i, t in enumerate(texts)}
+
+
 def test_ids_agree_with_the_library(encoder):
     import tokenizers
 
@@ -53,6 +99,8 @@ def test_token_counts_query(spark, frame, counter):
         n = len(counter.model.encode(t or ""))
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 4096)
     assert tokens.token_counts(frame([])).collect() == []
+    again = tokens.token_counts(frame([(1, "a b"), (1, "a b"), (1, "c"), (None, "d")]), keep=("source",)).collect()
+    assert sorted((r.doc_id or 0, r.source, r.n_tokens) for r in again) == [(0, "s", 1), (1, "s", 1), (1, "s", 2), (1, "s", 2)]
 
 
 def test_fullest_is_the_best_subset():
