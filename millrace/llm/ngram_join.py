@@ -21,7 +21,7 @@ what those links leave in several components, every pair that may link.
 Defined cases: a null text is an empty one; texts without words have no
 shingles and link with nothing.  Rows that repeat a doc_id are judged each; a
 component's id is its least doc_id, null only if none has one.  An empty table
-gives an empty result.  Other columns are not read.
+gives an empty result.  Other columns are not read, whatever their names.
 
 Sets are compared as 64-bit hashes of shingles, classes as 64-bit hashes of sets
 together with their sizes.
@@ -47,9 +47,9 @@ SHARED = 4
 #: The longest run that gives all its pairs, and rows of a block of a tile.
 SMALL = 8
 BLOCK = 1024
-#: Rows of a dealt array, and ids that may be broadcast.
+#: Rows of a dealt array, and bytes of entries that a task holds at once.
 PACKED = 500_000
-BROADCAST_IDS = 2_000_000
+BUCKET_BYTES = 24 << 20
 #: Members of a product of incidences, and what a tile is known by.
 WIDE = 4096
 TILE = ("cluster", "band_a", "block_a", "band_b", "block_b")
@@ -120,6 +120,11 @@ def code_of(members: np.ndarray, parts: int) -> np.ndarray:
     return C.mix(members) >> C.U64(64 - 32 - int(parts).bit_length() + 1)
 
 
+def buckets(spark: SparkSession, entries: float, size: int) -> int:
+    """To how many parts some entries are dealt, so that a part's size does not grow with their number."""
+    return max(C.partitions(spark), -(-int(entries * size) // BUCKET_BYTES))
+
+
 class Fresh:
     """Which sets have not been met before in this task (forgotten when there are too many)."""
 
@@ -136,11 +141,15 @@ class Fresh:
         return out
 
 
-def shared_shingles(docs: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the most shared shingles of low hash, and by how many classes of tasks each is shared; counted over all texts."""
-    parts = C.partitions(docs.sparkSession)
+def shared_shingles(docs: DataFrame, percent: int, total: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Codes of the most shared shingles of low hash, by how many classes of tasks each is shared, and the number of parts that the codes are made for.
+
+    Counted over all texts; total: the sum of the sizes of their sets.
+    """
     # the first members in order are the lowest hashes, a share 1 - t of a set; some more, as shared ones make room
-    limit = C.U64(int((1 << 64) * min(1.0, 1.4 * (1 - percent / 100))))
+    share = min(1.0, 1.4 * (1 - percent / 100))
+    parts = buckets(docs.sparkSession, total * share, 4)
+    limit = C.U64(min(int((1 << 64) * share), (1 << 64) - 1))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size, fresh = [], 0, Fresh()
@@ -178,7 +187,7 @@ def shared_shingles(docs: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarr
     dealt = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(deal, "bucket int, codes binary").repartitionById(parts, "bucket")
     # at most HOT rows
     top = dealt.mapInArrow(run, "code long, count long").orderBy(F.desc("count"), "code").limit(HOT).toPandas()
-    return top["code"].to_numpy(np.int64).astype(C.U64), top["count"].to_numpy(np.int64)
+    return top["code"].to_numpy(np.int64).astype(C.U64), top["count"].to_numpy(np.int64), parts
 
 
 def heads(members: np.ndarray, at: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
@@ -213,13 +222,14 @@ def runs(entries: np.ndarray, percent: int, whole: bool) -> tuple[np.ndarray, np
     return np.concatenate(left), np.concatenate(right), entries[(own > SMALL) if whole else np.zeros(m, bool)]
 
 
-def meet(docs: DataFrame, hot: np.ndarray, shared: np.ndarray, percent: int) -> DataFrame:
+def meet(docs: DataFrame, percent: int, total: int) -> DataFrame:
     """Pairs (a, b) of classes that meet by a shingle, and the entries (token, cls, n) of long runs; from all texts.
 
     A shingle that more classes share than a dealt array holds is dealt in parts
-    by class; its entries are all kept for the tiles.
+    by class; its entries are all kept for the tiles.  total: the sum of the sizes of all sets.
     """
-    parts = C.partitions(docs.sparkSession)
+    hot, shared, coded = shared_shingles(docs, percent, total)
+    parts = buckets(docs.sparkSession, total * (1 - percent / 100), ENTRY.itemsize)
     known = C.Lookup(hot)
     order = np.argsort(hot)
     level, split = np.zeros(len(hot) + 1, np.int32), np.ones(len(hot) + 1, np.int32)
@@ -231,7 +241,7 @@ def meet(docs: DataFrame, hot: np.ndarray, shared: np.ndarray, percent: int) ->
         waiting, size, fresh = [], 0, Fresh()
 
         def dealt(entries: np.ndarray) -> pa.RecordBatch:
-            salt = entries["cls"].view(C.U64) % split[known(code_of(entries["token"], parts))].astype(C.U64) * C.U64(0x9E3779B97F4A7C15) if divided else C.U64(0)
+            salt = entries["cls"].view(C.U64) % split[known(code_of(entries["token"], coded))].astype(C.U64) * C.U64(0x9E3779B97F4A7C15) if divided else C.U64(0)
             bucket = (C.mix(entries["token"] + salt) % C.U64(parts)).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
             kinds, begin = np.unique(bucket[by], return_index=True)
@@ -243,7 +253,7 @@ def meet(docs: DataFrame, hot: np.ndarray, shared: np.ndarray, percent: int) ->
             for a, b in C.blocks(offsets):
                 members, at = sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 n, cls = np.diff(at), classes_of(members, at)
-                taken = heads(members, at, level[known(code_of(members, parts))], percent) & np.repeat(fresh(cls, n), n)
+                taken = heads(members, at, level[known(code_of(members, coded))], percent) & np.repeat(fresh(cls, n), n)
                 entries = np.empty(taken.sum(), ENTRY)
                 entries["token"], entries["cls"], entries["n"] = members[taken], np.repeat(cls, n)[taken], np.repeat(n, n)[taken]
                 waiting.append(entries)
@@ -265,7 +275,7 @@ def meet(docs: DataFrame, hot: np.ndarray, shared: np.ndarray, percent: int) ->
         entries = entries[new]
         left, right, long = runs(entries, percent, True)
         if divided:
-            long = np.unique(np.concatenate([long, entries[split[known(code_of(entries["token"], parts))] > 1]]))
+            long = np.unique(np.concatenate([long, entries[split[known(code_of(entries["token"], coded))] > 1]]))
         pairs = np.unique(np.stack([left, right], 1), axis=0)
         none = lambda k, kind=pa.int64(): pa.nulls(k, kind)
         names = ["a", "b", "token", "cls", "n"]
@@ -311,7 +321,7 @@ def linked(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     pairs = C.cut(pairs.select("a", "b", "key_a", "key_b"))
     texts = keyed(docs).select("key", "text")
     # the pairs' keys are broadcast while they are few, so only texts that pairs need are dealt; else all are
-    few = pairs.count() <= BROADCAST_IDS
+    few = C.few(pairs, 64)
     held = F.broadcast(pairs) if few else pairs
     wanted = pairs.select(F.col("key_b").alias("key")).distinct()
     left = texts.join(held.withColumnRenamed("key_a", "key"), "key").select("a", "b", "key_b", F.col("text").alias("text_a"))
@@ -364,8 +374,8 @@ def placed(entries: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     that differ by less than the least ratio of linked sets, a band in blocks of
     about BLOCK; a tile has two blocks of a band or of neighbouring bands.
     """
-    anchor = entries.groupBy("token").agg(F.min("cls").alias("anchor"))
-    cluster = C.cut(components(entries.join(anchor, "token").select("anchor", "cls").distinct())).select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
+    # tokens are nodes beside the classes, so a common token is nobody's list; should a token and a class be the same number, two clusters are one
+    cluster = C.cut(components(entries.select("token", "cls"))).select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
     rows = entries.select("cls", "label").distinct().join(cluster, "cls").join(known.select("cls", "n", "bitmap", "key"), "cls")
     band = F.floor(F.log(F.col("n")) / float(np.log(100 / percent)) + 1e-9).cast("int")
     rows = C.cut(rows.withColumn("band", band))
@@ -450,10 +460,16 @@ def labelled(df: DataFrame, labels: DataFrame, column: str, name: str) -> DataFr
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
+    return judged(docs, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def judged(docs: DataFrame, percent: int) -> DataFrame:
+    """One row a document: doc_id, key, n, component_id, and whether it is the one of its component that comes first (by doc_id, those without one last, then by key)."""
     described = C.cut(describe(docs))
-    rows = described.select("doc_id", "n", "cls")
-    known = C.cut(described.filter("cls IS NOT NULL").groupBy("cls", "n").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.max("bitmap").alias("bitmap")))
-    met = C.cut(meet(docs, *shared_shingles(docs, percent), percent))
+    rows = described.select("doc_id", "key", "n", "cls")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    known = C.cut(described.filter("cls IS NOT NULL").groupBy("cls", "n").agg(F.min(order).alias("least"), F.min("key").alias("key"), F.max("bitmap").alias("bitmap")))
+    met = C.cut(meet(docs, percent, described.agg(F.sum("n")).first()[0] or 0))
     candidates = C.cut(passing(met.filter("a IS NOT NULL").select("a", "b").distinct(), known, percent))
     labels = None
 
@@ -481,12 +497,15 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         mixed = C.cut(own.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token"))
         if mixed.isEmpty():
             break
-        check(C.cut(tiles(C.cut(own.join(mixed, "token", "left_semi")), known, percent, likeliest)))
+        chosen = F.broadcast(mixed) if C.few(mixed, 24) else mixed
+        check(C.cut(tiles(C.cut(own.join(chosen, "token", "left_semi")), known, percent, likeliest)))
     named = C.cut(labelled(known.select("cls", "n", "least"), labels, "cls", "label"))
-    least = C.cut(named.groupBy("label").agg(F.min("least").alias("component_id")))
-    of_class = C.cut(named.join(least, "label").select("cls", F.col("component_id")))
+    least = C.cut(named.groupBy("label").agg(F.min("least").alias("first")))
+    of_class = C.cut(named.join(least, "label").select("cls", "first"))
     out = rows.join(of_class, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    alone = F.col("first").isNull()
+    first = alone | (order == F.col("first"))
+    return out.select("doc_id", "key", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), first.alias("first"))
 
 
 def links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -496,7 +515,7 @@ def links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     described = C.cut(describe(docs).filter("cls IS NOT NULL"))
     known = C.cut(described.groupBy("cls", "n").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.max("bitmap").alias("bitmap"), F.count("*").alias("docs")))
-    met = C.cut(meet(docs, *shared_shingles(docs, percent), percent))
+    met = C.cut(meet(docs, percent, described.agg(F.sum("n")).first()[0] or 0))
     found = linked(C.cut(passing(met.filter("a IS NOT NULL").select("a", "b").distinct(), known, percent)), docs, percent)
     long = met.filter("token IS NOT NULL").select("token", "cls", F.col("cls").alias("label"))
     if not long.isEmpty():
@@ -509,10 +528,15 @@ def links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with the least doc_id of each component only; all columns stay."""
-    kept = C.cut(groups(docs, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct())
-    kept = F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """docs with the first document of each component only, that of the least doc_id; all columns stay.
+
+    Rows that repeat both doc_id and text are one document and stay together.
+    """
+    id_, key = (C.fresh(docs, x) for x in ("_id", "_key"))
+    gone = C.cut(judged(docs, percent).filter(~F.col("first")).select(F.col("doc_id").alias(id_), F.col("key").alias(key)))
+    own = F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")))
+    gone = F.broadcast(gone) if C.few(gone, 48) else gone
+    return docs.join(gone, (own == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_)), "left_anti")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

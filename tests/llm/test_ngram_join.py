@@ -74,7 +74,7 @@ def test_long_runs_are_settled_in_tiles(spark, frame, monkeypatch):
 def test_shared_shingles_are_counted_over_all_texts(spark, frame):
     r = random.Random(4)
     texts_ = [" ".join(f"w{r.randrange(10**6)}" for _ in range(40)) + " " + " ".join(f"p{k}" for k in range(40)) for _ in range(30)]
-    codes, counts = ngram_join.shared_shingles(frame(list(enumerate(texts_))).repartition(6), 75)
+    codes, counts, _ = ngram_join.shared_shingles(frame(list(enumerate(texts_))).repartition(6), 75, 30 * 76)
     assert len(codes) and set(counts.tolist()) == {30}
 
 
@@ -123,6 +123,22 @@ def test_repeated_rows_null_ids_and_empty_tables(spark, frame):
     df = frame(list(enumerate([a, b, "other words entirely", ""])))
     kept = ngram_join.keep_one(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+    odd = ngram_join.keep_one(frame([(5, a), (5, "z " + a), (3, b), (None, a), (None, "q r s"), (None, "q r  s"), (7, None), (8, "")]).withColumnRenamed("score", "_id").withColumnRenamed("bucket", "_key"))
+    assert sorted((r.doc_id or 0, r.text or "") for r in odd.collect())[1:] == [(3, b), (7, ""), (8, "")] and odd.count() == 4
+
+
+def test_regular_words_link_with_nothing(spark, frame):
+    rows = []
+    for n in (1024, 2048, 4096):
+        x, y = "a", "b"
+        while len(x) < n:
+            x, y = x + y, y + x
+        rows += [(len(rows), x), (len(rows) + 1, y), (len(rows) + 2, x + " " + y), (len(rows) + 3, y + " " + x)]
+    assert got(ngram_join.groups(frame(rows))) == {i: (1, i) for i, _ in rows}
+    from millrace.llm import fingerprints
+
+    found = fingerprints.compare_edited(frame(rows)).collect()
+    assert len({r.fingerprint for r in found}) == len(rows) and all(r.near_next < 1 for r in found)
 
 
 @pytest.mark.parametrize("small, block", [(8, 1024), (2, 8)])
