@@ -20,6 +20,24 @@ def test_exact_dedup_keeps_the_largest_id_of_each_text(spark, frame):
                 assert (rows[i].keep_id, rows[i].group_size, rows[i].kept, rows[i].text_sha256) == (max(ids), len(ids), i == max(ids), hashlib.sha256(t.encode()).hexdigest())
 
 
+def test_copies_go_whatever_their_number(spark, frame, monkeypatch):
+    from millrace.llm import common as C
+
+    r = random.Random(6)
+    texts = ["hot copy"] * 300 + ["warm"] * 30 + [None, ""] + [f"text {r.randrange(200)}" for _ in range(400)]
+    rows = list(enumerate(texts)) + [(3, "hot copy"), (3, "warm"), (3, "warm"), (299, "hot copy"), (5000, "x"), (5000, "x"), (None, "warm"), (None, "w"), (None, "w")]
+    last = {}
+    for i, t in rows:
+        last[t or ""] = max(last.get(t or "", -1), -1 if i is None else i)
+    df = frame(rows).withColumnRenamed("score", "_digest").withColumnRenamed("bucket", "_keep").repartition(5)
+    for most in (32 << 20, 0):  # broadcast, and shuffled
+        monkeypatch.setattr(C, "few", lambda frame, size, most=most: most > 0)
+        for counters in (1000, 3):
+            out = exact_dedup.drop_copies(df, counters)
+            assert out.columns == df.columns
+            assert sorted((x.text or "", -1 if x.doc_id is None else x.doc_id) for x in out.collect()) == sorted(last.items())
+
+
 def test_misra_gries_finds_every_frequent_digest(spark):
     from pyspark.sql import functions as F
 
