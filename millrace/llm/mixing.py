@@ -1,23 +1,28 @@
 """Mixing sources to target weights: iterative proportional fitting.
 
-The tokens of documents are summed by cell (source, language, topic).  Raking
-scales the cells until the sums over each dimension have their target shares:
-each sweep brings one dimension after another to its targets.  A cell's weight
-is its fitted over its actual tokens; documents are kept with a probability in
-proportion to it, by a hash of their id.  The cell of the largest weight sets
-the scale: it is kept whole, and every cell has its exact share, however scarce
-it is.  Only a caller that passes a slack keeps more: cells with at most that
-share of all tokens are then kept whole too, and fall short of their targets.
+The tokens of documents (pieces, as `tokens` counts them) are summed by cell
+(source, language, topic).  Raking scales the cells until the sums over each
+dimension have their target shares: each sweep brings one dimension after
+another to its targets.  A cell's weight is its fitted over its actual tokens;
+documents are kept with a probability in proportion to it, by a hash of their
+id.  The cell of the largest weight sets the scale: it is kept whole, and every
+cell has its exact share, however scarce it is.  Only a caller that passes a
+slack keeps more: cells with at most that share of all tokens are then kept
+whole too, and fall short of their targets.
 
 Cells are few (sources x languages x topics), but not bounded by anything here:
 up to CELLS of them are raked in numpy, more of them as DataFrames.  Targets not
-given are the actual shares to the power TEMPERATURE.
+given are the actual shares to the power TEMPERATURE.  Documents have no topic
+of their own: a caller may pass one as a column, else plain marks in the text
+make it.
 
 Defined cases: null text is empty and has no tokens; a null source, language or
 topic is the empty one.  Rows that repeat a doc_id are kept or dropped together;
-rows without one too.  A target for a value without tokens is left out, and the
-rest keep their proportions.  A cell without tokens has the weight 1.  An empty
-table gives an empty result.
+rows without one too.  A very long text counts whole.  A target for a value
+without tokens is left out, and the rest keep their proportions; of documents
+with one weight, all or none are above a probability of 1.  A cell without
+tokens has the weight 1.  An empty table gives an empty result.  Other columns
+are passed on or not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import common as C
+from millrace.llm.tokens import token_counts
 
 DIMENSIONS = ("source", "lang", "topic")
 TEMPERATURE = 0.7
@@ -47,14 +53,15 @@ def topic(text: Column) -> Column:
     )
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs and their _source, _lang, _topic and _tokens (runs of other than white space)."""
+def cell(docs: DataFrame, own: Column | None) -> dict[str, Column]:
+    """Source, language and topic of each document."""
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"_source": F.coalesce("source", F.lit("")), "_lang": F.coalesce("lang", F.lit("")), "_topic": topic(text), "_tokens": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")})
+    return {"source": F.coalesce(docs["source"], F.lit("")), "lang": F.coalesce(docs["lang"], F.lit("")), "topic": topic(text) if own is None else F.coalesce(own.cast("string"), F.lit(""))}
 
 
-def cells_of(docs: DataFrame) -> DataFrame:
-    return measured(docs).groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens"))
+def measured(docs: DataFrame, own: Column | None) -> DataFrame:
+    """doc_id, cell and n_tokens of every document, without its text; written, as it is read twice."""
+    return C.cut(token_counts(docs.select("doc_id", "text", *(c.alias(d) for d, c in cell(docs, own).items())), keep=DIMENSIONS).drop("n_bytes", "over_limit"))
 
 
 def shares(sums: dict[str, float], targets: dict[str, float] | None, temperature: float) -> dict[str, float]:
@@ -92,48 +99,48 @@ def _rake_wide(cells: DataFrame, goals: dict[str, dict[str, float] | None], temp
     total = cells.agg(F.sum("tokens")).first()[0]
     aims = {}
     for d in DIMENSIONS:
-        sums = cells.groupBy(f"_{d}").agg(F.sum("tokens").alias("own")).filter("own > 0")
+        sums = cells.groupBy(d).agg(F.sum("tokens").alias("own")).filter("own > 0")
         given = goals.get(d)
         if given is None:
             aim = sums.withColumn("aim", F.pow(F.col("own") / total, temperature))
         else:
-            table = spark.createDataFrame(list(given.items()), f"_{d} string, given double") if given else spark.createDataFrame([], f"_{d} string, given double")
-            aim = C.cut(sums.join(table, f"_{d}", "left"))
+            table = spark.createDataFrame(list(given.items()), f"{d} string, given double") if given else spark.createDataFrame([], f"{d} string, given double")
+            aim = C.cut(sums.join(table, d, "left"))
             rest = aim.filter("given IS NULL").agg(F.sum("own")).first()[0] or 1
             aim = aim.withColumn("aim", F.coalesce("given", F.lit(max(0.0, 1 - sum(given.values())) / rest) * F.col("own")))
         aim = C.cut(aim)
         whole = aim.agg(F.sum("aim")).first()[0] or 0
-        aims[d] = C.cut(aim.select(f"_{d}", (F.col("aim") / whole if whole > 0 else F.col("own") / total).alias("aim")))
+        aims[d] = C.cut(aim.select(d, (F.col("aim") / whole if whole > 0 else F.col("own") / total).alias("aim")))
     fit = C.cut(cells.withColumn("fit", F.col("tokens").cast("double")))
     for _ in range(sweeps):
         off = 0.0
         for d in DIMENSIONS:
-            sums = C.cut(fit.groupBy(f"_{d}").agg(F.sum("fit").alias("sum")).join(aims[d], f"_{d}", "left"))
+            sums = C.cut(fit.groupBy(d).agg(F.sum("fit").alias("sum")).join(aims[d], d, "left"))
             off = max(off, sums.agg(F.max(F.abs(F.col("sum") / total - F.coalesce("aim", F.lit(0.0))))).first()[0] or 0)
             factor = F.when(F.col("sum") > 0, F.coalesce("aim", F.lit(0.0)) * total / F.col("sum")).otherwise(0.0)
-            fit = fit.join(sums.select(f"_{d}", factor.alias("factor")), f"_{d}").withColumn("fit", F.col("fit") * F.col("factor")).drop("factor")
+            fit = fit.join(sums.select(d, factor.alias("factor")), d).withColumn("fit", F.col("fit") * F.col("factor")).drop("factor")
         fit = C.cut(fit)
         if off < tolerance:
             break
     return fit
 
 
-def weights(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temperature: float = TEMPERATURE, slack: float = SLACK, sweeps: int = SWEEPS, tolerance: float = TOLERANCE, most: int = CELLS) -> tuple[DataFrame, bool]:
-    """Of each cell: _source, _lang, _topic, weight and probability; and whether the cells are few enough to broadcast."""
-    spark, targets = docs.sparkSession, targets or {}
-    cells = C.cut(cells_of(docs))
+def weights(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, temperature: float = TEMPERATURE, slack: float = SLACK, sweeps: int = SWEEPS, tolerance: float = TOLERANCE, most: int = CELLS) -> tuple[DataFrame, bool]:
+    """Of each cell of measured rows: source, lang, topic, weight and probability; and whether the cells are few enough to broadcast."""
+    spark, targets = rows.sparkSession, targets or {}
+    cells = C.cut(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
     few = cells.count() <= most
     if few:
-        rows = sorted(tuple(r) for r in cells.collect())
-        tokens = np.array([r[3] for r in rows], np.int64)
+        held = sorted(tuple(r) for r in cells.collect())
+        tokens = np.array([r[3] for r in held], np.int64)
         codes, goals = [], []
         for k, d in enumerate(DIMENSIONS):
-            values, code = np.unique(np.array([r[k] for r in rows], object), return_inverse=True) if rows else (np.array([]), np.zeros(0, np.int64))
+            values, code = np.unique(np.array([r[k] for r in held], object), return_inverse=True) if held else (np.array([]), np.zeros(0, np.int64))
             goal = shares(dict(zip(values, np.bincount(code, tokens, len(values)), strict=True)), targets.get(d), temperature)
             codes.append(code)
             goals.append(np.array([goal.get(v, 0.0) for v in values]))
         fit = rake(tokens, codes, goals, sweeps, tolerance)
-        fitted = spark.createDataFrame([(*r, float(f)) for r, f in zip(rows, fit, strict=True)], "_source string, _lang string, _topic string, tokens long, fit double")
+        fitted = spark.createDataFrame([(*r, float(f)) for r, f in zip(held, fit, strict=True)], "source string, lang string, topic string, tokens long, fit double")
     else:
         fitted = _rake_wide(cells, targets, temperature, sweeps, tolerance)
     fitted = fitted.withColumn("weight", F.when(F.col("tokens") > 0, F.col("fit") / F.col("tokens")).otherwise(1.0))
@@ -146,26 +153,29 @@ def weights(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None,
         scale = float(np.exp(-step / 1000))
         if over > slack * total:
             break
-    return fitted.select("_source", "_lang", "_topic", "weight", F.least(F.lit(1.0), F.col("weight") * scale).alias("probability")), few
+    return fitted.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), F.col("weight") * scale).alias("probability")), few
 
 
-def chosen(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
-    """docs with _source, _lang, _topic, _tokens, weight, probability and whether each is sampled."""
-    table, few = weights(docs, **how)
-    own = table.select(F.col("_source").alias("_s"), F.col("_lang").alias("_l"), F.col("_topic").alias("_t"), F.col("weight").alias("_weight"), F.col("probability").alias("_probability"))
-    rows = measured(docs).join(F.broadcast(own) if few else own, (F.col("_source") == F.col("_s")) & (F.col("_lang") == F.col("_l")) & (F.col("_topic") == F.col("_t"))).drop("_s", "_l", "_t")
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(1 << 52)).cast("double") / float(1 << 52)
-    return rows.withColumn("_sampled", draw < F.col("_probability"))
+def drawn(doc_id: Column, probability: Column, seed: int) -> Column:
+    """Is a document sampled?  By a hash of its id."""
+    return F.pmod(F.xxhash64(doc_id.cast("long"), F.lit(seed)), F.lit(1 << 52)).cast("double") / float(1 << 52) < probability
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
+def mix(docs: DataFrame, topic: Column | None = None, seed: int = SEED, **how) -> DataFrame:
     """Each document's cell, tokens, weight, probability and whether it is sampled."""
-    return chosen(docs, **how).select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_sampled").alias("sampled"))
+    rows = measured(docs, topic)
+    table, few = weights(rows, **how)
+    out = rows.join(F.broadcast(table) if few else table, list(DIMENSIONS))
+    return out.select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", drawn(F.col("doc_id"), F.col("probability"), seed).alias("sampled"))
 
 
-def sample(docs: DataFrame, **how) -> DataFrame:
+def sample(docs: DataFrame, topic: Column | None = None, seed: int = SEED, **how) -> DataFrame:
     """The sampled documents; all columns stay."""
-    return chosen(docs, **how).filter("_sampled").select(*docs.columns)
+    table, few = weights(measured(docs, topic), **how)
+    names = {d: C.fresh(docs, f"_{d}") for d in (*DIMENSIONS, "probability")}
+    own = table.select(*(F.col(d).alias(n) for d, n in names.items()))
+    same = [c == own[names[d]] for d, c in cell(docs, topic).items()]
+    return docs.join(F.broadcast(own) if few else own, same[0] & same[1] & same[2]).filter(drawn(docs["doc_id"], own[names["probability"]], seed)).select(*(docs[c] for c in docs.columns))
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

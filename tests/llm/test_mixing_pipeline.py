@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from millrace.llm import common as C
-from millrace.llm import exact_dedup, mixing, ngram_join, packing
+from millrace.llm import mixing, tokens
 from tests.llm.conftest import DOCS
 
 
@@ -21,12 +21,19 @@ def _rows(n=3000, seed=2):
     return out
 
 
+def _pieces(texts):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokens.tokenizer_path("piece_bpe_32k.model"))
+    return [len(x) for x in model.encode([t or "" for t in texts])]
+
+
 def _plain(rows, targets, temperature, sweeps=200):
     """Raking with dictionaries."""
     topic = lambda t: "legal" if "license" in t.lower() else "tabular" if " | " in t else "figures" if any(c in "0123456789" for c in t) else "prose"
     cells = defaultdict(int)
-    for _, t, lang, source, _ in rows:
-        cells[source or "", lang or "", topic(t or "")] += len((t or "").split())
+    for (_, t, lang, source, _), n in zip(rows, _pieces([t for _, t, *_ in rows]), strict=True):
+        cells[source or "", lang or "", topic(t or "")] += n
     total = sum(cells.values())
     fit = {k: float(v) for k, v in cells.items()}
     goals = []
@@ -57,7 +64,7 @@ def test_weights_agree_with_plain_raking(spark, targets, most, sweeps):
     rows = _rows()
     df = spark.createDataFrame(rows, DOCS).repartition(5)
     expected, goals = _plain(rows, targets, mixing.TEMPERATURE, sweeps)
-    table, few = mixing.weights(df, targets=targets, most=most, sweeps=sweeps)
+    table, few = mixing.weights(mixing.measured(df, None), targets=targets, most=most, sweeps=sweeps)
     assert few == (most > 3)
     got = {(r[0], r[1], r[2]): r["weight"] for r in table.collect()}
     assert got.keys() == expected.keys()
@@ -93,8 +100,22 @@ def test_mixing_of_odd_tables(spark, frame):
     assert mixing.mix(frame([])).collect() == []
     got = mixing.mix(frame([(1, None), (1, None), (None, ""), (None, "")])).collect()
     assert len(got) == 4 and all(r.weight == 1 for r in got)
+    long = mixing.mix(frame([(1, "w " * 100_000), (2, "w")])).collect()
+    assert {r.doc_id: r.n_tokens for r in long} == {1: _pieces(["w " * 100_000])[0], 2: 1}
     df = frame([(1, "a"), (2, "b")])
     assert mixing.sample(df).columns == df.columns
+    own = {r.topic for r in mixing.mix(df, topic=df["bucket"]).collect()}
+    assert own == {"x"}
+
+
+def test_clashing_columns_are_passed_on(spark, frame):
+    from pyspark.sql import functions as F
+
+    names = ("_source", "_topic", "_probability", "_SOURCE", "topic", "weight", "n_tokens", "row", "pretoken")
+    df = frame([(i, f"word {i} here") for i in range(50)]).withColumns({n: F.lit(n) for n in names if n != "_SOURCE"})
+    out = mixing.sample(df)
+    assert out.columns == df.columns and all(r[n] == n for r in out.collect() for n in names if n != "_SOURCE")
+    assert {r.doc_id for r in out.collect()} == {r.doc_id for r in mixing.mix(df).collect() if r.sampled}
 
 
 def test_pipeline_stages_do_what_they_say(spark, frame, tmp_path):
