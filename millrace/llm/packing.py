@@ -6,12 +6,13 @@ from that histogram, whose size is the capacity whatever the input: for each
 sequence the longest waiting piece is placed, a bitset subset-sum over the
 other available lengths finds the fullest feasible combination with it, and
 that combination is removed, as often as the counts allow.  Pieces of a length
-are then numbered (in salted parts, so that a common length is not one task's
-work) and take the places that the plan has for their length.
+are then numbered (in as many salted parts as its share of all pieces asks for,
+so that a common length is not one task's work) and take the places that the
+plan has for their length.
 
 Defined cases: a null text is an empty one, whose only token is the end id.
 Rows that repeat a doc_id are packed each.  An empty table gives an empty
-result.  Other columns are not read.
+result.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from millrace.llm.tokens import tokenizer_path
 
 CAPACITY = 1024
 END_ID = 2
+#: Parts that pieces are numbered in, for each shuffle partition.
+PARTS = 4
 #: Text that the tokenizers library takes for one special token.
 SPECIAL = {"<|endoftext|>": 50256}
 
@@ -143,13 +146,19 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID) -> Dat
     """Each piece with its sequence and place."""
     spark = docs.sparkSession
     cut = C.cut(pieces(docs, capacity, end_id))
-    salts = 4 * C.partitions(spark)
-    dealt = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     # at most `capacity` rows
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     where = places(plan(histogram, capacity))
-    before = dealt.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = before.select("length", "salt", (F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")).alias("first"))
+    parts, total = PARTS * C.partitions(spark), max(sum(histogram.values()), 1)
+    salts = spark.createDataFrame([(n, -(-k * parts // total)) for n, k in histogram.items()], "length long, salts long")
+    dealt = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
+    # at most `parts` + `capacity` rows
+    sizes = sorted((r["length"], r["salt"], r["n"]) for r in dealt.groupBy("length", "salt").agg(F.count("*").alias("n")).collect())
+    before, first = [], {}
+    for length, salt, n in sizes:
+        before.append((length, salt, first.get(length, 0)))
+        first[length] = first.get(length, 0) + n
+    before = F.broadcast(spark.createDataFrame(before, "length long, salt long, first long"))
     numbered = dealt.withColumn("rank", F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     numbered = numbered.join(before, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("first"))
 

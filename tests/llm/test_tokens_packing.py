@@ -162,3 +162,9 @@ def test_packing_is_gapless_whole_and_tight(spark, frame, encoder):
             bins[k] -= n
     assert len(sequences) <= len(bins)
     assert packing.pack(frame([])).collect() == []
+
+
+def test_packing_of_repeated_rows(spark, frame):
+    rows = packing.pack(frame([(1, "a b c"), (1, "a b c"), (1, "d"), (None, None), (None, "a b c")]).repartition(3)).collect()
+    assert len(rows) == 5 and sorted((x.doc_id or 0, x.length) for x in rows) == [(0, 1), (0, 4), (1, 2), (1, 4), (1, 4)]
+    assert sorted((x.offset, x.offset + x.length) for x in rows if x.sequence_id == rows[0].sequence_id)[-1][1] == 15
