@@ -26,6 +26,8 @@ from millrace.llm import common as C
 
 LEAST_LENGTH = 20
 LEAST_DOCUMENTS = 3
+#: Lines that are broadcast when all repeated ones would be too many.
+COMMON = 10_000
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,8 +39,14 @@ def dropped_lines(docs: DataFrame, least_length: int, least_documents: int) -> D
     lines = rows.withColumn("key", key).filter(F.length("key") >= least_length).select("doc_id", "copy", "position", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
     lines = C.cut(lines)  # counted and then joined: the texts are split once
     counted = lines.select("h1", "h2", "doc_id").groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("documents"), F.max("doc_id").alias("keep"))
-    counted = C.cut(counted.filter(F.col("documents") >= least_documents).drop("documents"))  # so that the join below may split a common line
-    gone = lines.join(counted, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keep")))
+    counted = C.cut(counted.filter(F.col("documents") >= least_documents))
+    if C.few(counted, 96):
+        met = lines.join(F.broadcast(counted), ["h1", "h2"])
+    else:  # the lines of more than one document in COMMON lines, COMMON at most, are broadcast; the rest are dealt
+        common = F.col("documents") * COMMON > lines.count()
+        often = F.broadcast(counted.filter(common))
+        met = lines.join(often, ["h1", "h2"]).unionByName(lines.join(often, ["h1", "h2"], "left_anti").join(counted.filter(~common), ["h1", "h2"]))
+    gone = met.filter(~F.col("doc_id").eqNullSafe(F.col("keep")))
     return gone.groupBy("doc_id", "copy").agg(F.collect_set("position").alias("gone"))
 
 

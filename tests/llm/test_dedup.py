@@ -69,13 +69,18 @@ def _plain(rows, least=20, documents=3):
     return out
 
 
-def test_line_dedup_agrees_with_a_plain_version(spark, frame):
+def test_line_dedup_agrees_with_a_plain_version(spark, frame, monkeypatch):
     r = random.Random(8)
     long = ["  Shared line number %d of many \t" % k for k in range(15)] + ["SHARED LINE NUMBER 3 OF MANY", "short", "", "é" * 19 + "X", "é" * 20]
     rows = [(i, "\n".join(r.choice(long) for _ in range(r.randrange(0, 9))) + r.choice(["", "\n", f"\nonly here {i} and nowhere else"])) for i in range(300)]
     rows += [(1000, None), (1001, ""), (1002, "\n\n"), (1003, (long[0] + "\n") * 3000)]
     got = {x.doc_id: (x.n_lines, x.n_dropped, x.text) for x in line_dedup.drop_lines(frame(rows)).collect()}
     assert got == _plain(rows)
+    from millrace.llm import common as C
+
+    monkeypatch.setattr(C, "few", lambda frame, size: False)
+    monkeypatch.setattr(line_dedup, "COMMON", 10)  # some lines are broadcast and some are dealt
+    assert {x.doc_id: (x.n_lines, x.n_dropped, x.text) for x in line_dedup.drop_lines(frame(rows)).collect()} == got
     assert line_dedup.drop_lines(frame([])).collect() == []
 
 
