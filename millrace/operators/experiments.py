@@ -15,17 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import distributions as D
-from millrace.operators.linear import gram, terms_of, with_terms
+from millrace.operators.linear import moments, terms_of, with_terms
 
 
 @dataclass
 class Products:
-    """Cross products of 1, terms and y: all that a least-squares fit of any subset of terms needs."""
+    """Moments of terms and y: all that a least-squares fit of any subset of terms, with an intercept, needs."""
 
     names: list[str]
     members: list[tuple[str, ...]]
     n: int
-    a: np.ndarray
+    centred: np.ndarray
 
     @classmethod
     def of(cls, df: DataFrame, formula: str) -> Products:
@@ -33,19 +33,18 @@ class Products:
         out, names = with_terms(df, terms)
         safe = [f"t{i}" for i in range(len(names))]
         out = out.select(*(F.col(f"`{n}`").cast("double").alias(s) for n, s in zip(names, safe, strict=True)), F.col(y).cast("double").alias("y"))
-        n, sums, products = gram(out, [*safe, "y"])
-        a = np.zeros((len(sums) + 1,) * 2)
-        a[0, 0], a[0, 1:], a[1:, 0], a[1:, 1:] = n, sums, sums, products
-        return cls(names, terms, n, a)
+        m = moments(out, [*safe, "y"])
+        return cls(names, terms, m.n, m.centred)
 
     def rss(self, keep: Sequence[int]) -> float:
-        at = [0, *(k + 1 for k in keep)]
-        xx, xy = self.a[np.ix_(at, at)], self.a[at, -1]
-        return max(0.0, float(self.a[-1, -1] - xy @ np.linalg.lstsq(xx, xy, rcond=None)[0]))
+        keep = list(keep)
+        xx, xy = self.centred[np.ix_(keep, keep)], self.centred[keep, -1]
+        scale = np.sqrt(np.maximum(np.diag(xx), 1e-300))
+        return max(0.0, float(self.total - (xy / scale) @ np.linalg.lstsq(xx / np.outer(scale, scale), xy / scale, rcond=1e-12)[0])) if keep else self.total
 
     @property
     def total(self) -> float:
-        return float(self.a[-1, -1] - self.a[0, -1] ** 2 / self.n)
+        return float(self.centred[-1, -1])
 
 
 def anova(df: DataFrame, formula: str) -> list[dict]:

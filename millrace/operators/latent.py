@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from millrace.functions import distributions as D
-from millrace.operators.linear import gram
+from millrace.operators.linear import gram, moments
+from millrace.operators.resampling import grouped_moments
 from millrace.operators.scaling import TINY
 
 
@@ -223,18 +224,19 @@ class PLS:
     @classmethod
     def fit(cls, df: DataFrame, x: Sequence[str], y: Sequence[str], components: int, scale: bool = True, limits: bool = True) -> PLS:
         x, y = list(x), list(y)
-        n, sums, products = gram(df, [*x, *y])
-        out = cls.of_products(n, sums, products, x, y, components, scale)
+        m = moments(df, [*x, *y])
+        out = cls.of_products(m.n, m.sums, m.products, x, y, components, scale, m.pivot)
         if limits:
             row = out.diagnose(df.dropna(subset=[*x, *y])).agg(F.avg(F.col("spe") ** 2), F.var_samp(F.col("spe") ** 2)).first()
             out.spe_moments = (row[0] or 0.0, row[1] or 0.0)
         return out
 
     @classmethod
-    def of_products(cls, n: int, sums: np.ndarray, products: np.ndarray, x: list[str], y: list[str], components: int, scale: bool = True) -> PLS:
+    def of_products(cls, n: int, sums: np.ndarray, products: np.ndarray, x: list[str], y: list[str], components: int, scale: bool = True, pivot: np.ndarray | float = 0.0) -> PLS:
+        """From rows, sums and sums of products of x and y, less a pivot near their means."""
         k = len(x)
-        mean = sums / max(n, 1)
-        covariance = products - n * np.outer(mean, mean)
+        covariance = products - np.outer(sums, sums) / max(n, 1)
+        mean = pivot + sums / max(n, 1)
         sd = np.sqrt(np.maximum(np.diag(covariance), 0) / max(n - 1, 1))
         sd = np.where(sd > TINY, sd, 1.0) if scale else np.ones(len(mean))
         c = covariance / np.outer(sd, sd)
@@ -331,11 +333,11 @@ def select_components(df: DataFrame, x: Sequence[str], y: Sequence[str], most: i
     One pass gives all folds' products, one scores all folds and sizes.
     """
     x, y = list(x), list(y)
-    fold = F.pmod(F.xxhash64(key) if key else F.xxhash64(*x), F.lit(folds)).cast("int")
+    fold = F.pmod(F.xxhash64(key) if key else F.xxhash64(*x, *y), F.lit(folds)).cast("int")
     rows = df.select(*x, *y, fold.alias("_fold")).dropna()
-    own = [gram(rows.filter(F.col("_fold") == k), [*x, *y]) for k in range(folds)]
+    pivot, own = grouped_moments(rows, [*x, *y], folds, F.col("_fold"))
     whole = [sum(o[i] for o in own) for i in range(3)]
-    models = [PLS.of_products(*(whole[i] - own[k][i] for i in range(3)), x, y, most) for k in range(folds)]
+    models = [PLS.of_products(*(whole[i] - own[k][i] for i in range(3)), x, y, most, pivot=pivot) for k in range(folds)]
     k = len(x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +354,7 @@ def select_components(df: DataFrame, x: Sequence[str], y: Sequence[str], most: i
             count += len(data)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, most + 1)), pa.array(press), pa.array(np.full(most, count))], ["a", "press", "n"])
 
-    whole_scale = PLS.of_products(*whole, x, y, 1).scale[k:]
+    whole_scale = PLS.of_products(*whole, x, y, 1, pivot=pivot).scale[k:]
     found = rows.mapInArrow(run, "a long, press double, n long").groupBy("a").agg(F.sum("press").alias("press"), F.sum("n").alias("n")).orderBy("a").collect()
     return [{"components": r["a"], "rmsecv": math.sqrt(r["press"] / (r["n"] * len(y))), "q2": 1 - r["press"] / ((r["n"] - 1) * len(y))} for r in found]
 
@@ -373,9 +375,8 @@ class OPLS:
     @classmethod
     def fit(cls, df: DataFrame, x: Sequence[str], y: str, orthogonal: int = 1) -> OPLS:
         x = list(x)
-        n, sums, products = gram(df, [*x, y])
-        k, mean = len(x), sums / n
-        covariance = products - n * np.outer(mean, mean)
+        m = moments(df, [*x, y])
+        n, k, mean, covariance = m.n, len(x), m.mean, m.centred
         sd = np.sqrt(np.diag(covariance) / (n - 1))
         sd = np.where(sd > TINY, sd, 1.0)
         c = covariance / np.outer(sd, sd)
@@ -416,8 +417,7 @@ class OPLS:
 
 def rv_coefficient(df: DataFrame, a: Sequence[str], b: Sequence[str]) -> float:
     """The RV coefficient of two centred blocks of columns."""
-    n, sums, products = gram(df, [*a, *b])
-    c = products - np.outer(sums, sums) / n
+    c = moments(df, [*a, *b]).centred
     k = len(a)
     return float((c[:k, k:] ** 2).sum() / math.sqrt((c[:k, :k] ** 2).sum() * (c[k:, k:] ** 2).sum()))
 
@@ -435,9 +435,8 @@ class MultiBlock:
     @classmethod
     def fit(cls, df: DataFrame, blocks: dict[str, Sequence[str]], components: int, y: Sequence[str] = ()) -> MultiBlock:
         columns = [c for b in blocks.values() for c in b]
-        n, sums, products = gram(df, [*columns, *y])
-        mean = sums / n
-        covariance = products - n * np.outer(mean, mean)
+        m = moments(df, [*columns, *y])
+        n, mean, covariance = m.n, m.mean, m.centred
         sd = np.sqrt(np.diag(covariance) / (n - 1))
         sd = np.where(sd > TINY, sd, 1.0)
         sd = sd * np.array([math.sqrt(len(b)) for b in blocks.values() for _ in b] + [1.0] * len(y))

@@ -24,17 +24,52 @@ from millrace.operators.robust import repeated_median_slope_of
 PLAIN_COLUMNS = 24
 
 
-def gram(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, sums, and sums of products of columns, over rows without a missing value."""
-    rows = df.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns))).dropna()
-    k = len(columns)
+#: Rows whose means stand in for those of all, so that products are small numbers.
+PILOT = 1000
+
+
+@dataclass
+class Moments:
+    """Rows, and sums and sums of products of columns less a pivot near their means: sums of such tables add up, and centring loses no digits."""
+
+    n: int
+    pivot: np.ndarray
+    sums: np.ndarray
+    products: np.ndarray
+
+    @property
+    def mean(self) -> np.ndarray:
+        return self.pivot + self.sums / max(self.n, 1)
+
+    @property
+    def centred(self) -> np.ndarray:
+        """Sums of products about the means."""
+        return self.products - np.outer(self.sums, self.sums) / max(self.n, 1)
+
+    @property
+    def raw(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """Rows, sums and sums of products of the columns as they are."""
+        cross = np.outer(self.sums, self.pivot)
+        return self.n, self.sums + self.n * self.pivot, self.products + cross + cross.T + self.n * np.outer(self.pivot, self.pivot)
+
+
+def pilot(rows: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Means of columns over at most PILOT rows: where products are centred before they are summed."""
+    row = rows.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns))).dropna().limit(PILOT).agg(*(F.avg(f"c{i}") for i in range(len(columns)))).first()
+    return np.nan_to_num(np.array([x or 0.0 for x in row]), posinf=0.0, neginf=0.0)
+
+
+def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
+    """Moments of columns over rows without a missing value, in one pass."""
+    k, pivot = len(columns), pilot(df, columns)
+    rows = df.select(*((F.col(c).cast("double") - float(v)).alias(f"c{i}") for i, (c, v) in enumerate(zip(columns, pivot, strict=True)))).dropna()
     if k <= PLAIN_COLUMNS:
         pairs = [(i, j) for i in range(k) for j in range(i, k)]
         row = rows.agg(F.count(F.lit(1)), *(F.sum(f"c{i}") for i in range(k)), *(F.sum(F.col(f"c{i}") * F.col(f"c{j}")) for i, j in pairs)).first()
-        n, sums, products = row[0], np.array([x or 0.0 for x in row[1 : k + 1]]), np.zeros((k, k))
+        products = np.zeros((k, k))
         for (i, j), x in zip(pairs, row[k + 1 :], strict=True):
             products[i, j] = products[j, i] = x or 0.0
-        return n, sums, products
+        return Moments(row[0], pivot, np.array([x or 0.0 for x in row[1 : k + 1]]), products)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((k + 1, k + 1))
@@ -48,7 +83,12 @@ def gram(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.nda
     out = np.zeros((k + 1, k + 1))
     for r in rows.mapInArrow(run, "i long, j long, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect():
         out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["x"]
-    return int(out[0, 0]), out[0, 1:], out[1:, 1:]
+    return Moments(int(out[0, 0]), pivot, out[0, 1:], out[1:, 1:])
+
+
+def gram(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, sums, and sums of products of columns, over rows without a missing value."""
+    return moments(df, columns).raw
 
 
 def dot(columns: Sequence[str], weights: Sequence[float], constant: float = 0.0) -> Column:
@@ -74,34 +114,38 @@ class OLS:
     tss: float
     conflevel: float = 0.95
     aliased: dict[str, str] = field(default_factory=dict)
+    #: What the model is written about: the means with an intercept, else zeros.
+    mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    inverse: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
     @classmethod
     def fit(cls, df: DataFrame, y: str, columns: Sequence[str], intercept: bool = True, conflevel: float = 0.95) -> OLS:
-        columns = list(columns)
-        n, sums, products = gram(df, [*columns, y])
-        a = np.zeros((len(columns) + intercept + 1,) * 2)
-        a[intercept:, intercept:] = products
-        if intercept:
-            a[0, 0], a[0, 1:], a[1:, 0] = n, sums, sums
-        return cls.of_products(a, n, y, columns, intercept, conflevel, sums[-1])
+        return cls.of_moments(moments(df, [*columns, y]), y, list(columns), intercept, conflevel)
 
     @classmethod
-    def of_products(cls, a: np.ndarray, n: int, y: str, columns: list[str], intercept: bool, conflevel: float, sum_y: float) -> OLS:
-        xx, xy, yy = a[:-1, :-1], a[:-1, -1], a[-1, -1]
-        p = len(xx)
+    def of_moments(cls, m: Moments, y: str, columns: list[str], intercept: bool = True, conflevel: float = 0.95) -> OLS:
+        """Least squares about the means (or zero without an intercept), whose rank is that of the centred columns."""
+        n, k = m.n, len(columns)
+        a, mean = (m.centred, m.mean) if intercept else (m.raw[2], np.zeros(k + 1))
+        xx, xy, yy = a[:-1, :-1], a[:-1, -1], float(a[-1, -1])
+        p = k + intercept
         if n < p:
             raise ValueError(f"{n} complete rows are too few for {p} parameters")
         scale = np.sqrt(np.maximum(np.diag(xx), 1e-300))
         correlation = xx / np.outer(scale, scale)
-        if np.linalg.matrix_rank(correlation, tol=1e-10) < p:
+        if k and np.linalg.matrix_rank(correlation, tol=1e-10) < k:
             raise ValueError("the columns are linearly dependent")
-        inverse = np.linalg.inv(correlation) / np.outer(scale, scale)
-        beta = inverse @ xy
-        beta += inverse @ (xy - xx @ beta)
-        rss = max(0.0, float(yy - 2 * beta @ xy + beta @ xx @ beta))
-        tss = float(yy - sum_y**2 / n) if intercept else float(yy)
-        dof = n - p
-        return cls(y, columns, [*(["(Intercept)"] * intercept), *columns], beta, inverse * (rss / dof if dof else math.nan), n, dof, rss, tss, conflevel)
+        inverse = np.linalg.inv(correlation) / np.outer(scale, scale) if k else np.zeros((0, 0))
+        slopes = inverse @ xy
+        slopes += inverse @ (xy - xx @ slopes)
+        rss = max(0.0, float(yy - 2 * slopes @ xy + slopes @ xx @ slopes))
+        dof, beta, whole = n - p, slopes, inverse
+        if intercept:
+            about = mean[:-1]
+            beta = np.append(mean[-1] - about @ slopes, slopes)
+            whole = np.zeros((p, p))
+            whole[0, 0], whole[0, 1:], whole[1:, 0], whole[1:, 1:] = 1 / n + about @ inverse @ about, -inverse @ about, -inverse @ about, inverse
+        return cls(y, columns, [*(["(Intercept)"] * intercept), *columns], beta, whole * (rss / dof if dof else math.nan), n, dof, rss, yy, conflevel, {}, mean, inverse)
 
     @property
     def intercept(self) -> bool:
@@ -130,12 +174,12 @@ class OLS:
             "dof": self.dof,
         }
 
-    def _design(self) -> list[Column]:
-        return [*([F.lit(1.0)] * self.intercept), *(F.col(c).cast("double") for c in self.columns)]
+    def _about(self) -> list[Column]:
+        return [F.col(c).cast("double") - float(m) for c, m in zip(self.columns, self.mean, strict=False)]
 
     def predicted(self) -> Column:
-        out = F.lit(0.0)
-        for x, b in zip(self._design(), self.beta, strict=True):
+        out = F.lit(float(self.mean[-1]))
+        for x, b in zip(self._about(), self.beta[self.intercept :], strict=True):
             out = out + x * float(b)
         return out
 
@@ -143,12 +187,12 @@ class OLS:
         return df.withColumn(name, self.predicted())
 
     def leverage(self) -> Column:
-        """x' (X'X)^-1 x."""
-        x, inverse = self._design(), self.covariance / (self.rss / self.dof)
-        out = F.lit(0.0)
+        """x' (X'X)^-1 x, about the means."""
+        x = self._about()
+        out = F.lit(1.0 / self.n if self.intercept else 0.0)
         for i in range(len(x)):
             for j in range(len(x)):
-                out = out + x[i] * x[j] * float(inverse[i, j])
+                out = out + x[i] * x[j] * float(self.inverse[i, j])
         return out
 
     def prediction_interval(self, df: DataFrame, conflevel: float | None = None) -> DataFrame:
@@ -257,8 +301,8 @@ def lm(df: DataFrame, formula: str, alias_threshold: float = 0.995, conflevel: f
     out, names = with_terms(df, terms)
     safe = [f"t{i}" for i in range(len(names))]
     out = out.select(*(F.col(f"`{n}`").cast("double").alias(s) for n, s in zip(names, safe, strict=True)), F.col(y).cast("double").alias("y"))
-    n, sums, products = gram(out, [*safe, "y"])
-    covariance = products - np.outer(sums, sums) / max(n, 1)
+    m = moments(out, [*safe, "y"])
+    covariance = m.centred
     sd = np.sqrt(np.maximum(np.diag(covariance), 0))
     kept, aliased = [], {}
     for i, name in enumerate(names):
@@ -268,8 +312,6 @@ def lm(df: DataFrame, formula: str, alias_threshold: float = 0.995, conflevel: f
         else:
             aliased[name] = names[twin] if twin is not None else "(Intercept)"
     own = [*kept, len(names)]
-    a = np.zeros((len(own) + 1,) * 2)
-    a[1:, 1:], a[0, 1:], a[1:, 0], a[0, 0] = products[np.ix_(own, own)], sums[own], sums[own], n
-    model = OLS.of_products(a, n, y, [names[i] for i in kept], True, conflevel, sums[-1])
+    model = OLS.of_moments(Moments(m.n, m.pivot[own], m.sums[own], m.products[np.ix_(own, own)]), y, [names[i] for i in kept], True, conflevel)
     model.aliased = aliased
     return model

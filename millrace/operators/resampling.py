@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.linear import pilot
 
-def grouped_products(df: DataFrame, columns: Sequence[str], groups: int, key: str) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Count, sums and sums of products of each of `groups` groups of rows, in one pass."""
+
+def grouped_moments(df: DataFrame, columns: Sequence[str], groups: int, group: Column, pivot: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """A pivot near the means, and count, sums and sums of products of the columns less it, of each of `groups` groups of rows, in one pass."""
     k = len(columns)
-    rows = df.select(F.pmod(F.xxhash64(key), F.lit(groups)).alias("g"), *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns))).dropna()
+    pivot = pilot(df, columns) if pivot is None else pivot
+    rows = df.select(group.alias("g"), *((F.col(c).cast("double") - float(v)).alias(f"c{i}") for i, (c, v) in enumerate(zip(columns, pivot, strict=True)))).dropna()
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     out = [(0, np.zeros(k), np.zeros((k, k))) for _ in range(groups)]
     for r in rows.groupBy("g").agg(F.count(F.lit(1)), *(F.sum(f"c{i}") for i in range(k)), *(F.sum(F.col(f"c{i}") * F.col(f"c{j}")) for i, j in pairs)).collect():
@@ -20,7 +23,12 @@ def grouped_products(df: DataFrame, columns: Sequence[str], groups: int, key: st
         for (i, j), x in zip(pairs, r[k + 2 :], strict=True):
             m[i, j] = m[j, i] = x
         out[r[0]] = (r[1], np.array(r[2 : k + 2], float), m)
-    return out
+    return pivot, out
+
+
+def grouped_products(df: DataFrame, columns: Sequence[str], groups: int, key: str, pivot: np.ndarray | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Count, sums and sums of products (of the columns less a pivot, if there is one) of each of `groups` groups of rows by a hash of the key."""
+    return grouped_moments(df, columns, groups, F.pmod(F.xxhash64(key), F.lit(groups)), np.zeros(len(columns)) if pivot is None else pivot)[1]
 
 
 def jackknife(groups: list, fit: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

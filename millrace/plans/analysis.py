@@ -49,8 +49,8 @@ def curvature(spark, sf_dir):
 @add("pls_jackknife")
 def jackknife(spark, sf_dir):
     x = ["l_quantity", "l_discount", "l_tax"]
-    groups = resampling.grouped_products(lines(spark, sf_dir), [*x, "l_extendedprice"], 20, "l_orderkey")
-    whole, se = resampling.jackknife(groups, lambda n, s, p: latent.PLS.of_products(n, s, p, x, ["l_extendedprice"], 2).beta[:, 0])
+    pivot, groups = resampling.grouped_moments(lines(spark, sf_dir), [*x, "l_extendedprice"], 20, F.pmod("l_orderkey", F.lit(20)))
+    whole, se = resampling.jackknife(groups, lambda n, s, p: latent.PLS.of_products(n, s, p, x, ["l_extendedprice"], 2, pivot=pivot).beta[:, 0])
     return spark.createDataFrame([(c, float(b), float(e)) for c, b, e in zip(x, whole, se, strict=True)], "variable string, beta double, standard_error double")
 
 

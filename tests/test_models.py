@@ -182,3 +182,23 @@ def test_parallel_analysis_uses_all_rows():
     assert latent.parallel_analysis(model) == 0
     model.n = 4
     assert latent.parallel_analysis(model) == 0
+
+
+def test_fits_keep_their_digits_far_from_zero(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(2000, 3))
+    y = 2 + 3 * x[:, 0] - x[:, 1] + 0.1 * r.normal(size=2000)
+    for shift in (0.0, 1e6, 1e8):
+        m = np.column_stack([x + shift, y + shift])
+        df = spark.createDataFrame(m.tolist(), "a double, b double, c double, y double").repartition(3)
+        fit = linear.OLS.fit(df, "y", ["a", "b", "c"])
+        expected = np.linalg.lstsq(np.column_stack([np.ones(2000), x]), y, rcond=None)[0]
+        assert np.allclose(fit.beta[1:], expected[1:], atol=1e-6)
+        assert np.isclose(fit.rss, ((y - np.column_stack([np.ones(2000), x]) @ expected) ** 2).sum(), rtol=1e-5)
+        centred = x - x.mean(0)
+        hat = np.einsum("ij,jk,ik->i", centred, np.linalg.inv(centred.T @ centred), centred) + 1 / 2000
+        assert np.isclose(fit.residuals(df).agg({"leverage": "max"}).first()[0], hat.max(), rtol=1e-5)
+        pls = latent.PLS.fit(df, ["a", "b", "c"], ["y"], 3)
+        assert np.allclose(pls.beta[:, 0], expected[1:], atol=1e-6)
+        assert abs(linear.lm(df, "y ~ a + b").beta[1] - 3) < 0.02
+        assert abs(latent.rv_coefficient(df, ["a"], ["y"]) - np.corrcoef(x[:, 0], y)[0, 1] ** 2) < 1e-6
