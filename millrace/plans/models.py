@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import latent, linear
 from millrace.operators.scaling import Scaler
+from millrace.plans import sqlparts as S
 from millrace.plans.catalog import add
 from millrace.plans.stats import rounded, table
 
@@ -48,10 +49,31 @@ def ols_predictions(spark, sf_dir):
     return linear.OLS.fit(df, "l_extendedprice", ["l_quantity", "l_tax"]).predict(df).select("l_orderkey", "l_linenumber", F.round("y_hat", 3).alias("y_hat"))
 
 
-@add("ols_residual_diagnostics")
+TWO_MEANS = "m AS (SELECT avg(l_extendedprice) AS y, avg(l_quantity) AS a, avg(l_tax) AS b, count(*) AS n FROM lineitem)"
+TWO_SUMS = "s AS (SELECT sum((l_quantity - a) ^ 2) AS aa, sum((l_tax - b) ^ 2) AS bb, sum((l_quantity - a) * (l_tax - b)) AS ab, sum((l_quantity - a) * (l_extendedprice - y)) AS ay, sum((l_tax - b) * (l_extendedprice - y)) AS by_, sum((l_extendedprice - y) ^ 2) AS yy FROM lineitem, m)"
+
+
+@add(
+    "ols_residual_diagnostics",
+    f"""WITH {TWO_MEANS}, {TWO_SUMS}, c AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS p, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS q FROM s, m),
+    e AS (SELECT l_orderkey, l_linenumber, l_extendedprice - y - p * (l_quantity - a) - q * (l_tax - b) AS r, 1.0 / n + ((l_quantity - a) ^ 2 * bb - 2 * (l_quantity - a) * (l_tax - b) * ab + (l_tax - b) ^ 2 * aa) / (aa * bb - ab * ab) AS h, (yy - p * ay - q * by_) / (n - 3) AS s2 FROM lineitem, c)
+    SELECT l_orderkey, l_linenumber, round(r, 3) AS residual, round(h * 1e3, 6) AS leverage, round(r / sqrt(s2 * (1 - h)), 5) AS studentised, round(r ^ 2 / (s2 * (1 - h)) * h / (1 - h) / 3 * 1e3, 5) AS cooks_distance FROM e""",
+)
 def ols_residuals(spark, sf_dir):
+    """Leverage and Cook's distance in thousandths."""
     df = lines(spark, sf_dir)
-    return linear.OLS.fit(df, "l_extendedprice", ["l_quantity", "l_tax"]).residuals(df)
+    out = linear.OLS.fit(df, "l_extendedprice", ["l_quantity", "l_tax"]).residuals(df)
+    return out.select("l_orderkey", "l_linenumber", F.round("residual", 3).alias("residual"), F.round(F.col("leverage") * 1e3, 6).alias("leverage"), F.round("studentised", 5).alias("studentised"), F.round(F.col("cooks_distance") * 1e3, 5).alias("cooks_distance"))
+
+
+@add(
+    "ols_prediction_scale",
+    f"""WITH {TWO_MEANS}, {TWO_SUMS}, c AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS p, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS q FROM s, m)
+    SELECT round(sqrt((yy - p * ay - q * by_) / (n - 3)), 4) AS standard_error, round(1 - (yy - p * ay - q * by_) / yy, 6) AS r2, round(1 - (yy - p * ay - q * by_) / yy * (n - 1) / (n - 3), 6) AS adjusted_r2, round((p * ay + q * by_) / 2 / ((yy - p * ay - q * by_) / (n - 3)), 3) AS f_statistic, n - 3 AS dof FROM c""",
+)
+def ols_summary(spark, sf_dir):
+    s = linear.OLS.fit(lines(spark, sf_dir), "l_extendedprice", ["l_quantity", "l_tax"]).summary()
+    return spark.createDataFrame([(round(s["standard_error"], 4), round(s["r2"], 6), round(s["adjusted_r2"], 6), round(s["f_statistic"], 3), s["dof"])], "standard_error double, r2 double, adjusted_r2 double, f_statistic double, dof long")
 
 
 @add("lm_formula")
@@ -61,9 +83,16 @@ def lm_formula(spark, sf_dir):
     return spark.createDataFrame([(n, *map(float, v)) for n, *v in zip(s["names"], s["coefficients"], s["standard_errors"], s["t_values"], s["p_values"], strict=True)], "term string, coefficient double, standard_error double, t double, p_value double")
 
 
-@add("robust_regression")
+@add(
+    "robust_regression",
+    """WITH p AS (SELECT p_brand, p_partkey, p_size::DOUBLE AS x, p_retailprice AS y FROM part), d AS (SELECT a.p_brand, a.p_partkey, median((b.y - a.y) / (b.x - a.x)) AS m FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.x <> b.x GROUP BY 1, 2),
+    s AS (SELECT p_brand, median(m) AS m FROM d GROUP BY 1), i AS (SELECT p_brand, max(m) AS m, median(y - m * x) AS c, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS sx FROM p JOIN s USING (p_brand) GROUP BY 1),
+    r AS (SELECT p_brand, n, c, m, mx, sx, sum((y - c - m * x) ^ 2) AS rss, sum((c + m * x - my) ^ 2) AS reg FROM p JOIN i USING (p_brand) GROUP BY ALL)
+    SELECT p_brand, n, round(c, 4) AS intercept, round(m, 5) AS slope, round(sqrt(rss / (n - 2)) * sqrt(1.0 / n + mx ^ 2 / sx), 4) AS se_intercept, round(sqrt(rss / (n - 2) / sx), 5) AS se_slope, round(reg / (reg + rss), 6) AS r2, round(sqrt(rss / (n - 2)), 4) AS standard_error FROM r""",
+)
 def robust_regression(spark, sf_dir):
-    return linear.robust_regression(table(spark, sf_dir, "part").filter("p_size <= 50"), "p_size", "p_retailprice", ["p_brand"])
+    out = linear.robust_regression(table(spark, sf_dir, "part"), "p_size", "p_retailprice", ["p_brand"])
+    return out.select("p_brand", "n", *(F.round(c, d).alias(c) for c, d in (("intercept", 4), ("slope", 5), ("se_intercept", 4), ("se_slope", 5), ("r2", 6), ("standard_error", 4))))
 
 
 @add(
@@ -112,10 +141,21 @@ def pca_missing(spark, sf_dir):
     return spark.createDataFrame([(c, float(p)) for c, p in zip(X, fit.loadings[:, 0], strict=True)], "variable string, p1 double")
 
 
-@add("pls_predictions")
+PLS_X = ["l_quantity", "l_discount", "l_tax"]
+PLS_Z = "[" + ", ".join(f"({c} - m[{i}]) / s[{i}]" for i, c in enumerate(PLS_X, 1)) + "]"
+
+
+@add(
+    "pls_predictions",
+    f"""WITH base AS (SELECT {S.correlations(PLS_X, "l_extendedprice")} FROM lineitem), {S.pls_two("base")},
+    z AS (SELECT l_orderkey, l_linenumber, {PLS_Z} AS z, pls.* FROM lineitem, pls), t AS (SELECT *, {S.dot("z", "r1")} AS t1, {S.dot("z", "r2")} AS t2 FROM z),
+    e AS (SELECT *, {S.plus(S.plus("z", "p1", "-t1"), "p2", "-t2")} AS e FROM t)
+    SELECT l_orderkey, l_linenumber, round(t1, 5) AS t1, round(t2, 5) AS t2, round(t1 ^ 2 / v1 + t2 ^ 2 / v2, 5) AS hotellings_t2, round(sqrt({S.dot("e", "e")}), 5) AS spe, round((t1 * q1 + t2 * q2) * sy + my, 2) AS l_extendedprice_hat FROM e""",
+)
 def pls_predictions(spark, sf_dir):
     df = lines(spark, sf_dir)
-    return latent.PLS.fit(df, ["l_quantity", "l_discount", "l_tax"], ["l_extendedprice"], 2).diagnose(df)
+    out = latent.PLS.fit(df, PLS_X, ["l_extendedprice"], 2).diagnose(df)
+    return out.select("l_orderkey", "l_linenumber", *(F.round(c, 5).alias(c) for c in ("t1", "t2", "hotellings_t2", "spe")), F.round("l_extendedprice_hat", 2).alias("l_extendedprice_hat"))
 
 
 @add("pls_select_components")
@@ -124,10 +164,18 @@ def pls_select(spark, sf_dir):
     return spark.createDataFrame([(r["components"], r["rmsecv"], r["q2"]) for r in rows], "components int, rmsecv double, q2 double")
 
 
-@add("opls_predictions")
+@add(
+    "opls_predictions",
+    f"""WITH base AS (SELECT {S.correlations(PLS_X, "l_extendedprice")} FROM lineitem), a AS (SELECT *, {S.scaled("c", f"1 / sqrt({S.dot('c', 'c')})")} AS w FROM base),
+    b AS (SELECT *, {S.scaled(S.times("r", "w"), f"1 / {S.dot('w', S.times('r', 'w'))}")} AS p FROM a), d AS (SELECT *, {S.plus("p", "w", f"-{S.dot('w', 'p')}")} AS o0 FROM b), e AS (SELECT *, {S.scaled("o0", f"1 / sqrt({S.dot('o0', 'o0')})")} AS o FROM d),
+    f AS (SELECT *, {S.scaled(S.times("r", "o"), f"1 / {S.dot('o', S.times('r', 'o'))}")} AS q FROM e), g AS (SELECT *, {S.plus("w", "o", f"-{S.dot('q', 'w')}")} AS v FROM f), h AS (SELECT *, {S.dot("w", "c")} / {S.dot("v", S.times("r", "v"))} AS qy FROM g),
+    z AS (SELECT l_orderkey, l_linenumber, {PLS_Z} AS zs, h.* FROM lineitem, h), t AS (SELECT *, {S.dot(S.plus("zs", "q", f"-{S.dot('zs', 'o')}"), "w")} AS t FROM z)
+    SELECT l_orderkey, l_linenumber, round(t, 5) AS t_predictive, round(t * qy * sy + my, 2) AS l_extendedprice_hat FROM t""",
+)
 def opls(spark, sf_dir):
     df = lines(spark, sf_dir)
-    return latent.OPLS.fit(df, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 1).transform(df)
+    out = latent.OPLS.fit(df, PLS_X, "l_extendedprice", 1).transform(df)
+    return out.select("l_orderkey", "l_linenumber", F.round("t_predictive", 5).alias("t_predictive"), F.round("l_extendedprice_hat", 2).alias("l_extendedprice_hat"))
 
 
 @add("multi_block_pca")
@@ -180,9 +228,13 @@ def pls_interval(spark, sf_dir):
     return latent.prediction_interval(model, df, rmse * float(model.scale[-1]))
 
 
-@add("dataset_effects")
+@add(
+    "dataset_effects",
+    """WITH d(C, T, S, y) AS (VALUES (-1, -1, -1, 5), (1, -1, -1, 30), (-1, 1, -1, 6), (1, 1, -1, 33), (-1, -1, 1, 4), (1, -1, 1, 3), (-1, 1, 1, 5), (1, 1, 1, 4))
+    SELECT t.term, round(avg(t.x * y) * 2, 6) AS effect FROM d, LATERAL (VALUES ('C', C), ('T', T), ('S', S), ('C:T', C * T), ('C:S', C * S), ('T:S', T * S)) t(term, x) GROUP BY 1""",
+)
 def dataset_effects(spark, sf_dir):
     from millrace.operators import doe
     from millrace.sources.datasets import data
 
-    return doe.effects(data(spark, "pollutant"), "y", ["C", "T", "S"])
+    return rounded(doe.effects(data(spark, "pollutant"), "y", ["C", "T", "S"]))

@@ -60,17 +60,33 @@ def mixed_tests(spark, sf_dir):
     return sensory.mixed_assessor(panel(spark, sf_dir))
 
 
-@add("panel_align_scores")
+@add(
+    "panel_align_scores",
+    f"""WITH p AS ({PANEL}), c AS (SELECT attribute, panelist_id, product, avg(score) AS m FROM p GROUP BY ALL), b AS (SELECT attribute, product, avg(m) AS b FROM c GROUP BY ALL), g AS (SELECT attribute, avg(m) AS grand FROM c GROUP BY ALL),
+    s AS (SELECT attribute, panelist_id, avg(m) AS own, covar_samp(m, b) / nullif(var_samp(b), 0) AS beta FROM c JOIN b USING (attribute, product) GROUP BY ALL)
+    SELECT panelist_id, attribute, product, session, count(*) AS n, round(avg(grand + (score - own) / CASE WHEN beta >= 0.2 THEN beta ELSE 1 END), 5) AS aligned FROM p JOIN s USING (attribute, panelist_id) JOIN g USING (attribute) GROUP BY ALL""",
+)
 def align(spark, sf_dir):
-    return sensory.align_scores(panel(spark, sf_dir))
+    out = sensory.align_scores(panel(spark, sf_dir)).groupBy("panelist_id", "attribute", "product", "session").agg(F.count("*").alias("n"), F.avg("aligned").alias("aligned"))
+    return rounded(out, 5)
 
 
-@add("panel_tukey")
+@add(
+    "panel_tukey",
+    f"""WITH p AS ({PANEL}), g AS (SELECT attribute, product AS g, count(*) AS n, avg(score) AS m, var_samp(score) AS v FROM p GROUP BY ALL), w AS (SELECT attribute, (sum(n) - count(*))::BIGINT AS dof, sum((n - 1) * coalesce(v, 0)) / (sum(n) - count(*)) AS mse FROM g GROUP BY 1)
+    SELECT a.attribute, a.g AS group_a, b.g AS group_b, a.n AS n_a, b.n AS n_b, dof, round(b.m - a.m, 5) AS difference, round(abs(b.m - a.m) / sqrt(mse / 2 * (1.0 / a.n + 1.0 / b.n)), 5) AS q FROM g a JOIN g b ON a.attribute = b.attribute AND a.g < b.g JOIN w ON w.attribute = a.attribute""",
+)
 def tukey(spark, sf_dir):
+    out = sensory.tukey_hsd(panel(spark, sf_dir), "score", "product", ["attribute"])
+    return rounded(out.select("attribute", "group_a", "group_b", "n_a", "n_b", "dof", "difference", "q"), 5)
+
+
+@add("panel_tukey_tests")
+def tukey_tests(spark, sf_dir):
     return sensory.tukey_hsd(panel(spark, sf_dir), "score", "product", ["attribute"])
 
 
-@add("panel_validation")
+@add("panel_validation", f"WITH p AS ({PANEL}) SELECT count(*) FILTER (WHERE score < 0 OR score > 100) = 0 AND 1 - count(DISTINCT (panelist_id, product, attribute)) / (count(DISTINCT panelist_id) * count(DISTINCT product) * count(DISTINCT attribute)) <= 0.2 AS ok, count(*) AS n_rows, round(1 - count(DISTINCT (panelist_id, product, attribute)) / (count(DISTINCT panelist_id) * count(DISTINCT product) * count(DISTINCT attribute)), 6) AS empty_cells FROM p")
 def validation(spark, sf_dir):
     out = sensory.validate(panel(spark, sf_dir), low=0, high=100)
-    return spark.createDataFrame([(out["ok"], out["rows"], float(out["empty_cells"]))], "ok boolean, n_rows long, empty_cells double")
+    return spark.createDataFrame([(out["ok"], out["rows"], round(float(out["empty_cells"]), 6))], "ok boolean, n_rows long, empty_cells double")
