@@ -7,13 +7,13 @@ counts of its pre-tokens, and a pre-token counts as the library counts it
 without its first space.
 
 A first pass gathers the distinct pre-tokens of all texts and how many runs of
-rows hold each; they are counted once each, whatever document they come from.
-The FREQUENT of them that most runs hold are given to all tasks; a second pass
-multiplies their counts by each document's frequencies where the document lies,
-and only the other pre-tokens are joined by a shuffle, so no key of the join is
-frequent.  Pre-tokens are compared as bytes, not as hashes.  Those of more than
-LONGEST bytes, of which there is seldom more than one, are counted where they
-lie.  Ids of documents are never made.
+rows hold each.  The FREQUENT (and FREQUENT_LONG) that most runs hold are
+counted once each and given to all tasks; a second pass joins them to each
+document's frequencies where the document lies and sums.  A pre-token that is
+not among them is counted once for each run of rows that holds it, without
+being moved: a shuffled join of those, the rarest, would move more than the
+texts.  Pre-tokens are compared as bytes, not as hashes.  Ids of documents are
+never made.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens.  Rows that repeat
 a doc_id are counted each.  An empty table gives an empty result.  Other
@@ -29,14 +29,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from millrace.llm import common as C
 
 #: Pre-tokens whose counts all tasks hold: of at most EIGHTS x 8 bytes each (some 20 MB), and longer ones (10 MB).
 FREQUENT, FREQUENT_LONG = 200_000, 10_000
 EIGHTS = 4
-#: The longest pre-token that is moved, in bytes.
+#: The longest pre-token that may be frequent, in bytes.
 LONGEST = 1024
 #: Distinct pre-tokens that a task gathers before it sends them on.
 GATHERED = 200_000
@@ -154,8 +154,8 @@ def spans_of(texts: pa.Array, size: int = C.CHUNK_BYTES) -> Iterator[tuple[int,
         yield a, b, Spans(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
-def distinct_pretokens(docs: DataFrame, model: str) -> DataFrame:
-    """pretoken, held (how many runs of rows hold it) and pieces of every distinct pre-token that is moved; pieces are counted after the shuffle, once each."""
+def frequent_pretokens(docs: DataFrame, model: str, frequent: int, frequent_long: int) -> DataFrame:
+    """pretoken and pieces of the pre-tokens that most runs of rows hold, and two at least; pieces are counted after the shuffle, once each."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, int] = {}
@@ -173,17 +173,22 @@ def distinct_pretokens(docs: DataFrame, model: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(tokenizer_path(model))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces(batch.column(0).to_pylist()), pa.int64())], ["pretoken", "held", "pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces(batch.column(0).to_pylist()), pa.int64())], ["pretoken", "pieces"])
 
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(gather, "pretoken binary, held long")
-    return rows.groupBy("pretoken").agg(F.sum("held").alias("held")).mapInArrow(count, "pretoken binary, held long, pieces long")
+    table = C.cut(rows.groupBy("pretoken").agg(F.sum("held").alias("held")).filter("held > 1"))
+    short = F.length("pretoken") <= 8 * EIGHTS
+    top = lambda of, n: table.filter(of).orderBy(F.desc("held"), "pretoken").limit(n).select("pretoken")
+    return top(short, frequent).unionByName(top(~short, frequent_long)).mapInArrow(count, "pretoken binary, pieces long")
 
 
-def frequencies(docs: DataFrame, model: str, known, keep: Sequence[str]) -> DataFrame:
-    """One row a document: row, doc_id, the kept columns, n_bytes and n (the tokens of its frequent and of its longest pre-tokens); and a row for each other pre-token of it: row, pretoken, times."""
-    rows = C.text_frame(docs, *keep).select(F.monotonically_increasing_id().alias("row"), "doc_id", *keep, "text")
+def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int = LIMIT, frequent: int = FREQUENT, frequent_long: int = FREQUENT_LONG, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the columns to keep, n_bytes, n_tokens and over_limit of every document."""
+    held = frequent_pretokens(docs, model, frequent, frequent_long).toArrow()  # bounded by both limits
+    known = docs.sparkSession.sparkContext.broadcast(Known(held.column(0).to_pylist(), held.column(1).to_numpy()))
+    rows = C.text_frame(docs, *keep).select("doc_id", *keep, "text")
     own = rows.schema.fields[:-1]
-    names = [*(f.name for f in own), "n_bytes", "n", "pretoken", "times"]
+    names = [*(f.name for f in own), "n_bytes", "n_tokens", "over_limit"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(tokenizer_path(model))
@@ -192,38 +197,13 @@ def frequencies(docs: DataFrame, model: str, known, keep: Sequence[str]) -> Data
             n_bytes = np.diff(C.buffer_of(texts)[1])
             for a, b, spans in spans_of(texts):
                 counts = known.value(spans)
-                long = np.flatnonzero((counts < 0) & (spans.lengths > LONGEST))
-                if len(long):
-                    counts[long] = pieces(spans.bytes_of(long))
-                each, n = counts[spans.which], b - a
-                total = np.bincount(spans.row, np.maximum(each, 0), n).astype(np.int64)
-                part = batch.slice(a, n)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], pa.array(n_bytes[a:b]), pa.array(total), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
-                other = each < 0
-                if other.any():
-                    width = len(counts)
-                    pairs, times = np.unique(spans.row[other] * width + spans.which[other], return_counts=True)
-                    kinds, at = np.unique(pairs % width, return_inverse=True)
-                    held, m = pa.array(spans.bytes_of(kinds), pa.binary()).take(pa.array(at)), len(pairs)
-                    nothing = [pa.nulls(m, c.type) for c in part.columns[1 : len(own)]]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(pairs // width)), *nothing, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), held, pa.array(times.astype(np.int64))], names)
-
-    added = [("n_bytes", LongType()), ("n", LongType()), ("pretoken", BinaryType()), ("times", LongType())]
-    return rows.mapInArrow(run, StructType([*(StructField(f.name, f.dataType) for f in own), *(StructField(*x) for x in added)]))
-
+                other = np.flatnonzero(counts < 0)
+                counts[other] = pieces(spans.bytes_of(other))
+                n = np.bincount(spans.row, counts[spans.which], b - a).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(own)], pa.array(n_bytes[a:b]), pa.array(n), pa.array(n > limit)], names)
 
-def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int = LIMIT, frequent: int = FREQUENT, frequent_long: int = FREQUENT_LONG, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, the columns to keep, n_bytes, n_tokens and over_limit of every document."""
-    table = C.cut(distinct_pretokens(docs, model))
-    short = F.length("pretoken") <= 8 * EIGHTS
-    top = lambda of, n: table.filter(of).orderBy(F.desc("held"), "pretoken").limit(n).select("pretoken", "pieces")
-    held = top(short, frequent).unionByName(top(~short, frequent_long)).toArrow()  # bounded by both limits
-    known = docs.sparkSession.sparkContext.broadcast(Known(held.column(0).to_pylist(), held.column(1).to_numpy()))
-    rows = C.cut(frequencies(docs, model, known, keep))
-    joined = rows.filter("pretoken IS NOT NULL").select("row", "pretoken", "times").join(table.select("pretoken", "pieces"), "pretoken").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("others"))
-    n = F.col("n") + F.coalesce("others", F.lit(0))
-    whole = rows.filter("pretoken IS NULL").join(joined, "row", "left")
-    return whole.select("doc_id", *keep, "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
+    kinds = (*(StructField(f.name, f.dataType) for f in own), StructField("n_bytes", LongType()), StructField("n_tokens", LongType()), StructField("over_limit", BooleanType()))
+    return rows.mapInArrow(run, StructType(list(kinds)))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
