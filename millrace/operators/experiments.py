@@ -7,10 +7,12 @@ model selection and transformations are small solves on them.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,11 +107,28 @@ def curvature(df: DataFrame, y: str, factors: Sequence[str]) -> dict:
 
 
 def residual_tests(rows: DataFrame, residual: str, order: str, fitted: str) -> dict:
-    """Durbin and Watson's statistic by a window over buckets of the order, and Breusch and Pagan's by one aggregate."""
-    from pyspark.sql import Window as W
-
-    w = W.orderBy(order)  # residuals of one experiment: as many as its runs
-    dw = rows.select(((F.col(residual) - F.lag(residual).over(w)) ** 2).alias("d"), (F.col(residual) ** 2).alias("s")).agg(F.sum("d") / F.sum("s")).first()[0]
+    """Durbin and Watson's statistic over sorted ranges of the order, and Breusch and Pagan's by one aggregate."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        steps = squares = 0.0
+        for b in batches:
+            e = b.column(0).to_numpy(zero_copy_only=False)
+            e = e[~np.isnan(e)]
+            if not len(e):
+                continue
+            steps += float((np.diff(e) ** 2).sum()) + (0.0 if last is None else float((e[0] - last) ** 2))
+            squares += float((e**2).sum())
+            first, last = float(e[0]) if first is None else first, float(e[-1])
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (TaskContext.get().partitionId(), first, last, steps, squares)], ["part", "first", "last", "steps", "squares"])
+
+    dealt = rows.select(F.col(residual).cast("double").alias("e"), order).repartitionByRange(parts, order).sortWithinPartitions(order).select("e")
+    # one row a range
+    ranges = sorted(tuple(r) for r in dealt.mapInArrow(run, "part long, first double, last double, steps double, squares double").collect())
+    squares = sum(r[4] for r in ranges)
+    steps = sum(r[3] for r in ranges) + sum((b[1] - a[2]) ** 2 for a, b in zip(ranges, ranges[1:], strict=False))
     n, r2 = rows.agg(F.count(residual), F.corr(F.col(residual) ** 2, F.col(fitted))).first()
     lm = n * (r2 or 0.0) ** 2
-    return {"durbin_watson": dw, "breusch_pagan": lm, "breusch_pagan_p": 1 - D.chi2_cdf(lm, 1)}
+    return {"durbin_watson": steps / squares if squares > 0 else math.nan, "breusch_pagan": lm, "breusch_pagan_p": 1 - D.chi2_cdf(lm, 1)}

@@ -37,21 +37,20 @@ def quantile(column: str | Column, p: float, exact: bool = True) -> Column:
     return F.percentile(column, F.lit(p)) if exact else F.percentile_approx(column, F.lit(p), F.lit(10_000))
 
 
-def with_median(df: DataFrame, by: Sequence[str], name: str = "m", of: str = "x") -> DataFrame:
+def with_median(df: DataFrame, by: Sequence[str], name: str = "m", of: str = "x", exact: bool = True) -> DataFrame:
     """df and its group's median; the medians are joined back, so no group is one window."""
-    if not by:
-        return df.crossJoin(F.broadcast(df.agg(F.median(of).alias(name))))
-    return df.join(df.groupBy(*by).agg(F.median(of).alias(name)), list(by))
+    own = df.groupBy(*by).agg(quantile(of, 0.5, exact).alias(name))
+    return df.join(own, list(by)) if by else df.crossJoin(F.broadcast(own))
 
 
-def median_absolute_deviation(df: DataFrame, value: str, by: Sequence[str] = (), scale: float = MAD_NORMAL) -> DataFrame:
+def median_absolute_deviation(df: DataFrame, value: str, by: Sequence[str] = (), scale: float = MAD_NORMAL, exact: bool = True) -> DataFrame:
     """mad: the median distance to the median over `scale` (1 for the raw distance)."""
-    return with_median(present(df, value, by), by).groupBy(*by).agg((F.median(F.abs(F.col("x") - F.col("m"))) / scale).alias("mad"))
+    return with_median(present(df, value, by), by, exact=exact).groupBy(*by).agg((quantile(F.abs(F.col("x") - F.col("m")), 0.5, exact) / scale).alias("mad"))
 
 
 def summary_stats(df: DataFrame, value: str, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """Mean, both standard deviations, their share of the mean, quantiles, range, count, median and scaled MAD, in two passes."""
-    x = with_median(present(df, value, by), by)
+    x = with_median(present(df, value, by), by, exact=exact)
     q = lambda p: quantile("x", p, exact)
     return x.groupBy(*by).agg(
         F.avg("x").alias("mean"),
@@ -59,7 +58,7 @@ def summary_stats(df: DataFrame, value: str, by: Sequence[str] = (), exact: bool
         F.stddev_samp("x").alias("std_ddof1"),
         (F.stddev_samp("x") / F.avg("x")).alias("rsd_classical"),
         F.max("m").alias("center"),
-        (F.median(F.abs(F.col("x") - F.col("m"))) / MAD_NORMAL).alias("spread"),
+        (quantile(F.abs(F.col("x") - F.col("m")), 0.5, exact) / MAD_NORMAL).alias("spread"),
         q(0.05).alias("p05"),
         q(0.25).alias("p25"),
         q(0.75).alias("p75"),
@@ -71,10 +70,10 @@ def summary_stats(df: DataFrame, value: str, by: Sequence[str] = (), exact: bool
     )
 
 
-def box_statistics(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+def box_statistics(df: DataFrame, value: str, by: Sequence[str], exact: bool = True) -> DataFrame:
     """Five numbers, fences of 1.5 interquartile ranges, and how many values lie beyond them."""
     x = present(df, value, by)
-    box = x.groupBy(*by).agg(F.min("x").alias("low"), quantile("x", 0.25).alias("q1"), F.median("x").alias("q2"), quantile("x", 0.75).alias("q3"), F.max("x").alias("high"))
+    box = x.groupBy(*by).agg(F.min("x").alias("low"), quantile("x", 0.25, exact).alias("q1"), quantile("x", 0.5, exact).alias("q2"), quantile("x", 0.75, exact).alias("q3"), F.max("x").alias("high"))
     box = box.withColumn("lower_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     beyond = (F.col("x") < F.col("lower_fence")) | (F.col("x") > F.col("upper_fence"))
     counts = x.join(box, list(by)).groupBy(*by).agg(F.sum(beyond.cast("long")).alias("n_outliers"))
@@ -136,14 +135,14 @@ def ttest_paired(df: DataFrame, value: str, group: str, order: Sequence[str], a:
     return out.withColumn("ci_low", F.col("mean") - F.col("c") * F.col("standard_error")).withColumn("ci_high", F.col("mean") + F.col("c") * F.col("standard_error")).drop("c")
 
 
-def confidence_interval(df: DataFrame, value: str, by: Sequence[str] = (), conflevel: float = 0.95, style: str = "robust") -> DataFrame:
+def confidence_interval(df: DataFrame, value: str, by: Sequence[str] = (), conflevel: float = 0.95, style: str = "robust", exact: bool = True) -> DataFrame:
     """center -/+ t s / sqrt(n): median and MAD sqrt(pi / 2), or mean and standard deviation."""
-    x = with_median(present(df, value, by), by)
+    x = with_median(present(df, value, by), by, exact=exact)
     robust = style == "robust"
     out = x.groupBy(*by).agg(
         F.count("x").alias("n"),
         (F.max("m") if robust else F.avg("x")).alias("center"),
-        (F.median(F.abs(F.col("x") - F.col("m"))) / MAD_NORMAL * math.sqrt(math.pi / 2) if robust else F.stddev_samp("x")).alias("spread"),
+        (quantile(F.abs(F.col("x") - F.col("m")), 0.5, exact) / MAD_NORMAL * math.sqrt(math.pi / 2) if robust else F.stddev_samp("x")).alias("spread"),
     )
     out = t_quantile(out.withColumn("dof", F.col("n") - 1), "dof", conflevel, "c")
     half = F.col("c") * F.col("spread") / F.sqrt("n")
@@ -308,16 +307,34 @@ def tietjen_moore(df: DataFrame, value: str, k: int, by: Sequence[str] = (), two
     return by_group(present(df, value, by), by, "statistic double, critical double, p_value double, outliers boolean", run)
 
 
-def distribution_fit(df: DataFrame, value: str, by: Sequence[str] = (), distribution: str = "norm") -> DataFrame:
-    """Maximum likelihood location and scale of a normal or exponential distribution, with a Kolmogorov-Smirnov test."""
+def ranked(x: DataFrame, by: Sequence[str]) -> DataFrame:
+    """x with the rank of each value in its group (`rank`, from 1), however large a group is.
 
-    def run(x: np.ndarray) -> list[tuple]:
-        x = np.sort(x)
-        n = len(x)
-        loc, scale = (x.mean(), x.std()) if distribution == "norm" else (x.min(), x.mean() - x.min())
-        z = (x - loc) / (scale or 1)
-        cdf = np.array([D.norm_cdf(v) for v in z]) if distribution == "norm" else 1 - np.exp(-z)
-        d = float(max((np.arange(1, n + 1) / n - cdf).max(), (cdf - np.arange(n) / n).max()))
-        return [(float(loc), float(scale), d, D.kolmogorov_tail(d, n))]
-
-    return by_group(present(df, value, by), by, "location double, scale double, distance double, p_value double", run)
+    Values are sorted in ranges; a range's ranks follow the sizes of the ranges before it, of which there are as many as partitions and groups.
+    """
+    spark = x.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    inner = x.repartitionByRange(parts, *by, "x").withColumn("_part", F.spark_partition_id())
+    sizes = inner.groupBy(*by, "_part").agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_size")
+    own = inner.withColumn("_own", F.row_number().over(W.partitionBy(*by, "_part").orderBy("x")))
+    return own.join(before, [*by, "_part"]).withColumn("rank", F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+
+
+def distribution_fit(df: DataFrame, value: str, by: Sequence[str] = (), distribution: str = "norm") -> DataFrame:
+    """Maximum likelihood location and scale of a normal (norm) or exponential distribution, with a Kolmogorov-Smirnov test: an aggregate, and ranks over sorted ranges."""
+    x = present(df, value, by)
+    if distribution == "norm":
+        loc, scale = F.avg("x"), F.stddev_pop("x")
+        cdf = F.pandas_udf(lambda z: pd.Series(np.fromiter(map(math.erfc, -z.to_numpy(float) / math.sqrt(2)), float, len(z)) / 2), "double")
+    else:
+        loc, scale = F.min("x"), F.avg("x") - F.min("x")
+        cdf = lambda z: 1 - F.exp(-z)
+    fit = x.groupBy(*by).agg(loc.alias("location"), scale.alias("scale"), F.count("x").alias("_n"))
+    rows = ranked(x, by)
+    rows = rows.join(fit, list(by)) if by else rows.crossJoin(F.broadcast(fit))
+    rows = rows.withColumn("_f", cdf((F.col("x") - F.col("location")) / F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0)))
+    gap = F.greatest(F.col("rank") / F.col("_n") - F.col("_f"), F.col("_f") - (F.col("rank") - 1) / F.col("_n"))
+    out = rows.groupBy(*by, "location", "scale", "_n").agg(F.max(gap).alias("distance"))
+    tail = F.pandas_udf(lambda d, n: pd.Series([D.kolmogorov_tail(float(a), int(b)) for a, b in zip(d, n, strict=True)], dtype=float), "double")
+    return out.select(*by, "location", "scale", "distance", tail("distance", "_n").alias("p_value"))

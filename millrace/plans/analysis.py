@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import experiments, latent, resampling
+from millrace.operators import experiments, latent, linear, resampling
 from millrace.plans import sqlparts as S
 from millrace.plans.catalog import add
 from millrace.plans.models import PLS_X, X, lines
@@ -88,3 +88,16 @@ def grouped(spark, sf_dir):
     groups = resampling.grouped_products(lines(spark, sf_dir), X, 8, "l_orderkey")
     total = sum(g[1] for g in groups)
     return spark.createDataFrame([(*(round(float(v), 3) for v in total), sum(g[0] for g in groups))], ", ".join([*(f"{c} double" for c in X), "n long"]))
+
+
+@add(
+    "durbin_watson",
+    """WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem), e AS (SELECT l_orderkey * 10 + l_linenumber AS o, l_extendedprice - a - b * l_quantity AS e FROM lineitem, m),
+    d AS (SELECT o, first(e ORDER BY e) AS e FROM e GROUP BY o HAVING count(*) = 1), l AS (SELECT e, e - lag(e) OVER (ORDER BY o) AS d FROM d) SELECT round(sum(d ^ 2) / sum(e ^ 2), 6) AS durbin_watson FROM l""",
+)
+def durbin_watson(spark, sf_dir):
+    """Of lines whose place in the order is theirs alone."""
+    df = lines(spark, sf_dir).withColumn("o", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    rows = linear.OLS.fit(df, "l_extendedprice", ["l_quantity"]).residuals(df)
+    rows = rows.groupBy("o").agg(F.min("residual").alias("residual"), F.min("y_hat").alias("y_hat"), F.count("*").alias("n")).filter("n = 1")
+    return spark.createDataFrame([(round(experiments.residual_tests(rows, "residual", "o", "y_hat")["durbin_watson"], 6),)], "durbin_watson double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -47,30 +48,39 @@ def campaign(spark, sf_dir):
     return simulators.campaign(spark, 20, hours=24)
 
 
-@add("streaming_adaptive_pca")
-def streaming(spark, sf_dir):
-    """The events as a stream from files, read to its end into a table."""
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
-    rows = source.withColumn("a", F.col("value")).withColumn("b", F.col("value") * (1 + F.col("user_id") % 5)).select("event_type", "ts", "a", "b")
-    name = "adaptive_pca_out"
-    query = adaptive.adaptive_pca(rows, "event_type", "ts", ["a", "b"], 1).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", _folder(spark)).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def event_stream(spark, sf_dir):
+    """The events as a stream from their files; the pattern names one table, which may be a file or a folder."""
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
-@add("streaming_shewhart")
-def streaming_shewhart(spark, sf_dir):
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    name = "shewhart_out"
-    out = adaptive.windowed_shewhart(source, "event_type", "ts", "value", 50.0, 28.0, "1 day")
-    query = out.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", _folder(spark)).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def to_the_end(spark, rows):
+    """A stream read to its end into files of a new shared folder, and read from there."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows.writeStream.format("parquet").option("path", f"{folder}/rows").outputMode("append").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
 
 
-def _folder(spark) -> str:
-    """A new folder for a stream's progress: on the cluster's shared one if it names it."""
-    import uuid
+@add("streaming_adaptive_pca")
+def streaming(spark, sf_dir):
+    rows = event_stream(spark, sf_dir).withColumn("a", F.col("value")).withColumn("b", F.col("value") * (1 + F.col("user_id") % 5)).select("event_type", "ts", "a", "b")
+    return to_the_end(spark, adaptive.adaptive_pca(rows, "event_type", "ts", ["a", "b"], 1))
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="millrace-stream-")
+
+@add(
+    "streaming_shewhart",
+    """WITH w AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(value) AS n, avg(value) AS m, date_trunc('day', ts) + INTERVAL 1 DAY AS ends FROM events GROUP BY ALL)
+    SELECT event_type, day, n, round(m, 6) AS mean, abs(m - 50) > 3 * 28 / sqrt(n) AS out_of_control FROM w WHERE ends <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+)
+def streaming_shewhart(spark, sf_dir):
+    """Windows that the watermark has not passed are not closed, and so not among the rows."""
+    source = event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = to_the_end(spark, adaptive.windowed_shewhart(source, "event_type", "ts", "value", 50.0, 28.0, "1 day"))
+    return rounded(rows.select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "n", "mean", "out_of_control"))
+
+
+def shared_folder(spark) -> str:
+    """The folder that the cluster shares, or in local mode a new one where it names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="millrace-")

@@ -118,20 +118,30 @@ def cpk(spark, sf_dir):
     return rounded(U.calculate_cpk(table(spark, sf_dir, "lineitem"), "l_quantity", -5.0, 60.0, ["l_returnflag"], trim_percentile=0))
 
 
-@add("cpk_robust")
-def cpk_robust(spark, sf_dir):
-    return U.calculate_cpk(table(spark, sf_dir, "events"), "value", None, float("nan"), ["event_type"])
+def sn_sql(keys_values_order: str) -> str:
+    """CTEs x, d, m and sn (k, n, sn) of groups k of values x; a group of one has 0."""
+    return f"""x AS (SELECT k, x, row_number() OVER (PARTITION BY k ORDER BY o) AS i, count(*) OVER (PARTITION BY k) AS n FROM ({keys_values_order})),
+d AS (SELECT a.k, a.n, a.i, abs(a.x - b.x) AS d, row_number() OVER (PARTITION BY a.k, a.i ORDER BY abs(a.x - b.x)) AS r FROM x a JOIN x b ON a.k = b.k),
+m AS (SELECT k, n, d, row_number() OVER (PARTITION BY k ORDER BY d) AS r FROM d WHERE r = n // 2 + 1),
+sn AS (SELECT k, n, CASE WHEN n = 1 THEN 0 ELSE 1.1926 * d * CASE n WHEN 2 THEN 0.743 WHEN 3 THEN 1.851 WHEN 4 THEN 0.954 WHEN 5 THEN 1.351 WHEN 6 THEN 0.993 WHEN 7 THEN 1.198 WHEN 8 THEN 1.005 WHEN 9 THEN 1.131 ELSE CASE WHEN n % 2 = 1 THEN n / (n - 0.9) ELSE 1 END END END AS sn FROM m WHERE r = (n + 1) // 2)"""
 
 
-SN_SQL = """WITH x AS (SELECT c_nationkey AS k, c_acctbal AS x, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
-d AS (SELECT a.k, a.n, a.i, abs(a.x - b.x) AS d, row_number() OVER (PARTITION BY a.k, a.i ORDER BY abs(a.x - b.x)) AS r FROM x a JOIN x b ON a.k = b.k),
-m AS (SELECT k, n, d, row_number() OVER (PARTITION BY k ORDER BY d) AS r FROM d WHERE r = n // 2 + 1)
-SELECT k, round(1.1926 * d * CASE n WHEN 2 THEN 0.743 WHEN 3 THEN 1.851 WHEN 4 THEN 0.954 WHEN 5 THEN 1.351 WHEN 6 THEN 0.993 WHEN 7 THEN 1.198 WHEN 8 THEN 1.005 WHEN 9 THEN 1.131 ELSE CASE WHEN n % 2 = 1 THEN n / (n - 0.9) ELSE 1 END END, 6) AS sn FROM m WHERE n > 1 AND r = (n + 1) // 2"""
+SN_SQL = f"WITH {sn_sql('SELECT c_nationkey AS k, c_acctbal AS x, c_custkey AS o FROM customer')} SELECT k, round(sn, 6) AS sn FROM sn"
 
 
 @add("sn_scale", SN_SQL)
 def sn(spark, sf_dir):
-    return rounded(U.sn(table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "k"), "c_acctbal", ["k"]).filter("sn > 0"))
+    return rounded(U.sn(table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "k"), "c_acctbal", ["k"]))
+
+
+@add(
+    "cpk_robust",
+    f"""WITH q AS (SELECT event_type, quantile_cont(value, 0.025) AS low, quantile_cont(value, 0.975) AS high FROM events WHERE value IS NOT NULL GROUP BY 1), t AS (SELECT event_type, event_id, value, low FROM events JOIN q USING (event_type) WHERE value BETWEEN low AND high),
+    {sn_sql("SELECT event_type AS k, value AS x, event_id AS o FROM t")}, c AS (SELECT event_type, median(value) AS center, max(low) AS low FROM t GROUP BY 1)
+    SELECT event_type, round(center, 6) AS center, round(sn, 6) AS spread, round((center - low) / (3 * sn), 6) AS cpk FROM c JOIN sn ON k = event_type""",
+)
+def cpk_robust(spark, sf_dir):
+    return rounded(U.calculate_cpk(table(spark, sf_dir, "events"), "value", None, float("nan"), ["event_type"]))
 
 
 @add("detect_outliers_esd")
@@ -154,6 +164,20 @@ def distribution(spark, sf_dir):
     return U.distribution_fit(table(spark, sf_dir, "events"), "value", ["event_type"])
 
 
+@add(
+    "distribution_fit_exponential",
+    """WITH g AS (SELECT event_type, min(value) AS loc, avg(value) - min(value) AS scale, count(value) AS n FROM events GROUP BY 1), r AS (SELECT event_type, loc, scale, n, 1 - exp(-(value - loc) / scale) AS f, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i FROM events JOIN g USING (event_type) WHERE value IS NOT NULL)
+    SELECT event_type, round(loc, 6) AS location, round(scale, 6) AS scale, round(max(greatest(i / n - f, f - (i - 1) / n)), 6) AS distance FROM r GROUP BY ALL""",
+)
+def distribution_exponential(spark, sf_dir):
+    return rounded(U.distribution_fit(table(spark, sf_dir, "events"), "value", ["event_type"], "expon").drop("p_value"))
+
+
+@add("distribution_fit_moments", "SELECT event_type, round(avg(value), 6) AS location, round(stddev_pop(value), 6) AS scale FROM events GROUP BY 1")
+def distribution_moments(spark, sf_dir):
+    return rounded(U.distribution_fit(table(spark, sf_dir, "events"), "value", ["event_type"]).select("event_type", "location", "scale"))
+
+
 @add("scale_columns", "SELECT l_orderkey, l_linenumber, round((l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER (), 6) AS l_quantity, round((l_discount - avg(l_discount) OVER ()) / stddev_samp(l_discount) OVER (), 6) AS l_discount FROM lineitem")
 def scaled(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")

@@ -55,10 +55,10 @@ def first_crossing(spark, sf_dir):
 
 @add(
     "batch_slope",
-    f"WITH e AS ({AGE}), i AS (SELECT a.user_id, a.event_id, median((b.value - a.value) / (b.age - a.age)) AS s FROM e a JOIN e b ON a.user_id = b.user_id AND a.age <> b.age GROUP BY 1, 2) SELECT user_id, round(median(s) * 1e6, 4) AS slope FROM i GROUP BY 1",
+    f"WITH e AS ({AGE}), i AS (SELECT a.user_id, a.event_id, median((b.value - a.value) / (b.age - a.age)) AS s FROM e a JOIN e b ON a.user_id = b.user_id AND a.age <> b.age GROUP BY 1, 2) SELECT u.user_id, round(median(s) * 1e6, 4) AS slope FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN i ON i.user_id = u.user_id GROUP BY 1",
 )
 def slope(spark, sf_dir):
-    return B.slope(events(spark, sf_dir), "value", "age", BY).filter(~F.isnan("value_slope")).select("user_id", F.round(F.col("value_slope") * 1e6, 4).alias("slope"))
+    return B.slope(events(spark, sf_dir), "value", "age", BY).select("user_id", F.when(~F.isnan("value_slope"), F.round(F.col("value_slope") * 1e6, 4)).alias("slope"))
 
 
 @add("batch_elbow")
@@ -71,9 +71,12 @@ def melt(spark, sf_dir):
     return B.melt(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_quantity", "l_tax"])
 
 
-@add("batch_widen", "SELECT l_orderkey, max(l_quantity) FILTER (WHERE l_linenumber = 1) AS \"1_l_quantity\", max(l_quantity) FILTER (WHERE l_linenumber = 2) AS \"2_l_quantity\", max(l_quantity) FILTER (WHERE l_linenumber = 3) AS \"3_l_quantity\" FROM lineitem GROUP BY 1")
+WIDE = ", ".join(f'max({c}) FILTER (WHERE l_linenumber = {k}) AS "{k}_{c}"' for k in range(1, 8) for c in ("l_quantity", "l_tax"))
+
+
+@add("batch_widen", f"SELECT l_orderkey, {WIDE} FROM lineitem GROUP BY 1")
 def widen(spark, sf_dir):
-    return B.widen(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", ["l_quantity"], [1, 2, 3])
+    return B.widen(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", ["l_quantity", "l_tax"], list(range(1, 8)))
 
 
 @add("batch_widen_all", "SELECT l_orderkey, max(l_quantity) FILTER (WHERE l_linenumber = 1) AS \"1_l_quantity\", max(l_quantity) FILTER (WHERE l_linenumber = 2) AS \"2_l_quantity\", max(l_quantity) FILTER (WHERE l_linenumber = 3) AS \"3_l_quantity\", max(l_quantity) FILTER (WHERE l_linenumber = 4) AS \"4_l_quantity\", max(l_quantity) FILTER (WHERE l_linenumber = 5) AS \"5_l_quantity\", max(l_quantity) FILTER (WHERE l_linenumber = 6) AS \"6_l_quantity\", max(l_quantity) FILTER (WHERE l_linenumber = 7) AS \"7_l_quantity\" FROM lineitem GROUP BY 1")
