@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -406,6 +407,18 @@ class OPLS:
             x = x - np.outer(x @ self.orthogonal_weights[:, a], self.orthogonal_loadings[:, a])
         return x
 
+    def correct(self, df: DataFrame) -> DataFrame:
+        """df with its x less their orthogonal components, in the units of the data."""
+        k = len(self.x)
+        names = [f"{c}_corrected" for c in self.x]
+        return over_rows(df, self.x, names, lambda x: self._corrected(x) * self.scale[:k] + self.center[:k])
+
+    def invert(self, target: float) -> tuple[np.ndarray, np.ndarray]:
+        """x for a wanted y along the predictive component, and the orthogonal loadings along which x may move without changing it."""
+        k = len(self.x)
+        t = (target - self.center[-1]) / self.scale[-1] / self.q
+        return t * self.weight * self.scale[:k] + self.center[:k], self.orthogonal_loadings * self.scale[:k, None]
+
     def transform(self, df: DataFrame) -> DataFrame:
         """The predictive score and the prediction."""
         def run(x: np.ndarray) -> np.ndarray:
@@ -424,45 +437,136 @@ def rv_coefficient(df: DataFrame, a: Sequence[str], b: Sequence[str]) -> float:
 
 @dataclass
 class MultiBlock:
-    """Consensus PCA or PLS of several blocks, each scaled and weighted by 1 / sqrt of its columns."""
+    """Consensus PCA or PLS of several blocks of columns: each scaled to unit variance and weighted by 1 / sqrt of its columns.
+
+    The super scores of the hierarchical iteration are those of the weighted
+    blocks side by side, so a fit is one pass of moments.  A block's weights are
+    its part of a component's, at unit length; the lengths are the super weights.
+    Block scores and residuals come from data less the earlier components.
+    """
 
     blocks: dict[str, list[str]]
-    model: PLS | None
-    pca: np.ndarray
+    y: list[str]
     center: np.ndarray
     scale: np.ndarray
+    weights: np.ndarray
+    loadings: np.ndarray
+    score_scale: np.ndarray
+    n: int
+    y_loadings: np.ndarray
+    r2: np.ndarray
+    spe_moments: dict[str, tuple[float, float]]
 
     @classmethod
     def fit(cls, df: DataFrame, blocks: dict[str, Sequence[str]], components: int, y: Sequence[str] = ()) -> MultiBlock:
+        blocks, y = {k: list(v) for k, v in blocks.items()}, list(y)
         columns = [c for b in blocks.values() for c in b]
         m = moments(df, [*columns, *y])
-        n, mean, covariance = m.n, m.mean, m.centred
-        sd = np.sqrt(np.diag(covariance) / (n - 1))
-        sd = np.where(sd > TINY, sd, 1.0)
-        sd = sd * np.array([math.sqrt(len(b)) for b in blocks.values() for _ in b] + [1.0] * len(y))
+        k, covariance = len(columns), m.centred
+        sd = np.sqrt(np.diag(covariance) / (m.n - 1))
+        sd = np.where(sd > TINY, sd, 1.0) * np.array([math.sqrt(len(b)) for b in blocks.values() for _ in b] + [1.0] * len(y))
         c = covariance / np.outer(sd, sd)
         if y:
-            model = PLS.of_products(n, np.zeros(len(sd)), c, columns, list(y), components, scale=False)
-            return cls({k: list(v) for k, v in blocks.items()}, model, model.rotation, mean, sd)
-        values, vectors = np.linalg.eigh(c)
-        vectors = vectors[:, np.argsort(values)[::-1][:components]]
-        return cls({k: list(v) for k, v in blocks.items()}, None, vectors * positive(vectors), mean, sd)
+            model = PLS.of_products(m.n, np.zeros(len(sd)), c, columns, y, components, scale=False)
+            weights, loadings, scale, q = model.weights, model.loadings, model.score_scale, model.y_loadings
+        else:
+            values, vectors = np.linalg.eigh(c)
+            order = np.argsort(values)[::-1][:components]
+            weights = vectors[:, order] * positive(vectors[:, order])
+            loadings, scale, q = weights, np.sqrt(np.maximum(values[order], 0) / (m.n - 1)), np.zeros((0, components))
+        out = cls(blocks, y, m.mean, sd, weights, loadings, scale, m.n, q, np.zeros((0, 0)), {})
+        rest, r2 = np.diag(c)[:k].copy(), []
+        for a in range(out.components):
+            rest = rest - loadings[:, a] ** 2 * scale[a] ** 2 * (m.n - 1)
+            r2.append([1 - rest[i:j].sum() / max(np.diag(c)[i:j].sum(), TINY) for i, j in out.spans().values()])
+        out.r2 = np.array(r2).T  # cumulative, a row a block
+        spe = [f"{b}_spe" for b in blocks] + ["super_spe"]
+        row = out.diagnose(df.dropna(subset=[*columns, *y])).agg(*(f(F.col(x) ** 2) for x in spe for f in (F.avg, F.var_samp))).first()
+        out.spe_moments = {x: (row[2 * i] or 0.0, row[2 * i + 1] or 0.0) for i, x in enumerate(spe)}
+        return out
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Super scores, and each block's share of the first one's and its squared prediction error."""
-        columns = [c for b in self.blocks.values() for c in b]
-        k = len(columns)
-        at = np.cumsum([0, *(len(b) for b in self.blocks.values())])
-        loadings = self.model.loadings if self.model else self.pca
+    @property
+    def components(self) -> int:
+        return self.weights.shape[1]
+
+    @property
+    def columns(self) -> list[str]:
+        return [c for b in self.blocks.values() for c in b]
+
+    def spans(self) -> dict[str, tuple[int, int]]:
+        at = np.cumsum([0, *(len(b) for b in self.blocks.values())]).tolist()
+        return {b: (i, j) for b, i, j in zip(self.blocks, at, at[1:], strict=False)}
+
+    def super_weights(self) -> np.ndarray:
+        """A row a block: how much of each component's weight it has."""
+        return np.array([np.linalg.norm(self.weights[i:j], axis=0) for i, j in self.spans().values()])
+
+    def block_weights(self, block: str) -> np.ndarray:
+        i, j = self.spans()[block]
+        part = self.weights[i:j]
+        return part / np.maximum(np.linalg.norm(part, axis=0), TINY)
+
+    def vip(self, block: str) -> np.ndarray:
+        """sqrt(K sum(r2 w^2) / sum(r2)) of each column of a block."""
+        i, j = self.spans()[block]
+        gain = np.diff(self.r2[list(self.blocks).index(block)], prepend=0)
+        return np.sqrt((j - i) * (self.block_weights(block) ** 2 @ gain) / max(gain.sum(), TINY))
+
+    def _steps(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each component the weighted data less the earlier ones, and the super score; at last what remains."""
+        k = len(self.columns)
+        z = (x - self.center[:k]) / self.scale[:k]
+        for a in range(self.components):
+            t = z @ self.weights[:, a]
+            yield z, t
+            z = z - np.outer(t, self.loadings[:, a])
+        yield z, np.zeros(len(z))
+
+    def diagnose(self, df: DataFrame) -> DataFrame:
+        """Super scores, block scores, each block's and the merged squared prediction error's root, T2, and predictions of y."""
+        spans, k = self.spans(), len(self.columns)
+        wide = {b: math.sqrt(j - i) for b, (i, j) in spans.items()}
 
         def run(x: np.ndarray) -> np.ndarray:
-            x = (x - self.center[:k]) / self.scale[:k]
-            t = x @ self.pca
-            rest = (x - t @ loadings.T) ** 2
-            return np.column_stack([t, *(x[:, i:j] @ self.pca[i:j, 0] for i, j in zip(at, at[1:], strict=False)), *(np.sqrt(rest[:, i:j].sum(axis=1)) for i, j in zip(at, at[1:], strict=False))])
+            steps = list(self._steps(x))
+            t = np.column_stack([s[1] for s in steps[:-1]])
+            own = [steps[a][0][:, i:j] @ self.block_weights(b)[:, a] for b, (i, j) in spans.items() for a in range(self.components)]
+            spe = [np.sqrt((steps[-1][0][:, i:j] ** 2).sum(axis=1)) * wide[b] for b, (i, j) in spans.items()]
+            t2 = (np.divide(t, self.score_scale, out=np.zeros_like(t), where=self.score_scale > 0) ** 2).sum(axis=1)
+            hat = (t @ self.y_loadings.T) * self.scale[k:] + self.center[k:] if self.y else np.zeros((len(x), 0))
+            return np.column_stack([t, *own, *spe, np.sqrt(sum(s**2 for s in spe)), t2, hat])
+
+        sizes = range(1, self.components + 1)
+        names = [*(f"super_t{a}" for a in sizes), *(f"{b}_t{a}" for b in self.blocks for a in sizes), *(f"{b}_spe" for b in self.blocks), "super_spe", "hotellings_t2", *(f"{c}_hat" for c in self.y)]
+        return over_rows(df, self.columns, names, run)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Super scores."""
+        return over_rows(df, self.columns, [f"super_t{a + 1}" for a in range(self.components)], lambda x: np.column_stack([t for _, t in list(self._steps(x))[:-1]]))
+
+    def t2_limit(self, conflevel: float = 0.95) -> float:
+        return t2_limit(self.n, self.components, conflevel)
 
-        names = [*(f"super_t{a + 1}" for a in range(self.pca.shape[1])), *(f"{b}_t1" for b in self.blocks), *(f"{b}_spe" for b in self.blocks)]
-        return over_rows(df, columns, names, run)
+    def block_spe_limit(self, block: str, conflevel: float = 0.95) -> float:
+        return spe_limit_of(*self.spe_moments[f"{block}_spe"], conflevel)
+
+    def super_spe_limit(self, conflevel: float = 0.95) -> float:
+        return spe_limit_of(*self.spe_moments["super_spe"], conflevel)
+
+    def spe_contributions(self, df: DataFrame) -> DataFrame:
+        """Squared residual of each column, in units of its variance."""
+        wide = np.repeat([len(b) for b in self.blocks.values()], [len(b) for b in self.blocks.values()])
+        return over_rows(df, self.columns, [f"{c}_spe" for c in self.columns], lambda x: list(self._steps(x))[-1][0] ** 2 * wide)
+
+    def score_contributions(self, df: DataFrame, component: int = 1) -> DataFrame:
+        """Each column's term of a super score."""
+        return over_rows(df, self.columns, [f"{c}_t{component}" for c in self.columns], lambda x: list(self._steps(x))[component - 1][0] * self.weights[:, component - 1])
+
+    def group_contributions(self, df: DataFrame, group: Column, component: int = 1) -> dict[str, float]:
+        """Each column's term of the difference between the mean super score of a group and of the other rows."""
+        rows = self.score_contributions(df, component)
+        row = rows.agg(*(F.avg(F.when(group, F.col(f"{c}_t{component}"))) - F.avg(F.when(~group, F.col(f"{c}_t{component}"))) for c in self.columns)).first()
+        return dict(zip(self.columns, (float(v or 0.0) for v in row), strict=True))
 
 
 def parallel_analysis(model: PCA, simulations: int = 200, quantile: float = 0.95, seed: int = 0) -> int:
@@ -530,3 +634,52 @@ def select_rule(errors: Sequence[float], spreads: Sequence[float] | None = None,
         return int(np.flatnonzero(e <= e[best] + s)[0]) + 1
     drop = np.diff(e) / -e[:-1]
     return int(np.flatnonzero(drop < gain)[0]) + 1 if (drop < gain).any() else len(e)
+
+
+def minka_components(model: PCA) -> int:
+    """How many components the Laplace evidence of probabilistic PCA favours (Minka, 2000); the model must have all of them."""
+    k, n = len(model.columns), model.n
+    values = np.maximum(model.score_scale**2, 1e-300)
+    if len(values) < k:
+        raise ValueError("fit all components first")
+    best, chosen = -math.inf, 1
+    for a in range(1, k):
+        sphere = -a * math.log(2.0) + sum(math.lgamma((k - i) / 2) - (k - i) / 2 * math.log(math.pi) for i in range(a))
+        noise = values[a:].mean()
+        free = k * a - a * (a + 1) / 2
+        full = np.append(values[:a], np.full(k - a, noise))
+        curve = 0.0
+        for i in range(a):
+            own = (1 / full[i + 1 :] - 1 / full[i]) * (values[i] - values[i + 1 :])
+            curve += np.log(np.maximum(own, 1e-300)).sum() + (k - i - 1) * math.log(n)
+        evidence = sphere - n / 2 * np.log(values[:a]).sum() - n * (k - a) / 2 * math.log(noise) + (free + a) / 2 * math.log(2 * math.pi) - curve / 2 - a / 2 * math.log(n)
+        if evidence > best:
+            best, chosen = evidence, a
+    return chosen
+
+
+def permutation_risk(df: DataFrame, x: Sequence[str], y: str, components: int, times: int = 20, seed: int = 0) -> list[dict]:
+    """Of each PLS component: its covariance with y, and the share of permutations whose own is as large.
+
+    A permutation is y of the rows in the order of a hash, paired with x in
+    theirs; all of them are made in one sort of ranges, and a component is
+    tested on what the earlier ones leave.
+    """
+    model = PLS.fit(df, x, [y], components, limits=False)
+    rows = model.transform(df.dropna(subset=[*x, y]))
+    names = [f"t{a + 1}" for a in range(model.components)]
+    hat = [F.lit(0.0)]
+    for a, name in enumerate(names):
+        hat.append(hat[-1] + F.col(name) * float(model.y_loadings[0, a]))
+    center, scale = float(model.center[-1]), float(model.scale[-1])
+    rest = [(F.col(y) - center) / scale - h for h in hat[:-1]]
+    keyed = rows.select(*names, *(r.alias(f"u{a + 1}") for a, r in enumerate(rest)), F.explode(F.sequence(F.lit(0), F.lit(times))).alias("k"))
+    # k = 0 is the order as it is; else scores and residuals are dealt by independent hashes and paired by rank within ranges of them
+    own = keyed.filter("k = 0").agg(*(F.corr(n, f"u{a + 1}") for a, n in enumerate(names))).first()
+    parts = 64
+    place = lambda s: F.xxhash64(F.col("k"), F.lit(s), F.lit(seed), *names, *(f"u{a + 1}" for a in range(len(names))))
+    side = lambda s, columns: keyed.filter("k > 0").select("k", place(s).alias("h"), *columns).withColumn("part", F.pmod(F.col("h"), F.lit(parts)))
+    numbered = lambda d: d.withColumn("rank", F.row_number().over(W.partitionBy("k", "part").orderBy("h"))).drop("h")
+    pairs = numbered(side(1, names)).join(numbered(side(2, [f"u{a + 1}" for a in range(len(names))])), ["k", "part", "rank"])
+    found = pairs.groupBy("k").agg(*(F.abs(F.corr(n, f"u{a + 1}")).alias(n) for a, n in enumerate(names))).collect()
+    return [{"component": a + 1, "statistic": abs(own[a] or 0.0), "risk": sum(r[n] >= abs(own[a] or 0.0) for r in found) / max(len(found), 1)} for a, n in enumerate(names)]

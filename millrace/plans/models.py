@@ -178,16 +178,55 @@ def opls(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", F.round("t_predictive", 5).alias("t_predictive"), F.round("l_extendedprice_hat", 2).alias("l_extendedprice_hat"))
 
 
-@add("multi_block_pca")
+BLOCKS = {"amount": ["l_quantity"], "rates": ["l_discount"]}
+#: Two blocks of one column each have unit weights, so super scores are sums and differences of scaled columns.
+PAIR = "WITH m AS (SELECT avg(l_quantity) AS a, stddev_samp(l_quantity) AS s, avg(l_discount) AS b, stddev_samp(l_discount) AS u, corr(l_quantity, l_discount) AS r, avg(l_extendedprice) AS my, stddev_samp(l_extendedprice) AS sy, corr(l_quantity, l_extendedprice) AS ca, corr(l_discount, l_extendedprice) AS cb FROM lineitem), z AS (SELECT l_orderkey, l_linenumber, (l_quantity - a) / s AS x, (l_discount - b) / u AS y, m.* FROM lineitem, m)"
+
+
+@add(
+    "multi_block_pca",
+    f"""{PAIR}, v AS (SELECT *, CASE WHEN r >= 0 THEN 1 ELSE -1 END AS g FROM z), w AS (SELECT *, (x + g * y) / sqrt(2) AS t FROM v)
+    SELECT l_orderkey, l_linenumber, round(abs(t), 4) AS super_t, round(abs(x), 4) AS amount_t, round(abs(y), 4) AS rates_t, round(abs(x - t / sqrt(2)), 4) AS amount_spe, round(abs(y - g * t / sqrt(2)), 4) AS rates_spe, round(sqrt((x - t / sqrt(2)) ^ 2 + (y - g * t / sqrt(2)) ^ 2), 4) AS super_spe, round(t ^ 2 / (1 + abs(r)), 4) AS hotellings_t2 FROM w""",
+)
 def multi_block(spark, sf_dir):
+    """Scores without their signs."""
     df = lines(spark, sf_dir)
-    return latent.MultiBlock.fit(df, {"amounts": ["l_quantity", "l_extendedprice"], "rates": ["l_discount", "l_tax"]}, 2).transform(df)
+    out = latent.MultiBlock.fit(df, BLOCKS, 1).diagnose(df)
+    scores = [F.round(F.abs(c), 4).alias(n) for c, n in (("super_t1", "super_t"), ("amount_t1", "amount_t"), ("rates_t1", "rates_t"))]
+    return out.select("l_orderkey", "l_linenumber", *scores, *(F.round(c, 4).alias(c) for c in ("amount_spe", "rates_spe", "super_spe", "hotellings_t2")))
 
 
-@add("multi_block_pls")
+@add(
+    "multi_block_pls",
+    f"""{PAIR}, w AS (SELECT *, ca / sqrt(ca ^ 2 + cb ^ 2) AS wa, cb / sqrt(ca ^ 2 + cb ^ 2) AS wb FROM z), t AS (SELECT *, x * wa + y * wb AS t, 1 + 2 * wa * wb * r AS v FROM w), p AS (SELECT *, (wa + r * wb) / v AS pa, (r * wa + wb) / v AS pb, (ca * wa + cb * wb) / v AS q FROM t)
+    SELECT l_orderkey, l_linenumber, round(abs(t), 4) AS super_t, round(sqrt((x - t * pa) ^ 2 + (y - t * pb) ^ 2), 4) AS super_spe, round(t ^ 2 / v, 4) AS hotellings_t2, round(t * q * sy + my, 2) AS l_extendedprice_hat FROM p""",
+)
 def multi_block_pls(spark, sf_dir):
     df = lines(spark, sf_dir)
-    return latent.MultiBlock.fit(df, {"amounts": ["l_quantity"], "rates": ["l_discount", "l_tax"]}, 2, y=["l_extendedprice"]).transform(df)
+    out = latent.MultiBlock.fit(df, BLOCKS, 1, y=["l_extendedprice"]).diagnose(df)
+    return out.select("l_orderkey", "l_linenumber", F.round(F.abs("super_t1"), 4).alias("super_t"), F.round("super_spe", 4).alias("super_spe"), F.round("hotellings_t2", 4).alias("hotellings_t2"), F.round("l_extendedprice_hat", 2).alias("l_extendedprice_hat"))
+
+
+@add("multi_block_diagnostics")
+def multi_block_diagnostics(spark, sf_dir):
+    """Two components of wider blocks, with limits and contributions."""
+    df = lines(spark, sf_dir)
+    model = latent.MultiBlock.fit(df, {"amounts": ["l_quantity", "l_extendedprice"], "rates": ["l_discount", "l_tax"]}, 2)
+    out = model.spe_contributions(model.score_contributions(model.diagnose(df), 2))
+    beyond = (F.col("hotellings_t2") > model.t2_limit()) | (F.col("super_spe") > model.super_spe_limit()) | (F.col("rates_spe") > model.block_spe_limit("rates"))
+    return out.withColumn("out_of_limits", beyond)
+
+
+@add("multi_block_weights", "WITH m AS (SELECT corr(l_quantity, l_extendedprice) AS ca, corr(l_discount, l_extendedprice) AS cb FROM lineitem) SELECT 'amount' AS block, round(abs(ca) / sqrt(ca ^ 2 + cb ^ 2), 5) AS weight FROM m UNION ALL SELECT 'rates', round(abs(cb) / sqrt(ca ^ 2 + cb ^ 2), 5) FROM m")
+def multi_block_weights(spark, sf_dir):
+    model = latent.MultiBlock.fit(lines(spark, sf_dir), BLOCKS, 1, y=["l_extendedprice"])
+    return spark.createDataFrame([(b, round(float(w), 5)) for b, w in zip(BLOCKS, model.super_weights()[:, 0], strict=True)], "block string, weight double")
+
+
+@add("pls_permutation_risk")
+def permutation_risk(spark, sf_dir):
+    df = lines(spark, sf_dir).withColumn("y", F.col("l_extendedprice") + 2000 * F.col("l_quantity"))
+    return spark.createDataFrame([(r["component"], r["statistic"], r["risk"]) for r in latent.permutation_risk(df, PLS_X, "y", 2)], "component int, statistic double, risk double")
 
 
 @add(
