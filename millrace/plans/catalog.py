@@ -20,4 +20,4 @@ def add(name: str, sql: str | None = None):
     return put
 
 
-from millrace.plans import analysis, capability, comparisons, designed, experiments, models, panels, processes, stats, trajectories  # noqa: E402, F401
+from millrace.plans import analysis, capability, charts, comparisons, designed, experiments, models, panels, processes, stats, trajectories  # noqa: E402, F401
