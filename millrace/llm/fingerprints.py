@@ -13,8 +13,9 @@ A fingerprint is lower-case hexadecimal; a text without words has the empty
 string.  Two empty fingerprints have likeness 1, an empty and another one 0.
 
 Defined cases: a null text is an empty one.  Rows that repeat a doc_id follow
-each other in the order of their texts; rows without a doc_id come first.  An
-empty table gives an empty result.  Other columns are not read.
+each other in the order of a hash of their texts; rows without a doc_id come
+first.  An empty table gives an empty result.  Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -95,21 +96,42 @@ def fingerprint(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> DataFram
 def in_order(docs: DataFrame, parts: int) -> DataFrame:
     """docs dealt by doc_id into ascending ranges, each sorted and followed by a copy of the next range's first row.
 
-    The ranges' ends are quantiles of doc_id, at most `parts` numbers.  Columns: doc_id, text, bucket, home (bucket a row belongs to).
+    The ranges' ends are quantiles of doc_id, at most `parts` numbers; an id (or
+    none) that more rows share than two ranges should hold has ranges of its own,
+    by a hash of the text.  Columns: doc_id, text, bucket, guest.
     """
+    spark, rows = docs.sparkSession, docs.withColumn("h", F.xxhash64("text"))
     ids = docs.select("doc_id")
-    found = ids.stat.approxQuantile(["doc_id"], [i / parts for i in range(1, parts)], 0.25 / parts)[0] if parts > 1 else []
-    ends = np.array(sorted({min(int(x), (1 << 63) - 1) for x in found}), np.int64)
-    placed = lambda df: C.in_ranges(df, "doc_id", ends, "home")
-    # one row for each range: bounded by `parts`
-    heads = sorted(placed(ids).groupBy("home").agg(F.min("doc_id").alias("head"), F.max(F.col("doc_id").isNull()).alias("none")).collect())
-    before = [(None if h["none"] else h["head"], heads[i - 1]["home"]) for i, h in enumerate(heads)]
-    spark = docs.sparkSession
-    also = F.broadcast(spark.createDataFrame(before, f"head {dict(docs.dtypes)['doc_id']}, also int"))
-    rows = placed(docs).join(also, F.col("doc_id").eqNullSafe(F.col("head")), "left").drop("head")
+    total = ids.count()
+    # at most parts / 2 rows
+    hot = {r["doc_id"]: -(-r["n"] * parts // total) for r in ids.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") * parts > 2 * total).collect()}
+    found = {min(int(x), (1 << 63) - 1) for x in (ids.stat.approxQuantile(["doc_id"], [i / parts for i in range(1, parts)], 0.25 / parts)[0] if parts > 1 else [])}
+    if None in hot:
+        least = ids.agg(F.min("doc_id")).first()[0]
+        found |= {max(least - 1, -(1 << 63))} if least is not None else set()
+    found |= {e for i in hot if i is not None for e in (max(i - 1, -(1 << 63)), i)}
+    ends = np.array(sorted(found), np.int64)
+    split = np.ones(len(ends) + 1, np.int64)
+    for i, k in hot.items():
+        split[0 if i is None else np.searchsorted(ends, i, "left")] = k
+    base = (np.cumsum(split) - split).tolist()
+    placed = C.in_ranges(rows, "doc_id", ends, "range")
+    if hot:
+        table = F.broadcast(spark.createDataFrame([(i, b, k) for i, (b, k) in enumerate(zip(base, split.tolist(), strict=True))], "range int, base int, split int"))
+        within = F.least(F.floor((F.col("h") / float(1 << 64) + 0.5) * F.col("split")), F.col("split") - 1)
+        placed = placed.join(table, "range").withColumn("home", (F.col("base") + within).cast("int")).drop("base", "split")
+    else:
+        placed = placed.withColumn("home", F.col("range"))
+    placed = placed.drop("range")
+    # one row for each range: bounded by the number of ranges
+    heads = sorted(placed.groupBy("home").agg(F.min(F.struct("doc_id", "h")).alias("head")).collect())
+    before = [(h["head"]["doc_id"], h["head"]["h"], heads[i - 1]["home"]) for i, h in enumerate(heads)]
+    also = F.broadcast(spark.createDataFrame(before, "head long, head_h long, also int"))
+    rows = placed.join(also, F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("h") == F.col("head_h")), "left").drop("head", "head_h")
     rows = rows.withColumn("bucket", F.explode(F.when(F.col("also").isNull(), F.array("home")).otherwise(F.array("home", F.col("also") + F.lit(1 << 30)))))
     rows = rows.withColumn("guest", (F.col("bucket") >= 1 << 30).cast("int")).withColumn("bucket", F.col("bucket") % F.lit(1 << 30))
-    return rows.select("doc_id", "text", "bucket", "guest").repartitionById(max(parts, 1), "bucket").sortWithinPartitions("bucket", "guest", "doc_id", "text")
+    buckets = max(int(split.sum()), 1)
+    return rows.select("doc_id", "text", "bucket", "guest", "h").repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "guest", "doc_id", "h", "text").drop("h")
 
 
 def compare_edited(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> DataFrame:

@@ -47,3 +47,22 @@ def test_repeated_rows_null_ids_and_empty_tables(spark, frame):
     assert sorted((r.doc_id is None, r.n_chars) for r in got) == [(False, 1), (False, 1), (False, 1), (True, 9)]
     only = P.compare_edited(frame([(3, "abcd")])).collect()[0]
     assert only.edited_sha256 == hashlib.sha256(b"abab").hexdigest()
+
+
+def test_an_id_that_many_rows_share_has_ranges_of_its_own(spark, frame):
+    r = random.Random(7)
+    text = lambda: " ".join(f"w{r.randrange(40)}" for _ in range(r.randrange(12)))
+    for common in (None, 50, -(2**63)):
+        rows = [(common, text()) for _ in range(200)] + [(i, text()) for i in range(100)] + [(2**63 - 1, text())]
+        dealt = P.in_order(C.text_frame(frame(rows)), 16)
+        own = dealt.filter("guest = 0")
+        sizes = [x["count"] for x in own.groupBy("bucket").count().collect()]
+        assert sum(sizes) == len(rows) and max(sizes) < 80
+        found = P.compare_edited(frame(rows).repartition(5)).collect()
+        assert len(found) == len(rows)
+        # a row's edited text ends with the beginning of exactly one other row's text, and every row is followed once
+        texts = sorted(((i is not None, i or 0), t) for i, t in rows)
+        wanted = sorted((i, len(t)) for (_, i), t in texts)
+        assert sorted((x.doc_id or 0, x.n_chars) for x in found) == wanted
+    for x in P.compare_edited(frame([(7, "one two three")] * 30)).collect():
+        assert x.near_next == 1.0
