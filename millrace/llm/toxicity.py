@@ -287,8 +287,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, held: int = 2) -> DataFrame:
-    """docs without those that score at the threshold or above; all columns stay."""
+    """docs without those that score at the threshold or above; all columns stay.  Without labels of both classes nothing is known, and nothing goes."""
     net = fitted(docs, labels, folds, held)
+    if not net.p:
+        return docs
     name = C.fresh(docs, "_toxicity")
     return L.with_scores(docs, lambda: net, name).filter(F.col(name) < threshold).select(*docs.columns)
 

@@ -154,3 +154,25 @@ def test_pipeline_stages_do_what_they_say(spark, frame, tmp_path):
     assert kept[3] < kept[2] and len(kept[3]) > 0.5 * len(kept[2]) and kept[4] == kept[3]
     assert corpus_pipeline.run(spark, folder).count() == docs.count()
     assert np.isclose(docs.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0], 1024, atol=400)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    names = ("_source", "_topic", "_toxicity", "_digest", "_keep", "_id", "_key", "score", "bucket", "row", "topic", "n_tokens", "probability")
+    odd = [(None, None, None, None, None), (None, "a", "en", "s", 1), (1, "", None, "s", 0), (1, None, "en", None, 0), (2, "same words here", "en", "s", 0), (3, "same words here", "en", "s", 0), (3, "same words here", "en", "s", 0), (4, "w " * 40_000, "en", "s", 0)]
+    for k, rows in enumerate(([], odd)):
+        folder = str(tmp_path / str(k))
+        docs = spark.createDataFrame(rows, DOCS).withColumns({n: F.lit(n) for n in names})
+        docs.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        own = C.load(spark, folder, "documents")
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, own, folder)
+            assert out.columns == docs.columns and all(r[n] == n for r in out.collect() for n in names)
+        packed = corpus_pipeline.run(spark, folder).collect()
+        assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(corpus_pipeline.run(spark, folder).columns)
+        assert (not rows and not packed) or packed
+        copies = [(x.doc_id, x.text) for x in corpus_pipeline.drop_copies(spark, own, folder).collect()]
+        assert len(copies) == (4 if rows else 0)

@@ -105,3 +105,69 @@ def test_no_labels_and_no_documents(spark, frame):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.classify(frame([(1, "a"), (None, None)]), none).collect()} == {0.5}
     assert toxicity.classify(frame([]), none).collect() == []
+
+
+def _plain(net, text):
+    """The score of one text by loops over its words and gates."""
+    import math
+
+    p, words = net.p, [w.encode() for w in C.fold_words(text)]
+    if not words:
+        return net.share
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    given = []
+    for w in words:
+        padded = b"\x01" + w + b"\x02"
+        codes = [padded[i - 1] << 16 | padded[i] << 8 | padded[i + 1] for i in range(1, len(w) + 1)]
+        first = (w + b"\x02" * 5)[:5]
+        codes += [int.from_bytes(first[: k + 1], "big") | k << 40 for k in (3, 4)]
+        char = np.tanh(sum(p["char"][net.chars(np.array([c]))[0]].astype(float) for c in codes))
+        own = p["word"][net.words(C.hash_spans(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]), fold=True))[0]]
+        given.append(np.concatenate([own, char]) @ p["in"] + p["in0"])
+    starts = [0]
+    while starts[-1] + toxicity.WINDOW < len(words):
+        starts.append(min(starts[-1] + toxicity.STRIDE, len(words) - toxicity.WINDOW))
+    best, n = -math.inf, toxicity.STATE
+    for start in starts:
+        window = given[start : start + toxicity.WINDOW]
+        states = np.zeros((len(window), 2 * n))
+        for way, order in ((0, range(len(window))), (1, range(len(window) - 1, -1, -1))):
+            h = np.zeros(n)
+            for t in order:
+                x, u = window[t][way * 3 * n : (way + 1) * 3 * n], h @ p["re"][way]
+                z = np.array([sigmoid(v) for v in x[:n] + u[:n]])
+                r = np.array([sigmoid(v) for v in x[n : 2 * n] + u[n : 2 * n]])
+                h = (1 - z) * h + z * np.tanh(x[2 * n :] + r * u[2 * n :])
+                states[t, way * n : (way + 1) * n] = h
+        e = np.exp(states @ p["at"] - (states @ p["at"]).max())
+        best = max(best, float((e / e.sum()) @ states @ p["out"] + p["out0"][0]))
+    return sigmoid(best)
+
+
+def test_scores_agree_with_loops_over_words():
+    rows = _texts(200, 6, longest=120)
+    net = toxicity.fit([t for _, t, _ in rows], np.array([y for _, _, y in rows], np.float32), 0.25, rounds=2, epochs=2)
+    texts = [" ".join(t.split()[:n]) for (_, t, _), n in zip(rows[:12], [0, 1, 2, 39, 40, 41, 69, 70, 71, 120, 120, 120], strict=True)] + ["a", "É ß"]
+    assert np.allclose(net(*C.buffer_of(pa.array(texts))), [_plain(net, t) for t in texts], atol=1e-4)
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = _texts(80, 3, longest=60)
+    labels = spark.createDataFrame([(i, 0, y) for i, _, y in rows] * 2, "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] * 2, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("score", "label", "_toxicity", "toxic", "key")})
+    got = toxicity.classify(docs, labels).collect()
+    assert len(got) == 160 and len({(r.doc_id, r.score) for r in got}) == 80
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in got if not r.predicted)
+    assert {r["_toxicity"] for r in kept.collect()} == {"x"}
+
+
+def test_long_texts_are_learnt_from(spark, frame):
+    long = "on the " * 9000 + "idiot " * 50
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(6)], "doc_id long, quality int, toxic int")
+    texts, y, share = L.sample(frame([(i, long if i < 4 else "short text") for i in range(6)]), labels, "toxic", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(True))
+    assert sorted(y.tolist()) == [0, 0, 0, 1, 1, 1] and share == 0.5
+    bound = L.PIECES * (L.PIECE + 1)
+    assert sum(len(t) > 1000 for t in texts) == 4 and all(len(t) <= bound for t in texts) and all("idiot" in t for t in texts if len(t) > 1000)
