@@ -104,6 +104,19 @@ class PCA:
     def transform(self, df: DataFrame) -> DataFrame:
         return over_rows(df, self.columns, [f"t{a + 1}" for a in range(self.components)], lambda x: x @ self.loadings)
 
+    def names_out(self) -> list[str]:
+        return [f"t{a + 1}" for a in range(self.components)]
+
+    def reconstruct(self, df: DataFrame) -> DataFrame:
+        """df and each column as the components tell it."""
+        return over_rows(df, self.columns, [f"{c}_hat" for c in self.columns], lambda x: x @ self.loadings @ self.loadings.T)
+
+    def score(self, df: DataFrame) -> float:
+        """The share of the sum of squares of df that the components tell; one aggregate."""
+        row = self.diagnose(df.dropna(subset=self.columns)).agg(F.sum(F.col("spe") ** 2), *(F.sum(F.col(c).cast("double") ** 2) for c in self.columns)).first()
+        whole = sum(v or 0.0 for v in row[1:])
+        return 1 - (row[0] or 0.0) / whole if whole > 0 else math.nan
+
     def t2_limit(self, conflevel: float = 0.95) -> float:
         return t2_limit(self.n, self.components, conflevel)
 
@@ -204,6 +217,68 @@ def fit_missing(df: DataFrame, columns: Sequence[str], components: int, most: in
     return PCA(columns, np.stack(done, 1), np.array(scales), n, np.array(r2), np.zeros((k, len(done))))
 
 
+def fit_tsr(df: DataFrame, columns: Sequence[str], components: int, most: int = 100, tolerance: float = 1e-8) -> tuple[PCA, np.ndarray]:
+    """PCA of the columns about their means with missing cells, by trimmed-score regression; and the means.
+
+    Each pass fills a row's missing cells by their regression on the scores that
+    its known cells give alone, and sums the moments of the filled rows; passes
+    go on until the covariances no longer move.
+    """
+    columns = list(columns)
+    k = len(columns)
+    rows = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna("all")
+    first = rows.agg(*(f(c) for c in columns for f in (F.avg, F.var_pop))).first()
+    mean, covariance = np.array([x or 0.0 for x in first[::2]]), np.diag([x or 0.0 for x in first[1::2]]).astype(float)
+    n = 0
+
+    def filled(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+        known = ~np.isnan(x)
+        z = np.where(known, x - mean, 0.0)
+        patterns, which = np.unique(known, axis=0, return_inverse=True)
+        for i, own in enumerate(patterns):  # rows that lack the same cells are filled at once
+            if own.all() or not own.any():
+                continue
+            at = np.flatnonzero(which.ravel() == i)
+            q = p[own]
+            inner = np.linalg.pinv(q.T @ covariance[np.ix_(own, own)] @ q)
+            z[np.ix_(at, np.flatnonzero(~own))] = z[np.ix_(at, np.flatnonzero(own))] @ q @ inner @ q.T @ covariance[np.ix_(own, ~own)]
+        return z
+
+    def passed(p: np.ndarray | None) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((k + 1, k + 1))
+            for b in batches:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+                z = filled(x, p) if p is not None else np.where(np.isnan(x), 0.0, x - mean)
+                z = np.column_stack([np.ones(len(z)), z])
+                total += z.T @ z
+            i, j = np.triu_indices(k + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], ["i", "j", "x"])
+
+        out = np.zeros((k + 1, k + 1))
+        for r in rows.mapInArrow(run, "i long, j long, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect():
+            out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["x"]
+        return out
+
+    p = None
+    for _ in range(most):
+        total = passed(p)
+        n = int(total[0, 0])
+        shift = total[0, 1:] / max(n, 1)
+        new = total[1:, 1:] / max(n, 1) - np.outer(shift, shift)
+        moved = np.abs(new - covariance).max() / max(np.abs(new).max(), TINY)
+        mean, covariance = mean + shift, new
+        values, vectors = np.linalg.eigh(covariance)
+        order = np.argsort(values)[::-1][:components]
+        p = vectors[:, order] * positive(vectors[:, order])
+        if moved < tolerance:
+            break
+    values = np.maximum(values[order], 0)
+    own = np.diag(covariance)
+    explained = np.cumsum(p**2 * values, axis=1)
+    return PCA(columns, p, np.sqrt(values * n / max(n - 1, 1)), n, np.cumsum(values) / max(own.sum(), TINY), np.divide(explained, own[:, None], out=np.zeros_like(explained), where=own[:, None] > 0)), mean
+
+
 @dataclass
 class PLS:
     """Projection to latent structures of several y, scaled by default, from cross products alone."""
@@ -303,6 +378,28 @@ class PLS:
     def spe_limit(self, conflevel: float = 0.95) -> float:
         return spe_limit_of(*self.spe_moments, conflevel)
 
+    def names_out(self) -> list[str]:
+        return [f"t{a + 1}" for a in range(self.components)]
+
+    def score(self, df: DataFrame) -> dict[str, float]:
+        """R2 of each y on df; one aggregate."""
+        rows = self.predict(df.dropna(subset=[*self.x, *self.y]))
+        row = rows.agg(*(f for c in self.y for f in (F.sum((F.col(c) - F.col(f"{c}_hat")) ** 2), F.var_pop(c) * F.count(c)))).first()
+        return {c: 1 - row[2 * i] / row[2 * i + 1] if row[2 * i + 1] else math.nan for i, c in enumerate(self.y)}
+
+    def detect_outliers(self, df: DataFrame, conflevel: float = 0.95) -> DataFrame:
+        """Rows beyond the limit of T2 or SPE, and which: outlier_types."""
+        t, s = self.t2_limit(conflevel), self.spe_limit(conflevel)
+        out = self.diagnose(df)
+        kinds = F.filter(F.array(F.when(F.col("hotellings_t2") > t, "hotellings_t2"), F.when(F.col("spe") > s, "spe")), lambda x: x.isNotNull())
+        return out.withColumn("outlier_types", kinds).filter(F.size("outlier_types") > 0)
+
+    def target_projection(self, df: DataFrame, response: int = 0) -> DataFrame:
+        """The score of each row along the regression vector of one y, of unit length."""
+        b = self.rotation @ self.y_loadings[response]
+        b = b / np.linalg.norm(b)
+        return over_rows(df, self.x, ["t_target"], lambda x: (self._scaled(x) @ b)[:, None])
+
     def vip(self) -> np.ndarray:
         """sqrt(K sum(r2 w^2) / sum(r2)) of each x."""
         return np.sqrt(len(self.x) * (self.weights**2 @ self.r2y) / self.r2y.sum())
@@ -683,3 +780,42 @@ def permutation_risk(df: DataFrame, x: Sequence[str], y: str, components: int, t
     pairs = numbered(side(1, names)).join(numbered(side(2, [f"u{a + 1}" for a in range(len(names))])), ["k", "part", "rank"])
     found = pairs.groupBy("k").agg(*(F.abs(F.corr(n, f"u{a + 1}")).alias(n) for a, n in enumerate(names))).collect()
     return [{"component": a + 1, "statistic": abs(own[a] or 0.0), "risk": sum(r[n] >= abs(own[a] or 0.0) for r in found) / max(len(found), 1)} for a, n in enumerate(names)]
+
+
+def nested_cv(df: DataFrame, x: Sequence[str], y: Sequence[str], most: int, outer: int = 5, inner: int = 4, key: str | None = None) -> list[dict]:
+    """Of each outer fold: how many components the inner folds choose, and the error of that model on the outer fold.
+
+    One pass makes the moments of all outer and inner folds together; every
+    model is a sum of them.  One more pass judges the outer folds.
+    """
+    x, y = list(x), list(y)
+    place = F.pmod(F.xxhash64(key) if key else F.xxhash64(*x, *y), F.lit(outer * inner)).cast("int")
+    rows = df.select(*x, *y, place.alias("_place")).dropna()
+    pivot, parts = grouped_moments(rows, [*x, *y], outer * inner, F.col("_place"))
+    add = lambda chosen: [sum(parts[c][i] for c in chosen) for i in range(3)]
+    cells = range(outer * inner)
+    k, models = len(x), {}
+
+    def error(model: PLS, own: list, a: int) -> float:
+        """The squared error of a model on rows known by their moments about the pivot."""
+        n, sums, products = own
+        b = (model.rotation[:, :a] @ model.y_loadings[:, :a].T) * model.scale[k:] / model.scale[:k, None]
+        move = model.center - pivot
+        s = sums - n * move
+        p = products - np.outer(sums, move) - np.outer(move, sums) + n * np.outer(move, move)
+        return float(np.trace(p[k:, k:]) - 2 * np.trace(b.T @ p[:k, k:]) + np.trace(b.T @ p[:k, :k] @ b)) if n else 0.0 * float(s.sum())
+
+    out = []
+    for o in range(outer):
+        train = [c for c in cells if c % outer != o]
+        press = np.zeros(most)
+        for i in range(inner):
+            held = [c for c in train if c // outer == i]
+            model = PLS.of_products(*add([c for c in train if c // outer != i]), x, y, most, pivot=pivot)
+            press += [error(model, add(held), a) for a in range(1, most + 1)]
+        chosen = select_rule(press.tolist(), rule="min")
+        model = PLS.of_products(*add(train), x, y, chosen, pivot=pivot)
+        own = add([c for c in cells if c % outer == o])
+        out.append({"fold": o, "components": chosen, "rmsep": math.sqrt(max(error(model, own, chosen), 0.0) / max(own[0] * len(y), 1)), "n": int(own[0])})
+        models[o] = model
+    return out

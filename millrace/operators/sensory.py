@@ -165,3 +165,52 @@ def tukey_hsd(df: DataFrame, value: str, group: str, by: Sequence[str] = (), alp
     out = pairs.withColumn("difference", F.col("mean_b") - F.col("mean_a")).withColumn("q", F.abs("difference") / se)
     p = F.pandas_udf(lambda q, k, v: pd.Series([1 - D.studentized_range_cdf(a, int(b), float(c)) for a, b, c in zip(q, k, v, strict=True)], dtype=float), "double")
     return out.withColumn("p_value", p("q", "k", "dof")).withColumn("significant", F.col("p_value") < alpha).drop("k", "mse")
+
+
+def letters(groups: Sequence[str], different: Sequence[tuple[str, str]]) -> dict[str, str]:
+    """The letters of each group: two groups share one unless they differ (insert and absorb, over few groups)."""
+    columns = [set(groups)]
+    for a, b in different:
+        for own in [c for c in columns if a in c and b in c]:
+            columns.remove(own)
+            columns += [own - {a}, own - {b}]
+        columns = [c for i, c in enumerate(columns) if not any(c < d or c == d and j < i for j, d in enumerate(columns))]
+    columns.sort(key=lambda c: [g not in c for g in groups])
+    return {g: "".join(chr(97 + i) for i, c in enumerate(columns) if g in c) for g in groups}
+
+
+def compare_products(panel: DataFrame, control: object | None = None, alpha: float = 0.05) -> dict:
+    """Of each attribute: the mixed model's tests, means, all pairs by Tukey, letters, and (with a control) Dunnett's comparisons."""
+    from millrace.operators.comparisons import dunnett
+
+    p = panel.filter("score IS NOT NULL")
+    pairs = tukey_hsd(p, "score", "product", ["attribute"], alpha)
+    means = product_means(p, 1 - alpha)
+    # pairs of products, not of scores, reach the driver
+    order = means.orderBy("attribute", F.desc("mean"), "product").select("attribute", "product").collect()
+    found: dict = {}
+    for r in pairs.filter("significant").select("attribute", "group_a", "group_b").collect():
+        found.setdefault(r["attribute"], []).append((r["group_a"], r["group_b"]))
+    named = [(a, g, x) for a in dict.fromkeys(r["attribute"] for r in order) for g, x in letters([r["product"] for r in order if r["attribute"] == a], found.get(a, [])).items()]
+    out = {"tests": mixed_assessor(p), "means": means, "pairs": pairs, "letters": panel.sparkSession.createDataFrame(named, "attribute string, product string, letters string")}
+    if control is not None:
+        attributes = list(dict.fromkeys(r["attribute"] for r in order))
+        out["dunnett"] = {a: dunnett(p.filter(F.col("attribute") == a), "score", "product", control, alpha) for a in attributes}
+    return out
+
+
+def analyze_descriptive(panel: DataFrame, covariates: DataFrame | None = None, drop: Sequence[str] = (), correction: str = "none", low: float | None = None, high: float | None = None) -> dict:
+    """A panel from validation to relations: validation, scorecard, tests, corrected scores (none, location, scale or both), product means and their correlations with covariates."""
+    from millrace.operators.comparisons import relate
+    from millrace.operators.structures import apply_correction
+
+    checked = validate(panel, covariates, low, high)
+    p = apply_correction(clean(panel), drop)
+    aligned = p if correction == "none" else align_scores(p, correction).drop("score").withColumnRenamed("aligned", "score")
+    attributes = sorted(r[0] for r in p.select("attribute").distinct().collect())  # one row an attribute
+    products = aggregate_to_product(aligned, attributes)
+    out = {"validation": checked, "scorecard": scorecard(p), "tests": mixed_assessor(p), "scores": aligned, "products": products}
+    if covariates is not None:
+        own = covariates.withColumn("product", F.trim("product"))
+        out["relations"] = relate(products.join(own, "product"), attributes, [c for c in own.columns if c != "product"])
+    return out

@@ -277,3 +277,53 @@ def dataset_effects(spark, sf_dir):
     from millrace.sources.datasets import data
 
     return rounded(doe.effects(data(spark, "pollutant"), "y", ["C", "T", "S"]))
+
+
+@add("pca_trimmed_scores")
+def pca_trimmed(spark, sf_dir):
+    df = scaled(spark, sf_dir).withColumn("l_tax", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_tax")))
+    fit, mean = latent.fit_tsr(df, X, 2, most=15, tolerance=1e-6)
+    return spark.createDataFrame([(c, *map(float, p), float(m)) for c, p, m in zip(X, fit.loadings, mean, strict=True)], "variable string, p1 double, p2 double, mean double")
+
+
+@add("pca_reconstruction", f"{PAIR}, t AS (SELECT l_orderkey, l_linenumber, (x + CASE WHEN r >= 0 THEN 1 ELSE -1 END * y) / 2 AS h, r FROM z) SELECT l_orderkey, l_linenumber, round(h, 4) AS l_quantity_hat, round(CASE WHEN r >= 0 THEN h ELSE -h END, 4) AS l_discount_hat FROM t")
+def pca_reconstruction(spark, sf_dir):
+    columns = ["l_quantity", "l_discount"]
+    df = scaled(spark, sf_dir, columns)
+    out = latent.PCA.fit(df, columns, 1).reconstruct(df)
+    return rounded(out.select("l_orderkey", "l_linenumber", "l_quantity_hat", "l_discount_hat"), 4)
+
+
+@add("pca_score", "SELECT round((1 + abs(corr(l_quantity, l_discount))) / 2, 6) AS r2 FROM lineitem")
+def pca_score(spark, sf_dir):
+    columns = ["l_quantity", "l_discount"]
+    df = scaled(spark, sf_dir, columns)
+    return spark.createDataFrame([(round(latent.PCA.fit(df, columns, 1).score(df), 6),)], "r2 double")
+
+
+@add("pls_score", f"WITH base AS (SELECT {S.correlations(PLS_X, 'l_extendedprice')} FROM lineitem), {S.pls_two('base')} SELECT round(q1 ^ 2 * v1 + q2 ^ 2 * v2, 6) AS r2 FROM pls")
+def pls_score(spark, sf_dir):
+    df = lines(spark, sf_dir)
+    return spark.createDataFrame([(round(latent.PLS.fit(df, PLS_X, ["l_extendedprice"], 2).score(df)["l_extendedprice"], 6),)], "r2 double")
+
+
+@add(
+    "pls_target_projection",
+    f"""WITH base AS (SELECT {S.correlations(PLS_X, "l_extendedprice")} FROM lineitem), {S.pls_two("base")}, b AS (SELECT *, {S.plus(S.scaled("r1", "q1"), "r2", "q2")} AS b0 FROM pls), u AS (SELECT *, {S.scaled("b0", f"1 / sqrt({S.dot('b0', 'b0')})")} AS b FROM b), z AS (SELECT l_orderkey, l_linenumber, {PLS_Z} AS zs, b FROM lineitem, u)
+    SELECT l_orderkey, l_linenumber, round({S.dot("zs", "b")}, 5) AS t_target FROM z""",
+)
+def target_projection(spark, sf_dir):
+    df = lines(spark, sf_dir)
+    return rounded(latent.PLS.fit(df, PLS_X, ["l_extendedprice"], 2).target_projection(df).select("l_orderkey", "l_linenumber", "t_target"), 5)
+
+
+@add("pls_outliers")
+def pls_outliers(spark, sf_dir):
+    df = lines(spark, sf_dir)
+    return latent.PLS.fit(df, PLS_X, ["l_extendedprice"], 2).detect_outliers(df, 0.99)
+
+
+@add("pls_nested_cv")
+def pls_nested(spark, sf_dir):
+    rows = latent.nested_cv(lines(spark, sf_dir), PLS_X, ["l_extendedprice"], 3)
+    return spark.createDataFrame([(r["fold"], r["components"], r["rmsep"], r["n"]) for r in rows], "fold int, components int, rmsep double, n long")

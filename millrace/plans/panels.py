@@ -90,3 +90,13 @@ def tukey_tests(spark, sf_dir):
 def validation(spark, sf_dir):
     out = sensory.validate(panel(spark, sf_dir), low=0, high=100)
     return spark.createDataFrame([(out["ok"], out["rows"], round(float(out["empty_cells"]), 6))], "ok boolean, n_rows long, empty_cells double")
+
+
+@add("panel_compare_letters")
+def compare_letters(spark, sf_dir):
+    return sensory.compare_products(panel(spark, sf_dir))["letters"]
+
+
+@add("panel_descriptive_products", f"WITH p AS ({PANEL}) SELECT product, round(avg(score) FILTER (WHERE attribute = 'A'), 6) AS A, round(avg(score) FILTER (WHERE attribute = 'N'), 6) AS N, round(avg(score) FILTER (WHERE attribute = 'R'), 6) AS R FROM p WHERE panelist_id <> '5' GROUP BY 1")
+def descriptive(spark, sf_dir):
+    return rounded(sensory.analyze_descriptive(panel(spark, sf_dir), drop=["5"], low=0, high=100)["products"])
