@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.latent import PCA
 from millrace.operators.scaling import Scaler
+from millrace.sources.tables import written
 
 
 def distances(test: np.ndarray, reference: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -134,7 +135,7 @@ def find_reference_batch(df: DataFrame, batch: str, order: str, tags: Sequence[s
     rows = df.select(batch, order, *tags).dropna()
     own = find_average_length(rows, batch)
     wide, names = unfolded(rows, batch, order, tags, rows.filter(F.col(batch) == F.lit(own)).count())
-    wide = wide.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else wide.persist()
+    wide = written(wide)
     n = wide.count()
     if n == 1:
         return own
@@ -164,7 +165,7 @@ def batch_dtw(df: DataFrame, batch: str, order: str, tags: Sequence[str], refere
     first, weights = average, np.ones(len(tags))
     for turn in range(most):
         out = align(df, batch, order, tags, average if turn >= 3 else first, weights)
-        out = out.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else out.persist()
+        out = written(out)
         means = out.groupBy("position").agg(*(F.avg(t).alias(t) for t in tags))
         average = means.orderBy("position").select(*tags).toPandas().to_numpy(float)
         spread = out.join(means.select("position", *(F.col(t).alias(f"_{t}") for t in tags)), "position").agg(*(F.sum((F.col(t) - F.col(f"_{t}")) ** 2) for t in tags)).first()

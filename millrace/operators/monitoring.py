@@ -32,7 +32,11 @@ def shewhart(df: DataFrame, value: str, by: Sequence[str] = (), style: str = "re
     return out.withColumn("out_of_control", F.abs(F.col(value) - F.col("target")) > 3 * F.col("s"))
 
 
-def rho(x: np.ndarray, k: float = 2.52, consistency: float = 3.2667) -> np.ndarray:
+#: Where the bi-weight loss stops growing, and what makes it consistent for normal values.
+BIWEIGHT_REACH, BIWEIGHT_CONSISTENCY = 2.52, 3.2667
+
+
+def rho(x: np.ndarray, k: float = BIWEIGHT_REACH, consistency: float = BIWEIGHT_CONSISTENCY) -> np.ndarray:
     """The bounded bi-weight loss."""
     return np.where(np.abs(x) <= k, consistency * (1 - (1 - np.square(x / k)) ** 3), consistency)
 

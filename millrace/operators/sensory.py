@@ -101,6 +101,51 @@ def scorecard(panel: DataFrame) -> DataFrame:
     return out.select(*by, eta.alias("discrimination"), "agreement", "shift", "spread", "drift")
 
 
+#: Fixed values of flagging: agreement at or below the floor is a reason by itself, low outliers are one below the suspect values, among so many panelists at least.
+AGREEMENT_FLOOR, AGREEMENT_SUSPECT, DISCRIMINATION_SUSPECT, PANELISTS_FOR_ESD = 0.0, 0.5, 0.5, 4
+
+
+def panelists(panel: DataFrame) -> DataFrame:
+    """One row a panelist: discrimination (mean over attributes), agreement with the panel over products and attributes, scale_shift, scale_spread and drift (correlation of session means with their order)."""
+    p = panel.filter("score IS NOT NULL")
+    cell = p.groupBy("panelist_id", "product", "attribute").agg(F.avg("score").alias("m"))
+    consensus = cell.groupBy("product", "attribute").agg(F.avg("m").alias("c"))
+    agreement = cell.join(consensus, ["product", "attribute"]).groupBy("panelist_id").agg(_corr("m", "c").alias("agreement"))
+    discrimination = scorecard(p).groupBy("panelist_id").agg(F.avg("discrimination").alias("discrimination"))
+    whole = p.agg(F.avg("score").alias("_mean"), F.stddev_samp("score").alias("_sd"))
+    use = p.groupBy("panelist_id").agg(F.avg("score").alias("_own"), F.stddev_samp("score").alias("_spread")).crossJoin(F.broadcast(whole))
+    use = use.select("panelist_id", (F.col("_own") - F.col("_mean")).alias("scale_shift"), F.try_divide(F.col("_spread"), F.col("_sd")).alias("scale_spread"))
+    session = p.groupBy("panelist_id", "session").agg(F.avg("score").alias("m")).withColumn("k", F.row_number().over(W.partitionBy("panelist_id").orderBy("session")).cast("double"))
+    drift = session.groupBy("panelist_id").agg(_corr("m", "k").alias("drift"))
+    return discrimination.join(agreement, "panelist_id").join(use, "panelist_id").join(drift, "panelist_id")
+
+
+def flag_panelists(panel: DataFrame) -> DataFrame:
+    """panelists() and the reasons to look at each: low agreement with the panel, or low discrimination between products; a panel's members are few."""
+    from millrace.operators.univariate import esd_of
+
+    table = panelists(panel).orderBy("panelist_id").toPandas()
+
+    def low(name: str) -> set[int]:
+        x = table[name].dropna()
+        if len(x) < PANELISTS_FOR_ESD:
+            return set()
+        found = [x.index[at] for at, _, _, outlier in esd_of(x.to_numpy(float), max(1, len(x) // 4), robust=True) if outlier]
+        return {i for i in found if x[i] < x.median()}
+
+    few, dull = low("agreement"), low("discrimination")
+    reasons = []
+    for i, r in table.iterrows():
+        own = []
+        if r["agreement"] <= AGREEMENT_FLOOR or i in few and r["agreement"] < AGREEMENT_SUSPECT:
+            own.append("low agreement with the panel")
+        if i in dull and r["discrimination"] < DISCRIMINATION_SUSPECT:
+            own.append("low discrimination between products")
+        reasons.append(own)
+    rows = [(str(r["panelist_id"]), *(None if pd.isna(r[c]) else float(r[c]) for c in table.columns[1:]), bool(own), own) for (_, r), own in zip(table.iterrows(), reasons, strict=True)]
+    return panel.sparkSession.createDataFrame(rows, ", ".join(["panelist_id string", *(f"{c} double" for c in table.columns[1:]), "flagged boolean", "reasons array<string>"]))
+
+
 def mixed_assessor(panel: DataFrame) -> DataFrame:
     """The mixed assessor model of each attribute: F tests of products against interaction without and with scaling differences.
 

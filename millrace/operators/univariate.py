@@ -201,7 +201,7 @@ def calculate_cpk(df: DataFrame, value: str, lower: float | None, upper: float |
         x = x.filter((F.col("x") >= F.col("_low")) & (F.col("x") <= F.col("_high")))
         spread = sn(x.select(*by, "x"), "x", by).withColumnRenamed("sn", "_spread")
         own = x.groupBy(*by).agg(F.median("x").alias("_center"), F.first("_lsl").alias("_lsl"), F.first("_usl").alias("_usl"))
-        own = own.join(spread, list(by)) if by else own.crossJoin(spread)
+        own = own.join(spread, list(by)) if by else own.crossJoin(F.broadcast(spread))
     else:
         own = x.groupBy(*by).agg(F.avg("x").alias("_center"), F.stddev_samp("x").alias("_spread"), F.first("_lsl").alias("_lsl"), F.first("_usl").alias("_usl"))
     have = lambda c: F.when(~F.isnan(c), F.col(c))

@@ -100,3 +100,19 @@ def compare_letters(spark, sf_dir):
 @add("panel_descriptive_products", f"WITH p AS ({PANEL}) SELECT product, round(avg(score) FILTER (WHERE attribute = 'A'), 6) AS A, round(avg(score) FILTER (WHERE attribute = 'N'), 6) AS N, round(avg(score) FILTER (WHERE attribute = 'R'), 6) AS R FROM p WHERE panelist_id <> '5' GROUP BY 1")
 def descriptive(spark, sf_dir):
     return rounded(sensory.analyze_descriptive(panel(spark, sf_dir), drop=["5"], low=0, high=100)["products"])
+
+
+@add(
+    "panel_panelists",
+    f"""WITH p AS ({PANEL}), c AS (SELECT panelist_id, product, attribute, avg(score) AS m, count(*) AS n, sum(score) AS t FROM p GROUP BY ALL), s AS (SELECT product, attribute, avg(m) AS c FROM c GROUP BY ALL), g AS (SELECT panelist_id, corr(m, c) AS agreement FROM c JOIN s USING (product, attribute) GROUP BY 1),
+    w AS (SELECT panelist_id, attribute, var_pop(score) * count(*) AS tss FROM p GROUP BY ALL), e AS (SELECT panelist_id, attribute, (sum(n * m * m) - sum(t) ^ 2 / sum(n)) / max(tss) AS eta FROM c JOIN w USING (panelist_id, attribute) GROUP BY ALL), d AS (SELECT panelist_id, avg(eta) AS discrimination FROM e GROUP BY 1),
+    u AS (SELECT panelist_id, avg(score) - (SELECT avg(score) FROM p) AS scale_shift, stddev_samp(score) / (SELECT stddev_samp(score) FROM p) AS scale_spread FROM p GROUP BY 1), k AS (SELECT panelist_id, session, avg(score) AS m, row_number() OVER (PARTITION BY panelist_id ORDER BY session) AS k FROM p GROUP BY 1, 2), f AS (SELECT panelist_id, corr(m, k) AS drift FROM k GROUP BY 1)
+    SELECT panelist_id, round(discrimination, 6) AS discrimination, round(agreement, 6) AS agreement, round(scale_shift, 6) AS scale_shift, round(scale_spread, 6) AS scale_spread, round(drift, 6) AS drift FROM d JOIN g USING (panelist_id) JOIN u USING (panelist_id) JOIN f USING (panelist_id)""",
+)
+def panelists(spark, sf_dir):
+    return rounded(sensory.panelists(panel(spark, sf_dir)))
+
+
+@add("panel_flags")
+def flags(spark, sf_dir):
+    return sensory.flag_panelists(panel(spark, sf_dir))

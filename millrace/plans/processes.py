@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from millrace.operators import alignment
 from millrace.plans.catalog import add
 from millrace.plans.stats import rounded, table
 from millrace.plans.trajectories import events
+from millrace.sources.tables import shared_folder
 from millrace.streaming import adaptive
 
 SEQ = "SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events"
@@ -76,11 +76,3 @@ def streaming_shewhart(spark, sf_dir):
     source = event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     rows = to_the_end(spark, adaptive.windowed_shewhart(source, "event_type", "ts", "value", 50.0, 28.0, "1 day"))
     return rounded(rows.select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "n", "mean", "out_of_control"))
-
-
-def shared_folder(spark) -> str:
-    """The folder that the cluster shares, or in local mode a new one where it names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder or tempfile.mkdtemp(prefix="millrace-")

@@ -3,12 +3,29 @@
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, or in local mode a new one where it names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="millrace-")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in a new folder of the shared one, read again: nothing before it runs twice or hangs on an executor."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
     """CSV with a schema; a file that cannot be read is an error, and NaN becomes null."""
     return without_nan(spark.read.csv(path, schema=schema, header=header, mode="FAILFAST", enforceSchema=False))

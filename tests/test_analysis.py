@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import analyze, chartdata, experiments, latent, linear, optimize, structures, univariate
+from millrace.operators import analyze, chartdata, experiments, latent, linear, optimize, sensory, structures, univariate
 from millrace.sources.datasets import data
 
 
@@ -181,3 +181,55 @@ def test_curvature_and_published_effects(spark):
     assert np.isclose(found["effects"]["C"], 12.5) and np.isclose(found["effects"]["S"], -14.5)
     y = np.array([5, 30, 6, 33, 4, 3, 5, 4.0])
     assert experiments.Products.of(d, "y ~ C + T").total == pytest.approx(((y - y.mean()) ** 2).sum())
+
+
+@pytest.fixture(scope="module")
+def tasters(spark):
+    r = np.random.default_rng(9)
+    level = dict(zip("abcd", (2.0, 4.0, 6.0, 8.0), strict=True))
+    rows = []
+    for who in range(9):
+        for product, x in level.items():
+            for attribute in ("sweet", "salty"):
+                for session in (1, 2, 3):
+                    score = 10 - x if who == 8 else x
+                    rows.append((f"p{who}", session, product, attribute, 1, float(score + 0.4 * r.normal() + 0.2 * who)))
+    return spark.createDataFrame(rows, "panelist_id string, session int, product string, attribute string, replicate int, score double").repartition(3)
+
+
+def test_panelists_are_flagged_and_products_compared(spark, tasters):
+    flagged = {r.panelist_id: list(r.reasons) for r in sensory.flag_panelists(tasters).collect() if r.flagged}
+    assert flagged == {"p8": ["low agreement with the panel"]}
+    assert sensory.letters(["a", "b", "c"], [("a", "c")]) == {"a": "a", "b": "ab", "c": "b"} and sensory.letters(["a", "b"], []) == {"a": "a", "b": "a"}
+    out = sensory.compare_products(structures.apply_correction(tasters, ["p8"]), control="a")
+    assert {r.letters for r in out["letters"].filter("attribute = 'sweet'").collect()} == {"a", "b", "c", "d"}
+    assert all(r.significant for r in out["dunnett"]["salty"].collect())
+    covariates = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0), ("d", 4.0)], "product string, sugar double")
+    whole = sensory.analyze_descriptive(tasters, covariates, drop=["p8"], correction="both", low=-5, high=20)
+    assert whole["validation"]["ok"] and whole["products"].count() == 4
+    assert all(r.r > 0.99 for r in whole["relations"].collect())
+
+
+def test_missing_cells_by_trimmed_scores(spark):
+    r = np.random.default_rng(3)
+    t = r.normal(size=(400, 2))
+    x = t @ r.normal(size=(2, 5)) + 5 + 0.05 * r.normal(size=(400, 5))
+    full = latent.PCA.fit(spark.createDataFrame((x - x.mean(0)).tolist(), [f"c{i}" for i in range(5)]), [f"c{i}" for i in range(5)], 2)
+    holes = np.where(r.random(x.shape) < 0.08, np.nan, x)
+    rows = [tuple(None if np.isnan(v) else float(v) for v in row) for row in holes]
+    fit, mean = latent.fit_tsr(spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(5))).repartition(3), [f"c{i}" for i in range(5)], 2, most=40, tolerance=1e-7)
+    assert np.allclose(mean, x.mean(0), atol=0.02) and np.allclose(np.abs(np.diag(fit.loadings.T @ full.loadings)), 1, atol=1e-3)
+
+
+def test_nested_validation_agrees_with_refits(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(240, 3)) + 50
+    y = x[:, 0] - 2 * x[:, 1] + 0.2 * r.normal(size=240)
+    df = spark.createDataFrame([(i, *map(float, v), float(w)) for i, (v, w) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, c double, y double").repartition(3)
+    got = latent.nested_cv(df, ["a", "b", "c"], ["y"], 3, outer=3, inner=2, key="id")
+    place = {row.id: row.p for row in df.select("id", F.pmod(F.xxhash64("id"), F.lit(6)).alias("p")).collect()}
+    for g in got:
+        train = df.filter(F.col("id").isin([i for i, p in place.items() if p % 3 != g["fold"]]))
+        test = df.filter(F.col("id").isin([i for i, p in place.items() if p % 3 == g["fold"]]))
+        rows = latent.PLS.fit(train, ["a", "b", "c"], ["y"], g["components"], limits=False).predict(test).collect()
+        assert g["n"] == len(rows) and np.isclose(g["rmsep"], math.sqrt(np.mean([(row.y - row.y_hat) ** 2 for row in rows])), rtol=1e-6)
