@@ -66,7 +66,7 @@ DESIGN_SQL = {
     "mixture": "SELECT round(a / (a + b + c), 6)::DOUBLE AS A, round(b / (a + b + c), 6)::DOUBLE AS B, round(c / (a + b + c), 6)::DOUBLE AS C FROM (SELECT (i & 1)::DOUBLE AS a, (i >> 1 & 1)::DOUBLE AS b, (i >> 2 & 1)::DOUBLE AS c FROM range(1, 8) t(i))",
 }
 
-for _kind, _k, _options in (("plackett_burman", 11, {}), ("ccd", 3, {}), ("box_behnken", 4, {}), ("dsd", 6, {}), ("mixture", 3, {}), ("d_optimal", 4, {"runs": 12}), ("taguchi", 7, {})):
+for _kind, _k, _options in (("plackett_burman", 11, {}), ("ccd", 3, {}), ("box_behnken", 4, {}), ("dsd", 6, {}), ("mixture", 3, {}), ("d_optimal", 4, {"runs": 12}), ("a_optimal", 3, {"runs": 10}), ("i_optimal", 3, {"runs": 12, "model": "interactions"}), ("taguchi", 7, {})):
     add(f"design_{_kind}", DESIGN_SQL.get(_kind))(_designs(_kind, _k, **_options))
 
 
