@@ -186,7 +186,7 @@ def shared_shingles(docs: DataFrame, percent: int, total: int) -> tuple[np.ndarr
 
     dealt = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(deal, "bucket int, codes binary").repartitionById(parts, "bucket")
     # at most HOT rows
-    top = dealt.mapInArrow(run, "code long, count long").orderBy(F.desc("count"), "code").limit(HOT).toPandas()
+    top = C.foremost(C.cut(dealt.mapInArrow(run, "code long, count long")), "count", "code", HOT).toPandas()
     return top["code"].to_numpy(np.int64).astype(C.U64), top["count"].to_numpy(np.int64), parts
 
 

@@ -178,7 +178,7 @@ def frequent_pretokens(docs: DataFrame, model: str, frequent: int, frequent_long
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(gather, "pretoken binary, held long")
     table = C.cut(rows.groupBy("pretoken").agg(F.sum("held").alias("held")).filter("held > 1"))
     short = F.length("pretoken") <= 8 * EIGHTS
-    top = lambda of, n: table.filter(of).orderBy(F.desc("held"), "pretoken").limit(n).select("pretoken")
+    top = lambda of, n: C.foremost(table.filter(of), "held", "pretoken", n).select("pretoken")
     return top(short, frequent).unionByName(top(~short, frequent_long)).mapInArrow(count, "pretoken binary, pieces long")
 
 
