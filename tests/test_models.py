@@ -108,8 +108,12 @@ def test_pls_agrees_with_nipals(data):
 def test_multi_block(data):
     names, _, df = data
     blocks = {"a": names[:2], "b": names[2:5]}
-    out = latent.MultiBlock.fit(df, blocks, 2).transform(df).toPandas()
-    assert np.allclose(out["a_t1"] + out["b_t1"], out["super_t1"])
+    model = latent.MultiBlock.fit(df, blocks, 2)
+    out = model.diagnose(df).toPandas()
+    for a in (1, 2):  # a super score is the block scores by the super weights
+        own = model.super_weights()[:, a - 1]
+        assert np.allclose(own[0] * out[f"a_t{a}"] + own[1] * out[f"b_t{a}"], out[f"super_t{a}"])
+    assert list(model.transform(df).toPandas().columns)[-2:] == ["super_t1", "super_t2"]
     assert 0 <= latent.rv_coefficient(df, names[:2], names[2:5]) <= 1
     assert math.isclose(latent.rv_coefficient(df, names[:2], names[:2]), 1)
 
