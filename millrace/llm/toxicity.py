@@ -110,6 +110,10 @@ class Network:
         pooled = np.einsum("nt,nts->ns", a, states)
         return a, pooled, pooled @ self.p["out"] + self.p["out0"][0]
 
+    def every_logit(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The logit of each window of many texts, some texts at a time."""
+        return np.concatenate([self.logits(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0] for a, b in C.blocks(offsets)])
+
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
         """The logit of each window, and the number of the first window of each text."""
         hashes, at = C.word_hashes(data, offsets)
@@ -174,11 +178,13 @@ def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 4, epo
     rng = np.random.default_rng(seed)
     data, offsets = C.buffer_of(pa.array(texts, pa.large_string()))
     hashes, at = C.word_hashes(data, offsets)
-    begins, ends = C.words_of(data, offsets)
     if not len(hashes):
         return Network({}, None, None, share)
     kinds, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-    codes, code_at = features(data, begins[one], ends[one])
+    which = which.astype(np.int32)
+    del hashes
+    begins, ends = (x[one] for x in C.words_of(data, offsets))
+    codes, code_at = features(data, begins, ends)
     word_codes, word_odds = odds(which, at, kinds, np.arange(len(kinds) + 1), labels)
     char_codes, char_odds = odds(which, at, codes, code_at, labels)
     words, chars = C.Lookup(word_codes), C.Lookup(char_codes)
@@ -208,12 +214,12 @@ def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 4, epo
     begin, length, first = windows(at)
     has = np.flatnonzero(np.diff(first))
     window_text = np.repeat(np.arange(len(texts)), np.diff(first))
-    place = np.minimum(begin[:, None] + np.arange(WINDOW), len(which) - 1)
+    place = np.minimum(begin[:, None].astype(np.int32) + np.arange(WINDOW, dtype=np.int32), np.int32(len(which) - 1))
     # before the first round, a window is as toxic as its most toxic word
-    score = np.where(np.arange(WINDOW) < length[:, None], guess[place], -9).max(axis=1)
+    score = np.where(np.arange(WINDOW) < length[:, None], guess[place], np.float32(-9)).max(axis=1)
     for turn in range(rounds):
         if turn:
-            score = net.logits(data, offsets)[0]
+            score = net.every_logit(data, offsets)
         order = np.lexsort((-score, window_text))
         rank = np.arange(len(order)) - first[window_text[order]]
         chosen = order[rank < np.where(labels[window_text[order]] == 1, 1, 2)]
