@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from millrace.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from millrace.llm.fingerprints import op1_document_fingerprints
+from millrace.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from millrace.llm.line_dedup import OP8_SQL, op8_line_dedup
 from millrace.llm.mixing import op10_source_mixing
 from millrace.llm.ngram_join import OP6_SQL, op6_ngram_jaccard_join, op6_ngram_jaccard_links
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_source_mixing": op10_source_mixing,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -34,4 +36,5 @@ ORACLES: dict[str, str] = {
     "op3_warc": OP3_SQL,
     "op6_ngram_jaccard_join": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
