@@ -11,10 +11,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common as C
 
-#: Labelled rows of each class that a fit takes at most.
-SAMPLE = 1500
-#: A text of the sample that is longer than PIECES x PIECE code points is learnt from so many pieces, evenly spread over all of it.
-PIECES, PIECE = 10, 2000
+#: Labelled rows of each class that a fit takes at most, with their whole texts.
+SAMPLE = 1300
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -22,15 +20,8 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def learnt(text: Column) -> Column:
-    """A text to learn from: whole, or if it is long its first and last pieces and others at even distances between."""
-    n, room = F.length(text), PIECES * PIECE
-    at = lambda k: F.floor((n - PIECE) * F.lit(k / (PIECES - 1))).cast("int") + 1
-    return F.when(n <= room, text).otherwise(F.concat_ws("\n", *(F.substring(text, at(k), F.lit(PIECE)) for k in range(PIECES))))
-
-
 def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, size: int = SAMPLE) -> tuple[list[str], np.ndarray, float]:
-    """Texts and labels of at most `size` usable labelled rows of each class, and the share of label 1 among all usable rows.
+    """Whole texts and labels of at most `size` usable labelled rows of each class, and the share of label 1 among all usable rows.
 
     Rows are chosen by a hash of their ids, whatever the length of their texts,
     so the same tables give the same sample whatever their partitions; labels
@@ -43,7 +34,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, size:
     order = F.xxhash64("doc_id", F.lit(17))
     least = lambda value: known.filter(F.col("label") == value).orderBy(order, "doc_id").limit(size)
     chosen = F.broadcast(least(0).unionByName(least(1)))
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min(learnt(F.col("text"))).alias("text"))
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = sorted((r["label"], r["key"], r["text"]) for r in texts.withColumn("key", order).collect())
     return [t for _, _, t in rows], np.array([y for y, _, _ in rows], np.float32), 0.5 if share is None else float(share)
 
@@ -67,6 +58,23 @@ def with_scores(docs: DataFrame, scorer: Callable[[], Callable[[np.ndarray, np.n
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
+class Falling:
+    """Does the loss still fall?  Told an epoch's loss, says whether another one is due: at least `least`, at most `most`, and as long as one lowers the best so far by a share."""
+
+    def __init__(self, least: int, most: int, share: float = 0.03):
+        self.least, self.most, self.share, self.done, self.best = least, most, share, 0, float("inf")
+
+    def __call__(self, loss: float) -> bool:
+        self.done += 1
+        falls = loss < self.best * (1 - self.share)
+        self.best = min(self.best, loss)
+        return self.done < self.least or falls and self.done < self.most
+
+
+def log_loss(logits: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, np.where(labels == 1, -logits, logits))
+
+
 class Adam:
     """Steps of Adam on a dict of arrays."""
 

@@ -6,8 +6,10 @@ eight bytes slide over every byte; a chunk has each filter's maximum.  A small
 layer makes a logit of each chunk; the mean, the least and the largest logit of
 a document's chunks make its one probability.
 
-Learning takes a bounded sample of labelled rows (`labelled.sample`); scoring
-reads whole texts of all rows.
+Learning takes the whole texts of a bounded sample of labelled rows
+(`labelled.sample`): every chunk is visited while a rate holds, a few of each
+document an epoch, and epochs go on as long as the loss falls.  Scoring reads
+whole texts of all rows.
 
 Defined cases: a null text is an empty one, which is one chunk of padding.
 Equal texts have equal scores, so rows that repeat do, each with a row of its
@@ -107,8 +109,38 @@ def combined(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([np.add.reduceat(logits, at[:-1]) / np.diff(at), np.minimum.reduceat(logits, at[:-1]), np.maximum.reduceat(logits, at[:-1]), np.ones(len(at) - 1)], axis=1)
 
 
+def _epoch(p: dict[str, np.ndarray], adam: L.Adam, drawn: np.ndarray, rng: np.random.Generator, data: np.ndarray, begin: np.ndarray, ends: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> float:
+    """Steps over the drawn chunks in random order, 64 at a time; gives their mean loss."""
+    size, total, weights = SEGMENT * PER_CHUNK, 0.0, 0.0
+    rng.shuffle(drawn)
+    for k in range(0, len(drawn), 64):
+        own = drawn[k : k + 64]
+        bytes_ = data[begin[own, None] + np.arange(size + WIDTH - 1)]
+        inside = np.arange(size) < ends[own, None]
+        z = sum(p["filters"][j][bytes_[:, j : size + j]] for j in range(WIDTH))
+        z[~inside] = NOTHING
+        where = z.argmax(axis=1)
+        strongest = np.take_along_axis(z, where[:, None], 1)[:, 0]
+        x = np.maximum(strongest, 0)
+        h = np.tanh(x @ p["a"] + p["a0"])
+        w, logit = weight[own], h @ p["b"] + p["b0"]
+        total, weights = total + float((L.log_loss(logit, labels[own]) * w).sum()), weights + float(w.sum())
+        g = ((L.sigmoid(logit) - labels[own]) * w / w.sum()).astype(np.float32)
+        gh = g[:, None] * p["b"] * (1 - h * h)
+        gs = (gh @ p["a"].T) * (strongest > 0)
+        gf = 1e-5 * p["filters"]
+        for j in range(WIDTH):
+            np.add.at(gf[j], (np.take_along_axis(bytes_, where + j, 1), np.arange(FILTERS)), gs)
+        adam.step({"b0": np.array([g.sum()]), "b": h.T @ g + 1e-4 * p["b"], "a": x.T @ gh + 1e-4 * p["a"], "a0": gh.sum(axis=0), "filters": gf})
+    return total / weights
+
+
 def fit(texts: list[str], labels: np.ndarray, share: float, epochs: int = 12, seed: int = 7) -> Network:
-    """Learn the filters and layers from chunks that bear their documents' labels, then how chunks combine; of few texts more often."""
+    """Learn the filters and layers from chunks that bear their documents' labels, then how chunks combine.
+
+    Each of two rates holds for half of `epochs` at least, in which every chunk
+    has its turn, and on for five times as many while the loss falls.
+    """
     if not len(labels) or labels.min() == labels.max():
         return Network({}, share)
     import pyarrow as pa
@@ -128,36 +160,24 @@ def fit(texts: list[str], labels: np.ndarray, share: float, epochs: int = 12, se
     owner = np.repeat(np.arange(len(texts)), np.diff(per_text))
     # every document weighs the same, whatever its length, and so does each class
     of_class = np.where(labels == 1, 0.5 / max(labels.sum(), 1), 0.5 / max((1 - labels).sum(), 1))
-    weight = (of_class / np.diff(per_text))[owner]
+    count, half = np.diff(per_text), max(1, epochs // 2)
+    turns = np.maximum(np.minimum(count, 2), -(-count // half))  # chunks of a document in an epoch
+    weight = (of_class / turns)[owner]
     size = SEGMENT * PER_CHUNK
     data = np.concatenate([data, np.zeros(size + WIDTH, np.uint8)])
     ends = np.minimum(np.append(begins[1:], at[-1])[last], at[1:][owner] - WIDTH + 1) - begins[begin]
     adam = L.Adam(p)
-    epochs = max(epochs, min(5 * epochs, epochs * L.SAMPLE // len(texts)))
-    for epoch in range(epochs):
-        if epoch == epochs // 2:
+    for k in range(2):
+        if k:
             adam.rate /= 3
-        # as many chunks a document as two, drawn anew each time
-        drawn = np.unique(np.concatenate([per_text[:-1] + (rng.random(len(texts)) * np.diff(per_text)).astype(np.int64) for _ in range(2)]))
-        rng.shuffle(drawn)
-        for k in range(0, len(drawn), 64):
-            own = drawn[k : k + 64]
-            bytes_ = data[begins[begin[own], None] + np.arange(size + WIDTH - 1)]
-            inside = np.arange(size) < ends[own, None]
-            z = sum(p["filters"][j][bytes_[:, j : size + j]] for j in range(WIDTH))
-            z[~inside] = NOTHING
-            where = z.argmax(axis=1)
-            strongest = np.take_along_axis(z, where[:, None], 1)[:, 0]
-            x = np.maximum(strongest, 0)
-            h = np.tanh(x @ p["a"] + p["a0"])
-            w = weight[own] * np.diff(per_text)[owner[own]]
-            g = ((L.sigmoid(h @ p["b"] + p["b0"]) - labels[owner[own]]) * w / w.sum()).astype(np.float32)
-            gh = g[:, None] * p["b"] * (1 - h * h)
-            gs = (gh @ p["a"].T) * (strongest > 0)
-            gf = 1e-5 * p["filters"]
-            for j in range(WIDTH):
-                np.add.at(gf[j], (np.take_along_axis(bytes_, where + j, 1), np.arange(FILTERS)), gs)
-            adam.step({"b0": np.array([g.sum()]), "b": h.T @ g + 1e-4 * p["b"], "a": x.T @ gh + 1e-4 * p["a"], "a0": gh.sum(axis=0), "filters": gf})
+        due, begun = L.Falling(half, 5 * half), rng.random(len(texts))
+        epoch, more = 0, True
+        while more:
+            # the next chunks of each document, round and round from a place of its own
+            place = np.arange(turns.sum()) - np.repeat(np.cumsum(turns) - turns, turns) + np.repeat((begun * count).astype(np.int64) + epoch * turns, turns)
+            drawn = np.repeat(per_text[:-1], turns) + place % np.repeat(count, turns)
+            loss = _epoch(p, adam, drawn, rng, data, begins[begin], ends, labels[owner], weight)
+            epoch, more = epoch + 1, due(loss)
     net = Network(p, share)
     f = combined(*(lambda x, n: (net.logits(x), n))(*net.pooled(*C.buffer_of(pa.array(texts, pa.large_string())))))
     doc = np.array([1.0, 0.0, 0.0, np.log(max(share, 1e-3) / max(1 - share, 1e-3))])

@@ -8,9 +8,10 @@ words every STRIDE words, the last one ending with the text, are read by one
 gated recurrent unit in each direction; attention weights the states, and a
 logistic output scores the window.  A document's score is its largest.
 
-Learning takes a bounded sample of labelled rows (`labelled.sample`): each round
-scores all their windows, and then learns from the highest of each toxic text
-and the highest two of each other text.
+Learning takes the whole texts of a bounded sample of labelled rows
+(`labelled.sample`): each round scores all their windows, and then learns from
+the highest of each toxic text and the highest two of each other text, as long
+as the loss falls.
 
 Defined cases: a null text is an empty one; a text without words has the share
 of label 1 as its score.  Equal texts have equal scores, so rows that repeat do,
@@ -35,6 +36,8 @@ WORD, CHAR, STATE = 6, 8, 8
 VOCABULARY = 8192
 #: Windows that the network reads at once.
 BATCH = 4096
+#: Steps of learning, of 128 windows each, after which the loss is looked at.
+STEPS = 32
 
 
 def features(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +215,6 @@ def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 4, epo
     tell_char[1:] = np.clip(char_odds, -1, 3)
     guess = np.maximum(tell[word_of], sums(tell_char[char_of], code_at) / np.sqrt(np.diff(code_at)))[which]
     begin, length, first = windows(at)
-    has = np.flatnonzero(np.diff(first))
     window_text = np.repeat(np.arange(len(texts)), np.diff(first))
     place = np.minimum(begin[:, None].astype(np.int32) + np.arange(WINDOW, dtype=np.int32), np.int32(len(which) - 1))
     # before the first round, a window is as toxic as its most toxic word
@@ -227,17 +229,20 @@ def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 4, epo
         each = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
         if turn == rounds - 1:
             adam.rate /= 4
-        for _ in range(epochs if len(has) > 1000 else 3 * epochs):
-            mixed = rng.permutation(len(chosen))
+        due, more = L.Falling(epochs, 3 * epochs), True
+        while more:
+            # the loss is that of STEPS steps or so, whatever the number of windows
+            mixed, loss = np.concatenate([rng.permutation(len(chosen)) for _ in range(max(1, round(STEPS * 128 / len(chosen))))]), 0.0
             for k in range(0, len(mixed), 128):
                 own = mixed[k : k + 128]
-                _step(net, adam, which[place[chosen[own]]], np.arange(WINDOW) < length[chosen[own]][:, None], y[own], each[own], word_of, char_of, code_at, rng)
+                loss += _step(net, adam, which[place[chosen[own]]], np.arange(WINDOW) < length[chosen[own]][:, None], y[own], each[own], word_of, char_of, code_at, rng)
+            more = due(loss / len(mixed))
     p["out0"] += np.float32(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))  # the classes weighed the same until here
     return net
 
 
-def _step(net: Network, adam: L.Adam, words: np.ndarray, inside: np.ndarray, y: np.ndarray, weight: np.ndarray, word_of: np.ndarray, char_of: np.ndarray, code_at: np.ndarray, rng: np.random.Generator) -> None:
-    """One step of learning from some windows, back through both units, the attention and the inputs."""
+def _step(net: Network, adam: L.Adam, words: np.ndarray, inside: np.ndarray, y: np.ndarray, weight: np.ndarray, word_of: np.ndarray, char_of: np.ndarray, code_at: np.ndarray, rng: np.random.Generator) -> float:
+    """One step of learning from some windows, back through both units, the attention and the inputs; gives their loss."""
     p = net.p
     kinds, which = np.unique(words[inside], return_inverse=True)
     count = np.diff(code_at)[kinds]
@@ -279,6 +284,7 @@ def _step(net: Network, adam: L.Adam, words: np.ndarray, inside: np.ndarray, y:
     np.add.at(grads["char"], code, np.repeat(back[:, WORD:] * shown[:, 1:] * (1 - char * char), count, axis=0))
     grads["word"][0] = grads["char"][0] = 0
     adam.step(grads)
+    return float((L.log_loss(logit, y) * weight).sum())
 
 
 def fitted(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Network:

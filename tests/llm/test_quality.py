@@ -89,3 +89,19 @@ def test_repeated_rows_and_clashing_columns(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] * 2, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("score", "label", "held_out", "predicted", "quality")})
     got = quality.classify(docs, labels).collect()
     assert len(got) == 120 and len({(r.doc_id, r.score) for r in got}) == 60
+
+
+def test_every_chunk_is_learnt_from(monkeypatch):
+    rows = _texts(40, 5)
+    texts = [t + " and so on" * 900 * (k % 9 == 0) for k, (_, t, _) in enumerate(rows)]
+    seen, real = [], quality._epoch
+    monkeypatch.setattr(quality, "_epoch", lambda p, adam, drawn, *rest: (seen.append((adam.rate, drawn.copy())), real(p, adam, drawn, *rest))[1])
+    quality.fit(texts, np.array([y for _, _, y in rows], np.float32), 0.6, epochs=4)
+    import pyarrow as pa
+
+    from millrace.llm import common as C
+
+    _, first = quality.segments(quality.padded(*C.buffer_of(pa.array(texts)))[1])
+    total = quality.chunks(first)[2][-1]
+    for rate in {r for r, _ in seen}:
+        assert set(np.concatenate([d for r, d in seen if r == rate]).tolist()) == set(range(total))

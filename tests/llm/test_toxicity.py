@@ -169,5 +169,14 @@ def test_long_texts_are_learnt_from(spark, frame):
     labels = spark.createDataFrame([(i, 0, i % 2) for i in range(6)], "doc_id long, quality int, toxic int")
     texts, y, share = L.sample(frame([(i, long if i < 4 else "short text") for i in range(6)]), labels, "toxic", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(True))
     assert sorted(y.tolist()) == [0, 0, 0, 1, 1, 1] and share == 0.5
-    bound = L.PIECES * (L.PIECE + 1)
-    assert sum(len(t) > 1000 for t in texts) == 4 and all(len(t) <= bound for t in texts) and all("idiot" in t for t in texts if len(t) > 1000)
+    assert sorted(map(len, texts)) == sorted([len(long)] * 4 + [10] * 2) and set(texts) == {long, "short text"}
+
+
+def test_a_mark_deep_within_long_texts_is_learnt(spark, frame):
+    # the only toxic words lie between places that a few evenly spread pieces would show
+    draw = random.Random(9)
+    filler = lambda n: " ".join(draw.choice(["rain", "moss", "bread", "stone", "lamp", "grey"]) for _ in range(n))
+    rows = [(i, f"{filler(700)} vile rotten scum {filler(5500)}" if i % 3 == 0 else filler(6200), i % 3 == 0) for i in range(45)]
+    labels = spark.createDataFrame([(i, 0, int(y)) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.classify(frame([(i, t) for i, t, _ in rows]), labels).collect()}
+    assert sum(got[i].predicted == y for i, _, y in rows if got[i].held_out) >= 0.9 * sum(r.held_out for r in got.values())
