@@ -543,7 +543,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(C.load(spark, sf_dir, "documents"))
 
 
-def op6_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(C.load(spark, sf_dir, "documents"))
 
 
@@ -565,3 +565,14 @@ WITH RECURSIVE word AS (
 )
 SELECT a AS doc_id, n AS n_shingles, min(b) AS component_id FROM reach JOIN size ON doc_id = a GROUP BY a, n
 """
+
+#: Pairs of distinct shingle sets that link, by the least doc_id of each, with the links of their documents.
+LINKS_SQL = OP6_SQL[: OP6_SQL.index(", reach AS")] + r"""
+, class AS (
+    SELECT doc_id, sets, count(*) OVER w AS docs, min(doc_id) OVER w AS least
+    FROM (SELECT doc_id, array_to_string(list(s ORDER BY s), chr(10)) AS sets FROM shingle GROUP BY doc_id)
+    WINDOW w AS (PARTITION BY sets)
+)
+SELECT DISTINCT a.least AS a, b.least AS b, CASE WHEN a.least = b.least THEN a.docs * (a.docs - 1) // 2 ELSE a.docs * b.docs END AS n_links
+FROM link JOIN class a ON a.doc_id = link.a JOIN class b ON b.doc_id = link.b WHERE a.least <= b.least
+"""

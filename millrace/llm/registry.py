@@ -10,7 +10,7 @@ from millrace.llm.fingerprints import op1_document_fingerprints
 from millrace.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from millrace.llm.line_dedup import OP8_SQL, op8_line_dedup
 from millrace.llm.mixing import op10_source_mixing
-from millrace.llm.ngram_join import OP6_SQL, op6_ngram_jaccard_join, op6_ngram_jaccard_links
+from millrace.llm.ngram_join import LINKS_SQL, OP6_SQL, ngram_jaccard_links, op6_ngram_jaccard_join
 from millrace.llm.packing import op9_best_fit_packing
 from millrace.llm.quality import op4_quality_classifier
 from millrace.llm.tokens import op5_token_counts
@@ -25,7 +25,7 @@ QUERIES: dict[str, Callable] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_counts": op5_token_counts,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
-    "op6_ngram_jaccard_links": op6_ngram_jaccard_links,
+    "ngram_jaccard_links": ngram_jaccard_links,
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
@@ -39,6 +39,7 @@ ORACLES: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
     "op3_warc": OP3_SQL,
     "op6_ngram_jaccard_join": OP6_SQL,
+    "ngram_jaccard_links": LINKS_SQL,
     "op8_line_dedup": OP8_SQL,
     "op12_hard_negatives": OP12_SQL,
     "op13_chat_formatting": OP13_SQL,
