@@ -27,6 +27,8 @@ are passed on or not read, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,9 +61,14 @@ def cell(docs: DataFrame, own: Column | None) -> dict[str, Column]:
     return {"source": F.coalesce(docs["source"], F.lit("")), "lang": F.coalesce(docs["lang"], F.lit("")), "topic": topic(text) if own is None else F.coalesce(own.cast("string"), F.lit(""))}
 
 
-def measured(docs: DataFrame, own: Column | None) -> DataFrame:
+def pieces(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """doc_id, the kept columns and n_tokens as op5 counts them."""
+    return token_counts(docs, keep=keep).drop("n_bytes", "over_limit")
+
+
+def measured(docs: DataFrame, own: Column | None, count: Callable[[DataFrame, Sequence[str]], DataFrame] = pieces) -> DataFrame:
     """doc_id, cell and n_tokens of every document, without its text; written, as it is read twice."""
-    return C.cut(token_counts(docs.select("doc_id", "text", *(c.alias(d) for d, c in cell(docs, own).items())), keep=DIMENSIONS).drop("n_bytes", "over_limit"))
+    return C.cut(count(docs.select("doc_id", "text", *(c.alias(d) for d, c in cell(docs, own).items())), DIMENSIONS))
 
 
 def shares(sums: dict[str, float], targets: dict[str, float] | None, temperature: float) -> dict[str, float]:
@@ -161,17 +168,17 @@ def drawn(doc_id: Column, probability: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(doc_id.cast("long"), F.lit(seed)), F.lit(1 << 52)).cast("double") / float(1 << 52) < probability
 
 
-def mix(docs: DataFrame, topic: Column | None = None, seed: int = SEED, **how) -> DataFrame:
+def mix(docs: DataFrame, topic: Column | None = None, seed: int = SEED, count: Callable[[DataFrame, Sequence[str]], DataFrame] = pieces, **how) -> DataFrame:
     """Each document's cell, tokens, weight, probability and whether it is sampled."""
-    rows = measured(docs, topic)
+    rows = measured(docs, topic, count)
     table, few = weights(rows, **how)
     out = rows.join(F.broadcast(table) if few else table, list(DIMENSIONS))
     return out.select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", drawn(F.col("doc_id"), F.col("probability"), seed).alias("sampled"))
 
 
-def sample(docs: DataFrame, topic: Column | None = None, seed: int = SEED, **how) -> DataFrame:
-    """The sampled documents; all columns stay."""
-    table, few = weights(measured(docs, topic), **how)
+def sample(docs: DataFrame, topic: Column | None = None, seed: int = SEED, count: Callable[[DataFrame, Sequence[str]], DataFrame] = pieces, **how) -> DataFrame:
+    """The sampled documents; all columns stay.  `count` gives the tokens that the shares are of: those of whatever will read the sample."""
+    table, few = weights(measured(docs, topic, count), **how)
     names = {d: C.fresh(docs, f"_{d}") for d in (*DIMENSIONS, "probability")}
     own = table.select(*(F.col(d).alias(n) for d, n in names.items()))
     same = [c == own[names[d]] for d, c in cell(docs, topic).items()]
