@@ -2,9 +2,15 @@
 
 Toxic documents go; of equal texts the one with the largest doc_id stays; of
 each group of near-duplicates the one with the least; sources, languages and
-topics are sampled to their target weights; what remains is packed.  SQL cannot
-express the first stage, so there is no SQL for the rows: tests hold the stages
-against plain versions.
+topics are sampled to their target weights, in the tokens of the packer; what remains
+is packed.  SQL cannot express the first stage, so there is no SQL for the rows:
+tests hold the stages against plain versions.
+
+Defined cases: a null text is an empty one, a null source or language the
+empty one.  Very long texts are read whole, window by window.  Equal texts meet in
+the second stage, so later ones see none; rows that repeat both doc_id and text
+stay together until then.  An empty table gives an empty result.  All stages but
+the last pass on the columns of documents, whatever else they are called.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def sample_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.sample(docs)
+    return mixing.sample(docs, count=packing.lengths)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
