@@ -755,33 +755,6 @@ def minka_components(model: PCA) -> int:
     return chosen
 
 
-def permutation_risk(df: DataFrame, x: Sequence[str], y: str, components: int, times: int = 20, seed: int = 0) -> list[dict]:
-    """Of each PLS component: its covariance with y, and the share of permutations whose own is as large.
-
-    A permutation is y of the rows in the order of a hash, paired with x in
-    theirs; all of them are made in one sort of ranges, and a component is
-    tested on what the earlier ones leave.
-    """
-    model = PLS.fit(df, x, [y], components, limits=False)
-    rows = model.transform(df.dropna(subset=[*x, y]))
-    names = [f"t{a + 1}" for a in range(model.components)]
-    hat = [F.lit(0.0)]
-    for a, name in enumerate(names):
-        hat.append(hat[-1] + F.col(name) * float(model.y_loadings[0, a]))
-    center, scale = float(model.center[-1]), float(model.scale[-1])
-    rest = [(F.col(y) - center) / scale - h for h in hat[:-1]]
-    keyed = rows.select(*names, *(r.alias(f"u{a + 1}") for a, r in enumerate(rest)), F.explode(F.sequence(F.lit(0), F.lit(times))).alias("k"))
-    # k = 0 is the order as it is; else scores and residuals are dealt by independent hashes and paired by rank within ranges of them
-    own = keyed.filter("k = 0").agg(*(F.corr(n, f"u{a + 1}") for a, n in enumerate(names))).first()
-    parts = 64
-    place = lambda s: F.xxhash64(F.col("k"), F.lit(s), F.lit(seed), *names, *(f"u{a + 1}" for a in range(len(names))))
-    side = lambda s, columns: keyed.filter("k > 0").select("k", place(s).alias("h"), *columns).withColumn("part", F.pmod(F.col("h"), F.lit(parts)))
-    numbered = lambda d: d.withColumn("rank", F.row_number().over(W.partitionBy("k", "part").orderBy("h"))).drop("h")
-    pairs = numbered(side(1, names)).join(numbered(side(2, [f"u{a + 1}" for a in range(len(names))])), ["k", "part", "rank"])
-    found = pairs.groupBy("k").agg(*(F.abs(F.corr(n, f"u{a + 1}")).alias(n) for a, n in enumerate(names))).collect()
-    return [{"component": a + 1, "statistic": abs(own[a] or 0.0), "risk": sum(r[n] >= abs(own[a] or 0.0) for r in found) / max(len(found), 1)} for a, n in enumerate(names)]
-
-
 def nested_cv(df: DataFrame, x: Sequence[str], y: Sequence[str], most: int, outer: int = 5, inner: int = 4, key: str | None = None) -> list[dict]:
     """Of each outer fold: how many components the inner folds choose, and the error of that model on the outer fold.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import latent, linear
+from millrace.operators import latent, linear, validation
 from millrace.operators.scaling import Scaler
 from millrace.plans import sqlparts as S
 from millrace.plans.catalog import add
@@ -223,10 +223,48 @@ def multi_block_weights(spark, sf_dir):
     return spark.createDataFrame([(b, round(float(w), 5)) for b, w in zip(BLOCKS, model.super_weights()[:, 0], strict=True)], "block string, weight double")
 
 
+LINE = ["l_orderkey", "l_linenumber"]
+
+
 @add("pls_permutation_risk")
 def permutation_risk(spark, sf_dir):
+    """999 draws of signs, in one pass."""
     df = lines(spark, sf_dir).withColumn("y", F.col("l_extendedprice") + 2000 * F.col("l_quantity"))
-    return spark.createDataFrame([(r["component"], r["statistic"], r["risk"]) for r in latent.permutation_risk(df, PLS_X, "y", 2)], "component int, statistic double, risk double")
+    return spark.createDataFrame([(r["component"], r["statistic"], r["risk"]) for r in validation.component_risk(df, PLS_X, "y", 2, key=LINE)], "component int, statistic double, risk double")
+
+
+@add("pls_compare_components")
+def compare_components(spark, sf_dir):
+    found = validation.compare_components(lines(spark, sf_dir), PLS_X, ["l_extendedprice"], 3, key=LINE)
+    return spark.createDataFrame([(a + 1, *row, a + 1 == found.recommended) for a, row in enumerate(zip(found.rmsecv, found.excess, found.p_values, strict=True))], "components int, rmsecv double, excess double, p_value double, recommended boolean")
+
+
+@add(
+    "pls_out_of_fold_error",
+    """WITH p AS (SELECT l_orderkey % 5 AS f, l_quantity AS x, l_extendedprice AS y FROM lineitem), w AS (SELECT f, x, y, CAST(g.range AS BIGINT) AS held FROM p, range(5) g WHERE f <> g.range),
+    m AS (SELECT held, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM w GROUP BY 1), s AS (SELECT stddev_samp(y) AS s FROM p)
+    SELECT round(sqrt(avg(((y - a - b * x) / s) ^ 2)), 8) AS rmsecv FROM p JOIN m ON held = f, s""",
+)
+def out_of_fold_error(spark, sf_dir):
+    """One x, one component: least squares, fold by fold."""
+    found = validation.compare_components(lines(spark, sf_dir), ["l_quantity"], ["l_extendedprice"], 1, key=LINE, fold=F.col("l_orderkey") % 5)
+    return spark.createDataFrame([(round(found.rmsecv[0], 8),)], "rmsecv double")
+
+
+@add("pca_press_by_cells")
+def press_by_cells(spark, sf_dir):
+    found = validation.press_by_cells(lines(spark, sf_dir), X, 3, key=LINE)
+    return spark.createDataFrame([(a + 1, float(v), a + 1 == found.recommended()) for a, v in enumerate(found.press)], "components int, press double, recommended boolean")
+
+
+@add("fractional_slopes")
+def fractional_slopes(spark, sf_dir):
+    """PLS coefficients of repeated fractions of four fifths of the lines."""
+    def slopes(n, sums, products):
+        return latent.PLS.of_products(n, sums, products, PLS_X, ["l_extendedprice"], 2).beta[:, 0]
+
+    found = validation.fractional(lines(spark, sf_dir), [*PLS_X, "l_extendedprice"], slopes, key=LINE)
+    return spark.createDataFrame([(c, *map(float, row)) for c, *row in zip(PLS_X, *found, strict=True)], "variable string, slope double, mean double, low double, high double")
 
 
 @add(

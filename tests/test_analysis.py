@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import analyze, chartdata, experiments, latent, linear, optimize, sensory, structures, univariate
+from millrace.operators import analyze, chartdata, experiments, latent, linear, optimize, sensory, structures, univariate, validation
 from millrace.sources.datasets import data
 
 
@@ -157,8 +157,8 @@ def test_orthogonal_models_are_inverted_and_components_chosen(spark):
     assert np.allclose([row.y_hat for row in model.transform(at).collect()], 2.0, atol=0.2)
     assert model.correct(df).columns[-4:] == ["a_corrected", "b_corrected", "c_corrected", "d_corrected"]
     assert latent.minka_components(latent.PCA.fit(df, ["a", "b", "c", "d"], 4)) == 2
-    risk = latent.permutation_risk(df, ["a", "b", "c", "d"], "y", 1, times=10)
-    assert risk[0]["risk"] == 0.0 and risk[0]["statistic"] > 0.8
+    risk = validation.component_risk(df, ["a", "b", "c", "d"], "y", 1, draws=99)
+    assert risk[0]["risk"] == 0.01 and risk[0]["statistic"] > 0.8
 
 
 def test_chart_data(spark, runs):
