@@ -7,6 +7,7 @@ the warped batches, the next reference, is an aggregate.  Only the reference
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators.latent import PCA
-from millrace.operators.scaling import Scaler
+from millrace.operators.scaling import Scaler, apply_ranges, batch_ranges
 from millrace.sources.tables import written
 
 
@@ -155,27 +156,44 @@ def find_reference_batch(df: DataFrame, batch: str, order: str, tags: Sequence[s
     raise ValueError("no batch is within the 95% limit of the squared prediction error")
 
 
-def batch_dtw(df: DataFrame, batch: str, order: str, tags: Sequence[str], reference: object | None = None, most: int = 10, tolerance: float = 0.1) -> tuple[DataFrame, np.ndarray]:
-    """Align all batches, weighting each tag by the inverse of its spread about the average, until the weights settle.
+def batch_dtw(df: DataFrame, batch: str, order: str, tags: Sequence[str], reference: object | None = None, most: int = 25, tolerance: float = 0.1, robust: bool = True, points: int = 100) -> tuple[DataFrame, np.ndarray]:
+    """Align all batches and bring them to `points` equal steps: batch, position, tags in their own units, distance; and the weights of tags.
 
-    After the third pass the average takes the reference's place.
+    Tags are scaled by the median of the batches' ranges and least values.  Each
+    turn weighs a tag by the inverse of its squared spread about the average,
+    until the weights settle (the norm of their change is at most the tolerance)
+    or most + 1 turns are done; after the third, the average takes the
+    reference's place.  The aligned batches are then brought back to their units
+    and interpolated by cubic splines.  Rows without one of the tags are left out.
     """
-    own = find_reference_batch(df, batch, order, tags) if reference is None else reference
-    average = df.filter(F.col(batch) == F.lit(own)).orderBy(order).select(*tags).dropna().toPandas().to_numpy(float)
-    first, weights = average, np.ones(len(tags))
-    for turn in range(most):
-        out = align(df, batch, order, tags, average if turn >= 3 else first, weights)
-        out = written(out)
-        means = out.groupBy("position").agg(*(F.avg(t).alias(t) for t in tags))
-        average = means.orderBy("position").select(*tags).toPandas().to_numpy(float)
-        spread = out.join(means.select("position", *(F.col(t).alias(f"_{t}") for t in tags)), "position").agg(*(F.sum((F.col(t) - F.col(f"_{t}")) ** 2) for t in tags)).first()
-        new = 1 / np.maximum(np.array(spread, float), 1e-12)
+    if most < 3:
+        raise ValueError("three turns at least are asked for")
+    rows = df.select(batch, order, *tags).dropna()
+    own = find_reference_batch(rows, batch, order, tags) if reference is None else reference
+    ranges = batch_ranges(rows, batch, tags, robust)
+    rows = written(apply_ranges(rows, ranges, tags))
+    average = rows.filter(F.col(batch) == F.lit(own)).orderBy(order).select(*tags).toPandas().to_numpy(float)
+    if not len(average):
+        raise ValueError(f"no batch {own!r}")
+    first, weights, moved, turn = average, np.ones(len(tags)), math.inf, 0
+    while moved > tolerance and turn <= most:
+        turn += 1
+        out = written(align(rows, batch, order, tags, average if turn > 3 else first, weights))
+        means = out.groupBy("position").agg(*(F.avg(t).alias(f"_{t}") for t in tags))
+        average = means.orderBy("position").select(*(f"_{t}" for t in tags)).toPandas().to_numpy(float)
+        spread = np.array(out.join(F.broadcast(means), "position").agg(*(F.sum((F.col(t) - F.col(f"_{t}")) ** 2) for t in tags)).first(), float)
+        new = 1 / np.maximum(spread, max(math.sqrt(np.finfo(float).eps), 1e-6 * spread.max()))
         new = new / new.sum() * len(tags)
-        moved = np.abs(new - weights).max()
+        moved = float(np.linalg.norm(new - weights))
         weights = new
-        if moved < tolerance:
-            break
-    return out, weights
+    kinds = dict(out.dtypes)
+
+    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("position")
+        return pd.DataFrame({batch: key[0], "position": np.arange(points), **dict(zip(tags, cubic(f[list(tags)].to_numpy(float), points).T, strict=True)), "distance": f["distance"].iloc[0]})
+
+    schema = ", ".join([f"`{batch}` {kinds[batch]}", "position int", *(f"`{t}` double" for t in tags), "distance double"])
+    return apply_ranges(out, ranges, tags, back=True).groupBy(batch).applyInPandas(one, schema), weights
 
 
 def resample(df: DataFrame, batch: str, order: str, tags: Sequence[str], length: int) -> DataFrame:

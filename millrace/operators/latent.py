@@ -25,6 +25,7 @@ from millrace.functions import distributions as D
 from millrace.operators.linear import gram, moments
 from millrace.operators.resampling import grouped_moments
 from millrace.operators.scaling import TINY
+from millrace.sources.tables import written
 
 
 def t2_limit(n: int, components: int, conflevel: float = 0.95) -> float:
@@ -60,6 +61,30 @@ def over_rows(df: DataFrame, columns: Sequence[str], names: Sequence[str], run)
     return df.mapInArrow(each, StructType([*df.schema.fields, *(StructField(n, DoubleType()) for n in names)]))
 
 
+#: Outliers that deviates are asked for at most, where the caller names no number.
+MOST_OUTLIERS = 100_000
+
+
+def flagged(rows: DataFrame, t2_limit: float, spe_limit: float, alpha: float, most: int | None = None) -> DataFrame:
+    """Rows whose hotellings_t2 or spe is beyond its limit, or an outlier of all rows by generalised extreme studentised deviates.
+
+    outlier_types says by which of the two, severity is the larger ratio to its
+    limit.  At most `most` outliers of each are asked for (a fifth of the rows,
+    up to MOST_OUTLIERS, if none is named); rows that tie with one count too.
+    """
+    from millrace.operators.extremes import cut_offs
+
+    rows = written(rows)
+    most = max(1, min(rows.count() // 5, MOST_OUTLIERS)) if most is None else most
+    beyond = []
+    for name, limit in (("hotellings_t2", t2_limit), ("spe", spe_limit)):
+        low, high = cut_offs(rows, name, most, alpha)
+        beyond.append(F.when((F.col(name) > limit) | (F.col(name) <= low) | (F.col(name) >= high), name))
+    severity = F.greatest(F.col("hotellings_t2") / t2_limit, F.col("spe") / (spe_limit if spe_limit > 0 else math.inf))
+    out = rows.withColumn("outlier_types", F.filter(F.array(*beyond), lambda x: x.isNotNull())).withColumn("severity", severity)
+    return out.filter(F.size("outlier_types") > 0)
+
+
 @dataclass
 class PCA:
     """Principal components of columns as they are: neither centred nor scaled here."""
@@ -126,11 +151,9 @@ class PCA:
     def score_limit(self, component: int, conflevel: float = 0.95) -> float:
         return D.t_ppf(0.5 + conflevel / 2, self.n - 1) * float(self.score_scale[component - 1])
 
-    def detect_outliers(self, df: DataFrame, conflevel: float = 0.95) -> DataFrame:
-        """Rows beyond a limit, with their severity: the larger ratio to its limit."""
-        t, s = self.t2_limit(conflevel), self.spe_limit(conflevel)
-        out = self.diagnose(df)
-        return out.withColumn("severity", F.greatest(F.col("hotellings_t2") / t, F.col("spe") / (s if s > 0 else math.inf))).filter("severity > 1")
+    def detect_outliers(self, df: DataFrame, conflevel: float = 0.95, most: int | None = None) -> DataFrame:
+        """Rows beyond a limit, or unusual among the others by extreme studentised deviates of T2 or SPE (see `flagged`)."""
+        return flagged(self.diagnose(df), self.t2_limit(conflevel), self.spe_limit(conflevel), 1 - conflevel, most)
 
     def t2_contributions(self, df: DataFrame) -> DataFrame:
         weights = self.loadings / np.where(self.score_scale > 0, self.score_scale, np.inf) ** 2
@@ -171,7 +194,7 @@ def fit_missing(df: DataFrame, columns: Sequence[str], components: int, most: in
     """
     columns, done, scales, r2 = list(columns), [], [], []
     k = len(columns)
-    rows = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
+    rows = written(df.select(*(F.col(c).cast("double").alias(c) for c in columns)))  # read by every pass
     whole = rows.agg(F.count(F.lit(1)), *(F.sum(F.col(c) * F.col(c)) for c in columns)).first()
     n, own = whole[0], np.array([x or 0.0 for x in whole[1:]])
 
@@ -226,7 +249,7 @@ def fit_tsr(df: DataFrame, columns: Sequence[str], components: int, most: int =
     """
     columns = list(columns)
     k = len(columns)
-    rows = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna("all")
+    rows = written(df.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna("all"))  # read by every pass
     first = rows.agg(*(f(c) for c in columns for f in (F.avg, F.var_pop))).first()
     mean, covariance = np.array([x or 0.0 for x in first[::2]]), np.diag([x or 0.0 for x in first[1::2]]).astype(float)
     n = 0
@@ -387,12 +410,9 @@ class PLS:
         row = rows.agg(*(f for c in self.y for f in (F.sum((F.col(c) - F.col(f"{c}_hat")) ** 2), F.var_pop(c) * F.count(c)))).first()
         return {c: 1 - row[2 * i] / row[2 * i + 1] if row[2 * i + 1] else math.nan for i, c in enumerate(self.y)}
 
-    def detect_outliers(self, df: DataFrame, conflevel: float = 0.95) -> DataFrame:
-        """Rows beyond the limit of T2 or SPE, and which: outlier_types."""
-        t, s = self.t2_limit(conflevel), self.spe_limit(conflevel)
-        out = self.diagnose(df)
-        kinds = F.filter(F.array(F.when(F.col("hotellings_t2") > t, "hotellings_t2"), F.when(F.col("spe") > s, "spe")), lambda x: x.isNotNull())
-        return out.withColumn("outlier_types", kinds).filter(F.size("outlier_types") > 0)
+    def detect_outliers(self, df: DataFrame, conflevel: float = 0.95, most: int | None = None) -> DataFrame:
+        """Rows beyond a limit, or unusual among the others by extreme studentised deviates of T2 or SPE (see `flagged`)."""
+        return flagged(self.diagnose(df), self.t2_limit(conflevel), self.spe_limit(conflevel), 1 - conflevel, most)
 
     def target_projection(self, df: DataFrame, response: int = 0) -> DataFrame:
         """The score of each row along the regression vector of one y, of unit length."""

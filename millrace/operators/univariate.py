@@ -269,7 +269,14 @@ def esd_of(x: np.ndarray, most: int, alpha: float = 0.05, robust: bool = False)
 
 
 def detect_outliers_esd(df: DataFrame, value: str, order: str, by: Sequence[str] = (), most: int = 1, alpha: float = 0.05, robust: bool = False) -> DataFrame:
-    """The removals of each group; position counts from 0 in `order`."""
+    """The removals of each group; position counts from 0 in `order`, which tells the rows of a group apart.
+
+    Groups may be of any size; only the robust form, by medians of what is left, holds a group in one task.
+    """
+    if not robust:
+        from millrace.operators.extremes import detect
+
+        return detect(df, value, order, by, most, alpha)
     x = df.select(*by, F.col(value).cast("double").alias("x"), F.col(order).alias("_order")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
     names = [f"`{b}` {dict(x.dtypes)[b]}" for b in by]
     keyed = x if by else x.withColumn("_all", F.lit(1))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions import simulators
 from millrace.operators import alignment
 from millrace.plans.catalog import add
 from millrace.plans.stats import rounded, table
@@ -37,15 +37,18 @@ def central(spark, sf_dir):
     return spark.createDataFrame([(alignment.find_reference_batch(events(spark, sf_dir), "user_id", "event_id", ["value"]),)], "user_id long")
 
 
-@add("batch_dtw")
-def dtw(spark, sf_dir):
-    df = simulators.campaign(spark, 12, hours=24, seed=1)
-    return alignment.batch_dtw(df, "batch_id", "hour", ["biomass", "sugar"], most=4)[0]
+def visits(spark, sf_dir):
+    """Each user's events in order, with the logarithm of the seconds since the one before."""
+    before = F.lag("at").over(W.partitionBy("user_id").orderBy("event_id"))
+    gap = F.coalesce(F.col("at") - before, F.lit(0.0))
+    rows = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return rows.select("user_id", "event_id", "value", F.log1p(F.abs(gap)).alias("gap"))
 
 
-@add("simulate_campaign")
-def campaign(spark, sf_dir):
-    return simulators.campaign(spark, 20, hours=24)
+@add("batch_dtw")
+def dtw(spark, sf_dir):
+    """Users are batches of unequal lengths."""
+    return alignment.batch_dtw(visits(spark, sf_dir), "user_id", "event_id", ["value", "gap"])[0]
 
 
 def event_stream(spark, sf_dir):

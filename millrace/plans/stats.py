@@ -149,6 +149,15 @@ def esd(spark, sf_dir):
     return U.detect_outliers_esd(table(spark, sf_dir, "events"), "value", "event_id", ["event_type"], most=5)
 
 
+@add(
+    "esd_first_removal",
+    """WITH e AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS position, avg(value) OVER (PARTITION BY event_type) AS m, stddev_samp(value) OVER (PARTITION BY event_type) AS s FROM events WHERE value IS NOT NULL)
+    SELECT event_type, position::INT AS position, round(abs(value - m) / s, 6) AS statistic FROM e QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY abs(value - m) DESC, event_id) = 1""",
+)
+def esd_first(spark, sf_dir):
+    return rounded(U.detect_outliers_esd(table(spark, sf_dir, "events"), "value", "event_id", ["event_type"]).select("event_type", "position", "statistic"))
+
+
 @add("test_normality")
 def normality(spark, sf_dir):
     return U.test_normality(table(spark, sf_dir, "supplier"), "s_acctbal")

@@ -2,7 +2,6 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from millrace.functions import simulators
 from millrace.operators import alignment, features, sensory
 from millrace.sources import tables
 from millrace.streaming import adaptive
@@ -23,11 +22,61 @@ def test_warping_undoes_a_delay():
     assert np.allclose(plain, alignment.distances(x, y, np.ones(1)))
 
 
+def _aligned(batches, own, most=25, tolerance=0.1):
+    """Every step of the alignment on the driver, cell by cell."""
+    keys = sorted(batches)
+    spans = np.array([np.quantile(batches[k], 0.98, axis=0) - np.quantile(batches[k], 0.02, axis=0) for k in keys])
+    span, least = np.median(np.where(spans == 0, 1, spans), axis=0), np.median([batches[k].min(0) for k in keys], axis=0)
+    scaled = {k: (batches[k] - least) / span for k in keys}
+
+    def warp(test, ref, w):
+        n, m = len(test), len(ref)
+        local = [[float((w * (test[i] - ref[j]) ** 2).sum()) for j in range(m)] for i in range(n)]
+        total = [[np.inf] * m for _ in range(n)]
+        for i in range(n):
+            for j in range(m):
+                before = min([total[i - 1][j - 1] if i and j else np.inf, total[i - 1][j] if i else np.inf, total[i][j - 1] if j else np.inf]) if i or j else 0.0
+                total[i][j] = local[i][j] + before
+        i, j, steps = n - 1, m - 1, [(n - 1, m - 1)]
+        while i or j:
+            options = [(a, b) for a, b in ((i - 1, j - 1), (i - 1, j), (i, j - 1)) if a >= 0 and b >= 0]
+            i, j = min(options, key=lambda p: total[p[0]][p[1]])
+            steps.append((i, j))
+        return np.array([np.mean([test[a] for a, b in steps if b == c], axis=0) for c in range(m)])
+
+    average = ref = scaled[own]
+    weights, turn = np.ones(2), 0
+    moved = np.inf
+    while moved > tolerance and turn <= most:
+        turn += 1
+        out = {k: warp(scaled[k], average if turn > 3 else ref, weights) for k in keys}
+        average = np.mean(list(out.values()), axis=0)
+        spread = sum(((v - average) ** 2).sum(0) for v in out.values())
+        new = 1 / spread
+        new = new / new.sum() * 2
+        moved, weights = np.linalg.norm(new - weights), new
+    return {k: alignment.cubic(v * span + least, 100) for k, v in out.items()}, weights, turn
+
+
 def test_alignment_of_batches(spark):
-    df = simulators.campaign(spark, 6, hours=12, seed=2)
-    out, weights = alignment.batch_dtw(df, "batch_id", "hour", ["biomass", "sugar"], most=3)
-    got = out.groupBy("batch_id").count().collect()
-    assert len(got) == 6 and {r["count"] for r in got} == {12} and np.isclose(weights.sum(), 2)
+    r = np.random.default_rng(2)
+    batches = {}
+    for k, n in enumerate((14, 11, 17, 14, 20, 9)):
+        t = np.linspace(0, 1, n) ** r.uniform(0.6, 1.5)
+        batches[k] = np.column_stack([5 * np.sin(3 * t) + 0.2 * r.normal(size=n), 100 * t + 30 * r.normal(size=n)])
+    df = spark.createDataFrame([(k, i, float(a), float(b)) for k, v in batches.items() for i, (a, b) in enumerate(v)] + [(0, 99, None, 1.0)], "b long, i int, x double, y double").repartition(3)
+    for tolerance in (0.1, 1e-6):
+        out, weights = alignment.batch_dtw(df, "b", "i", ["x", "y"], reference=3, most=6, tolerance=tolerance)
+        want, plain_weights, turns = _aligned(batches, 3, most=6, tolerance=tolerance)
+        got = out.toPandas().sort_values(["b", "position"])
+        assert np.allclose(weights, plain_weights) and (tolerance == 0.1 or turns > 4)
+        for k in batches:
+            own = got[got["b"] == k]
+            assert own["position"].tolist() == list(range(100)) and np.allclose(own[["x", "y"]], want[k], atol=1e-6)
+    with pytest.raises(ValueError):
+        alignment.batch_dtw(df, "b", "i", ["x", "y"], reference=77)
+    with pytest.raises(ValueError):
+        alignment.batch_dtw(df, "b", "i", ["x", "y"], most=2)
     two = alignment.resample(spark.createDataFrame([(1, 0, 0.0), (1, 1, 10.0), (2, 0, 5.0)], "b int, k int, x double"), "b", "k", ["x"], 5).toPandas()
     assert two[two["b"] == 1].sort_values("position")["x"].tolist() == [0, 2.5, 5, 7.5, 10] and two[two["b"] == 2]["x"].tolist() == [5.0] * 5
 
@@ -68,12 +117,6 @@ def test_reference_batch_is_the_most_central_one(spark):
         assert alignment.find_reference_batch(df, "b", "i", ["x", "y"]) == _central(batches, latent)
 
 
-def test_campaigns_repeat(spark):
-    a, b = (simulators.campaign(spark, 4, seed=5).repartition(n).toPandas().sort_values(["batch_id", "hour"], ignore_index=True) for n in (1, 3))
-    pd.testing.assert_frame_equal(a, b)
-    assert simulators.cardinal_temperature(np.array([37.0, 4.0, 50.0]), 5, 37, 46).tolist() == [1, 0, 0]
-
-
 def test_adaptive_model_tells_a_jump():
     r = np.random.default_rng(0)
     x = r.normal(size=(400, 1)) @ np.ones((1, 3)) + 0.1 * r.normal(size=(400, 3))
