@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.linear import OLS
+from millrace.sources.tables import written
 
 Surface = Mapping[tuple[str, ...], float]
 
@@ -116,8 +117,8 @@ def optimize_desirability(spark: SparkSession, surfaces: Mapping[str, Surface],
 def pareto_front(points: DataFrame, responses: Mapping[str, str]) -> DataFrame:
     """The points that no other one equals or betters in every response and betters in one; responses: maximize or minimize.
 
-    Each task keeps its own best points; what they leave is compared once more,
-    in blocks against the front found so far.
+    Each task keeps its own best points; what they leave is dealt to ever fewer
+    tasks, a quarter as many each time, until one has the whole front.
     """
     signs = np.array([1.0 if how == "maximize" else -1.0 for how in responses.values()])
 
@@ -136,8 +137,12 @@ def pareto_front(points: DataFrame, responses: Mapping[str, str]) -> DataFrame:
         if front is not None:
             yield front
 
-    local = points.mapInPandas(keep, points.schema)
-    return local.coalesce(1).mapInPandas(keep, points.schema)
+    front = written(points.mapInPandas(keep, points.schema))
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while parts > 1:
+        parts = max(1, parts // 4)
+        front = written(front.repartition(parts).mapInPandas(keep, points.schema))
+    return front
 
 
 def ridge_analysis(surface: Surface, factors: Sequence[str], radii: Sequence[float], maximize: bool = True) -> list[dict]:

@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from millrace.operators import chartdata, doe, latent, linear
 from millrace.plans.catalog import add
-from millrace.plans.designed import BOUNDS, SURFACES
+from millrace.plans.designed import BOUNDS, CELLS_SQL, COST, STRENGTH, surfaces
 from millrace.plans.experiments import SIGNS
 from millrace.plans.models import PAIR, PLS_X, lines, scaled
 from millrace.plans.stats import rounded, table
 
-STRENGTH = "50 + 8 * A + 4 * B - 6 * A * A - 5 * B * B + 2 * A * B"
 
 
 def signs(spark, sf_dir):
@@ -58,19 +57,22 @@ def normal_probability(spark, sf_dir):
     return rounded(chartdata.create("normal_probability", table(spark, sf_dir, "supplier"), "s_acctbal").drop("quantile"))
 
 
-@add("chart_perturbation", "SELECT factor, round(x, 6)::DOUBLE AS coded, round(50 + b * x + q * x * x, 6)::DOUBLE AS response FROM (SELECT -1 + i * 0.1 AS x FROM range(21) t(i)), (VALUES ('A', 8, -6), ('B', 4, -5)) f(factor, b, q)")
+@add("chart_perturbation", f"WITH {CELLS_SQL} SELECT factor, round(x, 6)::DOUBLE AS coded, round(s0 + b * x + q * x * x, 6)::DOUBLE AS response FROM (SELECT -1 + i * 0.1 AS x FROM range(21) t(i)), (SELECT 'A' AS factor, sa AS b, saa AS q, s0 FROM k UNION ALL SELECT 'B', sb, sbb, s0 FROM k)")
 def perturbation(spark, sf_dir):
-    return rounded(chartdata.create("perturbation", spark, SURFACES["strength"], ["A", "B"]))
+    return rounded(chartdata.create("perturbation", spark, surfaces(spark, sf_dir)[0]["strength"], ["A", "B"]))
 
 
-@add("chart_contour", f"WITH g AS (SELECT -1 + i * 0.1 AS A, -1 + j * 0.1 AS B FROM range(21) t(i), range(21) u(j)) SELECT round(A, 6)::DOUBLE AS A, round(B, 6)::DOUBLE AS B, round({STRENGTH}, 6)::DOUBLE AS response FROM g")
+@add("chart_contour", f"WITH {CELLS_SQL}, g AS (SELECT -1 + i * 0.1 AS A, -1 + j * 0.1 AS B FROM range(21) t(i), range(21) u(j)) SELECT round(A, 6)::DOUBLE AS A, round(B, 6)::DOUBLE AS B, round({STRENGTH}, 6)::DOUBLE AS response FROM g, k")
 def contour(spark, sf_dir):
-    return rounded(chartdata.create("contour", spark, SURFACES["strength"], BOUNDS))
+    return rounded(chartdata.create("contour", spark, surfaces(spark, sf_dir)[0]["strength"], BOUNDS))
 
 
-@add("chart_overlay", f"WITH g AS (SELECT -1 + i * 0.1 AS A, -1 + j * 0.1 AS B FROM range(21) t(i), range(21) u(j)), y AS (SELECT *, round({STRENGTH}, 6) AS strength, round(20 + 5 * A - 3 * B + A * B, 6) AS cost FROM g) SELECT count(*) AS points, count(*) FILTER (WHERE strength >= 45.03 AND cost <= 22.03) AS feasible FROM y")
+@add("chart_overlay", f"WITH {CELLS_SQL}, g AS (SELECT -1 + i * 0.1 AS A, -1 + j * 0.1 AS B FROM range(21) t(i), range(21) u(j)), y AS (SELECT {STRENGTH} AS strength, {COST} AS cost, sm, c0 FROM g, k) SELECT count(*) AS points, count(*) FILTER (WHERE strength >= sm + 0.00123 AND cost <= c0 + 0.00123) AS feasible FROM y")
 def overlay(spark, sf_dir):
-    out = chartdata.create("overlay", spark, SURFACES, {"strength": (45.03, None), "cost": (None, 22.03)}, BOUNDS)
+    """Settings of no less than the mean price and no more than the mean tax of the cells, or hardly so."""
+    found = surfaces(spark, sf_dir)[0]
+    mean = found["strength"][()] + 2 / 3 * (found["strength"]["A", "A"] + found["strength"]["B", "B"])
+    out = chartdata.create("overlay", spark, found, {"strength": (mean + 0.00123, None), "cost": (None, found["cost"][()] + 0.00123)}, BOUNDS)
     return out.agg(F.count("*").alias("points"), F.sum(F.col("feasible").cast("long")).alias("feasible"))
 
 
@@ -93,12 +95,12 @@ def design_space(spark, sf_dir):
 
 @add("chart_ridge_trace")
 def ridge(spark, sf_dir):
-    return chartdata.create("ridge_trace", spark, SURFACES["strength"], ["A", "B"], [0.25 * k for k in range(1, 7)])
+    return chartdata.create("ridge_trace", spark, surfaces(spark, sf_dir)[0]["strength"], ["A", "B"], [0.25 * k for k in range(1, 7)])
 
 
-@add("chart_ascent", f"WITH p AS (SELECT k, k * 0.5 * 8 / sqrt(80) AS A, k * 0.5 * 4 / sqrt(80) AS B FROM range(11) t(k)) SELECT k::INT AS step, round(A, 6)::DOUBLE AS A, round(B, 6)::DOUBLE AS B, round({STRENGTH}, 6)::DOUBLE AS response FROM p")
+@add("chart_ascent", f"WITH {CELLS_SQL}, p AS (SELECT i, i * 0.5 * sa / sqrt(sa ^ 2 + sb ^ 2) AS A, i * 0.5 * sb / sqrt(sa ^ 2 + sb ^ 2) AS B, k.* FROM range(11) t(i), k) SELECT i::INT AS step, round(A, 6)::DOUBLE AS A, round(B, 6)::DOUBLE AS B, round({STRENGTH}, 6)::DOUBLE AS response FROM p")
 def ascent(spark, sf_dir):
-    return rounded(chartdata.create("ascent_path", spark, SURFACES["strength"], ["A", "B"]))
+    return rounded(chartdata.create("ascent_path", spark, surfaces(spark, sf_dir)[0]["strength"], ["A", "B"]))
 
 
 @add("chart_correlation_loadings", "SELECT 'l_quantity' AS variable, round(sqrt((1 + corr(l_quantity, l_extendedprice)) / 2), 6) AS t1 FROM lineitem UNION ALL SELECT 'l_extendedprice', round(sqrt((1 + corr(l_quantity, l_extendedprice)) / 2), 6) FROM lineitem")

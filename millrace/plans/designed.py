@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import analyze, optimize, structures
+from millrace.operators import analyze, linear, optimize, structures
 from millrace.plans.catalog import add
 from millrace.plans.panels import PANEL, panel
 from millrace.plans.stats import rounded, table
+from millrace.sources.tables import written
 
 #: Runs of a two-factor experiment: quantity and discount of a line in coded units, its price and its tax as responses.
 RUNS = "SELECT l_orderkey, l_linenumber, (l_quantity - 25.5) / 24.5 AS A, (l_discount - 0.05) / 0.05 AS B, l_extendedprice + 900 * (l_quantity - 25.5) AS y FROM lineitem"
@@ -79,39 +80,73 @@ def every_analysis(spark, sf_dir):
     return spark.createDataFrame([(k, str(v)) for k, v in sorted(found.items())], "analysis string, result string")
 
 
-SURFACES = {"strength": {(): 50.0, ("A",): 8.0, ("B",): 4.0, ("A", "A"): -6.0, ("B", "B"): -5.0, ("A", "B"): 2.0}, "cost": {(): 20.0, ("A",): 5.0, ("B",): -3.0, ("A", "B"): 1.0}}
-GOALS = {"strength": {"goal": "maximize", "low": 40.0, "high": 56.0}, "cost": {"goal": "minimize", "low": 14.0, "high": 28.0}}
+#: Cells of quantity and discount by thirds of their ranges: the mean price of their lines in thousands, and the mean tax in percent.
+CELLS_SQL = """cells AS (SELECT CASE WHEN l_quantity < 18 THEN -1 WHEN l_quantity < 34 THEN 0 ELSE 1 END AS A, CASE WHEN l_discount < 0.035 THEN -1 WHEN l_discount < 0.065 THEN 0 ELSE 1 END AS B, avg(l_extendedprice) / 1000 AS s, avg(l_tax) * 100 AS c FROM lineitem GROUP BY ALL),
+    h AS (SELECT sum(A * s) / 6 AS sa, sum(B * s) / 6 AS sb, sum(A * B * s) / 4 AS sab, sum((A * A - 2.0 / 3) * s) / 2 AS saa, sum((B * B - 2.0 / 3) * s) / 2 AS sbb, avg(s) AS sm, avg(c) AS c0, sum(A * c) / 6 AS ca, sum(B * c) / 6 AS cb, sum(A * B * c) / 4 AS cab, min(s) AS s_low, max(s) AS s_high, min(c) AS c_low, max(c) AS c_high FROM cells),
+    k AS (SELECT *, sm - 2.0 / 3 * (saa + sbb) AS s0 FROM h)"""
 BOUNDS = {"A": (-1.0, 1.0), "B": (-1.0, 1.0)}
 GRID_SQL = "SELECT -1 + i * 0.1 AS A, -1 + j * 0.1 AS B FROM range(21) t(i), range(21) u(j)"
-SCORES_SQL = f"g AS ({GRID_SQL}), y AS (SELECT *, 50 + 8 * A + 4 * B - 6 * A * A - 5 * B * B + 2 * A * B AS strength, 20 + 5 * A - 3 * B + A * B AS cost FROM g), d AS (SELECT *, greatest(0, least(1, (strength - 40) / 16)) AS d_strength, greatest(0, least(1, (28 - cost) / 14)) AS d_cost FROM y)"
+STRENGTH, COST = "s0 + sa * A + sb * B + saa * A * A + sbb * B * B + sab * A * B", "c0 + ca * A + cb * B + cab * A * B"
 
 
-@add("desirability_grid", f"WITH {SCORES_SQL} SELECT round(A, 6)::DOUBLE AS A, round(B, 6)::DOUBLE AS B, round(strength, 6)::DOUBLE AS strength, round(cost, 6)::DOUBLE AS cost, round(d_strength, 6)::DOUBLE AS d_strength, round(d_cost, 6)::DOUBLE AS d_cost, round(CASE WHEN d_strength <= 0 OR d_cost <= 0 THEN 0 ELSE sqrt(d_strength * d_cost) END, 6)::DOUBLE AS desirability FROM d")
+def scores_sql(grid=GRID_SQL, digits=""):
+    strength, cost = (f"round({v}, 9)" if digits else v for v in (STRENGTH, COST))
+    return f"{CELLS_SQL}, g AS ({grid}), y AS (SELECT g.*, {strength} AS strength, {cost} AS cost, k.* FROM g, k), d AS (SELECT *, greatest(0, least(1, (strength - s_low) / (s_high - s_low))) AS d_strength, greatest(0, least(1, (c_high - cost) / (c_high - c_low))) AS d_cost FROM y)"
+
+
+def cells(spark, sf_dir):
+    level = lambda c, a, b: F.when(F.col(c) < a, -1.0).when(F.col(c) < b, 0.0).otherwise(1.0)
+    lines = table(spark, sf_dir, "lineitem").select(level("l_quantity", 18, 34).alias("A"), level("l_discount", 0.035, 0.065).alias("B"), "l_extendedprice", "l_tax")
+    return lines.groupBy("A", "B").agg((F.avg("l_extendedprice") / 1000).alias("strength"), (F.avg("l_tax") * 100).alias("cost"))
+
+
+def surfaces(spark, sf_dir):
+    """A quadratic surface of the price and one with an interaction of the tax, by least squares over the nine cells; and goals between the cells' extremes."""
+    nine = written(cells(spark, sf_dir).withColumns({"AA": F.col("A") * F.col("A"), "BB": F.col("B") * F.col("B"), "AB": F.col("A") * F.col("B")}))
+    fit = lambda y, terms: dict(zip([(), *terms.values()], map(float, linear.OLS.fit(nine, y, list(terms)).summary()["coefficients"]), strict=True))
+    main, bent = {"A": ("A",), "B": ("B",), "AB": ("A", "B")}, {"AA": ("A", "A"), "BB": ("B", "B")}
+    ends = nine.agg(F.min("strength"), F.max("strength"), F.min("cost"), F.max("cost")).first()
+    goals = {"strength": {"goal": "maximize", "low": ends[0], "high": ends[1]}, "cost": {"goal": "minimize", "low": ends[2], "high": ends[3]}}
+    return {"strength": fit("strength", main | bent), "cost": fit("cost", main)}, goals
+
+
+@add("desirability_grid", f"WITH {scores_sql()} SELECT round(A, 6)::DOUBLE AS A, round(B, 6)::DOUBLE AS B, round(strength, 6)::DOUBLE AS strength, round(cost, 6)::DOUBLE AS cost, round(d_strength, 6)::DOUBLE AS d_strength, round(d_cost, 6)::DOUBLE AS d_cost, round(CASE WHEN d_strength <= 0 OR d_cost <= 0 THEN 0 ELSE sqrt(d_strength * d_cost) END, 6)::DOUBLE AS desirability FROM d")
 def desirabilities(spark, sf_dir):
-    return rounded(optimize.scored(optimize.grid(spark, BOUNDS, 21), SURFACES, GOALS))
+    return rounded(optimize.scored(optimize.grid(spark, BOUNDS, 21), *surfaces(spark, sf_dir)))
 
 
-@add("desirability_optimum", f"WITH {SCORES_SQL} SELECT round(max(sqrt(d_strength * d_cost)), 2)::DOUBLE AS desirability FROM d")
+@add("desirability_optimum", f"WITH {scores_sql('SELECT -1 + i * 0.005 AS A, -1 + j * 0.005 AS B FROM range(401) t(i), range(401) u(j)')} SELECT round(max(sqrt(d_strength * d_cost)), 2)::DOUBLE AS desirability FROM d")
 def optimum(spark, sf_dir):
-    best = optimize.optimize_responses(spark, SURFACES, BOUNDS, goals=GOALS)
+    found, goals = surfaces(spark, sf_dir)
+    best = optimize.optimize_responses(spark, found, BOUNDS, goals=goals)
     return spark.createDataFrame([(round(best["desirability"], 2),)], "desirability double")
 
 
-@add("pareto_front", f"WITH {SCORES_SQL.replace('50 + 8 * A + 4 * B - 6 * A * A - 5 * B * B + 2 * A * B AS', 'round(50 + 8 * A + 4 * B - 6 * A * A - 5 * B * B + 2 * A * B, 9) AS').replace('20 + 5 * A - 3 * B + A * B AS', 'round(20 + 5 * A - 3 * B + A * B, 9) AS')} SELECT round(A, 6)::DOUBLE AS A, round(B, 6)::DOUBLE AS B, round(strength, 6)::DOUBLE AS strength, round(cost, 6)::DOUBLE AS cost FROM y a WHERE NOT EXISTS (SELECT 1 FROM y b WHERE b.strength >= a.strength AND b.cost <= a.cost AND (b.strength > a.strength OR b.cost < a.cost))")
+@add("pareto_front", f"WITH {scores_sql(digits='9')} SELECT round(A, 6)::DOUBLE AS A, round(B, 6)::DOUBLE AS B, round(strength, 6)::DOUBLE AS strength, round(cost, 6)::DOUBLE AS cost FROM y a WHERE NOT EXISTS (SELECT 1 FROM y b WHERE b.strength >= a.strength AND b.cost <= a.cost AND (b.strength > a.strength OR b.cost < a.cost))")
 def front(spark, sf_dir):
-    points = optimize.grid(spark, BOUNDS, 21).withColumns({r: F.round(optimize.evaluate(s), 9) for r, s in SURFACES.items()})
+    points = optimize.grid(spark, BOUNDS, 21).withColumns({r: F.round(optimize.evaluate(s), 9) for r, s in surfaces(spark, sf_dir)[0].items()})
     return rounded(optimize.pareto_front(points, {"strength": "maximize", "cost": "minimize"}))
 
 
-@add("canonical_analysis", "SELECT round(44 / 58.0, 6)::DOUBLE AS A, round(32 / 58.0, 6)::DOUBLE AS B, round(-5.5 - sqrt(1.25), 6)::DOUBLE AS low, round(-5.5 + sqrt(1.25), 6)::DOUBLE AS high, 'maximum' AS kind")
+@add("pareto_parts", "SELECT p_partkey, p_size, p_retailprice FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_size >= a.p_size AND b.p_retailprice <= a.p_retailprice AND (b.p_size > a.p_size OR b.p_retailprice < a.p_retailprice))")
+def front_of_parts(spark, sf_dir):
+    """Large parts at low prices."""
+    return optimize.pareto_front(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), {"p_size": "maximize", "p_retailprice": "minimize"})
+
+
+@add(
+    "canonical_analysis",
+    f"""WITH {CELLS_SQL}, e AS (SELECT *, (saa + sbb) / 2 AS mid, sqrt(((saa - sbb) / 2) ^ 2 + (sab / 2) ^ 2) AS half, 4 * saa * sbb - sab * sab AS det FROM k)
+    SELECT round((sab * sb - 2 * sbb * sa) / det, 6) AS A, round((sab * sa - 2 * saa * sb) / det, 6) AS B, round(mid - half, 6) AS low, round(mid + half, 6) AS high, CASE WHEN mid + half < 0 THEN 'maximum' WHEN mid - half > 0 THEN 'minimum' ELSE 'saddle' END AS kind FROM e""",
+)
 def canonical(spark, sf_dir):
-    out = optimize.canonical_analysis(SURFACES["strength"], ["A", "B"])
+    out = optimize.canonical_analysis(surfaces(spark, sf_dir)[0]["strength"], ["A", "B"])
     return spark.createDataFrame([(round(out["x"]["A"], 6), round(out["x"]["B"], 6), round(out["eigenvalues"][0], 6), round(out["eigenvalues"][1], 6), out["kind"])], "A double, B double, low double, high double, kind string")
 
 
-@add("steepest_ascent", "SELECT k AS step, round(k * 0.5 * 8 / sqrt(80), 6)::DOUBLE AS A, round(k * 0.5 * 4 / sqrt(80), 6)::DOUBLE AS B FROM range(11) t(k)")
+@add("steepest_ascent", f"WITH {CELLS_SQL} SELECT i AS step, round(i * 0.5 * sa / sqrt(sa ^ 2 + sb ^ 2), 6) AS A, round(i * 0.5 * sb / sqrt(sa ^ 2 + sb ^ 2), 6) AS B FROM range(11) t(i), k")
 def ascent(spark, sf_dir):
-    rows = optimize.optimize_responses(spark, {"strength": SURFACES["strength"]}, BOUNDS, "steepest_ascent")
+    rows = optimize.optimize_responses(spark, {"strength": surfaces(spark, sf_dir)[0]["strength"]}, BOUNDS, "steepest_ascent")
     return spark.createDataFrame([(r["step"], round(r["A"], 6), round(r["B"], 6)) for r in rows], "step long, A double, B double")
 
 
