@@ -20,4 +20,4 @@ def add(name: str, sql: str | None = None):
     return put
 
 
-from millrace.plans import analysis, capability, charts, comparisons, designed, discrimination, experiments, models, orthogonal, panels, processes, stats, trajectories, tshaped  # noqa: E402, F401
+from millrace.plans import analysis, capability, charts, comparisons, designed, discrimination, evaluation, experiments, models, orthogonal, panels, processes, stats, trajectories, tshaped  # noqa: E402, F401
