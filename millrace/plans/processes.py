@@ -12,7 +12,7 @@ from millrace.plans.catalog import add
 from millrace.plans.stats import rounded, table
 from millrace.plans.trajectories import events
 from millrace.sources.tables import shared_folder
-from millrace.streaming import adaptive
+from millrace.streaming import adaptive, kernels
 
 SEQ = "SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events"
 
@@ -69,6 +69,15 @@ def streaming(spark, sf_dir):
     return to_the_end(spark, adaptive.adaptive_pca(rows, "event_type", "ts", ["a", "b"], 1))
 
 
+@add("streaming_adaptive_pls")
+def streaming_pls(spark, sf_dir):
+    """Two responses of a value, the time of day and the user, a model for each type of event."""
+    hour = F.hour(F.col("ts").cast("timestamp")) + F.minute(F.col("ts").cast("timestamp")) / 60
+    rows = event_stream(spark, sf_dir).select("event_type", "ts", "value", hour.cast("double").alias("hour"), (F.col("user_id") % 5).cast("double").alias("kind"))
+    rows = rows.withColumn("total", F.col("value") * (1 + F.col("kind"))).withColumn("rest", 100 - F.col("value") + F.col("hour"))
+    return to_the_end(spark, kernels.adaptive_pls(rows, "event_type", "ts", ["value", "hour", "kind"], ["total", "rest"], 2))
+
+
 @add(
     "streaming_shewhart",
     """WITH w AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(value) AS n, avg(value) AS m, date_trunc('day', ts) + INTERVAL 1 DAY AS ends FROM events GROUP BY ALL)
