@@ -314,18 +314,32 @@ def tietjen_moore(df: DataFrame, value: str, k: int, by: Sequence[str] = (), two
     return by_group(present(df, value, by), by, "statistic double, critical double, p_value double, outliers boolean", run)
 
 
-def ranked(x: DataFrame, by: Sequence[str]) -> DataFrame:
-    """x with the rank of each value in its group (`rank`, from 1), however large a group is.
+#: Rows of one value that a task numbers at once.
+TIES = 1 << 16
+
+
+def ranks(x: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each distinct value of each group, how many rows have it (`same`) and how many are below it (`before`); x: by and "x".
 
-    Values are sorted in ranges; a range's ranks follow the sizes of the ranges before it, of which there are as many as partitions and groups.
+    Values are counted first, so a common one is one row; distinct values are
+    sorted in ranges, and a range follows the sizes of those before it, of which
+    there are as many as partitions and groups.
     """
-    spark = x.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    inner = x.repartitionByRange(parts, *by, "x").withColumn("_part", F.spark_partition_id())
-    sizes = inner.groupBy(*by, "_part").agg(F.count("*").alias("_size"))
+    parts = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = x.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("same"))
+    inner = counted.repartitionByRange(parts, *by, "x").withColumn("_part", F.spark_partition_id())
+    sizes = inner.groupBy(*by, "_part").agg(F.sum("same").alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_size")
-    own = inner.withColumn("_own", F.row_number().over(W.partitionBy(*by, "_part").orderBy("x")))
-    return own.join(before, [*by, "_part"]).withColumn("rank", F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+    own = inner.withColumn("_own", F.coalesce(F.sum("same").over(W.partitionBy(*by, "_part").orderBy("x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return own.join(before, [*by, "_part"]).withColumn("before", F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+
+
+def ranked(x: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Every row of x (by and "x") with the rank of its value in its group (`rank`, from 1), however large a group is; rows of one value have ranks one after another, and are dealt to tasks in runs of TIES."""
+    runs = ranks(x, by).withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor((F.col("same") - 1) / TIES))))
+    dealt = runs.repartition(*(F.col(b) for b in by), "x", "_run")
+    last = F.least(F.col("same"), (F.col("_run") + 1) * TIES)
+    return dealt.withColumn("rank", F.explode(F.sequence(F.col("before") + F.col("_run") * TIES + 1, F.col("before") + last))).select(*by, "x", "rank")
 
 
 def distribution_fit(df: DataFrame, value: str, by: Sequence[str] = (), distribution: str = "norm") -> DataFrame:
@@ -333,15 +347,15 @@ def distribution_fit(df: DataFrame, value: str, by: Sequence[str] = (), distribu
     x = present(df, value, by)
     if distribution == "norm":
         loc, scale = F.avg("x"), F.stddev_pop("x")
-        cdf = F.pandas_udf(lambda z: pd.Series(np.fromiter(map(math.erfc, -z.to_numpy(float) / math.sqrt(2)), float, len(z)) / 2), "double")
+        cdf = F.pandas_udf(lambda z: pd.Series(np.fromiter(map(math.erfc, -z.to_numpy(float) / math.sqrt(2)), float, len(z)) / 2), "double")  # of distinct values only
     else:
         loc, scale = F.min("x"), F.avg("x") - F.min("x")
         cdf = lambda z: 1 - F.exp(-z)
     fit = x.groupBy(*by).agg(loc.alias("location"), scale.alias("scale"), F.count("x").alias("_n"))
-    rows = ranked(x, by)
+    rows = ranks(x, by)
     rows = rows.join(fit, list(by)) if by else rows.crossJoin(F.broadcast(fit))
     rows = rows.withColumn("_f", cdf((F.col("x") - F.col("location")) / F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0)))
-    gap = F.greatest(F.col("rank") / F.col("_n") - F.col("_f"), F.col("_f") - (F.col("rank") - 1) / F.col("_n"))
+    gap = F.greatest((F.col("before") + F.col("same")) / F.col("_n") - F.col("_f"), F.col("_f") - F.col("before") / F.col("_n"))
     out = rows.groupBy(*by, "location", "scale", "_n").agg(F.max(gap).alias("distance"))
     tail = F.pandas_udf(lambda d, n: pd.Series([D.kolmogorov_tail(float(a), int(b)) for a, b in zip(d, n, strict=True)], dtype=float), "double")
     return out.select(*by, "location", "scale", "distance", tail("distance", "_n").alias("p_value"))

@@ -68,3 +68,21 @@ def test_outliers_of_models(spark):
             want.setdefault(int(i), []).append(name)
     assert {k: v.outlier_types for k, v in got.items()} == want and 7 in got and 30 in got
     assert got[7].severity == pytest.approx(max(rows["spe"][7] / model.spe_limit(), rows["hotellings_t2"][7] / model.t2_limit()))
+
+
+def test_ranks_with_many_ties(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    groups = {"a": [*r.integers(0, 5, 300), *[7.0] * 200], "b": r.normal(size=50)}
+    x = table(spark, groups).select("g", "x")
+    monkeypatch.setattr(univariate, "TIES", 64)
+    for g in groups:
+        own = [v for v in univariate.ranked(x, ["g"]).collect() if v.g == g]
+        assert [v.x for v in sorted(own, key=lambda v: v.rank)] == sorted(groups[g]) and sorted(v.rank for v in own) == list(range(1, len(groups[g]) + 1))
+    fit = univariate.distribution_fit(x, "x", ["g"]).collect()
+    for v in fit:
+        own = np.sort(groups[v.g])
+        from math import erfc, sqrt
+
+        f = np.array([erfc(-(u - own.mean()) / own.std() / sqrt(2)) / 2 for u in own])
+        n = len(own)
+        assert v.distance == pytest.approx(max((np.arange(1, n + 1) / n - f).max(), (f - np.arange(n) / n).max()))
