@@ -8,7 +8,8 @@ frequent digests where they lie; all other rows are dealt by digest.
 
 Defined cases: a null text is an empty one.  Of equal texts the row with the
 largest doc_id stays, rows without a doc_id come last, and of rows that repeat
-a doc_id and text exactly one stays.  An empty table gives an empty result.
+a doc_id and text exactly one stays.  A text of any length
+is compared by its SHA-256 digest.  An empty table gives an empty result.
 Other columns are not read, whatever their names.
 """
 

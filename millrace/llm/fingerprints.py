@@ -14,8 +14,8 @@ string.  Two empty fingerprints have likeness 1, an empty and another one 0.
 
 Defined cases: a null text is an empty one.  Rows that repeat a doc_id follow
 each other in the order of a hash of their texts; rows without a doc_id come
-first.  An empty table gives an empty result.  Other columns are not read,
-whatever their names.
+first.  A very long text is hashed whole, on its own.  An empty table gives an
+empty result.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ positions that stay.
 
 Defined cases: a null or empty text is one empty line, which stays.  Rows that
 repeat a doc_id count as one document and all keep its lines; rows without a
-doc_id never count as documents and lose every repeated line.  An empty table
-gives an empty result.  Other columns are not read.
+doc_id never count as documents and lose every repeated line.  A very long
+text is so many lines more; a very long line is known by its hash.  An empty
+table gives an empty result.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

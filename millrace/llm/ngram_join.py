@@ -20,8 +20,9 @@ what those links leave in several components, every pair that may link.
 
 Defined cases: a null text is an empty one; texts without words have no
 shingles and link with nothing.  Rows that repeat a doc_id are judged each; a
-component's id is its least doc_id, null only if none has one.  An empty table
-gives an empty result.  Other columns are not read, whatever their names.
+component's id is its least doc_id, null only if none has one.  A very
+long text is shingled whole, on its own.  An empty table gives an empty result.
+Other columns are not read, whatever their names.
 
 Sets are compared as 64-bit hashes of shingles, classes as 64-bit hashes of sets
 together with their sizes.

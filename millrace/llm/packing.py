@@ -11,7 +11,8 @@ so that a common length is not one task's work) and take the places that the
 plan has for their length.
 
 Defined cases: a null text is an empty one, whose only token is the end id.
-Rows that repeat a doc_id are packed each.  An empty table gives an empty
+Rows that repeat a doc_id are packed each.  A very long text is as many pieces
+as it takes.  An empty table gives an empty
 result.  Other columns are not read, whatever their names.
 """
 

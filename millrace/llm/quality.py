@@ -11,7 +11,8 @@ Learning takes the whole texts of a bounded sample of labelled rows
 document an epoch, and epochs go on as long as the loss falls.  Scoring reads
 whole texts of all rows.
 
-Defined cases: a null text is an empty one, which is one chunk of padding.
+Defined cases: a null text is an empty one, which is one chunk of padding;
+a very long one is as many chunks as it takes.
 Equal texts have equal scores, so rows that repeat do, each with a row of its
 own.  Other columns are not read, whatever their names.  Labels that are null
 or name no document are not used, and of repeated labels of a doc_id the larger

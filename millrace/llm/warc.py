@@ -19,7 +19,8 @@ Defined cases: null html is an empty payload; a null url has no target header.
 Any long is a page_id.  Of rows that repeat a page_id and payload the first is
 the response; all rows of one page_id are in one shard.  Rows without a page_id
 come first and never win over one with a page_id; if no row of a payload has
-one, each of them is a response.  An empty table gives an archive without files.
+one, each of them is a response.  A very long payload is one
+record, behind which its file is rolled.  An empty table gives an archive without files.
 Other columns are not read, whatever their names.
 """
 

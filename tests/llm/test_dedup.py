@@ -91,3 +91,10 @@ def test_line_dedup_of_repeated_rows(spark, frame):
     assert all(x.n_dropped == 0 for x in rows)  # two documents only
     rows = line_dedup.drop_lines(frame([(1, line), (1, line), (2, line), (3, line), (3, "z\n" + line)])).collect()
     assert sorted((x.doc_id, x.text) for x in rows) == [(1, ""), (1, ""), (2, ""), (3, line), (3, "z\n" + line)]
+
+
+def test_exact_dedup_of_very_long_texts(spark, frame):
+    long = "so very long " * 200_000
+    rows = {x.doc_id: x for x in exact_dedup.decide(frame([(1, long), (2, long + "."), (3, long), (4, "short")])).collect()}
+    assert [(i, rows[i].keep_id, rows[i].group_size) for i in sorted(rows)] == [(1, 3, 2), (2, 2, 1), (3, 3, 2), (4, 4, 1)]
+    assert rows[2].text_sha256 == hashlib.sha256((long + ".").encode()).hexdigest()

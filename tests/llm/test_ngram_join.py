@@ -161,3 +161,17 @@ def test_every_link_is_counted(spark, frame, monkeypatch, small, block):
                 expected[key] = expected.get(key, 0) + 1
     out = ngram_join.links(frame(rows).repartition(5)).collect()
     assert len(out) == len(expected) and {(x.a, x.b): x.n_links for x in out} == expected
+
+
+def test_very_long_texts(spark, frame):
+    r = random.Random(8)
+    words = [f"w{r.randrange(10**6)}" for _ in range(120_000)]
+    near = [*words[:100_000], *(f"v{r.randrange(10**6)}" for _ in range(8_000))]
+    far = [*words[:60_000], *(f"u{r.randrange(10**6)}" for _ in range(60_000))]
+    texts = [" ".join(words), " ".join(near), " ".join(far), "a short one of six words"]
+    sets = [C.shingle_set(t) for t in texts]
+    got = {x.doc_id: x for x in ngram_join.groups(frame(list(enumerate(texts)))).collect()}
+    assert [got[i].n_shingles for i in range(4)] == [len(s) for s in sets]
+    linked = [[100 * len(a & b) >= 75 * len(a | b) for b in sets] for a in sets]
+    assert linked[0][1] and not linked[0][2]
+    assert [got[i].component_id for i in range(4)] == [0, 0, 2, 3]
