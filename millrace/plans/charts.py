@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import chartdata, doe, latent, linear
+from millrace.plans import sqlparts as S
 from millrace.plans.catalog import add
 from millrace.plans.designed import BOUNDS, CELLS_SQL, COST, STRENGTH, surfaces
 from millrace.plans.experiments import SIGNS
-from millrace.plans.models import PAIR, PLS_X, lines, scaled
+from millrace.plans.models import PAIR, PLS_X, PLS_Z, lines, scaled
 from millrace.plans.stats import rounded, table
 
 
@@ -128,10 +129,15 @@ def coefficients(spark, sf_dir):
     return rounded(chartdata.create("coefficients", spark, latent.PLS.fit(lines(spark, sf_dir), ["l_quantity", "l_discount"], ["l_extendedprice"], 1)), 4)
 
 
-@add("chart_predictions")
+@add(
+    "chart_predictions",
+    f"""WITH base AS (SELECT {S.correlations(PLS_X, "l_extendedprice")} FROM lineitem), {S.pls_two("base")}, z AS (SELECT l_extendedprice, {PLS_Z} AS z, pls.* FROM lineitem, pls)
+    SELECT l_extendedprice AS observed, round(({S.dot("z", "r1")} * q1 + {S.dot("z", "r2")} * q2) * sy + my, 2) AS predicted FROM z""",
+)
 def predictions(spark, sf_dir):
     df = lines(spark, sf_dir)
-    return chartdata.create("predictions_vs_observed", latent.PLS.fit(df, PLS_X, ["l_extendedprice"], 2), df)
+    out = chartdata.create("predictions_vs_observed", latent.PLS.fit(df, PLS_X, ["l_extendedprice"], 2), df)
+    return out.withColumn("predicted", F.round("predicted", 2))
 
 
 @add("chart_batches", "WITH p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS position, value, event_id::DOUBLE AS place FROM events), l AS (UNPIVOT p ON value, place INTO NAME tag VALUE value) SELECT user_id, position::INT AS position, tag, value FROM l")

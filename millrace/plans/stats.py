@@ -87,6 +87,19 @@ def interval(spark, sf_dir):
     return U.confidence_interval(table(spark, sf_dir, "events"), "value", ["event_type"])
 
 
+@add(
+    "confidence_interval_parts",
+    """WITH m AS (SELECT event_type, median(value) AS m, count(value) AS n FROM events GROUP BY 1), d AS (SELECT e.event_type, any_value(m) AS m, any_value(n) AS n, median(abs(value - m)) AS mad, avg(value) AS mean, stddev_samp(value) AS sd FROM events e JOIN m USING (event_type) GROUP BY 1)
+    SELECT event_type, n, round(m, 6) AS center, round(mad / 0.6744897501960817 * sqrt(pi() / 2), 6) AS spread, round(mean, 6) AS mean, round(sd / sqrt(n), 6) AS standard_error FROM d""",
+)
+def interval_parts(spark, sf_dir):
+    """Centres and spreads of the robust and the regular interval; the regular one's standard error is its half-width over its t value."""
+    events = table(spark, sf_dir, "events")
+    robust = U.confidence_interval(events, "value", ["event_type"]).select("event_type", "n", "center", "spread")
+    regular = U.confidence_interval(events, "value", ["event_type"], style="regular").select("event_type", F.col("center").alias("mean"), (F.col("spread") / F.sqrt("n")).alias("standard_error"))
+    return rounded(robust.join(regular, "event_type"))
+
+
 P_TABLE = "SELECT p_brand, p_partkey AS k, ((p_partkey * 37) % 1009) / 10090.0 AS p FROM part"
 
 
