@@ -137,7 +137,7 @@ def pca_embeddings(spark, sf_dir):
 @add("pca_missing_cells")
 def pca_missing(spark, sf_dir):
     df = scaled(spark, sf_dir).withColumn("l_tax", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_tax")))
-    fit = latent.fit_missing(df, X, 1, most=15, tolerance=1e-5)
+    fit = latent.fit_missing(df, X, 1)
     return spark.createDataFrame([(c, float(p)) for c, p in zip(X, fit.loadings[:, 0], strict=True)], "variable string, p1 double")
 
 
@@ -320,7 +320,7 @@ def dataset_effects(spark, sf_dir):
 @add("pca_trimmed_scores")
 def pca_trimmed(spark, sf_dir):
     df = scaled(spark, sf_dir).withColumn("l_tax", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_tax")))
-    fit, mean = latent.fit_tsr(df, X, 2, most=15, tolerance=1e-6)
+    fit, mean = latent.fit_tsr(df, X, 2)
     return spark.createDataFrame([(c, *map(float, p), float(m)) for c, p, m in zip(X, fit.loadings, mean, strict=True)], "variable string, p1 double, p2 double, mean double")
 
 

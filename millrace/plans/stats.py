@@ -178,7 +178,7 @@ def normality(spark, sf_dir):
 
 @add("tietjen_moore")
 def tietjen(spark, sf_dir):
-    return U.tietjen_moore(table(spark, sf_dir, "supplier"), "s_acctbal", 3, simulations=2000)
+    return U.tietjen_moore(table(spark, sf_dir, "supplier"), "s_acctbal", 3)
 
 
 @add("distribution_fit")
