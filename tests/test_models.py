@@ -206,3 +206,18 @@ def test_fits_keep_their_digits_far_from_zero(spark):
         assert np.allclose(pls.beta[:, 0], expected[1:], atol=1e-6)
         assert abs(linear.lm(df, "y ~ a + b").beta[1] - 3) < 0.02
         assert abs(latent.rv_coefficient(df, ["a"], ["y"]) - np.corrcoef(x[:, 0], y)[0, 1] ** 2) < 1e-6
+
+
+def test_median_slopes_of_many_points_are_those_of_all_pairs(monkeypatch):
+    r = np.random.default_rng(6)
+    x, y = r.integers(0, 40, 900).astype(float), np.round(900 + r.normal(size=900), 1)
+    for a, b in ((x, y), (np.repeat(x[:90], 10), np.repeat(y[:90], 10)), (1.7e9 + 1e6 * r.random(701), r.normal(size=701)), (np.arange(500.0), np.arange(500.0) * 2)):
+        monkeypatch.setattr(robust, "ALL_PAIRS", 5000)
+        whole, own = robust.repeated_median_slope_of(a, b), robust._inner_medians
+        monkeypatch.setattr(robust, "ALL_PAIRS", 200)
+        monkeypatch.setattr(robust, "SAMPLE", 64)
+        asked = []
+        monkeypatch.setattr(robust, "_inner_medians", lambda x, y, at, own=own, asked=asked: asked.append(len(at)) or own(x, y, at))
+        assert robust.repeated_median_slope_of(a, b) == whole
+        assert len(set(b)) < 100 or sum(asked) < 0.7 * len(a) or (np.diff(b) == 2).all()
+        monkeypatch.setattr(robust, "_inner_medians", own)
