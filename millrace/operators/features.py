@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.robust import elbow_of, repeated_median_slope_of
 from millrace.operators.univariate import MAD_NORMAL
+from millrace.sources.tables import dealt
 
 SIMPLE = ("mean", "median", "std", "iqr", "sum", "min", "max", "count", "agemin", "agemax", "last")
 
@@ -88,7 +89,7 @@ def _of_group(df: DataFrame, tag: str, x: str, by: Sequence[str], name: str, run
         return pd.DataFrame([(*key, run(f["_x"].to_numpy(float), f["_y"].to_numpy(float)))], columns=[*by, name])
 
     own = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(tag).cast("double").alias("_y")).dropna()
-    return own.groupBy(*by).applyInPandas(one, ", ".join([*(f"`{b}` {kinds[b]}" for b in by), f"`{name}` double"]))
+    return dealt(own, list(by)).groupBy(*by).applyInPandas(one, ", ".join([*(f"`{b}` {kinds[b]}" for b in by), f"`{name}` double"]))
 
 
 def slope(df: DataFrame, tag: str, x: str, by: Sequence[str]) -> DataFrame:

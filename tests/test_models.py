@@ -221,3 +221,18 @@ def test_median_slopes_of_many_points_are_those_of_all_pairs(monkeypatch):
         assert robust.repeated_median_slope_of(a, b) == whole
         assert len(set(b)) < 100 or sum(asked) < 0.7 * len(a) or (np.diff(b) == 2).all()
         monkeypatch.setattr(robust, "_inner_medians", own)
+
+
+def test_lines_of_an_elbow_at_once_and_far_from_zero():
+    r = np.random.default_rng(7)
+    x = np.sort(r.random(40))
+    y = 2 * x + r.normal(size=40) / 20
+    y[::7] += 3
+    first, count = np.array([0, 0, 20, 5]), np.array([5, 20, 20, 30])
+    b, m = robust.huber_lines(x, y, first, count)
+    for i, (f, n) in enumerate(zip(first, count, strict=True)):
+        assert np.allclose((b[i], m[i]), robust.huber_line(x[f : f + n], y[f : f + n]), atol=1e-7)
+    bend = np.where(x < 0.5, x, 0.5 + 0.1 * (x - 0.5)) + r.normal(size=40) / 1e3
+    near = robust.elbow_of(x, bend)
+    far = 2.0**31 + 2.0**-20 * np.round(x * 2**10)
+    assert robust.elbow_of(far, bend) == far[np.flatnonzero(x == near)[0]]
