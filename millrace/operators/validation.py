@@ -84,16 +84,66 @@ class CellPress:
         return int(np.flatnonzero(self.press <= self.press[best] + error)[0]) + 1
 
 
+#: Columns up to which cells known, held out and missing make few patterns (3 ** 6).
+PATTERN_COLUMNS = 6
+
+
+def _cell_moments(rows: DataFrame, dealt: Callable, center: np.ndarray, scale: np.ndarray, folds: int) -> np.ndarray:
+    """For each fold and pattern (digits of base 3 by column: known, held out, missing) the sums of products of 1 and the fold's scaled cells, missing ones 0."""
+    k = center.shape[1]
+    powers = 3 ** np.arange(k)
+
+    def make(columns: list[np.ndarray]) -> np.ndarray:
+        x, fold = dealt(columns)
+        missing = np.isnan(x)
+        out = np.zeros((folds, 3**k, k + 1, k + 1))
+        for f in range(folds):
+            pattern = np.where(missing, 2, fold == f) @ powers
+            z = np.column_stack([np.ones(len(x)), np.where(missing, 0.0, (x - center[f]) / scale[f])])
+            order = np.argsort(pattern, kind="stable")
+            found, at = np.unique(pattern[order], return_index=True)
+            for p, own in zip(found, np.split(z[order], at[1:]), strict=True):
+                out[f, p] = own.T @ own
+        return out
+
+    return matrix_sums(rows, make, (folds, 3**k, k + 1, k + 1))
+
+
+def _settled(own: np.ndarray, k: int, components: int, center: np.ndarray, scale: np.ndarray, most: int, tolerance: float) -> float:
+    """The squared error of a fold's held cells once their reconstructions settle; NaN without such cells."""
+    seen = np.flatnonzero(own[:, 0, 0] > 0)
+    state = seen[:, None] // 3 ** np.arange(k) % 3
+    known, held = (state == 0).astype(float), (state == 1).astype(float)
+    n, s, ss = own[seen, 0, 0], own[seen, 0, 1:], own[seen, 1:, 1:]
+    if not (held.sum(1) @ n) > 0:
+        return math.nan
+    squares = lambda m: (held * np.einsum("pij,pjk,pik->pi", m, ss, m) * scale**2).sum()
+    first = known[:, :, None] * np.eye(k)
+    now = first
+    for step in range(most):
+        p = np.linalg.eigh(np.einsum("pij,pjk,plk->il", now, ss, now))[1][:, ::-1][:, :components]
+        now, before = first + (1 - known)[:, :, None] * (p @ p.T @ now), now
+        level = np.einsum("pij,pj->pi", before, s)
+        was = squares(before) + (held * (2 * scale * center * level + n[:, None] * center**2)).sum()
+        if math.sqrt(squares(now - before)) < tolerance * max(1.0, math.sqrt(max(was, 0.0))):
+            break
+    return float(squares(np.eye(k) - now))
+
+
 def press_by_cells(df: DataFrame, columns: Sequence[str], components: int, folds: int = 5, key: str | Sequence[str] | None = None, most: int = 50, tolerance: float = 1e-6, seed: int = 0) -> CellPress:
     """Cross-validated error of PCA by cells (element-wise folds, Bro 2008).
 
     A cell's fold is a hash of its row and column.  Each fold is centred and
     scaled by its own other cells; its cells begin at their columns' means and
     are reconstructed again and again, at most `most` times or until they settle.
-    A pass is one reconstruction for all folds and all numbers of components at
-    once: a row repeats the earlier ones from the loadings so far, which are all
-    that is kept, and only K x K products leave the tasks.  Missing cells are
-    filled too, and not judged.
+    A reconstruction is linear in a row's known cells, by a matrix that rows with
+    the same cells known, held out and missing share: up to PATTERN_COLUMNS
+    columns, one pass sums the moments of each such pattern and fold, and the
+    reconstructions are products of small matrices.  With more columns, patterns
+    may be as many as rows; then a pass is one reconstruction for all folds and
+    all numbers of components at once: a row repeats the earlier ones from the
+    loadings so far, which are all that is kept, and only K x K products leave
+    the tasks.  Missing cells are filled too, and not judged.
     """
     columns = list(columns)
     k = len(columns)
@@ -137,6 +187,11 @@ def press_by_cells(df: DataFrame, columns: Sequence[str], components: int, folds
         return out
 
     per_fold = np.full((components, folds), np.nan)
+    if k <= PATTERN_COLUMNS:
+        for f, own in enumerate(_cell_moments(rows, dealt, center, scale, folds)):
+            for a in range(components):
+                per_fold[a, f] = _settled(own, k, a + 1, center[f], scale[f], most, tolerance)
+        return CellPress(np.nansum(per_fold, axis=1), per_fold, 2)
     waiting, passes = dict(history), 0
     while waiting:
         run = {key: list(steps) for key, steps in waiting.items()}

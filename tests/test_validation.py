@@ -108,3 +108,14 @@ def test_fractions_of_rows(spark):
     assert (low < whole).all() and (whole < high).all() and abs(chosen.mean() - 0.5) < 0.02
     with pytest.raises(ValueError):
         V.fractional(df, ["a", "b", "y"], slope, fraction=0)
+
+
+def test_cells_by_patterns_agree_with_passes_and_need_two(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(70, 2)) @ r.normal(size=(2, 4)) + 0.4 * r.normal(size=(70, 4)) + 50
+    x[r.random(x.shape) < 0.1] = np.nan
+    df = table(spark, x, "abcd")
+    got = V.press_by_cells(df, list("abcd"), 3, folds=3, key="id", most=9)
+    monkeypatch.setattr(V, "PATTERN_COLUMNS", 0)
+    plain = V.press_by_cells(df, list("abcd"), 3, folds=3, key="id", most=9)
+    assert got.passes == 2 < plain.passes and got.per_fold == pytest.approx(plain.per_fold, rel=1e-9)
