@@ -236,3 +236,17 @@ def test_lines_of_an_elbow_at_once_and_far_from_zero():
     near = robust.elbow_of(x, bend)
     far = 2.0**31 + 2.0**-20 * np.round(x * 2**10)
     assert robust.elbow_of(far, bend) == far[np.flatnonzero(x == near)[0]]
+
+
+def test_missing_cells_by_patterns_agree_with_passes(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(90, 2)) @ r.normal(size=(2, 4)) + 0.3 * r.normal(size=(90, 4))
+    x[r.random(x.shape) < 0.2] = np.nan
+    df = spark.createDataFrame([tuple(None if v != v else float(v) for v in row) for row in x], "a double, b double, c double, d double").repartition(3)
+    asked, own = [], latent.pattern_products
+    monkeypatch.setattr(latent, "pattern_products", lambda *a: asked.append(1) or own(*a))
+    got = latent.fit_missing(df, list("abcd"), 2, most=8)
+    assert len(asked) == 1
+    monkeypatch.setattr(latent, "PATTERN_COLUMNS", 0)
+    plain = latent.fit_missing(df, list("abcd"), 2, most=8)
+    assert np.allclose(got.loadings, plain.loadings, atol=1e-9) and np.allclose(got.score_scale, plain.score_scale) and np.allclose(got.r2_cumulative, plain.r2_cumulative)
