@@ -250,3 +250,15 @@ def test_missing_cells_by_patterns_agree_with_passes(spark, monkeypatch):
     monkeypatch.setattr(latent, "PATTERN_COLUMNS", 0)
     plain = latent.fit_missing(df, list("abcd"), 2, most=8)
     assert np.allclose(got.loadings, plain.loadings, atol=1e-9) and np.allclose(got.score_scale, plain.score_scale) and np.allclose(got.r2_cumulative, plain.r2_cumulative)
+
+
+def test_two_scaled_variables_of_weak_and_negative_correlation(spark):
+    assert latent.positive(np.array([[-(0.5**0.5)], [0.5**0.5 + 1e-15]])).tolist() == [-1.0]
+    r = np.random.default_rng(10)
+    x = r.normal(size=400)
+    y = r.normal(size=400)
+    y = y - y.mean() - (x - x.mean()) * (np.corrcoef(x, y)[0, 1] * y.std() / x.std() + 1e-7)
+    x, y = 1e5 * (x - x.mean()) / x.std(ddof=1), y / y.std(ddof=1)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x / 1e5 * (1 + 3e-13), y, strict=True)], "a double, b double")
+    p = latent.PCA.fit(df, ["a", "b"], 1).loadings[:, 0]
+    assert p[0] > 0 > p[1] and np.allclose(np.abs(p), 0.5**0.5, atol=1e-12)
