@@ -104,7 +104,7 @@ def ascent(spark, sf_dir):
     return rounded(chartdata.create("ascent_path", spark, surfaces(spark, sf_dir)[0]["strength"], ["A", "B"]))
 
 
-@add("chart_correlation_loadings", "SELECT 'l_quantity' AS variable, round(sqrt((1 + corr(l_quantity, l_extendedprice)) / 2), 6) AS t1 FROM lineitem UNION ALL SELECT 'l_extendedprice', round(sqrt((1 + corr(l_quantity, l_extendedprice)) / 2), 6) FROM lineitem")
+@add("chart_correlation_loadings", "WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem) SELECT 'l_quantity' AS variable, round(sqrt((1 + abs(r)) / 2), 6) AS t1 FROM c UNION ALL SELECT 'l_extendedprice', round((CASE WHEN r < 0 THEN -1 ELSE 1 END) * sqrt((1 + abs(r)) / 2), 6) FROM c")
 def correlation_loadings(spark, sf_dir):
     columns = ["l_quantity", "l_extendedprice"]
     df = scaled(spark, sf_dir, columns)
