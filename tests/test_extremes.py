@@ -86,3 +86,15 @@ def test_ranks_with_many_ties(spark, monkeypatch):
         f = np.array([erfc(-(u - own.mean()) / own.std() / sqrt(2)) / 2 for u in own])
         n = len(own)
         assert v.distance == pytest.approx(max((np.arange(1, n + 1) / n - f).max(), (f - np.arange(n) / n).max()))
+
+
+def test_box_by_counts_of_values(spark, monkeypatch):
+    monkeypatch.setattr(univariate, "quantile", None)
+    r = np.random.default_rng(7)
+    groups = {"a": np.round(r.normal(size=301), 1), "b": r.exponential(size=58), "c": [2.0], "d": [5.0] * 40 + [9.0, 1.0], "e": [None]}
+    got = {v.g: v for v in univariate.box_statistics(table(spark, groups), "x", ["g"]).collect()}
+    assert sorted(got) == ["a", "b", "c", "d"]
+    for g, v in got.items():
+        want = np.quantile(groups[g], [0, 0.25, 0.5, 0.75, 1])
+        assert [v.low, v.q1, v.q2, v.q3, v.high] == pytest.approx(want)
+        assert v.n_outliers == sum(not v.lower_fence <= x <= v.upper_fence for x in groups[g])
