@@ -88,6 +88,16 @@ def test_ranks_with_many_ties(spark, monkeypatch):
         assert v.distance == pytest.approx(max((np.arange(1, n + 1) / n - f).max(), (f - np.arange(n) / n).max()))
 
 
+@pytest.mark.parametrize("most", [1, 5, 60, 200, 400])
+def test_cut_offs_of_ties_sort_no_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(extremes, "_extremes", None)
+    r = np.random.default_rng(6)
+    for x in (np.append(np.round(r.exponential(size=300), 1), [25, 26, 27, 27, 30, -9]), np.append(r.integers(0, 3, 300), [9.0, 9.0]), np.append([4.0] * 300, [5.0])):
+        low, high = extremes.cut_offs(table(spark, {"a": x}), "x", most)
+        flagged = {float(x[p]) for p, *_, o in univariate.esd_of(x, most) if o}
+        assert flagged == {float(v) for v in x if v <= low or v >= high}
+
+
 def test_box_by_counts_of_values(spark, monkeypatch):
     monkeypatch.setattr(univariate, "quantile", None)
     r = np.random.default_rng(7)
