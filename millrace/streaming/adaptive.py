@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,6 +19,27 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from millrace.operators.latent import PLS, positive, spe_limit_of, t2_limit
 
 
+#: Rows of one key that are in memory at once.
+BLOCK = 10_000
+
+
+def in_order(frames: Iterator[pd.DataFrame], time: str, columns: Sequence[str], block: int = BLOCK) -> Iterator[tuple[pd.Series, np.ndarray]]:
+    """Times and cells of a key's rows in the order of time, a block at a time: cells wait in a file, only times and their order are in memory."""
+    with tempfile.TemporaryFile() as store:
+        times = []
+        for f in frames:
+            times.append(f[time].reset_index(drop=True))
+            store.write(np.ascontiguousarray(f[list(columns)].to_numpy(float)).tobytes())
+        store.flush()
+        times = pd.concat(times, ignore_index=True)
+        order = times.sort_values(kind="stable").index.to_numpy()
+        for at in range(0, len(order), block):
+            own = order[at : at + block]
+            # mapped anew for each block, so that pages of earlier ones are given back
+            cells = np.array(np.memmap(store, float, "r", shape=(len(order), len(columns)))[own])
+            yield times.iloc[own].reset_index(drop=True), cells
+
+
 class AdaptivePCA:
     """A principal component model that forgets: centre, scale and kernel move with every row that is in control."""
 
@@ -131,21 +153,21 @@ def adaptive_pca(df: DataFrame, key: str, time: str, columns: Sequence[str], com
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         waiting, model = pickle.loads(state.get[0]) if state.exists else ([], None)
-        f = pd.concat(list(frames)).sort_values(time, kind="stable")
-        out = []
-        for when, row in zip(f[time], f[list(columns)].to_numpy(float), strict=True):
-            if np.isnan(row).any():
-                out.append((k[0], when, None, None, None))
-            elif model is None:
-                waiting.append(row)
-                out.append((k[0], when, None, None, None))
-                if len(waiting) >= warm:
-                    model, waiting = AdaptivePCA(np.array(waiting), components, memory), []
-            else:
-                _, t2, spe, inside = model.update(row)
-                out.append((k[0], when, t2, spe, inside))
+        for times, cells in in_order(frames, time, columns):
+            out = []
+            for when, row in zip(times, cells, strict=True):
+                if np.isnan(row).any():
+                    out.append((k[0], when, None, None, None))
+                elif model is None:
+                    waiting.append(row)
+                    out.append((k[0], when, None, None, None))
+                    if len(waiting) >= warm:
+                        model, waiting = AdaptivePCA(np.array(waiting), components, memory), []
+                else:
+                    _, t2, spe, inside = model.update(row)
+                    out.append((k[0], when, t2, spe, inside))
+            yield pd.DataFrame(out, columns=[key, time, "hotellings_t2", "spe", "in_control"])
         state.update((pickle.dumps((waiting, model)),))
-        yield pd.DataFrame(out, columns=[key, time, "hotellings_t2", "spe", "in_control"])
 
     schema = f"`{key}` {kinds[key]}, `{time}` {kinds[time]}, hotellings_t2 double, spe double, in_control boolean"
     return df.select(key, time, *columns).groupBy(key).applyInPandasWithState(step, schema, "model binary", "append", GroupStateTimeout.NoTimeout)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators.latent import PLS, spe_limit_of, t2_limit
+from millrace.streaming.adaptive import in_order
 
 
 def nuclear(m: np.ndarray) -> float:
@@ -135,29 +136,29 @@ def adaptive_pls(df: DataFrame, key: str, time: str, x: Sequence[str], y: Sequen
 
     Gives key, time, each response as predicted (<name>_hat), hotellings_t2, spe,
     in_control and overlap; rows of the warm-up have nulls.  Rows of a
-    micro-batch are taken in the order of time, frame by frame from a sorted list.
+    micro-batch are taken in the order of time, a block at a time from a file.
     """
     kinds, x, y = dict(df.dtypes), list(x), list(y)
     names = [*(f"{c}_hat" for c in y), "hotellings_t2", "spe", "in_control", "overlap"]
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         waiting, model = pickle.loads(state.get[0]) if state.exists else ([], None)
-        f = pd.concat(list(frames)).sort_values(time, kind="stable", ignore_index=True)
-        data, at = f[[*x, *y]].to_numpy(float), 0
-        while model is None and at < len(data):
-            if not np.isnan(data[at]).any():
-                waiting.append(data[at])
-            at += 1
-            if len(waiting) >= warm:
-                rows = np.array(waiting)
-                model, waiting = KernelPLS(rows[:, : len(x)], rows[:, len(x) :], components, **how), []
-        out = pd.DataFrame({key: k[0], time: f[time], **{n: pd.Series([None] * len(f), dtype="boolean" if n == "in_control" else "float64") for n in names}})
-        if model is not None and at < len(data):
-            found = model.update_block(data[at:, : len(x)], data[at:, len(x) :])
-            for n, c in zip(names, found.columns, strict=True):
-                out.loc[at:, n] = found[c].to_numpy()
+        for times, data in in_order(frames, time, [*x, *y]):
+            at = 0
+            while model is None and at < len(data):
+                if not np.isnan(data[at]).any():
+                    waiting.append(data[at])
+                at += 1
+                if len(waiting) >= warm:
+                    rows = np.array(waiting)
+                    model, waiting = KernelPLS(rows[:, : len(x)], rows[:, len(x) :], components, **how), []
+            out = pd.DataFrame({key: k[0], time: times, **{n: pd.Series([None] * len(times), dtype="boolean" if n == "in_control" else "float64") for n in names}})
+            if model is not None and at < len(data):
+                found = model.update_block(data[at:, : len(x)], data[at:, len(x) :])
+                for n, c in zip(names, found.columns, strict=True):
+                    out.loc[at:, n] = found[c].to_numpy()
+            yield out
         state.update((pickle.dumps((waiting, model)),))
-        yield out
 
     schema = ", ".join([f"`{key}` {kinds[key]}, `{time}` {kinds[time]}", *(f"`{n}` {'boolean' if n == 'in_control' else 'double'}" for n in names)])
     return df.select(key, time, *x, *y).groupBy(key).applyInPandasWithState(step, schema, "model binary", "append", GroupStateTimeout.NoTimeout)

@@ -193,3 +193,14 @@ def test_tables(spark, tmp_path):
     assert sorted(r["value"] for r in tables.as_json(df).collect()) == ['{"x":1.5}', '{"x":2.5,"y":3.0}']
     tables.write_partitioned(df, str(tmp_path / "out"), ["x"])
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_rows_of_a_key_come_in_order_and_in_blocks():
+    r = np.random.default_rng(11)
+    rows = pd.DataFrame({"t": pd.to_datetime(r.integers(0, 40, 95), unit="s"), "x": r.normal(size=95), "y": r.normal(size=95)})
+    rows.loc[3, "x"] = None
+    got = list(adaptive.in_order((rows[i : i + 10] for i in range(0, 95, 10)), "t", ["x", "y"], 20))
+    assert [len(t) for t, _ in got] == [20, 20, 20, 20, 15]
+    want = rows.sort_values("t", kind="stable")
+    assert pd.concat([t for t, _ in got]).tolist() == want["t"].tolist()
+    assert np.array_equal(np.concatenate([x for _, x in got]), want[["x", "y"]].to_numpy(), equal_nan=True)
