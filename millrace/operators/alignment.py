@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.latent import PCA
 from millrace.operators.scaling import Scaler, apply_ranges, batch_ranges
-from millrace.sources.tables import written
+from millrace.sources.tables import dealt, written
 
 
 def distances(test: np.ndarray, reference: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -76,7 +76,7 @@ def align(df: DataFrame, batch: str, order: str, tags: Sequence[str], reference:
         return pd.DataFrame({batch: key[0], "position": np.arange(len(rows)), **{t: rows[:, i] for i, t in enumerate(tags)}, "distance": distance})
 
     schema = ", ".join([f"`{batch}` {kinds[batch]}", "position int", *(f"`{t}` double" for t in tags), "distance double"])
-    return df.select(batch, order, *tags).dropna().groupBy(batch).applyInPandas(one, schema)
+    return dealt(df.select(batch, order, *tags).dropna(), [batch]).groupBy(batch).applyInPandas(one, schema)
 
 
 def find_average_length(df: DataFrame, batch: str) -> object:
@@ -122,7 +122,7 @@ def unfolded(df: DataFrame, batch: str, order: str, tags: Sequence[str], length:
         return pd.DataFrame([[key[0], *cubic(f.sort_values(order)[list(tags)].to_numpy(float), length).T.ravel()]], columns=[batch, *names])
 
     rows = df.select(batch, order, *tags).dropna()
-    return rows.groupBy(batch).applyInPandas(one, ", ".join([f"`{batch}` {dict(df.dtypes)[batch]}", *(f"`{n}` double" for n in names)])), names
+    return dealt(rows, [batch]).groupBy(batch).applyInPandas(one, ", ".join([f"`{batch}` {dict(df.dtypes)[batch]}", *(f"`{n}` double" for n in names)])), names
 
 
 def find_reference_batch(df: DataFrame, batch: str, order: str, tags: Sequence[str], components: int = 4) -> object:
@@ -193,7 +193,7 @@ def batch_dtw(df: DataFrame, batch: str, order: str, tags: Sequence[str], refere
         return pd.DataFrame({batch: key[0], "position": np.arange(points), **dict(zip(tags, cubic(f[list(tags)].to_numpy(float), points).T, strict=True)), "distance": f["distance"].iloc[0]})
 
     schema = ", ".join([f"`{batch}` {kinds[batch]}", "position int", *(f"`{t}` double" for t in tags), "distance double"])
-    return apply_ranges(out, ranges, tags, back=True).groupBy(batch).applyInPandas(one, schema), weights
+    return dealt(apply_ranges(out, ranges, tags, back=True), [batch]).groupBy(batch).applyInPandas(one, schema), weights
 
 
 def resample(df: DataFrame, batch: str, order: str, tags: Sequence[str], length: int) -> DataFrame:
