@@ -106,11 +106,18 @@ def melt(df: DataFrame, ids: Sequence[str], tags: Sequence[str]) -> DataFrame:
     return df.unpivot(list(ids), list(tags), "tag", "value")
 
 
+#: Rows of one task that makes wide rows; its aggregates hold a key for each batch.
+TASK_ROWS = 250_000
+
+
 def widen(df: DataFrame, batch: str, sequence: str, tags: Sequence[str], positions: Sequence[int] | None = None) -> DataFrame:
-    """Long to one row a batch, with a column for each tag and position (the largest value where a position repeats); all positions of the data, unless some are given."""
+    """Long to one row a batch, with a column for each tag and position (the largest value where a position repeats); all positions of the data, unless some are given.
+
+    Rows are dealt by batch before anything is aggregated, to more tasks where they are more, so that no task holds more batches for it.
+    """
     if positions is None:
         positions = [r[0] for r in df.select(sequence).filter(F.col(sequence).isNotNull()).distinct().orderBy(sequence).collect()]
-    out = df.groupBy(batch).pivot(sequence, list(positions)).agg(*(F.max(t).alias(t) for t in tags))
+    out = dealt(df.select(batch, sequence, *tags), [batch], TASK_ROWS).groupBy(batch).pivot(sequence, list(positions)).agg(*(F.max(t).alias(t) for t in tags))
     return out if len(tags) > 1 else out.select(batch, *(F.col(str(p)).alias(f"{p}_{tags[0]}") for p in positions))
 
 

@@ -172,6 +172,16 @@ def test_widening_keeps_all_positions(spark):
     assert sorted(tuple(r) for r in got.collect()) == [("b", 2.0, None, 3.0), ("c", None, 6.0, None)]
 
 
+def test_widening_deals_more_rows_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(features, "TASK_ROWS", 25, raising=False)
+    rows = [(None if b == 3 else b, k, float(b * k), None if k == 2 else float(k)) for b in range(100) for k in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "batch long, k int, x double, y double")
+    got = features.widen(df, "batch", "k", ["x", "y"], [1, 2, 4])
+    assert got.columns == ["batch", "1_x", "1_y", "2_x", "2_y", "4_x", "4_y"]
+    assert got.rdd.getNumPartitions() == 12
+    assert {tuple(r) for r in got.collect()} == {(None if b == 3 else b, 1.0 * b, 1.0, 2.0 * b, None, None, None) for b in range(100)} and got.count() == 100
+
+
 def test_panel(spark):
     rows = [(p, 1, f"prod{j}", "sweet", r, float(j + p * 0.1 + 0.01 * r)) for p in range(4) for j in range(3) for r in range(2)]
     panel = spark.createDataFrame([(f" p{p} ", *x) for p, *x in rows], "panelist_id string, session int, product string, attribute string, replicate int, score double")
