@@ -98,6 +98,38 @@ def test_cut_offs_of_ties_sort_no_rows(spark, monkeypatch, most):
         assert flagged == {float(v) for v in x if v <= low or v >= high}
 
 
+def test_cut_offs_of_columns_share_their_passes(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    x = np.column_stack([np.append(r.exponential(size=397), [25, 26, 27]), np.append(r.normal(size=398), [-40, np.nan]), np.append(r.integers(0, 3, 399), 9.0)])
+    df = spark.createDataFrame([tuple(map(float, v)) for v in x], "a double, b double, c double")
+    tables, plain = [], extremes.written
+    monkeypatch.setattr(extremes, "written", lambda d: tables.append(d) or plain(d))
+    for most in (5, 120, 300):
+        tables.clear()
+        for c, (low, high) in zip("abc", extremes.cut_offs_of(df, list("abc"), most), strict=True):
+            v = x[:, "abc".index(c)]
+            v = v[~np.isnan(v)]
+            assert {float(v[p]) for p, *_, o in univariate.esd_of(v, most) if o} == {float(u) for u in v if u <= low or u >= high}
+        # the counts of all ends are one table, and the rows are not written again
+        assert len(tables) == (most < 200)
+
+
+def test_last_of_the_outliers_is_found_in_few_steps(monkeypatch):
+    r, n, most = np.random.default_rng(9), 2_000, 600
+    tried, plain = [], extremes.critical
+    monkeypatch.setattr(extremes, "critical", lambda *a: tried.append(a) or plain(*a))
+    limits = np.array([plain(n, i + 1, 0.05) for i in range(most)])
+    for last in (0, 1, 299, 600):
+        statistics = np.where(np.arange(most) < last - 1, limits + r.uniform(-1, 1, most), limits - 0.5)
+        if last:
+            statistics[last - 1] = limits[last - 1] + 1e-3
+        assert extremes.found(statistics, n, 0.05) == last
+    tried.clear()
+    # above the last critical value everywhere, above its own nowhere but at the first
+    assert extremes.found(np.append(limits[0] + 1, np.full(most - 1, limits[most // 2])), n, 0.05) == most
+    assert len(tried) < 30
+
+
 def test_box_by_counts_of_values(spark, monkeypatch):
     monkeypatch.setattr(univariate, "quantile", None)
     r = np.random.default_rng(7)
