@@ -1,25 +1,32 @@
 """Alignment of batch trajectories by dynamic time warping.
 
-A batch is warped against the reference in one task of its own; the average of
-the warped batches, the next reference, is an aggregate.  Only the reference
-(its length times the tags) is on the driver.
+Batches are gathered once, a row each with an array for each tag.  A task warps
+many of them against the reference at once, and gives sums by position; their
+average is the next reference.  Only the reference (its length times the tags)
+is on the driver.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from millrace.operators.latent import PCA
-from millrace.operators.scaling import Scaler, apply_ranges, batch_ranges
+from millrace.operators.scaling import Scaler, apply_ranges, ranges_of_arrays
 from millrace.sources.tables import dealt, written
 
+#: Cells of the batches that are warped at once.
+CELLS = 1 << 22
+#: Bytes of moves that are held for the way back.
+MOVES = 1 << 26
+
 
 def distances(test: np.ndarray, reference: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Weighted squared distances of all rows, then the least cumulative distance to each pair.
@@ -67,23 +74,132 @@ def warped(test: np.ndarray, reference: np.ndarray, weights: np.ndarray) -> tupl
     return out / np.bincount(steps[:, 1], minlength=len(reference))[:, None], float(total[-1, -1] / len(steps))
 
 
-def align(df: DataFrame, batch: str, order: str, tags: Sequence[str], reference: np.ndarray, weights: np.ndarray) -> DataFrame:
-    """Every batch on the reference's positions: batch, position, tags, distance."""
-    kinds = dict(df.dtypes)
-
-    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        rows, distance = warped(f.sort_values(order)[list(tags)].to_numpy(float), reference, weights)
-        return pd.DataFrame({batch: key[0], "position": np.arange(len(rows)), **{t: rows[:, i] for i, t in enumerate(tags)}, "distance": distance})
+def warped_all(test: np.ndarray, lengths: np.ndarray, reference: np.ndarray, weights: np.ndarray, most: int = MOVES) -> tuple[np.ndarray, np.ndarray]:
+    """`warped` of many batches at once, as tags x rows x batches; batch b has lengths[b] rows, what follows them does not count.
 
-    schema = ", ".join([f"`{batch}` {kinds[batch]}", "position int", *(f"`{t}` double" for t in tags), "distance double"])
-    return dealt(df.select(batch, order, *tags).dropna(), [batch]).groupBy(batch).applyInPandas(one, schema)
+    Two anti-diagonals of all batches are held, and the moves of as many as
+    `most` bytes hold: earlier moves are made again on the way back, from the
+    two diagonals before them.
+    """
+    tags, rows, batches = test.shape
+    m, end = len(reference), rows + len(reference) + 1
+    width = min(rows, m)
+    span = min(max(1, most // (width * batches)), end - 2)
+    moves = np.empty((span, width, batches), np.uint8)
+    total = np.empty(batches)
+
+    def sweep(older: np.ndarray, old: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        for s in range(first, min(first + span, end)):
+            low, high = max(1, s - m), min(rows, s - 1)
+            before, here = slice(low - 1, high), slice(low, high + 1)
+            local = np.zeros((high - low + 1, batches))
+            for t in range(tags):
+                gap = test[t, before] - reference[s - high - 1 : s - low, t][::-1, None]
+                gap *= gap
+                gap *= weights[t]
+                local += gap
+            least = np.minimum(older[before], old[before])
+            np.minimum(least, old[here], out=least)
+            # 0: both rows step back, 1: that of the test, 2: that of the reference; on ties the first of these
+            aside = older[before] != least
+            moves[s - first, : high - low + 1] = aside.view(np.uint8) + (aside & (old[before] != least))
+            local += least
+            older[here], older[0] = local, np.inf
+            older, old = old, older
+            if s > m:
+                ended = lengths == s - m
+                total[ended] = old[s - m, ended]
+        return older, old
+
+    def reach(first: int) -> slice:
+        """What the diagonals from the first on ask of the two before them; the rest is infinite or done with."""
+        return slice(max(0, first - m - 1), min(rows, first) + 1)
+
+    state = np.full((2, rows + 1, batches), np.inf)
+    state[0, 0] = 0
+    firsts, states = range(2, end, span), []
+    for first in firsts:
+        if first != firsts[-1]:
+            states.append(state[:, reach(first)].copy())
+        state = np.stack(sweep(*state, first))
+    out, count = np.zeros((tags, m, batches)), np.zeros((m, batches))
+    i, j = lengths.astype(np.int64), np.full(batches, m)
+    for first in reversed(firsts):
+        if first != firsts[-1]:
+            state = np.full((2, rows + 1, batches), np.inf)
+            state[:, reach(first)] = states.pop()
+            sweep(*state, first)
+        who = np.flatnonzero(i + j >= first)
+        while len(who):
+            p, q = i[who], j[who]
+            out[:, q - 1, who] += test[:, p - 1, who]
+            count[q - 1, who] += 1
+            move = moves[p + q - first, p - np.maximum(1, p + q - m), who]
+            p -= move != 2
+            q -= move != 1
+            i[who], j[who] = p, q
+            who = who[p + q >= first]
+    return out / count, total / count.sum(axis=0)
+
+
+def gathered(df: DataFrame, batch: str, order: str, tags: Sequence[str]) -> DataFrame:
+    """One row a batch: its id, and an array of each tag's values in order.  Rows without one of the tags are left out."""
+    rows = dealt(df.select(batch, order, *tags).dropna(), [batch])
+    whole = F.struct(F.col(order).alias("order"), *(F.col(t).cast("double").alias(f"c{i}") for i, t in enumerate(tags)))
+    packed = rows.groupBy(batch).agg(F.sort_array(F.collect_list(whole)).alias("_rows"))
+    return packed.select(batch, *(F.col(f"_rows.c{i}").alias(t) for i, t in enumerate(tags)))
+
+
+def flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of gathered rows: the length of each batch, where it starts, and the values, tags x rows of all batches."""
+    lengths = b.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return lengths, np.cumsum(lengths) - lengths, np.stack([c.flatten().to_numpy(zero_copy_only=False) for c in b.columns[1:]])
+
+
+def aligned(b: pa.RecordBatch, scales: np.ndarray, reference: np.ndarray, weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Gathered rows by their places, those of like length together: the scaled batches on the reference's positions, tags x positions x batches, and their distances."""
+    lengths, starts, values = flat(b)
+    values = (values - scales[:, 1:]) / scales[:, :1]
+    left = np.argsort(-lengths, kind="stable")
+    while len(left):
+        n, m = int(lengths[left[0]]), len(reference)
+        size = max(1, CELLS // ((n + m) * min(n, m)))
+        who, left = left[:size], left[size:]
+        test = values[:, starts[who] + np.minimum(np.arange(n)[:, None], lengths[who] - 1)]
+        yield who, *warped_all(test, lengths[who], reference, weights)
+
+
+def turned(packed: DataFrame, tags: Sequence[str], scales: np.ndarray, reference: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The average of the batches on the reference's positions, and each tag's sum of squares about it; scales: range and minimum of each tag."""
+    k, center = len(tags), reference.T[:, :, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = 0, np.zeros((2 * k, len(reference)))
+        for b in batches:
+            for who, rows, _ in aligned(b, scales, reference, weights):
+                rows -= center
+                n += len(who)
+                sums[:k] += rows.sum(axis=2)
+                sums[k:] += (rows * rows).sum(axis=2)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(reference))), pa.array(np.full(len(reference), n)), *map(pa.array, sums)], names)
+
+    names = ["position", "n", *(f"s{i}" for i in range(2 * k))]
+    schema = ", ".join(["position long", "n long", *(f"{c} double" for c in names[2:])])
+    found = packed.mapInArrow(run, schema).groupBy("position").agg(*(F.sum(c).alias(c) for c in names[1:])).orderBy("position").toPandas().to_numpy(float)
+    n, sums, squares = found[:, 1:2], found[:, 2 : k + 2], found[:, k + 2 :]
+    return reference + sums / n, np.maximum(squares - sums**2 / n, 0).sum(axis=0)
 
 
 def find_average_length(df: DataFrame, batch: str) -> object:
     """The batch whose length is the median of all, the least id on ties (the next longer length where no batch has it)."""
-    lengths = df.groupBy(batch).agg(F.count("*").alias("n"))
+    return of_average_length(df.groupBy(batch).agg(F.count("*").alias("n")), batch)[batch]
+
+
+def of_average_length(lengths: DataFrame, batch: str) -> Row:
+    """Of rows of a batch and its length n, that of the median length."""
     middle = lengths.agg(F.percentile("n", F.lit(0.5)).alias("m"))
-    return lengths.crossJoin(F.broadcast(middle)).orderBy(F.abs(F.col("n") - F.col("m")), F.desc("n"), batch).first()[batch]
+    return lengths.crossJoin(F.broadcast(middle)).orderBy(F.abs(F.col("n") - F.col("m")), F.desc("n"), batch).first()
 
 
 def cubic(y: np.ndarray, length: int) -> np.ndarray:
@@ -114,15 +230,23 @@ def cubic(y: np.ndarray, length: int) -> np.ndarray:
     return a * y[i] + b * y[i + 1] + ((a**3 - a) * bend[i] + (b**3 - b) * bend[i + 1]) / 6
 
 
-def unfolded(df: DataFrame, batch: str, order: str, tags: Sequence[str], length: int) -> tuple[DataFrame, list[str]]:
-    """One row a batch: each tag at `length` equal steps; and the names of those columns."""
+def unfolded(packed: DataFrame, batch: str, tags: Sequence[str], length: int) -> tuple[DataFrame, list[str]]:
+    """One row a batch of gathered ones: each tag at `length` equal steps; and the names of those columns."""
     names = [f"{t}_{k}" for t in tags for k in range(length)]
 
-    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[key[0], *cubic(f.sort_values(order)[list(tags)].to_numpy(float), length).T.ravel()]], columns=[batch, *names])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lengths, starts, values = flat(b)
+            for n in np.unique(lengths):
+                left = np.flatnonzero(lengths == n)
+                while len(left):
+                    size = max(1, CELLS // (len(tags) * max(int(n), length)))
+                    who, left = left[:size], left[size:]
+                    y = values[:, starts[who] + np.arange(n)[:, None]].transpose(1, 0, 2)
+                    y = cubic(y.reshape(n, -1), length).reshape(length, len(tags), -1).transpose(1, 0, 2).reshape(len(names), -1)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who)), *map(pa.array, y)], [batch, *names])
 
-    rows = df.select(batch, order, *tags).dropna()
-    return dealt(rows, [batch]).groupBy(batch).applyInPandas(one, ", ".join([f"`{batch}` {dict(df.dtypes)[batch]}", *(f"`{n}` double" for n in names)])), names
+    return packed.select(batch, *tags).mapInArrow(run, StructType([packed.schema[batch], *(StructField(c, DoubleType()) for c in names)])), names
 
 
 def find_reference_batch(df: DataFrame, batch: str, order: str, tags: Sequence[str], components: int = 4) -> object:
@@ -133,13 +257,17 @@ def find_reference_batch(df: DataFrame, batch: str, order: str, tags: Sequence[s
     one of least T2 whose squared prediction error is below its 50% limit (or
     the least higher one, up to 95%, that a batch meets).
     """
-    rows = df.select(batch, order, *tags).dropna()
-    own = find_average_length(rows, batch)
-    wide, names = unfolded(rows, batch, order, tags, rows.filter(F.col(batch) == F.lit(own)).count())
+    return most_central(written(gathered(df, batch, order, tags)), batch, tags, components)
+
+
+def most_central(packed: DataFrame, batch: str, tags: Sequence[str], components: int) -> object:
+    """`find_reference_batch` of gathered batches."""
+    own = of_average_length(packed.select(batch, F.size(tags[0]).alias("n")), batch)
+    wide, names = unfolded(packed, batch, tags, own["n"])
     wide = written(wide)
     n = wide.count()
     if n == 1:
-        return own
+        return own[batch]
     components = min(components, n - 1)
 
     def model(x: DataFrame) -> tuple[PCA, DataFrame]:
@@ -168,32 +296,36 @@ def batch_dtw(df: DataFrame, batch: str, order: str, tags: Sequence[str], refere
     """
     if most < 3:
         raise ValueError("three turns at least are asked for")
-    rows = df.select(batch, order, *tags).dropna()
-    own = find_reference_batch(rows, batch, order, tags) if reference is None else reference
-    ranges = batch_ranges(rows, batch, tags, robust)
-    rows = written(apply_ranges(rows, ranges, tags))
-    average = rows.filter(F.col(batch) == F.lit(own)).orderBy(order).select(*tags).toPandas().to_numpy(float)
-    if not len(average):
+    packed = written(gathered(df, batch, order, tags))
+    own = most_central(packed, batch, tags, 4) if reference is None else reference
+    row = packed.filter(F.col(batch) == F.lit(own)).first()
+    if row is None:
         raise ValueError(f"no batch {own!r}")
-    first, weights, moved, turn = average, np.ones(len(tags)), math.inf, 0
+    ranges = ranges_of_arrays(packed, tags, robust)
+    known = {r["tag"]: r for r in ranges.collect()}
+    ranges = df.sparkSession.createDataFrame([*known.values()], ranges.schema)
+    scales = np.array([[known[t]["range"], known[t]["minimum"]] for t in tags])
+    average = (np.array([row[t] for t in tags]).T - scales[:, 1]) / scales[:, 0]
+    against, weights, moved, turn = average, np.ones(len(tags)), math.inf, 0
     while moved > tolerance and turn <= most:
         turn += 1
-        out = written(align(rows, batch, order, tags, average if turn > 3 else first, weights))
-        means = out.groupBy("position").agg(*(F.avg(t).alias(f"_{t}") for t in tags))
-        average = means.orderBy("position").select(*(f"_{t}" for t in tags)).toPandas().to_numpy(float)
-        spread = np.array(out.join(F.broadcast(means), "position").agg(*(F.sum((F.col(t) - F.col(f"_{t}")) ** 2) for t in tags)).first(), float)
-        new = 1 / np.maximum(spread, max(math.sqrt(np.finfo(float).eps), 1e-6 * spread.max()))
-        new = new / new.sum() * len(tags)
-        moved = float(np.linalg.norm(new - weights))
-        weights = new
-    kinds = dict(out.dtypes)
-
-    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("position")
-        return pd.DataFrame({batch: key[0], "position": np.arange(points), **dict(zip(tags, cubic(f[list(tags)].to_numpy(float), points).T, strict=True)), "distance": f["distance"].iloc[0]})
-
-    schema = ", ".join([f"`{batch}` {kinds[batch]}", "position int", *(f"`{t}` double" for t in tags), "distance double"])
-    return dealt(apply_ranges(out, ranges, tags, back=True), [batch]).groupBy(batch).applyInPandas(one, schema), weights
+        against, used = average if turn > 3 else against, weights
+        average, spread = turned(packed, tags, scales, against, used)
+        weights = 1 / np.maximum(spread, max(math.sqrt(np.finfo(float).eps), 1e-6 * spread.max()))
+        weights = weights / weights.sum() * len(tags)
+        moved = float(np.linalg.norm(weights - used))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for who, rows, distance in aligned(b, scales, against, used):
+                y = cubic(rows.transpose(1, 0, 2).reshape(len(against), -1), points).reshape(points, len(tags), -1)
+                position = pa.array(np.tile(np.arange(points, dtype=np.int32), len(who)))
+                values = (pa.array(y[:, t].T.ravel()) for t in range(len(tags)))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(who, points))), position, *values, pa.array(np.repeat(distance, points))], names)
+
+    names = [batch, "position", *tags, "distance"]
+    schema = StructType([packed.schema[batch], StructField("position", IntegerType()), *(StructField(c, DoubleType()) for c in names[2:])])
+    return apply_ranges(packed.mapInArrow(run, schema), ranges, tags, back=True), weights
 
 
 def resample(df: DataFrame, batch: str, order: str, tags: Sequence[str], length: int) -> DataFrame:

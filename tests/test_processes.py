@@ -1,8 +1,10 @@
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
 
-from millrace.operators import alignment, features, sensory
+from millrace.operators import alignment, features, scaling, sensory
 from millrace.sources import tables
 from millrace.streaming import adaptive
 
@@ -81,6 +83,49 @@ def test_alignment_of_batches(spark):
     assert two[two["b"] == 1].sort_values("position")["x"].tolist() == [0, 2.5, 5, 7.5, 10] and two[two["b"] == 2]["x"].tolist() == [5.0] * 5
 
 
+def test_many_batches_are_warped_at_once_as_one_by_one():
+    r = np.random.default_rng(5)
+    for m, most in ((1, 26), (2, 26), (4, 26), (9, 26), (9, 400), (9, 5000), (9, alignment.MOVES), (40, 3000)):
+        lengths = r.integers(1, 14, size=25)
+        lengths[:4] = 13, 1, 2, 13
+        test, reference, weights = r.integers(0, 4, size=(2, 13, 25)).astype(float), r.integers(0, 4, size=(m, 2)).astype(float), np.array([0.5, 2.0])
+        rows, distance = alignment.warped_all(test, lengths, reference, weights, most)
+        for b, n in enumerate(lengths):
+            own, far = alignment.warped(test[:, :n, b].T, reference, weights)  # whole numbers: many ties
+            assert (rows[:, :, b].T == own).all() and distance[b] == far
+    long, short = r.normal(size=(1, 3000, 1)), r.normal(size=(20, 1))
+    rows, distance = alignment.warped_all(long, np.array([3000]), short, np.ones(1), 2000)
+    own, far = alignment.warped(long[:, :, 0].T, short, np.ones(1))
+    assert np.allclose(rows[:, :, 0].T, own) and np.isclose(distance[0], far)
+
+
+def test_alignment_of_many_batches_takes_no_python_call_each(spark):
+    r = np.random.default_rng(6)
+    values = [[(k, i, float(a), float(b)) for i, (a, b) in enumerate(r.normal(size=(30 + k % 7, 2)))] for k in range(300)]
+    df = spark.createDataFrame([row for rows in values for row in rows], "b long, i int, x double, y double").repartition(3)
+    out, _ = alignment.batch_dtw(df, "b", "i", ["x", "y"], reference=4)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    assert out.count() == 30000 and out.select("b").distinct().count() == 300
+    batches = np.stack([np.array(rows)[:30, 2:] for rows in values])
+    began = time.process_time()
+    one = np.stack([alignment.warped(x, batches[0], np.ones(2))[0] for x in batches], axis=2)
+    middle = time.process_time()
+    rows, _ = alignment.warped_all(np.ascontiguousarray(batches.T), np.full(300, 30), batches[0], np.ones(2))
+    assert np.allclose(rows, one.transpose(1, 0, 2)) and 4 * (time.process_time() - middle) < middle - began
+
+
+def test_ranges_of_gathered_batches(spark):
+    r = np.random.default_rng(7)
+    rows = [(k, i, float(a), float(b)) for k in range(9) for i, (a, b) in enumerate(r.normal(size=(1 + 7 * k, 2)))] + [(10, 3, 1.0, None), (10, 2, 1.0, 5.0), (10, 1, 1.0, 7.0), (10, 0, 1.0, float("nan"))]
+    df = spark.createDataFrame(rows, "b long, i int, x double, y double").repartition(3)
+    packed = alignment.gathered(df, "b", "i", ["x", "y"])
+    assert [tuple(x) for x in packed.filter("b = 10").collect()] == [(10, [1.0, 1.0], [7.0, 5.0])]
+    for robust in (True, False):
+        want = {x["tag"]: x[1:] for x in scaling.batch_ranges(df.dropna(), "b", ["x", "y"], robust).collect()}
+        got = {x["tag"]: x[1:] for x in scaling.ranges_of_arrays(packed, ["x", "y"], robust).collect()}
+        assert sorted(got) == sorted(want) == ["x", "y"] and all(np.allclose(got[t], want[t], rtol=1e-14) for t in want)
+
+
 def _central(batches, limits):
     """The batch nearest the centre, on the driver; limits: the model's T2 and SPE limits of (rows, components, ...)."""
     length = sorted(len(b) for b in batches.values())[len(batches) // 2]
